@@ -46,3 +46,9 @@ def normalize_newlines(c) -> Column:
 def drop_replacement_chars(c) -> Column:
     """Bytes that failed UTF-8 decoding (read as U+FFFD) are dropped, as with ``errors='ignore'``."""
     return F.regexp_replace(col_(c), "�", "")
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (lambda variables are not re-evaluated;
+    plain Column references inside lambdas would be, on every use)."""
+    return F.element_at(F.transform(F.array(value), body), 1)

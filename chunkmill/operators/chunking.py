@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STRIP_PATTERN, WS_CLASS, col_, ustrip
+from ..functions.text import STRIP_PATTERN, WS_CLASS, col_, let, ustrip
 
 # Defaults of the recursive splitter (size, overlap in code points; separator order).
 DEFAULT_SIZE = 512
@@ -163,24 +163,43 @@ def split_sentences(text) -> Column:
     return F.split(col_(text), SENTENCE_SPLIT, -1)
 
 
+def token_buckets(text, dim: int = 64) -> Column:
+    """Word tokens of the lower-cased text hashed into ``[0, dim)`` by the first 32 bits of md5."""
+    toks = F.filter(F.split(F.lower(col_(text)), "[^\\p{L}\\p{N}_]+", -1), lambda w: w != "")
+    return F.transform(toks, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
+
+
+def bucket_counts(buckets, dim: int = 64) -> Column:
+    """Dense count vector of a bucket list; each count is one native ``array_remove`` pass."""
+    return let(col_(buckets), lambda b: F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: (F.size(b) - F.size(F.array_remove(b, i.cast("long")))).cast("double")))
+
+
+def unit(v) -> Column:
+    return let(col_(v), lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)),
+                                      lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))))
+
+
 def hashed_embedding(text, dim: int = 64) -> Column:
     """C4 default embedder: bag of lower-cased word tokens hashed into ``dim`` buckets by md5,
-    L2-normalised (all zeros when the text has no token). Native expressions only."""
-    toks = F.filter(F.split(F.lower(col_(text)), "[^\\p{L}\\p{N}_]+", -1), lambda w: w != "")
-    buckets = F.transform(toks, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                         lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    L2-normalised (all zeros when the text has no token). Native expressions only; a model-backed
+    embedder can replace it (any Column of ARRAY<DOUBLE>)."""
+    return unit(bucket_counts(token_buckets(text, dim), dim))
 
 
 def cosine_distance(a, b) -> Column:
-    """1 - cosine similarity of two vectors."""
-    a, b = col_(a), col_(b)
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
-    nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.lit(1.0) - F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
+    """1 - cosine similarity of two vectors (C5); null when either side is null; similarity 0
+    when either vector is all zeros."""
+    def body(p):
+        a, b = p["a"], p["b"]
+        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x))
+        nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda acc, x: acc + x * x))
+        sim = F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
+        return F.when(a.isNotNull() & b.isNotNull(), F.lit(1.0) - sim)
+
+    return let(F.struct(col_(a).alias("a"), col_(b).alias("b")), body)
 
 
 def adjacent_distances(df: DataFrame, key: str, order: str, vec: str, out: str = "distance") -> DataFrame:
@@ -212,39 +231,61 @@ def semantic_chunks(text, amount: float = 50.0, dim: int = 64, max_chars: int |
     return sentence_groups(split_sentences(text), amount, dim, max_chars, digits)
 
 
-def sentence_groups(s: Column, amount: float = 50.0, dim: int = 64, max_chars: int | None = None,
+def sentence_groups(sentences: Column, amount: float = 50.0, dim: int = 64, max_chars: int | None = None,
                     digits: int = 9) -> Column:
-    n = F.size(s)
-    combined = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.array_join(F.slice(s, F.greatest(i - 1, F.lit(0)) + 1,
-                                       F.least(i + 1, n - 1) - F.greatest(i - 1, F.lit(0)) + 1), " "))
-    vecs = F.transform(combined, lambda c: hashed_embedding(c, dim))
-    dists = F.transform(F.sequence(F.lit(0), n - 2),
-                        lambda i: F.round(cosine_distance(F.element_at(vecs, i + 1), F.element_at(vecs, i + 2)), digits))
-    srt = F.array_sort(dists)
-    m = F.size(srt)
-    pos = F.lit(amount / 100.0) * (m - 1)
-    lo = F.floor(pos).cast("int")
-    thr = F.element_at(srt, lo + 1) + (pos - lo) * (F.element_at(srt, F.least(lo + 2, m)) - F.element_at(srt, lo + 1))
-    # break after sentence i when distance i is above the threshold; groups lie between breaks
-    brk = F.filter(F.sequence(F.lit(0), n - 2), lambda i: F.element_at(dists, i + 1) > thr)
-    nb = F.size(brk)
-    groups = F.transform(
-        F.sequence(F.lit(0), nb),
-        lambda g: F.array_join(
-            F.slice(s,
-                    F.when(g == 0, F.lit(0)).otherwise(F.element_at(brk, F.greatest(g, F.lit(1))) + 1) + 1,
-                    F.when(g < nb, F.element_at(brk, F.least(g + 1, F.greatest(nb, F.lit(1))))).otherwise(n - 1)
-                    - F.when(g == 0, F.lit(0)).otherwise(F.element_at(brk, F.greatest(g, F.lit(1))) + 1) + 1),
-            " "))
-    chunks = F.when(n <= 1, s).otherwise(groups)
+    """Group ordered sentences where the neighbour distance exceeds the percentile."""
+
+    def with_sentences(s):
+        n = F.size(s)
+        # each sentence embedded with one neighbour per side: the token multiset of the joined text
+        # is the union of the three sentences' tokens, so tokens are hashed once per sentence
+        bks = F.transform(s, lambda x: token_buckets(x, dim))
+
+        def with_buckets(bk):
+            vecs = F.transform(
+                F.sequence(F.lit(0), n - 1),
+                lambda i: unit(bucket_counts(F.flatten(F.slice(bk, F.greatest(i - 1, F.lit(0)) + 1,
+                                                               F.least(i + 1, n - 1) - F.greatest(i - 1, F.lit(0)) + 1)), dim)))
+            dists = let(vecs, lambda v: F.transform(
+                F.sequence(F.lit(0), n - 2),
+                lambda i: F.round(cosine_distance(F.element_at(v, i + 1), F.element_at(v, i + 2)), digits)))
+            return let(dists, lambda d: _groups(s, n, d, amount))
+
+        return let(bks, with_buckets)
+
+    chunks = let(sentences, lambda s: F.when(F.size(s) <= 1, s).otherwise(with_sentences(s)))
     if max_chars:
         chunks = F.flatten(F.transform(chunks, lambda c: F.when(F.length(c) > max_chars, window_chunks(c, max_chars, 0))
                                        .otherwise(F.array(c))))
     return chunks
 
 
+def _groups(s: Column, n: Column, d: Column, amount: float) -> Column:
+    def with_sorted(srt):
+        m = F.size(srt)
+        pos = F.lit(amount / 100.0) * (m - 1)
+        lo = F.floor(pos).cast("int")
+        thr = F.element_at(srt, lo + 1) + (pos - lo) * (F.element_at(srt, F.least(lo + 2, m)) - F.element_at(srt, lo + 1))
+        # break after sentence i when distance i is above the threshold; groups lie between breaks
+        return let(thr, lambda t: let(F.filter(F.sequence(F.lit(0), n - 2), lambda i: F.element_at(d, i + 1) > t),
+                                      lambda brk: _join_groups(s, n, brk)))
+
+    return let(F.array_sort(d), with_sorted)
+
+
+def _join_groups(s: Column, n: Column, brk: Column) -> Column:
+    nb = F.size(brk)
+
+    def start(g):
+        return F.when(g == 0, F.lit(0)).otherwise(F.element_at(brk, F.greatest(g, F.lit(1))) + 1)
+
+    def end(g):
+        return F.when(g < nb, F.element_at(brk, F.least(g + 1, F.greatest(nb, F.lit(1))))).otherwise(n - 1)
+
+    return F.transform(F.sequence(F.lit(0), nb),
+                       lambda g: F.array_join(F.slice(s, start(g) + 1, end(g) - start(g) + 1), " "))
+
+
 # ---------------------------------------------------------------------------------------------
 # Paragraphs or fixed token counts
 # ---------------------------------------------------------------------------------------------
