@@ -7,36 +7,41 @@ from pyspark.sql import functions as F
 
 from .text import col_
 
+# Spark's JSON parsers ignore text after the first value. Wrapping the text as the first element
+# of a two-element array whose second element is a sentinel makes any trailing text visible:
+# the parse fails, or the sentinel is not found in second place, or a third element appears.
+_SENTINEL = "\u0001~chunkmill-json-sentinel~\u0002"
+_SENTINEL_JSON = '"\\u0001~chunkmill-json-sentinel~\\u0002"'
+
 
 def strict_json(c) -> Column:
-    """Variant of ``c`` when the whole text is one JSON value, else null.
+    """VARIANT of ``c`` when the whole text is exactly one JSON value (as ``json.loads`` would
+    accept it), else null. Differences: bare ``NaN``/``Infinity`` and duplicate keys count as
+    invalid here."""
+    w = F.try_parse_json(F.concat(F.lit("["), col_(c), F.lit(","), F.lit(_SENTINEL_JSON), F.lit("]")))
+    ok = (F.try_variant_get(w, "$[1]", "string") == F.lit(_SENTINEL)) & F.try_variant_get(w, "$[2]", "variant").isNull()
+    return F.when(ok, F.try_variant_get(w, "$[0]", "variant"))
+
 
-    Spark's parsers accept trailing text after a value; wrapping the text in ``[ ]`` and
-    requiring exactly one element rejects that, as Python does. Bare ``NaN`` is rejected too.
-    """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), col_(c), F.lit("]")))
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    second = F.try_variant_get(wrapped, "$[1]", "variant")
-    ok = wrapped.isNotNull() & F.expr("true") & first.isNotNull() & second.isNull()
-    return F.when(ok & F.is_variant_null(first).isNotNull(), first)
+def json_kind(v: Column) -> Column:
+    """Type name of a VARIANT value: OBJECT, ARRAY, STRING, BIGINT, DOUBLE, BOOLEAN, VOID, ..."""
+    return F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1)
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    return F.coalesce(json_kind(v) == "OBJECT", F.lit(False))
 
 
-def has_keys(v: Column, *keys: str) -> Column:
-    """Variant object ``v`` holds every key (values may be JSON null)."""
-    cond = is_object(v)
-    for k in keys:
-        cond = cond & F.array_contains(F.expr("map_keys(from_json('{}', 'map<string,string>'))"), F.lit(k)) | cond
-    return cond
+def has_key(v: Column, key: str) -> Column:
+    """Object ``v`` holds ``key`` (a JSON null value counts as present)."""
+    return F.coalesce(F.array_contains(F.map_keys(F.from_json(F.to_json(v), "map<string,string>")), F.lit(key)),
+                      F.lit(False))
 
 
-def json_text_of(v: Column, path: str) -> Column:
-    """Value at ``path`` as Python would print it into a string field: strings stay as they are,
-    other JSON values become their JSON text."""
-    inner = F.try_variant_get(v, path, "variant")
-    return F.when(inner.isNull(), F.lit(None)).when(
-        F.schema_of_variant(inner) == "STRING", F.try_variant_get(v, path, "string")
-    ).otherwise(F.to_json(inner))
+def text_of(v: Column, key: str) -> Column:
+    """Value of ``key`` as a Python program would keep it in a string field: strings as they
+    are, other JSON values as their JSON text, JSON null as null."""
+    inner = F.try_variant_get(v, f"$.{key}", "variant")
+    return (F.when(inner.isNull() | F.is_variant_null(inner), F.lit(None).cast("string"))
+            .when(json_kind(inner) == "STRING", F.try_variant_get(v, f"$.{key}", "string"))
+            .otherwise(F.to_json(inner)))

@@ -101,3 +101,22 @@ FROM (
 def stores_union_sql(names=STORE_ORDER) -> str:
     parts = [f"SELECT *, '{n}' AS store, {r} AS store_rank FROM ({store_sql(n)})" for r, n in enumerate(names)]
     return "\nUNION ALL\n".join(parts)
+
+
+def windows_sql(src: str, size: int, overlap: int) -> str:
+    """Chunk rows (``ord, filename, chunk_index, total_chunks, chunk_text``) of C2 windows over a
+    relation ``src`` with columns ``ord, filename, text``."""
+    step = size - overlap
+    return f"""
+  SELECT ord, filename, chunk_text,
+         CAST(row_number() OVER (PARTITION BY ord ORDER BY k) - 1 AS INTEGER) AS chunk_index,
+         CAST(count(*) OVER (PARTITION BY ord) AS INTEGER) AS total_chunks
+  FROM (
+    SELECT ord, filename, k, {strip_sql(f'substring(text, CAST(k * {step} + 1 AS BIGINT), {size})')} AS chunk_text
+    FROM (SELECT ord, filename, text,
+                 unnest(range(0, greatest(1, CAST(ceil((length(text) - {overlap}) / {step}.0) AS BIGINT)))) AS k
+          FROM ({src}))
+  ) WHERE chunk_text <> ''"""
+
+
+NON_WS_SQL = "[^" + STRIP_PATTERN[2:STRIP_PATTERN.index("]") + 1]
