@@ -1 +1,24 @@
-"""placeholder"""
+"""Streaming queries (X1, X2): same results as the batch forms."""
+
+from __future__ import annotations
+
+import uuid
+
+from ..session import scratch_path
+from ..streaming.ingest import stream_ingest, stream_progress
+from .fixtures import windows_sql
+from .registry import query
+
+
+@query("stream_ingest", "X1", f"""
+SELECT row_number() OVER (ORDER BY filename, chunk_index) AS id, filename, chunk_index, chunk_text
+FROM ({windows_sql("SELECT doc_id AS ord, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, text FROM documents", 512, 50)})""")
+def q_stream_ingest(spark, sf):
+    store = scratch_path(spark, "stream-store")
+    out = stream_ingest(spark, f"{sf.rstrip('/')}/documents.parquet", store, size=512, overlap=50)
+    return out.select("id", "filename", "chunk_index", "chunk_text")
+
+
+@query("stream_progress", "X2", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def q_stream_progress(spark, sf):
+    return stream_progress(spark, f"{sf.rstrip('/')}/events.parquet", "event_type", name=f"progress_{uuid.uuid4().hex[:8]}")
