@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STRIP_PATTERN
 from ..operators.chunking import encode_metadata, explode_chunks, window_chunks
+from ..session import spread
 
 FIXED_TIME = "2024-01-01T00:00:00"
 STORES = {
@@ -28,7 +29,8 @@ STORE_ORDER = ["A", "B", "C"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; spread over the cores when the file is a single row group."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
