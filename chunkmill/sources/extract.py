@@ -233,33 +233,33 @@ def flatten_json_lines(df: DataFrame, key: str, json_col: str, max_depth: int =
     One pass per nesting level. Key order: ``map<string,string>`` keeps source order and the
     nested text of containers; ``map<string,variant>`` of the same text gives each value's type
     and scalar value (VARIANT alone would sort keys)."""
-    root = df.select(key, F.array().cast("array<int>").alias("path"), F.lit("").alias("name"),
-                     F.col(json_col).alias("raw"), F.parse_json(F.col(json_col)).alias("v"))
-    leaves = root.where(_kind(F.col("v")) == "scalar").select(
-        key, "path", F.concat(F.col("name"), F.lit(": "), _py_scalar(F.col("v"), F.col("raw"))).alias("line"))
-    level = root.where(_kind(F.col("v")) != "scalar").select(key, "path", "name", "raw", _kind(F.col("v")).alias("k"))
+    root = df.select(key, F.array().cast("array<int>").alias("path"), F.lit("").alias("_name"),
+                     F.col(json_col).alias("_raw"), F.parse_json(F.col(json_col)).alias("_v"))
+    leaves = root.where(_kind(F.col("_v")) == "scalar").select(
+        key, "path", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line"))
+    level = root.where(_kind(F.col("_v")) != "scalar").select(key, "path", "_name", "_raw", _kind(F.col("_v")).alias("_k"))
     for _ in range(max_depth):
         level = level.persist()
         if level.isEmpty():
             break
-        objs = level.where(F.col("k") == "obj").select(
-            key, "path", "name", F.from_json("raw", "map<string,variant>").alias("mv"),
-            F.posexplode(F.map_entries(F.from_json("raw", "map<string,string>"))).alias("i", "e"))
-        objs = objs.select(key, F.array_append("path", F.col("i")).alias("path"),
-                           F.when(F.col("name") == "", F.col("e.key"))
-                           .otherwise(F.concat(F.col("name"), F.lit("."), F.col("e.key"))).alias("name"),
-                           F.col("e.value").alias("raw"), F.element_at("mv", F.col("e.key")).alias("v"))
-        arrs = level.where(F.col("k") == "arr").select(
-            key, "path", "name",
-            F.posexplode(F.arrays_zip(F.from_json("raw", "array<string>").alias("s"),
-                                      F.from_json("raw", "array<variant>").alias("v"))).alias("i", "z"))
-        arrs = arrs.select(key, F.array_append("path", F.col("i")).alias("path"),
-                           F.concat(F.col("name"), F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("name"),
-                           F.col("z.s").alias("raw"), F.col("z.v").alias("v"))
-        children = objs.unionByName(arrs).withColumn("k", _kind(F.col("v")))
-        leaves = leaves.unionByName(children.where(F.col("k") == "scalar").select(
-            key, "path", F.concat(F.col("name"), F.lit(": "), _py_scalar(F.col("v"), F.col("raw"))).alias("line")))
-        level = children.where(F.col("k") != "scalar").select(key, "path", "name", "raw", "k")
+        objs = level.where(F.col("_k") == "obj").select(
+            key, "path", "_name", F.from_json("_raw", "map<string,variant>").alias("_mv"),
+            F.posexplode(F.map_entries(F.from_json("_raw", "map<string,string>"))).alias("_i", "_e"))
+        objs = objs.select(key, F.array_append("path", F.col("_i")).alias("path"),
+                           F.when(F.col("_name") == "", F.col("_e.key"))
+                           .otherwise(F.concat(F.col("_name"), F.lit("."), F.col("_e.key"))).alias("_name"),
+                           F.col("_e.value").alias("_raw"), F.element_at("_mv", F.col("_e.key")).alias("_v"))
+        arrs = level.where(F.col("_k") == "arr").select(
+            key, "path", "_name",
+            F.posexplode(F.arrays_zip(F.from_json("_raw", "array<string>").alias("s"),
+                                      F.from_json("_raw", "array<variant>").alias("v"))).alias("_i", "_z"))
+        arrs = arrs.select(key, F.array_append("path", F.col("_i")).alias("path"),
+                           F.concat(F.col("_name"), F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("_name"),
+                           F.col("_z.s").alias("_raw"), F.col("_z.v").alias("_v"))
+        children = objs.unionByName(arrs).withColumn("_k", _kind(F.col("_v")))
+        leaves = leaves.unionByName(children.where(F.col("_k") == "scalar").select(
+            key, "path", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line")))
+        level = children.where(F.col("_k") != "scalar").select(key, "path", "_name", "_raw", "_k")
     return leaves
 
 
