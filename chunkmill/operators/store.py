@@ -87,10 +87,11 @@ def validate_text(files: DataFrame, text: str = "text", filename: str = "filenam
 
 
 def ingest(files: DataFrame, store: DataFrame, overwrite: bool = False, splitter: str = "recursive",
-           created_at=None, processed_at=None, **split_kw) -> tuple[DataFrame, DataFrame]:
+           created_at=None, processed_at=None, build_store: bool = True, **split_kw) -> tuple[DataFrame, DataFrame | None]:
     """Process a batch ``input_order, filename, text, file_type`` into ``store``.
 
-    Returns ``(details, new_store)``. Without ``overwrite`` a name already in the store, or
+    Returns ``(details, new_store)``; with ``build_store=False`` only the details are planned (the
+    new store needs a numbering pass). Without ``overwrite`` a name already in the store, or
     produced by an earlier valid file of the batch, is rejected (I2); with ``overwrite`` every
     valid file succeeds and the last valid file of a name replaces the stored chunks (I3)."""
     v = validate_text(files)
@@ -117,6 +118,8 @@ def ingest(files: DataFrame, store: DataFrame, overwrite: bool = False, splitter
     detail_bad = v.where(~F.col("valid")).select("input_order", "filename", F.lit(False).alias("success"), "message",
                                                  F.lit(0).alias("chunks"))
     details = detail_valid.unionByName(detail_bad)
+    if not build_store:
+        return details, None
     winners = chunked.where("_insert")
     rows = explode_chunks(winners, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at)
     rows = rows.withColumn("metadata", encode_metadata("metadata"))

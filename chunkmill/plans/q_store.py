@@ -95,9 +95,9 @@ def batch(spark, sf):
     return first.unionByName(again).unionByName(odd).withColumn("file_type", F.lit(".txt"))
 
 
-def _ingest(spark, sf, overwrite=False):
+def _ingest(spark, sf, overwrite=False, build_store=False):
     return ingest(batch(spark, sf), chunk_store(spark, sf, "A"), overwrite=overwrite, splitter="window",
-                  created_at=F.lit(FIXED_TIME), processed_at=FIXED_TIME, size=512, overlap=50)
+                  created_at=F.lit(FIXED_TIME), processed_at=FIXED_TIME, build_store=build_store, size=512, overlap=50)
 
 
 DETAILS_SQL = f"""
@@ -150,7 +150,7 @@ SELECT id, filename, chunk_index, chunk_text FROM a
 UNION ALL
 SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY filename, chunk_index), filename, chunk_index, chunk_text FROM n""")
 def q_ingest_store(spark, sf):
-    _, store = _ingest(spark, sf)
+    _, store = _ingest(spark, sf, build_store=True)
     return store.select("id", "filename", "chunk_index", "chunk_text")
 
 
@@ -163,7 +163,7 @@ SELECT id, filename, chunk_index, chunk_text FROM a WHERE filename NOT IN (SELEC
 UNION ALL
 SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY filename, chunk_index), filename, chunk_index, chunk_text FROM n""")
 def q_overwrite(spark, sf):
-    _, store = _ingest(spark, sf, overwrite=True)
+    _, store = _ingest(spark, sf, overwrite=True, build_store=True)
     return store.select("id", "filename", "chunk_index", "chunk_text")
 
 
