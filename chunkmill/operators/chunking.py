@@ -319,8 +319,11 @@ def explode_chunks(df: DataFrame, chunks: str = "chunks", filename: str = "filen
     base = df.select(*keep, F.col(filename).alias("filename"), F.col(chunks).alias("_chunks"),
                      (ft if isinstance(ft, Column) else F.lit(ft)).alias("_ft"),
                      (at if isinstance(at, Column) else F.lit(at)).alias("_at"))
-    rows = base.select(*keep, "filename", F.size("_chunks").alias("total_chunks"), "_ft", "_at",
-                       F.posexplode("_chunks").alias("chunk_index", "chunk_text"))
+    # posexplode_outer + a filter above it: a plain posexplode makes Catalyst infer
+    # ``size(chunks) > 0`` and push it down to the scan, evaluating the splitter twice
+    rows = (base.select(*keep, "filename", F.size("_chunks").alias("total_chunks"), "_ft", "_at",
+                        F.posexplode_outer("_chunks").alias("chunk_index", "chunk_text"))
+            .where(F.col("chunk_text").isNotNull()))
     meta = F.struct(F.col("filename").alias("source"), F.col("chunk_index"), F.col("total_chunks"),
                     F.col("_ft").alias("file_type"), F.col("_at").alias("processed_at"))
     return rows.select(*keep, "filename", F.col("chunk_index").cast("int").alias("chunk_index"), "chunk_text",

@@ -75,8 +75,9 @@ FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i
 @query("split_sentences", "C3", SENT_SQL)
 def q_split_sentences(spark, sf):
     d = table(spark, sf, "documents")
-    return d.select("doc_id", F.posexplode(split_sentences("text")).alias("sentence_index", "sentence")) \
-        .withColumn("sentence_index", F.col("sentence_index").cast("int"))
+    # outer form: a plain posexplode would push an inferred size filter (a second split) to the scan
+    return (d.select("doc_id", F.posexplode_outer(split_sentences("text")).alias("sentence_index", "sentence"))
+            .where(F.col("sentence").isNotNull()).withColumn("sentence_index", F.col("sentence_index").cast("int")))
 
 
 @query("embed_sentences", "C4", f"""
