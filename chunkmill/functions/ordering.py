@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, range_partitions
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | position in partition
 
@@ -24,8 +24,7 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
     is checkpointed so the counting pass and the numbering pass see the same partitions, also
     after an executor is lost.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     tagged = (
         df.repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)

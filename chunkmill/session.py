@@ -83,3 +83,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
     return df
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partition count for a range-partitioned pass: at least the shuffle setting, and at least as
+    many as the input has splits, so partitions stay split-sized however large the input is."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())

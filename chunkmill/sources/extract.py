@@ -227,43 +227,43 @@ def _py_scalar(v: Column, raw: Column) -> Column:
 
 
 def flatten_json_lines(df: DataFrame, key: str, json_col: str, max_depth: int = 64) -> DataFrame:
-    """One row per leaf ``key, path, line`` (``path`` = ordinal path, for ordering). Objects
+    """One row per leaf ``key, _opath, line`` (``_opath`` = ordinal path, for ordering). Objects
     give ``a.b``, lists ``a[0]``; empty containers give nothing; a scalar root gives ``: value``.
 
     One pass per nesting level. Key order: ``map<string,string>`` keeps source order and the
     nested text of containers; ``map<string,variant>`` of the same text gives each value's type
     and scalar value (VARIANT alone would sort keys)."""
-    root = df.select(key, F.array().cast("array<int>").alias("path"), F.lit("").alias("_name"),
-                     F.col(json_col).alias("_raw"), F.parse_json(F.col(json_col)).alias("_v"))
+    root = df.select(key, F.array().cast("array<int>").alias("_opath"), F.lit("").alias("_name"),
+                     F.col(json_col).alias("_raw"), F.try_parse_json(F.col(json_col)).alias("_v"))
     leaves = root.where(_kind(F.col("_v")) == "scalar").select(
-        key, "path", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line"))
-    level = root.where(_kind(F.col("_v")) != "scalar").select(key, "path", "_name", "_raw", _kind(F.col("_v")).alias("_k"))
+        key, "_opath", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line"))
+    level = root.where(_kind(F.col("_v")) != "scalar").select(key, "_opath", "_name", "_raw", _kind(F.col("_v")).alias("_k"))
     for _ in range(max_depth):
         level = level.persist()
         if level.isEmpty():
             break
         objs = level.where(F.col("_k") == "obj").select(
-            key, "path", "_name", F.from_json("_raw", "map<string,variant>").alias("_mv"),
+            key, "_opath", "_name", F.from_json("_raw", "map<string,variant>").alias("_mv"),
             F.posexplode(F.map_entries(F.from_json("_raw", "map<string,string>"))).alias("_i", "_e"))
-        objs = objs.select(key, F.array_append("path", F.col("_i")).alias("path"),
+        objs = objs.select(key, F.array_append("_opath", F.col("_i")).alias("_opath"),
                            F.when(F.col("_name") == "", F.col("_e.key"))
                            .otherwise(F.concat(F.col("_name"), F.lit("."), F.col("_e.key"))).alias("_name"),
                            F.col("_e.value").alias("_raw"), F.element_at("_mv", F.col("_e.key")).alias("_v"))
         arrs = level.where(F.col("_k") == "arr").select(
-            key, "path", "_name",
+            key, "_opath", "_name",
             F.posexplode(F.arrays_zip(F.from_json("_raw", "array<string>").alias("s"),
                                       F.from_json("_raw", "array<variant>").alias("v"))).alias("_i", "_z"))
-        arrs = arrs.select(key, F.array_append("path", F.col("_i")).alias("path"),
+        arrs = arrs.select(key, F.array_append("_opath", F.col("_i")).alias("_opath"),
                            F.concat(F.col("_name"), F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("_name"),
                            F.col("_z.s").alias("_raw"), F.col("_z.v").alias("_v"))
         children = objs.unionByName(arrs).withColumn("_k", _kind(F.col("_v")))
         leaves = leaves.unionByName(children.where(F.col("_k") == "scalar").select(
-            key, "path", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line")))
-        level = children.where(F.col("_k") != "scalar").select(key, "path", "_name", "_raw", "_k")
+            key, "_opath", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line")))
+        level = children.where(F.col("_k") != "scalar").select(key, "_opath", "_name", "_raw", "_k")
     return leaves
 
 
 def flatten_json_to_text(df: DataFrame, key: str, json_col: str) -> DataFrame:
     """``key, text`` with the leaf lines in document order joined by ``\n``."""
     lines = flatten_json_lines(df, key, json_col)
-    return ordered_join(lines, [key], "path", "line", "\n")
+    return ordered_join(lines, [key], "_opath", "line", "\n")

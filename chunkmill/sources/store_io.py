@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import strict_json
 from ..functions.text import has_text, ustrip
+from ..session import range_partitions
 
 STORE_READ_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
 
@@ -35,7 +36,7 @@ def write_store(store: DataFrame, root: str, buckets: int | None = None) -> str:
     spark = store.sparkSession
     version = f"v-{uuid.uuid4().hex[:12]}"
     path = f"{root.rstrip('/')}/{version}"
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or range_partitions(store)
     (store.repartitionByRange(n, "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
      .write.mode("errorifexists").parquet(path))
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/_CURRENT")
@@ -68,7 +69,7 @@ def jsonl_lines(store: DataFrame) -> DataFrame:
 def export_jsonl(store: DataFrame, path: str) -> None:
     """One JSON line per chunk, ordered by filename, chunk_index across part files (range
     partitioning), non-ASCII kept. No single-file funnel."""
-    n = int(store.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partitions(store)
     (jsonl_lines(store).repartitionByRange(n, "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
      .select("line").write.mode("overwrite").text(path))
 
