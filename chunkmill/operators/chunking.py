@@ -7,6 +7,7 @@ shuffle at all: chunk order, ``chunk_index`` and ``total_chunks`` come from the
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,19 +223,37 @@ def percentile_breaks(df: DataFrame, key: str, dist: str = "distance", amount: f
 
 
 def semantic_chunks(text, amount: float = 50.0, dim: int = 64, max_chars: int | None = None,
-                    digits: int = 9) -> Column:
+                    digits: int = 9, embedder=None) -> Column:
     """C7 on one document row: sentences (C3) -> each sentence with one neighbour per side ->
     hashed embedding (C4) -> distance to the next sentence (C5) -> break where the distance is
     above the document's ``amount``-th percentile (C6, linear interpolation) -> sentences of a group
     joined by one blank. A text of one sentence stays whole. ``max_chars`` (off by default, as in
-    the original) re-splits over-long groups with C2. Array expressions only; no shuffle."""
-    return sentence_groups(split_sentences(text), amount, dim, max_chars, digits)
+    the original) re-splits over-long groups with C2. Array expressions only; no shuffle.
+
+    ``embedder`` (optional) maps the document's ARRAY of neighbour-joined sentences to an ARRAY of
+    vectors, e.g. ``pandas_embedder(load_model)``; the default is the hashed embedder (C4)."""
+    return sentence_groups(split_sentences(text), amount, dim, max_chars, digits, embedder)
+
+
+def neighbour_windows(s: Column) -> Column:
+    """Each sentence joined by a blank with one neighbour on each side."""
+    n = F.size(s)
+    return F.transform(F.sequence(F.lit(0), n - 1),
+                       lambda i: F.array_join(F.slice(s, F.greatest(i - 1, F.lit(0)) + 1,
+                                                      F.least(i + 1, n - 1) - F.greatest(i - 1, F.lit(0)) + 1), " "))
 
 
 def sentence_groups(sentences: Column, amount: float = 50.0, dim: int = 64, max_chars: int | None = None,
-                    digits: int = 9) -> Column:
+                    digits: int = 9, embedder=None) -> Column:
     """Group ordered sentences where the neighbour distance exceeds the percentile."""
 
+    def with_vectors(s, vecs):
+        n = F.size(s)
+        dists = let(vecs, lambda v: F.transform(
+            F.sequence(F.lit(0), n - 2),
+            lambda i: F.round(cosine_distance(F.element_at(v, i + 1), F.element_at(v, i + 2)), digits)))
+        return let(dists, lambda d: _groups(s, n, d, amount))
+
     def with_sentences(s):
         n = F.size(s)
         # each sentence embedded with one neighbour per side: the token multiset of the joined text
@@ -246,14 +265,16 @@ def sentence_groups(sentences: Column, amount: float = 50.0, dim: int = 64, max_
                 F.sequence(F.lit(0), n - 1),
                 lambda i: unit(bucket_counts(F.flatten(F.slice(bk, F.greatest(i - 1, F.lit(0)) + 1,
                                                                F.least(i + 1, n - 1) - F.greatest(i - 1, F.lit(0)) + 1)), dim)))
-            dists = let(vecs, lambda v: F.transform(
-                F.sequence(F.lit(0), n - 2),
-                lambda i: F.round(cosine_distance(F.element_at(v, i + 1), F.element_at(v, i + 2)), digits)))
-            return let(dists, lambda d: _groups(s, n, d, amount))
+            return with_vectors(s, vecs)
 
         return let(bks, with_buckets)
 
-    chunks = let(sentences, lambda s: F.when(F.size(s) <= 1, s).otherwise(with_sentences(s)))
+    if embedder is not None:
+        # a Python UDF may not run inside a lambda: embed at top level, then bind the result
+        both = F.struct(sentences.alias("s"), embedder(neighbour_windows(sentences)).alias("v"))
+        chunks = let(both, lambda sv: F.when(F.size(sv["s"]) <= 1, sv["s"]).otherwise(with_vectors(sv["s"], sv["v"])))
+    else:
+        chunks = let(sentences, lambda s: F.when(F.size(s) <= 1, s).otherwise(with_sentences(s)))
     if max_chars:
         chunks = F.flatten(F.transform(chunks, lambda c: F.when(F.length(c) > max_chars, window_chunks(c, max_chars, 0))
                                        .otherwise(F.array(c))))
@@ -333,3 +354,36 @@ def explode_chunks(df: DataFrame, chunks: str = "chunks", filename: str = "filen
 def encode_metadata(meta) -> Column:
     """Metadata struct -> JSON text."""
     return F.to_json(col_(meta))
+
+
+# ---------------------------------------------------------------------------------------------
+# C4: model embedders (Arrow batches, one model per Python worker)
+# ---------------------------------------------------------------------------------------------
+
+_MODELS: dict = {}
+
+
+def pandas_embedder(load_model, batch_size: int = 256):
+    """Column function ARRAY<STRING> -> ARRAY<ARRAY<DOUBLE>> backed by a model.
+
+    ``load_model()`` returns an object whose ``encode(list_of_str)`` gives unit vectors; it runs
+    once per Python worker (cached by the factory), not per row or batch. Texts of a whole Arrow
+    batch are encoded together in slices of ``batch_size``."""
+
+    @F.pandas_udf("array<array<double>>")
+    def embed(texts: pd.Series) -> pd.Series:
+        model = _MODELS.get(load_model)
+        if model is None:
+            model = _MODELS[load_model] = load_model()
+        flat = [t for row in texts for t in (row if row is not None else [])]
+        vecs = []
+        for i in range(0, len(flat), batch_size):
+            vecs.extend([list(map(float, v)) for v in model.encode(flat[i:i + batch_size])])
+        out, k = [], 0
+        for row in texts:
+            m = 0 if row is None else len(row)
+            out.append(vecs[k:k + m])
+            k += m
+        return pd.Series(out)
+
+    return embed

@@ -36,6 +36,7 @@ def build_session(master: str | None = None, app: str = "chunkmill", shuffle_par
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -90,3 +91,31 @@ def range_partitions(df: DataFrame) -> int:
     many as the input has splits, so partitions stay split-sized however large the input is."""
     spark = df.sparkSession
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+
+
+_SHIPPED: dict = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``chunkmill`` importable in the Python workers (``mapInPandas``, pandas UDFs) on every
+    executor, whatever the driver's working directory: zip the package once per process and add it
+    with ``addPyFile`` once per application."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if _SHIPPED.get("app") == app:
+        return
+    zpath = _SHIPPED.get("zip")
+    if not zpath:
+        root = os.path.dirname(os.path.abspath(__file__))
+        zpath = os.path.join(tempfile.mkdtemp(prefix="chunkmill-pkg-"), "chunkmill.zip")
+        with zipfile.ZipFile(zpath, "w") as z:
+            for base, _, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        _SHIPPED["zip"] = zpath
+    sc.addPyFile(zpath)
+    _SHIPPED["app"] = app

@@ -11,6 +11,11 @@ SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
 
 
+# Python workers import test helpers pickled by reference (e.g. fake models)
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    [os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")]).strip(os.pathsep)
+
+
 @pytest.fixture(scope="session")
 def spark():
     from chunkmill.session import build_session

@@ -81,3 +81,20 @@ def test_explode_metadata(spark):
     rows = explode_chunks(df.withColumn("chunks", window_chunks("text", 512, 50)), processed_at="t").collect()
     assert [r.chunk_index for r in rows] == [0, 1, 2]
     assert all(r.total_chunks == 3 and r.metadata.file_type == ".md" and r.metadata.source == "a.md" for r in rows)
+
+
+class _FakeModel:
+    def encode(self, texts):
+        return [_py_embed(t) for t in texts]
+
+
+def _load_fake():
+    return _FakeModel()
+
+
+def test_semantic_with_model_embedder(spark):
+    from chunkmill.operators.chunking import pandas_embedder
+
+    rows = _texts(spark).select("text", semantic_chunks(F.col("text"), embedder=pandas_embedder(_load_fake)).alias("c")).collect()
+    for r in rows:
+        assert list(r.c) == semantic_split(r.text, _py_embed), r.text[:80]
