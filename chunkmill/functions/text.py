@@ -32,10 +32,13 @@ def has_text(c) -> Column:
     return col_(c).rlike(NON_WS_CLASS)
 
 
-def preview(c, n: int = 100) -> Column:
+def preview(c, n: int | None = None) -> Column:
     """First ``n`` characters, with ``...`` only when the text is longer."""
+    from ..fixed import ELLIPSIS, PREVIEW_CHARS
+
+    n = n or PREVIEW_CHARS
     c = col_(c)
-    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
+    return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit(ELLIPSIS))).otherwise(c)
 
 
 def normalize_newlines(c) -> Column:
@@ -52,3 +55,21 @@ def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (lambda variables are not re-evaluated;
     plain Column references inside lambdas would be, on every use)."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def fill(template: str, *values) -> Column:
+    """``template.format(*values)`` as a native expression (``{}`` or ``{0}`` placeholders;
+    values are Columns or column names, shown as strings)."""
+    import re
+
+    parts = re.split(r"\{(\d*)\}", template)
+    out, auto = [], 0
+    for i, p in enumerate(parts):
+        if i % 2 == 0:
+            if p:
+                out.append(F.lit(p))
+        else:
+            idx = int(p) if p else auto
+            auto += 0 if p else 1
+            out.append(col_(values[idx]).cast("string"))
+    return F.concat(*out)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from ..fixed import NONE_SELECTED, PAGE_EMPTY, PAGE_INFO, PAGE_SIZE, SELECTED
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_row_index
 from ..functions.text import preview
 
-PAGE_SIZE = 1000  # fixed value: chunks per viewer page
 DEEP_OFFSET = 100_000  # beyond this offset a page is cut from a stored ordinal, not a top-k
 
 
@@ -44,8 +45,7 @@ def page_info(store: DataFrame, page: int, per_page: int = PAGE_SIZE) -> DataFra
     p = F.greatest(F.lit(1), F.least(F.lit(page), pages))
     first = (p - 1) * per_page + 1
     last = F.least(p * per_page, n)
-    text = F.when(n == 0, F.lit("Page 0 of 0")).otherwise(
-        F.format_string("Page %d of %d (Chunks %d-%d of %d)", p, pages, first, last, n))
+    text = F.when(n == 0, F.lit(PAGE_EMPTY)).otherwise(F.format_string(PAGE_INFO, p, pages, first, last, n))
     return store.agg(text.alias("page_info"))
 
 
@@ -64,8 +64,7 @@ def selected_count(table: DataFrame) -> DataFrame:
     """``k / n selected`` (``0 selected`` for an empty table)."""
     n = F.count(F.lit(1))
     k = F.count_if("select")
-    return table.agg(F.when(n == 0, F.lit("0 selected"))
-                     .otherwise(F.format_string("%d / %d selected", k, n)).alias("selected"))
+    return table.agg(F.when(n == 0, F.lit(NONE_SELECTED)).otherwise(F.format_string(SELECTED, k, n)).alias("selected"))
 
 
 def filter_chunks(view: DataFrame, source: str | None = None, term: str | None = None) -> DataFrame:

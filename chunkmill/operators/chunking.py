@@ -7,16 +7,14 @@ shuffle at all: chunk order, ``chunk_index`` and ``total_chunks`` come from the
 
 from __future__ import annotations
 
+from ..fixed import DEFAULT_OVERLAP, DEFAULT_SEPARATORS, DEFAULT_SIZE
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STRIP_PATTERN, WS_CLASS, col_, let, ustrip
 
-# Defaults of the recursive splitter (size, overlap in code points; separator order).
-DEFAULT_SIZE = 512
-DEFAULT_OVERLAP = 50
-DEFAULT_SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 # Fixed value: sentence boundary of the semantic splitter (after . ? or !, then white space).
 SENTENCE_SPLIT = "(?<=[.?!])" + WS_CLASS + "+"
 

@@ -5,13 +5,14 @@ table ``path, length, modificationTime`` (``binaryFile`` listing with content pr
 
 from __future__ import annotations
 
+from ..fixed import (CHECKPOINT_PREFIX, CONFIG_FILE, EXPORT_TYPE, INVALID_NAME_CHARS, SIZE_LAST_UNIT, SIZE_UNITS,
+                     WEIGHT_SUFFIXES)
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NON_WS_CLASS, WS_CLASS, col_
 
-# Size units, step 1024.
-SIZE_UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
 def format_size(size) -> Column:
@@ -23,7 +24,8 @@ def format_size(size) -> Column:
         v = x / float(1024 ** i)
         txt = F.concat(F.format_string("%.1f", F.bround(v, 1)), F.lit(" " + unit))
         out = F.when(v < 1024.0, txt) if out is None else out.when(v < 1024.0, txt)
-    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(x / float(1024 ** len(SIZE_UNITS)), 1)), F.lit(" PB")))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(x / float(1024 ** len(SIZE_UNITS)), 1)),
+                                  F.lit(" " + SIZE_LAST_UNIT)))
 
 
 def flatten_model_listing(listing: DataFrame, json_col: str = "listing") -> DataFrame:
@@ -86,10 +88,10 @@ def list_exports(inventory: DataFrame, root: str) -> DataFrame:
     inv = inventory.where(F.col("path").startswith(r)).withColumn(
         "top", F.regexp_extract(F.substring("path", len(r) + 1, 1 << 20), r"^([^/]+)/", 1)).where(F.col("top") != "")
     f = _in_dir(inv)
-    g = f.groupBy("top").agg(F.bool_or((F.col("name") == "config.json") & (F.col("dir") == F.concat(F.lit(r), F.col("top")))).alias("_cfg"),
+    g = f.groupBy("top").agg(F.bool_or((F.col("name") == CONFIG_FILE) & (F.col("dir") == F.concat(F.lit(r), F.col("top")))).alias("_cfg"),
                              F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
     return g.where("_cfg").select(F.col("top").alias("name"), F.concat(F.lit(r), F.col("top")).alias("path"),
-                                  F.lit("Safetensors").alias("type"), format_size("bytes").alias("size"), "modified")
+                                  F.lit(EXPORT_TYPE).alias("type"), format_size("bytes").alias("size"), "modified")
 
 
 def checkpoint_info(inventory: DataFrame, root: str) -> DataFrame:
@@ -97,7 +99,7 @@ def checkpoint_info(inventory: DataFrame, root: str) -> DataFrame:
     r = root.rstrip("/") + "/"
     inv = inventory.where(F.col("path").startswith(r)).withColumn(
         "name", F.regexp_extract(F.substring("path", len(r) + 1, 1 << 20), r"^([^/]+)/", 1))
-    g = inv.where(F.col("name").startswith("checkpoint-")).groupBy("name").agg(F.max("modificationTime").alias("modified"))
+    g = inv.where(F.col("name").startswith(CHECKPOINT_PREFIX)).groupBy("name").agg(F.max("modificationTime").alias("modified"))
     return g.select("name", F.element_at(F.split("name", "-", -1), -1).alias("step"),
                     F.concat(F.lit(r), F.col("name")).alias("path"), "modified")
 
@@ -105,8 +107,10 @@ def checkpoint_info(inventory: DataFrame, root: str) -> DataFrame:
 def valid_model_dirs(inventory: DataFrame) -> DataFrame:
     """Folders holding ``config.json`` and a ``*.safetensors`` or ``*.bin`` file directly."""
     f = _in_dir(inventory)
-    g = f.groupBy("dir").agg(F.bool_or(F.col("name") == "config.json").alias("cfg"),
-                             F.bool_or(F.col("name").endswith(".safetensors") | F.col("name").endswith(".bin")).alias("w"))
+    weights = F.lit(False)
+    for suf in WEIGHT_SUFFIXES:
+        weights = weights | F.col("name").endswith(suf)
+    g = f.groupBy("dir").agg(F.bool_or(F.col("name") == CONFIG_FILE).alias("cfg"), F.bool_or(weights).alias("w"))
     return g.where(F.col("cfg") & F.col("w")).select("dir")
 
 
@@ -126,8 +130,6 @@ def merge_settings_shallow(defaults: DataFrame, overrides: DataFrame, key: str =
     return kept.select(key, "path", "value").unionByName(overrides.select(key, "path", "value"))
 
 
-# Characters a project name may not contain.
-INVALID_NAME_CHARS = ["/", "\\", ":", "*", "?", '"', "<", ">", "|", "\0"]
 
 
 def valid_name(name) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from ..fixed import (DEFAULT_STORE, MSG_IMPORTED, MSG_MERGED, MSG_NAME_TAKEN, MSG_NEED_NAME, MSG_NEED_TWO,
+                     MSG_NEW_STORE, MSG_SKIPPED)
+from ..functions.text import fill
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import strict_json
 from .store import append_chunks
 
-DEFAULT_STORE = "wissensbasis"  # fixed value: name of the default store
 
 
 def metadata_or_empty(col) -> "F.Column":
@@ -43,9 +46,8 @@ def import_counts(target: DataFrame, source: DataFrame) -> DataFrame:
     names = target.select("filename").distinct().withColumn("_dup", F.lit(True))
     c = source.join(names, "filename", "left").agg(
         F.count_if(F.col("_dup").isNull()).alias("imported"), F.count_if(F.col("_dup")).alias("skipped"))
-    msg = F.concat(F.lit("Successfully imported "), F.col("imported").cast("string"), F.lit(" chunks"),
-                   F.when(F.col("skipped") > 0, F.concat(F.lit(" (skipped "), F.col("skipped").cast("string"),
-                                                         F.lit(" duplicate chunks)"))).otherwise(F.lit("")))
+    msg = F.concat(fill(MSG_IMPORTED, "imported"),
+                   F.when(F.col("skipped") > 0, fill(MSG_SKIPPED, "skipped")).otherwise(F.lit("")))
     return c.withColumn("message", msg)
 
 
@@ -59,8 +61,7 @@ def merge_stores(stores: DataFrame) -> DataFrame:
 
 def merge_totals(merged: DataFrame) -> DataFrame:
     t = merged.agg(F.count_distinct("filename").alias("documents"), F.count(F.lit(1)).alias("chunks"))
-    return t.withColumn("message", F.concat(F.lit("Successfully merged "), F.col("documents").cast("string"),
-                                            F.lit(" documents ("), F.col("chunks").cast("string"), F.lit(" chunks)")))
+    return t.withColumn("message", fill(MSG_MERGED, "documents", "chunks"))
 
 
 def merge_dedup_content(stores: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def store_catalogue(stores: DataFrame) -> DataFrame:
 def missing_stores(requested: DataFrame, registry: DataFrame) -> DataFrame:
     """M9: requested names that are not registered. Fewer than two requests is an error."""
     if requested.limit(2).count() < 2:
-        raise ValueError("Please select at least 2 databases to merge")
+        raise ValueError(MSG_NEED_TWO)
     return requested.join(registry.select("store"), "store", "left_anti")
 
 
@@ -109,15 +110,13 @@ def import_as_new_store(stores: DataFrame, registry: DataFrame, source: str, nam
     name = (name or "").strip()
     taken = name == "" or not registry.where(F.col("store") == name).isEmpty() or name == DEFAULT_STORE
     if taken:
-        msg = "Error: Please provide a name for the imported database" if name == "" else \
-            f"Error: Database '{name}' already exists"
+        msg = MSG_NEED_NAME if name == "" else MSG_NAME_TAKEN.format(name)
         rep = spark.createDataFrame([(name, False, msg, 0, 0)],
                                     "store string, ok boolean, message string, documents long, chunks long")
         return stores, rep
     copy = stores.where(F.col("store") == source).withColumn("store", F.lit(name))
     d = copy.agg(F.count_distinct("filename").alias("documents"), F.count(F.lit(1)).alias("chunks"))
     rep = d.select(F.lit(name).alias("store"), F.lit(True).alias("ok"),
-                   F.concat(F.lit(f"Success: Database '{name}' imported!\n\nDocuments: "), F.col("documents").cast("string"),
-                            F.lit("\nChunks: "), F.col("chunks").cast("string")).alias("message"),
+                   fill(MSG_NEW_STORE, F.lit(name), "documents", "chunks").alias("message"),
                    "documents", "chunks")
     return stores.unionByName(copy), rep

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from ..fixed import (CHUNK_PLACEHOLDER, CLOUD_PROVIDER, DEFAULT_SYSTEM_PROMPT, DEFAULT_TOPIC_PROMPT,  # noqa: F401
+                     ELLIPSIS, ERROR_LINE, FENCE, FENCE_JSON, INSTRUCTION_FORMAT, JSON_FORMAT_REQUEST, MAX_TOKENS,
+                     MISSING, MSG_MIN_SAMPLES, MSG_NONE_SELECTED, MSG_TOO_MANY, PREVIEW_OUTPUT_CHARS, PREVIEW_SAMPLES,
+                     SFT_MAX_TOKENS, STATUS_BAD_KEY, STATUS_BODY_CHARS, STATUS_CLOUD_OK, STATUS_LOCAL_OK,
+                     STATUS_NO_CREDIT, STATUS_NO_MODEL, STATUS_OTHER, STYLE_LINE, STYLES, WRAP_INSTRUCTION)
+
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,37 +16,15 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import has_key, is_object, object_keys, strict_json, text_of
 from ..functions.ordering import with_row_index
-from ..functions.text import col_, let, ustrip
-
-# Q&A styles and their instructions.
-STYLES = {
-    "Factual Q&A": "Generate factual questions and accurate answers based on the content.",
-    "Conversational": "Generate natural conversational exchanges like a helpful tutor.",
-    "Socratic": "Generate Socratic-style questions that lead to deeper understanding.",
-    "Problem-Solving": "Generate problem-based questions with step-by-step solutions.",
-    "Multiple Choice": "Generate multiple choice questions with correct answers and explanations.",
-}
-# Fixed value: the reply format requested at the end of the system prompt.
-JSON_FORMAT_REQUEST = ('Return response in JSON format:\n'
-                       '{"instruction": "the question or instruction", "output": "the response or answer"}')
-# Default prompts of the generator.
-DEFAULT_SYSTEM_PROMPT = (
-    "You are an expert educator creating training data for an AI assistant.\n"
-    "Generate realistic and educational question-answer pairs.\n"
-    "Always respond with valid JSON in this exact format:\n"
-    '{"instruction": "the question", "output": "the detailed answer"}')
-DEFAULT_TOPIC_PROMPT = (
-    "Generate 1 educational question-answer pair about {topic}.\n"
-    "Respond ONLY with JSON in this format:\n"
-    '{"instruction": "question here", "output": "detailed answer here"}')
-MAX_TOKENS = 500
+from ..functions.text import col_, fill, let, ustrip
+
 
 
 def select_by_ids(view: DataFrame, selection: DataFrame) -> DataFrame:
     """chunks whose id is flagged in ``selection`` (``id, select``); none flagged is an error."""
     flagged = selection.where("select").select("id")
     if flagged.isEmpty():
-        raise ValueError("No chunks selected. Please select at least one chunk.")
+        raise ValueError(MSG_NONE_SELECTED)
     return view.join(flagged, "id", "left_semi")
 
 
@@ -49,9 +33,9 @@ def even_sample(rows: DataFrame, k: int, order: str = "id") -> DataFrame:
     ``k < 1`` or ``k > n`` is an error; the ordinal is distributed (range partitioned)."""
     n = rows.count()
     if k < 1:
-        raise ValueError("Number of samples must be at least 1")
+        raise ValueError(MSG_MIN_SAMPLES)
     if k > n:
-        raise ValueError(f"Cannot generate {k} samples from {n} chunks")
+        raise ValueError(MSG_TOO_MANY.format(k, n))
     step = max(1, n // k)
     r = with_row_index(rows, [order], "_r")
     return r.where((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < k)).withColumnRenamed("_r", "sample_no")
@@ -65,11 +49,11 @@ def style_instruction(style) -> Column:
 
 def system_prompt(base, style) -> Column:
     """base prompt, the style line, its instruction and the JSON format request."""
-    return F.concat(col_(base), F.lit("\n\nStyle: "), col_(style), F.lit("\n"), style_instruction(style),
+    return F.concat(col_(base), F.lit(STYLE_LINE), col_(style), F.lit("\n"), style_instruction(style),
                     F.lit("\n\n" + JSON_FORMAT_REQUEST))
 
 
-def render_prompt(template, value, placeholder: str = "{chunk}") -> Column:
+def render_prompt(template, value, placeholder: str = CHUNK_PLACEHOLDER) -> Column:
     """every ``placeholder`` in the template replaced by the value (plain text, not regex)."""
     return F.replace(col_(template), F.lit(placeholder), col_(value))
 
@@ -174,10 +158,10 @@ def parse_reply_strict(reply) -> Column:
     dropped; valid JSON without both keys gives null without trying the fallbacks."""
     c = col_(reply)
     whole = strict_json(c)
-    p = F.locate("```json", c)
-    start = p + 7
+    p = F.locate(FENCE_JSON, c)
+    start = p + len(FENCE_JSON)
     rest = c.substr(start, F.length(c) + 1)
-    e = F.instr(rest, "```")
+    e = F.instr(rest, FENCE)
     fenced = ustrip(F.when(e > 0, rest.substr(F.lit(1), e - 1)).otherwise(c.substr(start, F.length(c) - start)))
     lb = F.locate("{", c)
     rb = F.length(c) - F.locate("}", F.reverse(c)) + 1
@@ -196,7 +180,7 @@ def parse_reply_or_wrap(reply, source) -> Column:
     def body(v):
         def with_keys(keys):
             keep = is_object(v) & has_key(v, "instruction", keys) & has_key(v, "output", keys)
-            wrapped = F.struct(F.concat(F.lit("Question based on "), col_(source)).alias("instruction"),
+            wrapped = F.struct(fill(WRAP_INSTRUCTION, source).alias("instruction"),
                                c.alias("output"), F.lit(2).alias("n_keys"))
             kept = F.struct(text_of(v, "instruction").alias("instruction"), text_of(v, "output").alias("output"),
                             F.size(keys).alias("n_keys"))
@@ -212,7 +196,7 @@ def generation_summary(results: DataFrame, index: str = "request_no", top_errors
     (``Sample i: <text>``) in request order. The error list is a bounded top-k, never all errors."""
     counts = results.agg(F.count_if(F.col("sample").isNotNull()).alias("samples"),
                          F.count_if(F.col("error").isNotNull()).alias("errors"))
-    line = F.concat(F.lit("Sample "), F.col(index).cast("string"), F.lit(": "), F.col("error"))
+    line = fill(ERROR_LINE, index, "error")
     first = (results.where(F.col("error").isNotNull()).orderBy(index).limit(top_errors)
              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), line.alias("l")))),
                                            lambda x: x["l"]), "\n").alias("first_errors")))
@@ -231,37 +215,36 @@ def reply_content(provider, status, body) -> Column:
             .when(F.get_json_object(b, "$.choices[0]").isNull(), F.lit(None))
             .otherwise(F.coalesce(F.get_json_object(b, "$.choices[0].message.content"), F.lit(""))))
     gen = F.coalesce(F.get_json_object(b, "$.response"), F.lit(""))
-    return F.when(col_(status) != 200, F.lit(None)).when(col_(provider) == "openrouter", chat).otherwise(gen)
+    return F.when(col_(status) != 200, F.lit(None)).when(col_(provider) == CLOUD_PROVIDER, chat).otherwise(gen)
 
 
 def classify_status(provider, status, body, model) -> Column:
     """connection-test outcome text per provider and status; body cut to 100 characters."""
     s, p = col_(status), col_(provider)
-    other = F.concat(F.lit("L Error "), s.cast("string"), F.lit(": "), F.substring(col_(body), 1, 100))
-    cloud = (F.when(s == 200, F.lit(" OpenRouter connection successful"))
-             .when(s == 401, F.lit("L Invalid API key")).when(s == 402, F.lit("L Insufficient credits")).otherwise(other))
-    local = (F.when(s == 200, F.lit(" Ollama connection successful"))
-             .when(s == 404, F.concat(F.lit("L Model '"), col_(model), F.lit("' not found. Run: ollama pull "), col_(model)))
-             .otherwise(other))
-    return F.when(p == "openrouter", cloud).otherwise(local)
+    other = fill(STATUS_OTHER, s, F.substring(col_(body), 1, STATUS_BODY_CHARS))
+    cloud = (F.when(s == 200, F.lit(STATUS_CLOUD_OK))
+             .when(s == 401, F.lit(STATUS_BAD_KEY)).when(s == 402, F.lit(STATUS_NO_CREDIT)).otherwise(other))
+    local = (F.when(s == 200, F.lit(STATUS_LOCAL_OK)).when(s == 404, fill(STATUS_NO_MODEL, model)).otherwise(other))
+    return F.when(p == CLOUD_PROVIDER, cloud).otherwise(local)
 
 
-def preview_samples(samples: DataFrame, order: str = "line_no", k: int = 5) -> DataFrame:
+def preview_samples(samples: DataFrame, order: str = "line_no", k: int = PREVIEW_SAMPLES) -> DataFrame:
     """total and the first ``k`` samples; output cut to 200 characters plus ``...`` always;
     missing fields -> ``N/A``."""
     total = samples.select(F.count(F.lit(1))).scalar()
     first = samples.orderBy(order).limit(k)
-    return first.select(order, F.coalesce("instruction", F.lit("N/A")).alias("instruction"),
-                        F.concat(F.substring(F.coalesce("output", F.lit("N/A")), 1, 200), F.lit("...")).alias("output_preview"),
+    return first.select(order, F.coalesce("instruction", F.lit(MISSING)).alias("instruction"),
+                        F.concat(F.substring(F.coalesce("output", F.lit(MISSING)), 1, PREVIEW_OUTPUT_CHARS),
+                                 F.lit(ELLIPSIS)).alias("output_preview"),
                         total.alias("total"))
 
 
 def format_instruction(instruction, output) -> Column:
     """F16: ``### Instruction:\\n…\\n\\n### Response:\\n…``."""
-    return F.concat(F.lit("### Instruction:\n"), col_(instruction), F.lit("\n\n### Response:\n"), col_(output))
+    return fill(INSTRUCTION_FORMAT, instruction, output)
 
 
-def truncate_tokens(text, n: int = 512, tokenizer: Callable[[Column], Column] | None = None) -> Column:
+def truncate_tokens(text, n: int = SFT_MAX_TOKENS, tokenizer: Callable[[Column], Column] | None = None) -> Column:
     """token list cut to ``n``; default tokenizer splits at white space."""
     from ..functions.text import WS_CLASS
 

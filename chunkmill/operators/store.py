@@ -6,11 +6,13 @@ metadata STRING, created_at TIMESTAMP``; it lives as Parquet (see ``sources.stor
 
 from __future__ import annotations
 
+from ..fixed import MSG_ALREADY, MSG_EMPTY, MSG_NO_TEXT, MSG_PROCESSED, UPLOAD_STATUS
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import with_row_index
-from ..functions.text import has_text
+from ..functions.text import fill, has_text
 from .chunking import chunk_with, encode_metadata, explode_chunks
 
 STORE_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
@@ -81,8 +83,8 @@ def chunk_view(store: DataFrame) -> DataFrame:
 def validate_text(files: DataFrame, text: str = "text", filename: str = "filename") -> DataFrame:
     """``valid`` flag and failure ``message`` per file (null/empty text, then blank text)."""
     t = F.col(text)
-    msg = (F.when(t.isNull() | (F.length(t) == 0), F.concat(F.lit("Could not extract text from "), F.col(filename)))
-           .when(~has_text(t), F.concat(F.lit("File "), F.col(filename), F.lit(" is empty"))))
+    msg = (F.when(t.isNull() | (F.length(t) == 0), fill(MSG_NO_TEXT, filename))
+           .when(~has_text(t), fill(MSG_EMPTY, filename)))
     return files.withColumn("message", msg).withColumn("valid", F.col("message").isNull())
 
 
@@ -110,10 +112,8 @@ def ingest(files: DataFrame, store: DataFrame, overwrite: bool = False, splitter
     counts = chunked.select("input_order", F.size("chunks").alias("chunks"))
     detail_valid = (flagged.join(counts, "input_order", "left").select(
         "input_order", "filename", F.col("_ok").alias("success"),
-        F.when(F.col("_ok"), F.concat(F.lit("Successfully processed "), F.col("filename"), F.lit(": "),
-                                      F.col("chunks").cast("string"), F.lit(" chunks")))
-        .otherwise(F.concat(F.lit("File "), F.col("filename"),
-                            F.lit(" already processed (use overwrite=True to reprocess)"))).alias("message"),
+        F.when(F.col("_ok"), fill(MSG_PROCESSED, "filename", "chunks"))
+        .otherwise(fill(MSG_ALREADY, "filename")).alias("message"),
         F.when(F.col("_ok"), F.col("chunks")).otherwise(F.lit(0)).cast("int").alias("chunks")))
     detail_bad = v.where(~F.col("valid")).select("input_order", "filename", F.lit(False).alias("success"), "message",
                                                  F.lit(0).alias("chunks"))
@@ -141,8 +141,8 @@ def upload_status(uploads: DataFrame, details: DataFrame) -> DataFrame:
     first = details.groupBy("filename").agg(F.min(F.struct("input_order", "success", "chunks")).alias("d"))
     j = uploads.join(first, uploads["name"] == first["filename"], "left")
     return j.select("upload_order", "name", "path",
-                    F.when(F.col("d").isNull(), F.lit("Uploaded"))
-                    .when(F.col("d.success"), F.lit("Processed")).otherwise(F.lit("Failed")).alias("status"),
+                    F.when(F.col("d").isNull(), F.lit(UPLOAD_STATUS[0]))
+                    .when(F.col("d.success"), F.lit(UPLOAD_STATUS[1])).otherwise(F.lit(UPLOAD_STATUS[2])).alias("status"),
                     F.coalesce(F.col("d.chunks"), F.lit(0)).cast("int").alias("chunks"))
 
 

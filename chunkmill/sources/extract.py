@@ -6,17 +6,14 @@ that an upstream reader produced.
 
 from __future__ import annotations
 
+from ..fixed import FIELD_SEPARATOR, LOADERS, SHEET_HEADER
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import (LINE_BREAK, col_, drop_replacement_chars, has_text, let, normalize_newlines,
                               ustrip)
 
-# Supported suffixes and the loader each one selects.
-LOADERS = {
-    ".txt": "text", ".md": "text", ".pdf": "pdf", ".docx": "docx", ".html": "html", ".htm": "html",
-    ".ipynb": "notebook", ".csv": "csv", ".xlsx": "excel", ".json": "json",
-}
 
 
 def suffix(path) -> Column:
@@ -142,7 +139,7 @@ def notebook_to_text(nb_json) -> Column:
 
 def record_line(fields) -> Column:
     """S5/S6 row text: fields (nulls as ``""``) joined by `` | ``."""
-    return F.array_join(F.transform(col_(fields), lambda x: F.coalesce(x, F.lit(""))), " | ")
+    return F.array_join(F.transform(col_(fields), lambda x: F.coalesce(x, F.lit(""))), FIELD_SEPARATOR)
 
 
 def ordered_join(df: DataFrame, key: list[str], order: str, text: str, sep: str, out: str = "text") -> DataFrame:
@@ -173,7 +170,7 @@ def sheet_rows_to_text(rows: DataFrame, workbook: str = "workbook", sheet_no: st
     r = rows.where(F.exists(cells, lambda x: x.isNotNull())).withColumn("_line", record_line(cells))
     per_sheet = (rows.select(workbook, sheet_no, sheet).distinct()
                  .join(ordered_join(r, [workbook, sheet_no], row_no, "_line", "\n", "_rows"), [workbook, sheet_no], "left"))
-    block = F.concat(F.lit("Sheet: "), F.col(sheet), F.lit("\n"),
+    block = F.concat(F.lit(SHEET_HEADER), F.col(sheet), F.lit("\n"),
                      F.when(F.col("_rows").isNotNull(), F.concat(F.col("_rows"), F.lit("\n"))).otherwise(F.lit("")))
     return ordered_join(per_sheet.withColumn("_block", block), [workbook], sheet_no, "_block", "\n")
 
