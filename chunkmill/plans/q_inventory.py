@@ -27,7 +27,7 @@ FROM part WHERE p_type = 'PROMO'"""
 
 def inventory(spark, sf):
     p = table(spark, sf, "part")
-    t0 = F.lit("2024-01-01").cast("timestamp")
+    t0 = F.lit("2024-01-01").cast("timestamp_ntz")  # naive, like the SQL twin: no session time zone
     mins = lambda c: t0 + F.make_interval(mins=c.cast("int"))
     a = p.select(F.concat(F.lit("exports/"), "p_brand", F.lit("/shards/"), F.col("p_partkey").cast("string"), F.lit(".safetensors")).alias("path"),
                  (F.col("p_size") * 1000 + F.col("p_partkey")).cast("long").alias("length"), mins(F.col("p_partkey")).alias("modificationTime"))
