@@ -39,8 +39,31 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "text", "lang", "source")
 
 
-def chunk_store(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """Store rows ``id, filename, chunk_index, chunk_text, metadata, created_at``."""
+_MATERIALIZED: dict = {}
+
+
+def chunk_store(spark: SparkSession, sf_dir: str, which: str, materialize: bool = True) -> DataFrame:
+    """Store rows ``id, filename, chunk_index, chunk_text, metadata, created_at``.
+
+    Stores are tables: the first use in an application writes the derived store to the shared
+    scratch folder (clustered by filename) and later uses scan it, as store operators scan stored
+    stores in production. ``materialize=False`` returns the derivation itself."""
+    if not materialize:
+        return _derive_store(spark, sf_dir, which)
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        from ..session import range_partitions, scratch_path
+
+        df = _derive_store(spark, sf_dir, which)
+        path = scratch_path(spark, f"store-{which}")
+        (df.repartitionByRange(range_partitions(df), "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
+         .write.mode("overwrite").parquet(path))
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
+def _derive_store(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     langs, size, overlap = STORES[which]
     d = doc_files(spark, sf_dir)
     if langs is not None:
