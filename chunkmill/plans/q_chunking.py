@@ -127,10 +127,54 @@ def percentile_breakpoints(spark, sf):
         F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)).alias("is_break"))
 
 
-@query("chunk_semantic", "C7")
+SEMANTIC_SQL = f"""
+WITH s AS (
+  SELECT doc_id, string_split(regexp_replace(text, '([.?!]){WS}+', '\\1' || {MARK}, 'g'), {MARK}) AS s FROM documents),
+b AS (
+  SELECT doc_id, s, len(s) AS n,
+         list_transform(s, lambda x: list_transform(
+             list_filter(string_split_regex(lower(x), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''),
+             lambda w: CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64)) AS bk
+  FROM s),
+c AS (
+  SELECT doc_id, s, n,
+         list_transform(range(1, n + 1), lambda i: list_transform(range(0, 64), lambda k:
+             CAST(len(list_filter(flatten(bk[greatest(i - 1, 1):least(i + 1, n)]), lambda x: x = k)) AS DOUBLE))) AS cnt
+  FROM b),
+u AS (
+  SELECT doc_id, s, n,
+         list_transform(cnt, lambda v: CASE WHEN sqrt(list_dot_product(v, v)) > 0
+                                            THEN list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))
+                                            ELSE list_transform(v, lambda x: 0.0) END) AS u
+  FROM c),
+d AS (
+  SELECT doc_id, s, n,
+         list_transform(range(1, n), lambda i: round(1.0 - CASE
+             WHEN sqrt(list_dot_product(u[i], u[i])) > 0 AND sqrt(list_dot_product(u[i + 1], u[i + 1])) > 0
+             THEN list_dot_product(u[i], u[i + 1]) / (sqrt(list_dot_product(u[i], u[i])) * sqrt(list_dot_product(u[i + 1], u[i + 1])))
+             ELSE 0.0 END, 9)) AS dist
+  FROM u),
+t AS (
+  SELECT doc_id, s, n, dist, srt, m, 0.5 * (m - 1) AS pos, CAST(floor(0.5 * (m - 1)) AS BIGINT) AS lo
+  FROM (SELECT *, list_sort(dist) AS srt, len(dist) AS m FROM d)),
+k AS (
+  SELECT doc_id, s, n,
+         list_filter(range(0, n - 1), lambda i: dist[i + 1] > srt[lo + 1] + (pos - lo) * (srt[least(lo + 2, m)] - srt[lo + 1])) AS brk
+  FROM t),
+g AS (
+  SELECT doc_id, CASE WHEN n <= 1 THEN s ELSE list_transform(range(0, len(brk) + 1), lambda j: array_to_string(
+             s[(CASE WHEN j = 0 THEN 0 ELSE brk[j] + 1 END) + 1 : (CASE WHEN j < len(brk) THEN brk[j + 1] ELSE n - 1 END) + 1], ' '))
+         END AS chunks
+  FROM k)
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, CAST(i - 1 AS INTEGER) AS chunk_index,
+       CAST(len(chunks) AS INTEGER) AS total_chunks, chunks[i] AS chunk_text
+FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS i FROM g)"""
+
+
+@query("chunk_semantic", "C7", SEMANTIC_SQL)
 def chunk_semantic(spark, sf):
-    """Semantic splitting with the built-in hashed embedder; checked in the tests against a
-    plain-Python version of the same steps."""
+    """Semantic splitting with the built-in hashed embedder (also checked in the tests against a
+    plain-Python version of the same steps)."""
     d = doc_files(spark, sf).withColumn("chunks", semantic_chunks(F.col("text")))
     return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
 
