@@ -9,6 +9,8 @@ from ..operators.chunking import (
     recursive_chunks, semantic_chunks, split_sentences, window_chunks, cosine_distance, token_buckets, bucket_counts,
 )
 from ..operators.grouped import grouped_percentile, ordinal_lag
+from ..fixed import DEFAULT_SEPARATORS
+from .duck_recursive import chunk_rows_sql
 from .fixtures import FIXED_TIME, doc_files, strip_sql, table
 from .registry import query
 
@@ -51,15 +53,15 @@ def chunk_window(spark, sf):
     return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
 
 
-@query("chunk_recursive", "C1")
+@query("chunk_recursive", "C1", chunk_rows_sql(DEFAULT_SIZE, DEFAULT_OVERLAP, DEFAULT_SEPARATORS))
 def chunk_recursive(spark, sf):
-    """Recursive splitter on every document (defaults 512 / 50). No SQL twin: checked in the
-    tests against a brute-force splitter on the small tables."""
+    """Recursive splitter on every document (defaults 512 / 50); also checked in the tests against
+    a brute-force splitter."""
     d = doc_files(spark, sf).withColumn("chunks", recursive_chunks("text", DEFAULT_SIZE, DEFAULT_OVERLAP))
     return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
 
 
-@query("chunk_recursive_ui", "C1 (UI defaults 1000 / 100)")
+@query("chunk_recursive_ui", "C1 (UI defaults 1000 / 100)", chunk_rows_sql(1000, 100, DEFAULT_SEPARATORS))
 def chunk_recursive_ui(spark, sf):
     d = doc_files(spark, sf).withColumn("chunks", recursive_chunks("text", 1000, 100))
     return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
