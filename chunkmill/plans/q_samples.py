@@ -107,7 +107,23 @@ def q_flat(spark, sf):
     return p.select("id", flat_request(F.lit(MODEL), F.col("system_prompt"), F.col("user_prompt"), F.lit(0.7)).alias("request"))
 
 
-@query("generate_responses", "F9")
+EVEN_SQL = f"""
+WITH v AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS r FROM ({PROMPTS_SQL})), n AS (SELECT count(*) AS n FROM v)
+SELECT v.* FROM v, n WHERE r % greatest(1, n // 100) = 0 AND r // greatest(1, n // 100) < 100"""
+GEN_SQL = f"""
+SELECT id, CASE kind WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
+                     WHEN 2 THEN 'Sure! Here it is: ' || body || ' Hope it helps.' ELSE head END AS reply,
+       CAST(NULL AS VARCHAR) AS error, 1 AS attempts
+FROM (SELECT id, head, kind,
+             '{{"instruction": "' || replace('What does this passage say about ' || array_to_string(list_slice(w, -3, -1), ' ') || '?', '"', chr(39))
+             || '", "output": "' || head || '"}}' AS body
+      FROM (SELECT id, w, replace(array_to_string(list_slice(w, -12, -1), ' '), '"', chr(39)) AS head,
+                   list_sum(list_transform(string_split(right(prompt, 40), ''), lambda ch: unicode(ch))) % 4 AS kind
+            FROM (SELECT id, prompt, list_filter(string_split_regex(prompt, '{WS}+'), lambda x: x <> '') AS w
+                  FROM (SELECT id, system_prompt || chr(10) || chr(10) || user_prompt AS prompt FROM ({EVEN_SQL})))))"""
+
+
+@query("generate_responses", "F9", GEN_SQL)
 def q_generate(spark, sf):
     """Even sample of 100 chunks -> prompts -> the offline generator on Arrow batches (5 at once)."""
     p = _prompts(spark, sf)
