@@ -15,7 +15,7 @@ from ..operators.store import empty_store, ingest, ingest_summary
 from ..session import spread
 from ..sources.extract import (csv_records_to_text, flatten_json_to_text, html_to_text, notebook_to_text,
                                plain_text, route_by_extension, suffix)
-from ..sources.store_io import read_store, write_store
+from ..sources.store_io import read_store, store_exists, write_store
 
 
 def _norm_path(c):
@@ -58,17 +58,9 @@ def process_documents(spark: SparkSession, path: str, store_root: str | None = N
     """Process every file under ``path`` into the store at ``store_root`` (a new version is
     published when given). Returns ``(details, summary)``; ``details`` has one row per file."""
     files = extract_files(spark, path)
-    store = read_store(spark, store_root) if store_root and _exists(spark, store_root) else empty_store(spark)
+    store = read_store(spark, store_root) if store_root and store_exists(spark, store_root) else empty_store(spark)
     details, new_store = ingest(files, store, overwrite=overwrite, splitter=splitter, build_store=bool(store_root),
                                 **split_kw)
     if store_root:
         write_store(new_store, store_root)
     return details, ingest_summary(details)
-
-
-def _exists(spark: SparkSession, root: str) -> bool:
-    try:
-        spark.read.text(f"{root.rstrip('/')}/_CURRENT").limit(1).collect()
-        return True
-    except Exception:  # noqa: BLE001 - no store yet
-        return False

@@ -1,7 +1,7 @@
 """Chunk-store storage and the JSON / JSONL / text sinks.
 
-A store is a Parquet table. Updates never overwrite the folder being read: each version is a
-new folder and a small pointer file names the current one (publish = one small write).
+A store is a Parquet table. Updates never overwrite the folder being read: each version is a new
+folder, and the newest folder with a commit marker is the current one.
 """
 
 from __future__ import annotations
@@ -20,32 +20,43 @@ STORE_READ_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata",
 
 # ---------------------------------------------------------------------------------------------- store
 
-def _pointer(spark: SparkSession, root: str) -> str | None:
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """Newest committed version of a store. Versions are named ``v-<epoch ms>-<id>``; after a
+    version's data job commits, a one-row marker dataset ``committed/<version>`` is written, so a
+    listed version is always complete and no pointer is ever rewritten in place."""
     try:
-        rows = spark.read.text(f"{root.rstrip('/')}/_CURRENT").collect()
-    except Exception:  # noqa: BLE001 - no pointer yet
+        newest = spark.read.text(f"{root.rstrip('/')}/committed/v-*").agg(F.max("value")).first()[0]
+    except Exception:  # noqa: BLE001 - no version yet
         return None
-    return rows[0][0].strip() if rows else None
+    return newest or None
 
 
 def write_store(store: DataFrame, root: str, buckets: int | None = None) -> str:
-    """Write a new version of the store under ``root`` and point ``_CURRENT`` at it.
+    """Write a new version of the store under ``root`` and commit it with its marker.
 
-    Rows are clustered by filename (range partitioned, sorted) so ``WHERE filename = …`` skips
+    Rows are clustered by filename (range partitioned, sorted) so ``WHERE filename = ...`` skips
     files and row groups by min/max statistics, which replaces the original filename index."""
+    import time
+
     spark = store.sparkSession
-    version = f"v-{uuid.uuid4().hex[:12]}"
+    version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
     path = f"{root.rstrip('/')}/{version}"
     n = buckets or range_partitions(store)
     (store.repartitionByRange(n, "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
      .write.mode("errorifexists").parquet(path))
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/_CURRENT")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists").text(
+        f"{root.rstrip('/')}/committed/{version}")
     return path
 
 
+def store_exists(spark: SparkSession, root: str) -> bool:
+    return current_version(spark, root) is not None
+
+
 def read_store(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
-    """The current version of a store (column subset pushed into the Parquet scan)."""
-    version = _pointer(spark, root)
+    """The newest committed version of a store (column subset pushed into the Parquet scan);
+    a plain Parquet folder without versions is read as it is."""
+    version = current_version(spark, root)
     path = f"{root.rstrip('/')}/{version}" if version else root
     df = spark.read.parquet(path)
     return df.select(*(columns or STORE_READ_COLUMNS))
