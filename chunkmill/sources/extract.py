@@ -7,6 +7,7 @@ that an upstream reader produced.
 from __future__ import annotations
 
 from ..fixed import FIELD_SEPARATOR, LOADERS, SHEET_HEADER
+from ..session import cut_lineage
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -236,7 +237,9 @@ def flatten_json_lines(df: DataFrame, key: str, json_col: str, max_depth: int =
         key, "_opath", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line"))
     level = root.where(_kind(F.col("_v")) != "scalar").select(key, "_opath", "_name", "_raw", _kind(F.col("_v")).alias("_k"))
     for _ in range(max_depth):
-        level = level.persist()
+        # each level is checkpointed to the shared folder: the next pass and the final union
+        # read it back instead of recomputing the levels above, also after an executor loss
+        level = cut_lineage(level)
         if level.isEmpty():
             break
         objs = level.where(F.col("_k") == "obj").select(
