@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, range_partitions
+from ..session import cut_lineage, range_partitioned
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition id << 33 | position in partition
 
@@ -22,18 +22,14 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
 
     ``order_cols`` must be a total order (ties are broken arbitrarily). The sorted, tagged frame
     is checkpointed so the counting pass and the numbering pass see the same partitions, also
-    after an executor is lost.
+    after an executor is lost. AQE may merge neighbouring ranges; ids stay ordered because merged
+    partitions keep their range order.
     """
-    n = num_partitions or range_partitions(df)
-    tagged = (
-        df.repartitionByRange(n, *order_cols)
-        .sortWithinPartitions(*order_cols)
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
+    tagged = range_partitioned(df, list(order_cols), num_partitions).withColumn("_mid", F.monotonically_increasing_id())
     tagged = cut_lineage(tagged)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    # at most ``n`` rows: one task is fine here
+    # one row per partition: a proven bound, safe to broadcast
     offsets = counts.select(
         "_pid",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),

@@ -53,12 +53,11 @@ def chunk_store(spark: SparkSession, sf_dir: str, which: str, materialize: bool
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
     path = _MATERIALIZED.get(key)
     if path is None:
-        from ..session import range_partitions, scratch_path
+        from ..session import range_partitioned, scratch_path
 
         df = _derive_store(spark, sf_dir, which)
         path = scratch_path(spark, f"store-{which}")
-        (df.repartitionByRange(range_partitions(df), "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
-         .write.mode("overwrite").parquet(path))
+        range_partitioned(df, ["filename", "chunk_index"]).write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

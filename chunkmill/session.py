@@ -86,11 +86,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def range_partitions(df: DataFrame) -> int:
-    """Partition count for a range-partitioned pass: at least the shuffle setting, and at least as
-    many as the input has splits, so partitions stay split-sized however large the input is."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+def range_partitioned(df: DataFrame, cols: list, num_partitions: int | None = None) -> DataFrame:
+    """Range partition ``df`` on ``cols`` and sort inside partitions. Without an explicit count the
+    shuffle setting applies and AQE may merge neighbouring ranges (order is kept); the count is
+    never derived from ``df.rdd``, which would execute the upstream shuffles just to count."""
+    parted = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    return parted.sortWithinPartitions(*cols)
 
 
 _SHIPPED: dict = {}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import strict_json
 from ..functions.text import has_text, ustrip
-from ..session import range_partitions
+from ..session import range_partitioned
 
 STORE_READ_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
 
@@ -41,9 +41,7 @@ def write_store(store: DataFrame, root: str, buckets: int | None = None) -> str:
     spark = store.sparkSession
     version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
     path = f"{root.rstrip('/')}/{version}"
-    n = buckets or range_partitions(store)
-    (store.repartitionByRange(n, "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
-     .write.mode("errorifexists").parquet(path))
+    range_partitioned(store, ["filename", "chunk_index"], buckets).write.mode("errorifexists").parquet(path)
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists").text(
         f"{root.rstrip('/')}/committed/{version}")
     return path
@@ -80,9 +78,7 @@ def jsonl_lines(store: DataFrame) -> DataFrame:
 def export_jsonl(store: DataFrame, path: str) -> None:
     """One JSON line per chunk, ordered by filename, chunk_index across part files (range
     partitioning), non-ASCII kept. No single-file funnel."""
-    n = range_partitions(store)
-    (jsonl_lines(store).repartitionByRange(n, "filename", "chunk_index").sortWithinPartitions("filename", "chunk_index")
-     .select("line").write.mode("overwrite").text(path))
+    range_partitioned(jsonl_lines(store), ["filename", "chunk_index"]).select("line").write.mode("overwrite").text(path)
 
 
 def json_documents(store: DataFrame) -> DataFrame:
