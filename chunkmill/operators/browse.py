@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.ordering import with_row_index
 from ..functions.text import preview
 
-DEEP_OFFSET = 100_000  # beyond this offset a page is cut from a stored ordinal, not a top-k
 
 
 def page_bounds(total: int, page: int, per_page: int = PAGE_SIZE) -> tuple[int, int, int]:
@@ -25,17 +24,18 @@ def page_bounds(total: int, page: int, per_page: int = PAGE_SIZE) -> tuple[int,
 def page_chunks(store: DataFrame, page: int, per_page: int = PAGE_SIZE) -> DataFrame:
     """B1: one viewer page ``id, filename, chunk_index, preview`` ordered by filename, chunk_index.
 
-    The total is one count; a near page is an ordered ``offset/limit`` (a top-k per partition); a
-    deep page is a range filter on a distributed ordinal, so no task holds ``offset`` rows."""
+    The total is one count (Parquet footers). A stored store carries ``row_no`` (see
+    ``write_store``), so the page is a range filter pushed into the scan. Without it, a narrow
+    projection (preview, not the text) is numbered by a distributed ordinal: a top-k would merge
+    ``offset + per_page`` rows from every partition in one task."""
     total = store.count()
     page, pages, offset = page_bounds(total, page, per_page)
-    order = ["filename", "chunk_index"]
-    if offset <= DEEP_OFFSET:
-        rows = store.orderBy(*order).offset(offset).limit(per_page)
-    else:
-        rows = with_row_index(store, order, "_r").where(
-            (F.col("_r") >= offset) & (F.col("_r") < offset + per_page)).drop("_r")
-    return rows.select("id", "filename", "chunk_index", preview("chunk_text").alias("preview"))
+    narrow = store.select(*(["row_no"] if "row_no" in store.columns else []), "id", "filename", "chunk_index",
+                          preview("chunk_text").alias("preview"))
+    if "row_no" not in store.columns:
+        narrow = with_row_index(narrow, ["filename", "chunk_index"], "row_no")
+    rows = narrow.where((F.col("row_no") >= offset) & (F.col("row_no") < offset + per_page))
+    return rows.orderBy("row_no").select("id", "filename", "chunk_index", "preview")
 
 
 def page_info(store: DataFrame, page: int, per_page: int = PAGE_SIZE) -> DataFrame:

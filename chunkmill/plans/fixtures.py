@@ -53,11 +53,11 @@ def chunk_store(spark: SparkSession, sf_dir: str, which: str, materialize: bool
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
     path = _MATERIALIZED.get(key)
     if path is None:
-        from ..session import range_partitioned, scratch_path
+        from ..session import scratch_path
+        from ..sources.store_io import indexed_store
 
-        df = _derive_store(spark, sf_dir, which)
         path = scratch_path(spark, f"store-{which}")
-        range_partitioned(df, ["filename", "chunk_index"]).write.mode("overwrite").parquet(path)
+        indexed_store(_derive_store(spark, sf_dir, which)).write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import strict_json
 from ..functions.text import has_text, ustrip
+from ..functions.ordering import with_row_index
 from ..session import range_partitioned
 
 STORE_READ_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
@@ -35,18 +36,27 @@ def write_store(store: DataFrame, root: str, buckets: int | None = None) -> str:
     """Write a new version of the store under ``root`` and commit it with its marker.
 
     Rows are clustered by filename (range partitioned, sorted) so ``WHERE filename = ...`` skips
-    files and row groups by min/max statistics, which replaces the original filename index."""
+    files and row groups by min/max statistics, which replaces the original filename index. Each row
+    also gets ``row_no``, its dense position in (filename, chunk_index) order, so any viewer page
+    is a range filter on ``row_no`` that Parquet statistics push down to a row group or two."""
     import time
 
     spark = store.sparkSession
     version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
     path = f"{root.rstrip('/')}/{version}"
-    range_partitioned(store, ["filename", "chunk_index"], buckets).write.mode("errorifexists").parquet(path)
+    indexed_store(store, buckets).write.mode("errorifexists").parquet(path)
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists").text(
         f"{root.rstrip('/')}/committed/{version}")
     return path
 
 
+def indexed_store(store: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The store in (filename, chunk_index) order with a dense ``row_no`` (distributed ordinal: the
+    output stays range partitioned and sorted, ready to be written)."""
+    base = store.drop("row_no") if "row_no" in store.columns else store
+    return with_row_index(base, ["filename", "chunk_index"], "row_no", num_partitions=buckets)
+
+
 def store_exists(spark: SparkSession, root: str) -> bool:
     return current_version(spark, root) is not None
 
