@@ -62,12 +62,12 @@ def store_exists(spark: SparkSession, root: str) -> bool:
 
 
 def read_store(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
-    """The newest committed version of a store (column subset pushed into the Parquet scan);
-    a plain Parquet folder without versions is read as it is."""
+    """The newest committed version of a store: the store columns plus ``row_no``, or the
+    ``columns`` asked for (pruned in the Parquet scan); a plain Parquet folder is read as it is."""
     version = current_version(spark, root)
     path = f"{root.rstrip('/')}/{version}" if version else root
     df = spark.read.parquet(path)
-    return df.select(*(columns or STORE_READ_COLUMNS))
+    return df.select(*columns) if columns else df
 
 
 # ---------------------------------------------------------------------------------------------- exports
