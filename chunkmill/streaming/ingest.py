@@ -19,9 +19,9 @@ def stream_path(path: str) -> str:
     return path
 
 
-def _store_so_far(spark: SparkSession, store_path: str) -> DataFrame | None:
+def _side(spark: SparkSession, store_path: str, name: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(store_path)
+        return spark.read.parquet(f"{store_path.rstrip('/')}/_{name}")
     except Exception:  # noqa: BLE001 - nothing written yet
         return None
 
@@ -30,26 +30,32 @@ def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, splitter: str
                  processed_at: str | None = None, **split_kw) -> None:
     """Process one micro-batch of files ``input_order, filename, text, file_type`` into the store
     folder: names already stored or repeated in the batch are skipped (I2), the rest chunked and
-    appended with new ids (T1). The batch lands in its own ``batch_id=<n>`` folder written with
-    ``overwrite``, so a replayed batch replaces itself instead of appending twice."""
+    appended with new ids (T1).
+
+    Each batch writes three folders keyed by ``batch_id`` with ``overwrite``, so a replayed batch
+    replaces itself instead of appending twice: the chunks, the batch's distinct names and its
+    largest id. Later batches read the two small side tables (names and ids), never the chunks."""
     spark = batch.sparkSession
-    prior = _store_so_far(spark, store_path)
-    if prior is not None:
-        prior = prior.where(F.col("batch_id") != batch_id)
+    root = store_path.rstrip("/")
+    names = _side(spark, root, "names")
+    ids = _side(spark, root, "ids")
     valid = batch.where(F.col("text").isNotNull() & has_text(F.col("text")))
     first = valid.groupBy("filename").agg(F.min("input_order").alias("_first"))
     fresh = valid.join(first, "filename").where(F.col("input_order") == F.col("_first")).drop("_first")
-    if prior is not None:
-        fresh = fresh.join(prior.select("filename").distinct(), "filename", "left_anti")
+    if names is not None:
+        fresh = fresh.join(names.where(F.col("batch_id") != batch_id).select("filename"), "filename", "left_anti")
+    base = 0
+    if ids is not None:
+        base = ids.where(F.col("batch_id") != batch_id).agg(F.coalesce(F.max("max_id"), F.lit(0))).first()[0]
     chunked = chunk_with(fresh, "text", splitter, **split_kw)
     rows = explode_chunks(chunked, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at)
-    base = 0
-    if prior is not None:
-        base = prior.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     numbered = with_row_index(rows, ["filename", "chunk_index"], "_rn", start=base + 1)
     out = numbered.select(F.col("_rn").alias("id"), "filename", "chunk_index", "chunk_text",
                           encode_metadata("metadata").alias("metadata"), F.current_timestamp().alias("created_at"))
-    out.write.mode("overwrite").parquet(f"{store_path.rstrip('/')}/batch_id={batch_id}")
+    out.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+    written = spark.read.parquet(f"{root}/batch_id={batch_id}")
+    written.select("filename").distinct().write.mode("overwrite").parquet(f"{root}/_names/batch_id={batch_id}")
+    written.agg(F.max("id").alias("max_id")).write.mode("overwrite").parquet(f"{root}/_ids/batch_id={batch_id}")
 
 
 def stream_ingest(spark: SparkSession, source_path: str, store_path: str, checkpoint: str | None = None,

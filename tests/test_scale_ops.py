@@ -53,3 +53,29 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert a == b
     ids = sorted(r.id for r in out.collect())
     assert ids == list(range(1, len(ids) + 1))
+
+
+def test_stream_multiple_batches_skip_stored_names(spark, tmp_dir):
+    src = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    d = f"{tmp_dir}/incoming"
+    src.where("doc_id < 80").coalesce(1).write.parquet(f"{d}/a")
+    src.where("doc_id >= 80").coalesce(1).write.parquet(f"{d}/b")
+    # a later file repeats names that are already stored, with different text
+    src.where("doc_id < 20").withColumn("text", F.lit("replacement text")).coalesce(1).write.parquet(f"{d}/c")
+    import glob
+    import os
+    import shutil
+
+    flat = f"{tmp_dir}/flat"
+    os.makedirs(flat)
+    for i, sub in enumerate("abc"):
+        for f in glob.glob(f"{d}/{sub}/*.parquet"):
+            shutil.copy(f, f"{flat}/{i}-{sub}.parquet")
+    out = stream_ingest(spark, flat, f"{tmp_dir}/store", max_files_per_trigger=1, size=512, overlap=50)
+    rows = out.collect()
+    assert len({r.batch_id for r in rows}) >= 2
+    names = [(r.filename, r.chunk_index) for r in rows]
+    assert len(names) == len(set(names))
+    assert not any(r.chunk_text == "replacement text" for r in rows)
+    ids = sorted(r.id for r in rows)
+    assert ids == list(range(1, len(ids) + 1))
