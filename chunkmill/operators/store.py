@@ -121,10 +121,13 @@ def ingest(files: DataFrame, store: DataFrame, overwrite: bool = False, splitter
     if not build_store:
         return details, None
     winners = chunked.where("_insert")
-    rows = explode_chunks(winners, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at)
+    rows = explode_chunks(winners, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at,
+                          keep=["input_order"])
     rows = rows.withColumn("metadata", encode_metadata("metadata"))
     kept = store.join(winners.select("filename"), "filename", "left_anti") if overwrite else store
-    return details, append_chunks(kept, rows, created_at=created_at, ids_from=store)
+    # ids in insertion order: files in input order, chunks in order
+    return details, append_chunks(kept, rows, order=("input_order", "chunk_index"), created_at=created_at,
+                                  ids_from=store)
 
 
 def ingest_summary(details: DataFrame) -> DataFrame:

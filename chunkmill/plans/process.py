@@ -29,7 +29,7 @@ def extract_files(spark: SparkSession, path: str) -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select(_norm_path(F.col("path")).alias("path"), "content"))
     files = spread(files).select(
-        "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), suffix("path").alias("file_type"),
+        "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), suffix("path", lower=False).alias("file_type"),
         route_by_extension("path").alias("loader"), "content")
     raw = F.decode(F.col("content"), "UTF-8")
     text = (F.when(F.col("loader") == "text", plain_text(raw))

@@ -148,7 +148,7 @@ ok AS (SELECT b.input_order AS ord, b.filename, b.text FROM ({BATCH_SQL}) b JOIN
 n AS ({windows_sql("SELECT * FROM ok", 512, 50)})
 SELECT id, filename, chunk_index, chunk_text FROM a
 UNION ALL
-SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY filename, chunk_index), filename, chunk_index, chunk_text FROM n""")
+SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY ord, chunk_index), filename, chunk_index, chunk_text FROM n""")
 def q_ingest_store(spark, sf):
     _, store = _ingest(spark, sf, build_store=True)
     return store.select("id", "filename", "chunk_index", "chunk_text")
@@ -161,7 +161,7 @@ win AS (SELECT input_order AS ord, filename, text FROM
 n AS ({windows_sql("SELECT * FROM win", 512, 50)})
 SELECT id, filename, chunk_index, chunk_text FROM a WHERE filename NOT IN (SELECT filename FROM win)
 UNION ALL
-SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY filename, chunk_index), filename, chunk_index, chunk_text FROM n""")
+SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY ord, chunk_index), filename, chunk_index, chunk_text FROM n""")
 def q_overwrite(spark, sf):
     _, store = _ingest(spark, sf, overwrite=True, build_store=True)
     return store.select("id", "filename", "chunk_index", "chunk_text")

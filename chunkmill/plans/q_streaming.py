@@ -11,7 +11,7 @@ from .registry import query
 
 
 @query("stream_ingest", "X1", f"""
-SELECT row_number() OVER (ORDER BY filename, chunk_index) AS id, filename, chunk_index, chunk_text
+SELECT row_number() OVER (ORDER BY ord, chunk_index) AS id, filename, chunk_index, chunk_text
 FROM ({windows_sql("SELECT doc_id AS ord, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, text FROM documents", 512, 50)})""")
 def q_stream_ingest(spark, sf):
     store = scratch_path(spark, "stream-store")

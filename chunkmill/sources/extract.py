@@ -17,10 +17,12 @@ from ..functions.text import (LINE_BREAK, col_, drop_replacement_chars, has_text
 
 
 
-def suffix(path) -> Column:
-    """Lower-cased suffix of the last path component (``a.tar.gz`` -> ``.gz``; ``.bashrc`` -> ``""``)."""
+def suffix(path, lower: bool = True) -> Column:
+    """Suffix of the last path component (``a.tar.gz`` -> ``.gz``; ``.bashrc`` -> ``""``),
+    lower-cased for routing, as written for the chunk metadata."""
     name = F.regexp_extract(col_(path), r"([^/\\]*)$", 1)
-    return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
+    s = F.regexp_extract(name, r"^.+(\.[^.]+)$", 1)
+    return F.lower(s) if lower else s
 
 
 def route_by_extension(path) -> Column:

@@ -48,8 +48,9 @@ def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, splitter: str
     if ids is not None:
         base = ids.where(F.col("batch_id") != batch_id).agg(F.coalesce(F.max("max_id"), F.lit(0))).first()[0]
     chunked = chunk_with(fresh, "text", splitter, **split_kw)
-    rows = explode_chunks(chunked, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at)
-    numbered = with_row_index(rows, ["filename", "chunk_index"], "_rn", start=base + 1)
+    rows = explode_chunks(chunked, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at,
+                          keep=["input_order"])
+    numbered = with_row_index(rows, ["input_order", "chunk_index"], "_rn", start=base + 1)
     out = numbered.select(F.col("_rn").alias("id"), "filename", "chunk_index", "chunk_text",
                           encode_metadata("metadata").alias("metadata"), F.current_timestamp().alias("created_at"))
     out.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
