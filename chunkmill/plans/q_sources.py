@@ -174,13 +174,11 @@ def q_read_store(spark, sf):
     return read_store(spark, root, ["filename", "chunk_index", "chunk_text"])
 
 
-EXPORT_LINE_SQL = f"""to_json({{'filename': filename, 'chunk_index': chunk_index, 'text': chunk_text,
-  'metadata': {{'chunk_index': chunk_index, 'file_type': '.txt', 'processed_at': '{FIXED_TIME}', 'source': filename,
-                'total_chunks': total_chunks}}}})"""
-C_TOTALS = f"SELECT *, CAST(count(*) OVER (PARTITION BY filename) AS INTEGER) AS total_chunks FROM ({C})"
+EXPORT_LINE_SQL = ("left(CAST(to_json({'filename': filename, 'chunk_index': chunk_index, 'text': chunk_text}) AS VARCHAR), -1)"
+                   " || ',\"metadata\":' || CAST(json(metadata) AS VARCHAR) || '}'")
 
 
-@query("export_jsonl", "S11", f"SELECT {EXPORT_LINE_SQL} AS line FROM ({C_TOTALS})")
+@query("export_jsonl", "S11", f"SELECT {EXPORT_LINE_SQL} AS line FROM ({C})")
 def q_export_jsonl(spark, sf):
     path = scratch_path(spark, "export-jsonl")
     export_jsonl(chunk_store(spark, sf, "C"), path)
@@ -188,10 +186,9 @@ def q_export_jsonl(spark, sf):
 
 
 @query("export_json_nested", "S12", f"""
-SELECT filename, to_json(list({{'chunk_index': chunk_index, 'text': chunk_text,
-  'metadata': {{'chunk_index': chunk_index, 'file_type': '.txt', 'processed_at': '{FIXED_TIME}', 'source': filename,
-                'total_chunks': total_chunks}}}} ORDER BY chunk_index)) AS chunks
-FROM ({C_TOTALS}) GROUP BY filename""")
+SELECT filename, '[' || string_agg(left(CAST(to_json({{'chunk_index': chunk_index, 'text': chunk_text}}) AS VARCHAR), -1)
+       || ',"metadata":' || CAST(json(metadata) AS VARCHAR) || '}}', ',' ORDER BY chunk_index) || ']' AS chunks
+FROM ({C}) GROUP BY filename""")
 def q_export_json(spark, sf):
     return json_documents(chunk_store(spark, sf, "C"))
 

@@ -78,10 +78,25 @@ def metadata_object(meta) -> Column:
     return F.coalesce(F.when(F.length(c) > 0, strict_json(c)), F.parse_json(F.lit("{}")))
 
 
+def metadata_json(meta) -> Column:
+    """Stored metadata as JSON text for export: an object keeps its key order (parsed as
+    ``map<string,variant>``), another JSON value is re-serialised, bad or empty text -> ``{}``."""
+    c = F.col(meta) if isinstance(meta, str) else meta
+    v = metadata_object(c)
+    obj = F.schema_of_variant(v).startswith("OBJECT")
+    return F.when(obj & (F.length(c) > 0), F.to_json(F.from_json(c, "map<string,variant>"))).otherwise(F.to_json(v))
+
+
+def _with_metadata(fields: Column, meta: Column) -> Column:
+    """``{...fields, "metadata": <meta JSON>}`` with the metadata inserted as JSON text."""
+    head = F.to_json(fields)
+    return F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"metadata":'), meta, F.lit("}"))
+
+
 def jsonl_lines(store: DataFrame) -> DataFrame:
     """S11 rows: ``filename, chunk_index, line`` with ``{filename, chunk_index, text, metadata}``."""
-    line = F.to_json(F.struct(F.col("filename"), F.col("chunk_index"), F.col("chunk_text").alias("text"),
-                              metadata_object("metadata").alias("metadata")))
+    line = _with_metadata(F.struct(F.col("filename"), F.col("chunk_index"), F.col("chunk_text").alias("text")),
+                          metadata_json("metadata"))
     return store.select("filename", "chunk_index", line.alias("line"))
 
 
@@ -94,11 +109,10 @@ def export_jsonl(store: DataFrame, path: str) -> None:
 def json_documents(store: DataFrame) -> DataFrame:
     """S12 rows: one per filename with its chunks ``[{chunk_index, text, metadata}]`` in order
     (one document's chunks per row)."""
-    g = store.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("chunk_index"), F.col("chunk_text").alias("text"), F.col("metadata").alias("_m")))).alias("_c"))
-    chunks = F.transform("_c", lambda c: F.struct(c["chunk_index"].alias("chunk_index"), c["text"].alias("text"),
-                                                  metadata_object(c["_m"]).alias("metadata")))
-    return g.select("filename", F.to_json(chunks).alias("chunks"))
+    item = _with_metadata(F.struct(F.col("chunk_index"), F.col("chunk_text").alias("text")), metadata_json("metadata"))
+    g = store.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index"), item.alias("_j")))).alias("_c"))
+    return g.select("filename", F.concat(F.lit("["), F.array_join(F.transform("_c", lambda c: c["_j"]), ","),
+                                         F.lit("]")).alias("chunks"))
 
 
 def json_manifest(store: DataFrame, export_date: str | None = None) -> DataFrame:

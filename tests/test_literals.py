@@ -116,3 +116,16 @@ def test_generator_retries_then_reports(spark):
     ok = generate_responses(df, "prompt", lambda s: s.str.upper(), backoff=0.0).first()
     assert ok.reply == "P" and ok.error is None and ok.attempts == 1
     assert calls["n"] == 0
+
+
+def test_jsonl_lines_keep_metadata_order(spark):
+    from chunkmill.sources.store_io import jsonl_lines
+
+    df = spark.createDataFrame([("a.txt", 0, "tëxt", '{"source": "a.txt", "chunk_index": 0, "file_type": ".txt"}'),
+                                ("b.txt", 0, "x", "not json"), ("c.txt", 1, "y", None)],
+                               "filename string, chunk_index int, chunk_text string, metadata string")
+    got = {r.filename: r.line for r in jsonl_lines(df).collect()}
+    assert got["a.txt"] == ('{"filename":"a.txt","chunk_index":0,"text":"tëxt",'
+                            '"metadata":{"source":"a.txt","chunk_index":0,"file_type":".txt"}}')
+    assert got["b.txt"].endswith('"metadata":{}}') and got["c.txt"].endswith('"metadata":{}}')
+    assert json.loads(got["a.txt"])["metadata"]["file_type"] == ".txt"
