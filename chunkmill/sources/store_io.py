@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import strict_json
-from ..functions.text import has_text, ustrip
+from ..functions.text import has_text, let, ustrip
 from ..functions.ordering import with_row_index
 from ..session import range_partitioned
 
@@ -82,9 +82,13 @@ def metadata_json(meta) -> Column:
     """Stored metadata as JSON text for export: an object keeps its key order (parsed as
     ``map<string,variant>``), another JSON value is re-serialised, bad or empty text -> ``{}``."""
     c = F.col(meta) if isinstance(meta, str) else meta
-    v = metadata_object(c)
-    obj = F.schema_of_variant(v).startswith("OBJECT")
-    return F.when(obj & (F.length(c) > 0), F.to_json(F.from_json(c, "map<string,variant>"))).otherwise(F.to_json(v))
+
+    def render(v):
+        return (F.when(F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)),
+                       F.to_json(F.from_json(c, "map<string,variant>")))
+                .when(v.isNotNull(), F.to_json(v)).otherwise(F.lit("{}")))
+
+    return let(F.when(F.length(c) > 0, strict_json(c)), render)
 
 
 def _with_metadata(fields: Column, meta: Column) -> Column:
