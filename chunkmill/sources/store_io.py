@@ -126,9 +126,24 @@ def json_manifest(store: DataFrame, export_date: str | None = None) -> DataFrame
                      F.count(F.lit(1)).alias("total_chunks"))
 
 
+def single_json(store: DataFrame, export_date: str | None = None) -> DataFrame:
+    """S12, single-object form (opt-in): one row whose ``json`` is ``{export_date, total_documents,
+    total_chunks, documents: {filename: [chunks]}}`` with filenames in order. Everything ends up in
+    one row, so use it only for stores that fit in one; ``export_json`` is the scalable form."""
+    docs = json_documents(store)
+    name = F.to_json(F.struct(F.col("filename").alias("f")))
+    entry = F.concat(name.substr(F.lit(6), F.length(name) - 6), F.lit(":"), F.col("chunks"))
+    body = docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filename", entry.alias("e")))),
+                                             lambda x: x["e"]), ",").alias("d"))
+    head = json_manifest(store, export_date).select(F.to_json(F.struct("export_date", "total_documents", "total_chunks")).alias("h"))
+    h = head.select("h").scalar()
+    return body.select(F.concat(h.substr(F.lit(1), F.length(h) - 1), F.lit(',"documents":{'),
+                                F.coalesce(F.col("d"), F.lit("")), F.lit("}}")).alias("json"))
+
+
 def export_json(store: DataFrame, path: str, export_date: str | None = None) -> None:
     """Per-file JSON rows under ``path/documents`` plus ``path/manifest``. A single nested
-    object holding every document does not scale; ``assemble_single_json`` builds it on request."""
+    object holding every document does not scale; ``single_json`` builds it on request."""
     json_documents(store).write.mode("overwrite").json(f"{path}/documents")
     json_manifest(store, export_date).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 

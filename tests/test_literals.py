@@ -129,3 +129,15 @@ def test_jsonl_lines_keep_metadata_order(spark):
                             '"metadata":{"source":"a.txt","chunk_index":0,"file_type":".txt"}}')
     assert got["b.txt"].endswith('"metadata":{}}') and got["c.txt"].endswith('"metadata":{}}')
     assert json.loads(got["a.txt"])["metadata"]["file_type"] == ".txt"
+
+
+def test_single_json_export(spark):
+    from chunkmill.sources.store_io import single_json
+
+    df = spark.createDataFrame([("b.txt", 1, "y", "{}"), ("b.txt", 0, "x", '{"k": 1}'), ('a"q.txt', 0, "z", None)],
+                               "filename string, chunk_index int, chunk_text string, metadata string")
+    doc = json.loads(single_json(df, "2024-01-01T00:00:00").first().json)
+    assert doc["export_date"] == "2024-01-01T00:00:00" and doc["total_documents"] == 2 and doc["total_chunks"] == 3
+    assert list(doc["documents"]) == ['a"q.txt', "b.txt"]
+    assert doc["documents"]["b.txt"] == [{"chunk_index": 0, "text": "x", "metadata": {"k": 1}},
+                                         {"chunk_index": 1, "text": "y", "metadata": {}}]
