@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.chunking import (
-    DEFAULT_OVERLAP, DEFAULT_SIZE, encode_metadata, explode_chunks, hashed_embedding, paragraph_chunks,
+    DEFAULT_OVERLAP, DEFAULT_SIZE, encode_metadata, explode_chunks, paragraph_chunks,
     recursive_chunks, semantic_chunks, split_sentences, window_chunks, cosine_distance, token_buckets, bucket_counts,
 )
 from ..operators.grouped import grouped_percentile, ordinal_lag

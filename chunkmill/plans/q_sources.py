@@ -12,7 +12,7 @@ from ..sources.extract import (COMMENT, NAMED_ENTITIES, SCRIPT, STYLE, TAG, csv_
 from ..sources.store_io import (build_cpt_corpus, count_nonblank_lines, export_jsonl, json_documents, json_manifest,
                                 load_samples_strict, load_sft_dataset, read_cpt_corpus, read_store, save_samples,
                                 write_store)
-from .fixtures import FIXED_TIME, NON_WS_SQL, chunk_store, store_sql, strip_sql, table
+from .fixtures import NON_WS_SQL, chunk_store, store_sql, strip_sql, table
 from .registry import query
 
 C = store_sql("C")

@@ -12,7 +12,7 @@ from ..session import cut_lineage
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (LINE_BREAK, col_, drop_replacement_chars, has_text, let, normalize_newlines,
+from ..functions.text import (LINE_BREAK, col_, drop_replacement_chars, has_text, normalize_newlines,
                               ustrip)
 
 
