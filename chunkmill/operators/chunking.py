@@ -247,25 +247,43 @@ def sentence_groups(sentences: Column, amount: float = 50.0, dim: int = 64, max_
 
     def with_vectors(s, vecs):
         n = F.size(s)
-        dists = let(vecs, lambda v: F.transform(
-            F.sequence(F.lit(0), n - 2),
-            lambda i: F.round(cosine_distance(F.element_at(v, i + 1), F.element_at(v, i + 2)), digits)))
+
+        def with_norms(v, norms):
+            # the same arithmetic as ``cosine_distance``, with each vector's norm computed once
+            def dist(i):
+                a, b = F.element_at(v, i + 1), F.element_at(v, i + 2)
+                na, nb = F.element_at(norms, i + 1), F.element_at(norms, i + 2)
+                dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+                sim = F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
+                return F.round(F.lit(1.0) - sim, digits)
+
+            return F.transform(F.sequence(F.lit(0), n - 2), dist)
+
+        dists = let(vecs, lambda v: let(
+            F.transform(v, lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y * y))),
+            lambda norms: with_norms(v, norms)))
         return let(dists, lambda d: _groups(s, n, d, amount))
 
     def with_sentences(s):
         n = F.size(s)
         # each sentence embedded with one neighbour per side: the token multiset of the joined text
-        # is the union of the three sentences' tokens, so tokens are hashed once per sentence
-        bks = F.transform(s, lambda x: token_buckets(x, dim))
-
-        def with_buckets(bk):
-            vecs = F.transform(
-                F.sequence(F.lit(0), n - 1),
-                lambda i: unit(bucket_counts(F.flatten(F.slice(bk, F.greatest(i - 1, F.lit(0)) + 1,
-                                                               F.least(i + 1, n - 1) - F.greatest(i - 1, F.lit(0)) + 1)), dim)))
+        # is the union of the three sentences' tokens, so each sentence's counts are computed once
+        # and a window's count vector is the (exact, integer-valued) sum of up to three of them
+        counts = F.transform(s, lambda x: bucket_counts(token_buckets(x, dim), dim))
+
+        def with_counts(cs):
+            zero = F.array_repeat(F.lit(0.0), dim)
+
+            def at(j):
+                return F.when((j >= 0) & (j < n), F.element_at(cs, j + 1)).otherwise(zero)
+
+            def add(a, b):
+                return F.zip_with(a, b, lambda x, y: x + y)
+
+            vecs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: unit(add(add(at(i - 1), at(i)), at(i + 1))))
             return with_vectors(s, vecs)
 
-        return let(bks, with_buckets)
+        return let(counts, with_counts)
 
     if embedder is not None:
         # a Python UDF may not run inside a lambda: embed at top level, then bind the result
