@@ -108,13 +108,14 @@ def ingest(files: DataFrame, store: DataFrame, overwrite: bool = False, splitter
         flagged = (valid.join(best, "filename").join(in_store, "filename", "left")
                    .withColumn("_ok", (order == F.col("_win")) & F.col("_stored").isNull())
                    .withColumn("_insert", F.col("_ok")))
-    chunked = chunk_with(flagged.where("_ok"), "text", splitter, **split_kw)
-    counts = chunked.select("input_order", F.size("chunks").alias("chunks"))
-    detail_valid = (flagged.join(counts, "input_order", "left").select(
+    # one frame carries the verdict and, for accepted files only, the chunks: details and the new
+    # store rows both come from it, so the batch is flagged once
+    chunked = chunk_with(flagged.withColumn("_text", F.when(F.col("_ok"), F.col("text"))), "_text", splitter, **split_kw)
+    chunks = F.when(F.col("_ok"), F.size("chunks"))
+    detail_valid = chunked.select(
         "input_order", "filename", F.col("_ok").alias("success"),
-        F.when(F.col("_ok"), fill(MSG_PROCESSED, "filename", "chunks"))
-        .otherwise(fill(MSG_ALREADY, "filename")).alias("message"),
-        F.when(F.col("_ok"), F.col("chunks")).otherwise(F.lit(0)).cast("int").alias("chunks")))
+        F.when(F.col("_ok"), fill(MSG_PROCESSED, "filename", chunks)).otherwise(fill(MSG_ALREADY, "filename")).alias("message"),
+        F.coalesce(chunks, F.lit(0)).cast("int").alias("chunks"))
     detail_bad = v.where(~F.col("valid")).select("input_order", "filename", F.lit(False).alias("success"), "message",
                                                  F.lit(0).alias("chunks"))
     details = detail_valid.unionByName(detail_bad)
