@@ -98,3 +98,12 @@ def test_semantic_with_model_embedder(spark):
     rows = _texts(spark).select("text", semantic_chunks(F.col("text"), embedder=pandas_embedder(_load_fake)).alias("c")).collect()
     for r in rows:
         assert list(r.c) == semantic_split(r.text, _py_embed), r.text[:80]
+
+
+def test_recursive_custom_separators(spark):
+    # no empty separator: a piece that is still too long after the last separator is kept as it is
+    df = _texts(spark)
+    for seps in (["\n", " "], ["\n\n", ". "], [" "]):
+        rows = df.select("text", recursive_chunks("text", 120, 30, separators=seps).alias("c")).collect()
+        for r in rows:
+            assert list(r.c) == recursive_split(r.text, 120, 30, seps=tuple(seps)), (seps, r.text[:60])
