@@ -138,44 +138,45 @@ def q_generate(spark, sf):
 # two objects, single quotes, plain text.
 
 def _reply_col():
-    t = F.regexp_replace(F.substring("chunk_text", 1, 60), "[^A-Za-z0-9 ]", "")
+    # the whole chunk text as a JSON string literal (Spark and DuckDB escape the same way)
+    arr = F.to_json(F.array(F.col("chunk_text")))
+    tj = arr.substr(F.lit(2), F.length(arr) - 2)
     k = F.col("id") % 12
     L = F.lit
     shapes = [
-        F.concat(L('{"instruction": "About '), t, L('?", "output": "'), t, L('"}')),
-        F.concat(L('{"instruction": 7, "output": "A '), t, L('", "difficulty": "easy"}')),
-        F.concat(L('{"instruction": "only '), t, L('"}')),
+        F.concat(L('{"instruction": "About this passage?", "output": '), tj, L("}")),
+        F.concat(L('{"instruction": 7, "output": '), tj, L(', "difficulty": "easy"}')),
+        F.concat(L('{"instruction": '), tj, L("}")),
         L('["instruction", "output"]'),
         L("42"),
         L("null"),
-        F.concat(L('Here you go:\n```json\n{"instruction": "F '), t, L('", "output": "G"}\n```\nDone.')),
-        F.concat(L('Sure ```json {"instruction": "U '), t, L('", "output": "V"}}')),
-        F.concat(L('The answer is {"instruction": "P '), t, L('", "output": "Q"} as requested.')),
+        F.concat(L('Here you go:\n```json\n{"instruction": "F", "output": '), tj, L('}\n```\nDone.')),
+        F.concat(L('Sure ```json {"instruction": "U", "output": '), tj, L("}}")),
+        F.concat(L('The answer is {"instruction": "P", "output": '), tj, L("} as requested.")),
         L('{"instruction": "X", "output": "Y"} {"instruction": "Z", "output": "W"}'),
         L("{'instruction': 'S', 'output': 'T'}"),
-        t,
+        F.col("chunk_text"),
     ]
     expr = None
-    for i, s in enumerate(shapes):
-        expr = F.when(k == i, s) if expr is None else expr.when(k == i, s)
+    for i, sh in enumerate(shapes):
+        expr = F.when(k == i, sh) if expr is None else expr.when(k == i, sh)
     return expr
 
 
-T_SQL = "regexp_replace(substring(chunk_text, 1, 60), '[^A-Za-z0-9 ]', '', 'g')"
-REPLY_SQL = f"""CASE id % 12
-  WHEN 0 THEN '{{"instruction": "About ' || t || '?", "output": "' || t || '"}}'
-  WHEN 1 THEN '{{"instruction": 7, "output": "A ' || t || '", "difficulty": "easy"}}'
-  WHEN 2 THEN '{{"instruction": "only ' || t || '"}}'
+REPLY_SQL = """CASE id % 12
+  WHEN 0 THEN '{"instruction": "About this passage?", "output": ' || tj || '}'
+  WHEN 1 THEN '{"instruction": 7, "output": ' || tj || ', "difficulty": "easy"}'
+  WHEN 2 THEN '{"instruction": ' || tj || '}'
   WHEN 3 THEN '["instruction", "output"]'
   WHEN 4 THEN '42'
   WHEN 5 THEN 'null'
-  WHEN 6 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || '{{"instruction": "F ' || t || '", "output": "G"}}' || chr(10) || '```' || chr(10) || 'Done.'
-  WHEN 7 THEN 'Sure ```json {{"instruction": "U ' || t || '", "output": "V"}}}}'
-  WHEN 8 THEN 'The answer is {{"instruction": "P ' || t || '", "output": "Q"}} as requested.'
-  WHEN 9 THEN '{{"instruction": "X", "output": "Y"}} {{"instruction": "Z", "output": "W"}}'
-  WHEN 10 THEN '{{''instruction'': ''S'', ''output'': ''T''}}'
-  ELSE t END"""
-REPLIES_SQL = f"SELECT id, filename, {REPLY_SQL} AS reply FROM (SELECT id, filename, {T_SQL} AS t FROM ({C}))"
+  WHEN 6 THEN 'Here you go:' || chr(10) || '```json' || chr(10) || '{"instruction": "F", "output": ' || tj || '}' || chr(10) || '```' || chr(10) || 'Done.'
+  WHEN 7 THEN 'Sure ```json {"instruction": "U", "output": ' || tj || '}}'
+  WHEN 8 THEN 'The answer is {"instruction": "P", "output": ' || tj || '} as requested.'
+  WHEN 9 THEN '{"instruction": "X", "output": "Y"} {"instruction": "Z", "output": "W"}'
+  WHEN 10 THEN '{''instruction'': ''S'', ''output'': ''T''}'
+  ELSE chunk_text END"""
+REPLIES_SQL = f"SELECT id, filename, {REPLY_SQL} AS reply FROM (SELECT id, filename, chunk_text, CAST(to_json(chunk_text) AS VARCHAR) AS tj FROM ({C}))"
 
 
 def _ok(j):
