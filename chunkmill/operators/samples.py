@@ -258,3 +258,8 @@ def build_dialogs(turns: DataFrame, key: str = "conv_id", order: str = "turn") -
     g = turns.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "role", "text"))).alias("_t"))
     msgs = F.transform("_t", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
     return g.select(key, F.to_json(F.struct(msgs.alias("messages"))).alias("dialog"))
+
+
+def append_dialogs(dialogs: DataFrame, path: str) -> None:
+    """add dialog lines (``dialog`` JSON text) to a JSONL set; earlier lines are kept."""
+    dialogs.select("dialog").write.mode("append").text(path)

@@ -177,7 +177,7 @@ def load_samples_strict(lines: DataFrame, line: str = "line", failfast: bool = F
 
 def load_sft_dataset(lines: DataFrame, line: str = "line") -> DataFrame:
     """Every JSON object line -> ``instruction, output`` with missing keys as ``""``; other
-    lines are flagged ``rejected``. An empty result is reported by ``is_empty``."""
+    lines are flagged ``rejected``. Zero accepted rows is the failure case (``require_rows``)."""
     from ..functions.jsonx import is_object, text_of
 
     p = parse_sample_lines(lines, line)
@@ -187,6 +187,13 @@ def load_sft_dataset(lines: DataFrame, line: str = "line") -> DataFrame:
                     F.when(obj, F.coalesce(text_of(F.col("sample"), "output"), F.lit(""))).alias("output"))
 
 
+def require_rows(df: DataFrame, message: str) -> DataFrame:
+    """Fail with ``message`` when ``df`` has no row (one bounded check), else return it."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df
+
+
 # ---------------------------------------------------------------------------------------------- CPT corpus
 
 def build_cpt_corpus(store: DataFrame, path: str) -> None:

@@ -141,3 +141,19 @@ def test_single_json_export(spark):
     assert list(doc["documents"]) == ['a"q.txt', "b.txt"]
     assert doc["documents"]["b.txt"] == [{"chunk_index": 0, "text": "x", "metadata": {"k": 1}},
                                          {"chunk_index": 1, "text": "y", "metadata": {}}]
+
+
+def test_append_dialogs_and_require_rows(spark, tmp_dir):
+    from chunkmill.operators.samples import append_dialogs, build_dialogs
+    from chunkmill.sources.store_io import require_rows
+
+    turns = spark.createDataFrame([(1, 1, "assistant", "hi"), (1, 0, "user", "hello")], "conv_id long, turn long, role string, text string")
+    append_dialogs(build_dialogs(turns), f"{tmp_dir}/d")
+    append_dialogs(build_dialogs(turns), f"{tmp_dir}/d")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_dir}/d").collect()]
+    assert len(lines) == 2 and lines[0]["messages"] == [{"role": "user", "content": "hello"}, {"role": "assistant", "content": "hi"}]
+    try:
+        require_rows(turns.limit(0), "No training samples found")
+        raise AssertionError("expected failure")
+    except ValueError as e:
+        assert str(e) == "No training samples found"
