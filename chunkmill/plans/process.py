@@ -44,7 +44,7 @@ def extract_files(spark: SparkSession, path: str) -> DataFrame:
     out = out.unionByName(js.select(*keep).join(js_text, "path", "left"))
     csv_files = base.where(F.col("loader") == "csv").select(*keep)
     if not csv_files.isEmpty():
-        df = (spark.read.option("header", "false").option("multiLine", "true").option("recursiveFileLookup", "true")
+        df = (spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*.[cC][sS][vV]").csv(path))
         recs = df.select(_norm_path(F.input_file_name()).alias("file"), F.monotonically_increasing_id().alias("record_no"),
                          F.array(*[F.col(c) for c in df.columns]).alias("fields"))

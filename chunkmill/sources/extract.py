@@ -160,7 +160,7 @@ def csv_records_to_text(records: DataFrame, file: str = "file", order: str = "re
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     """CSV files as records ``file, record_no, fields`` (quotes and multi-line fields handled by
     Spark's reader; blank lines skipped; header kept as a record)."""
-    df = spark.read.option("header", "false").option("multiLine", "true").csv(path)
+    df = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
     cols = df.columns
     return df.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("record_no"),
                      F.array(*[F.col(c) for c in cols]).alias("fields"))

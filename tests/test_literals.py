@@ -80,9 +80,9 @@ def test_routing(spark):
 
 def test_csv_files(spark, tmp_dir):
     with open(f"{tmp_dir}/v.csv", "w") as f:
-        f.write('Word,Translation,Example\nHaus,house,"Das Haus, groß"\n\nBaum,,tree\n')
+        f.write('Word,Translation,Example\nHaus,house,"Das Haus, groß"\n\nBaum,,"a ""quoted"" tree"\n')
     out = csv_records_to_text(read_csv_records(spark, tmp_dir)).first().text
-    assert out == "Word | Translation | Example\nHaus | house | Das Haus, groß\nBaum |  | tree"
+    assert out == 'Word | Translation | Example\nHaus | house | Das Haus, groß\nBaum |  | a "quoted" tree'
 
 
 def test_store_roundtrip(spark, tmp_dir):
