@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.jsonx import strict_json
 from ..operators.store import empty_store, ingest, ingest_summary
 from ..session import spread
-from ..sources.extract import (csv_records_to_text, flatten_json_to_text, html_to_text, notebook_to_text,
-                               plain_text, route_by_extension, suffix)
+from ..functions.text import drop_replacement_chars
+from ..sources.extract import (csv_file_to_text, flatten_json_to_text, html_to_text, notebook_to_text, plain_text,
+                               route_by_extension, suffix)
 from ..sources.store_io import read_store, store_exists, write_store
 
 
@@ -34,22 +35,15 @@ def extract_files(spark: SparkSession, path: str) -> DataFrame:
     raw = F.decode(F.col("content"), "UTF-8")
     text = (F.when(F.col("loader") == "text", plain_text(raw))
             .when(F.col("loader") == "html", html_to_text(plain_text(raw)))
-            .when(F.col("loader") == "notebook", notebook_to_text(raw)))
+            .when(F.col("loader") == "notebook", notebook_to_text(raw))
+            .when(F.col("loader") == "csv", csv_file_to_text(drop_replacement_chars(raw))))
     base = files.select("path", "filename", "file_type", "loader", text.alias("text"), raw.alias("_raw"))
     keep = ["path", "filename", "file_type", "loader"]
-    # JSON and CSV files need work over many rows per file; the rest is one expression per file
+    # JSON needs one pass per nesting level; every other format is one expression per file
     js = base.where(F.col("loader") == "json")
     js_text = flatten_json_to_text(js.where(strict_json(F.col("_raw")).isNotNull()).select("path", "_raw"), "path", "_raw")
-    out = base.where(F.col("loader").isNull() | ~F.col("loader").isin("json", "csv")).drop("_raw")
+    out = base.where(F.col("loader").isNull() | (F.col("loader") != "json")).drop("_raw")
     out = out.unionByName(js.select(*keep).join(js_text, "path", "left"))
-    csv_files = base.where(F.col("loader") == "csv").select(*keep)
-    if not csv_files.isEmpty():
-        df = (spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*.[cC][sS][vV]").csv(path))
-        recs = df.select(_norm_path(F.input_file_name()).alias("file"), F.monotonically_increasing_id().alias("record_no"),
-                         F.array(*[F.col(c) for c in df.columns]).alias("fields"))
-        csv_text = csv_records_to_text(recs).withColumnRenamed("file", "path")
-        out = out.unionByName(csv_files.join(csv_text, "path", "left"))
     return out.withColumn("input_order", F.col("path"))
 
 

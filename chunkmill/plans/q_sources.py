@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK
 from ..session import scratch_path
-from ..sources.extract import (COMMENT, NAMED_ENTITIES, SCRIPT, STYLE, TAG, csv_records_to_text, flatten_json_to_text,
+from ..sources.extract import (COMMENT, NAMED_ENTITIES, SCRIPT, STYLE, TAG, csv_file_to_text, csv_records_to_text,
+                               flatten_json_to_text, ordered_join,
                                html_to_text, notebook_to_text, pages_to_text, paragraphs_to_text, plain_text,
                                route_by_extension, sheet_rows_to_text)
 from ..sources.store_io import (build_cpt_corpus, count_nonblank_lines, export_jsonl, json_documents, json_manifest,
@@ -107,6 +108,29 @@ def q_csv(spark, sf):
     return csv_records_to_text(rows.unionByName(header))
 
 
+CSV_TEXT_SQL = """
+SELECT file, string_agg(line, chr(10) ORDER BY record_no) AS text FROM (
+  SELECT 'region_' || CAST(n_regionkey AS VARCHAR) || '.csv' AS file, n_nationkey + 1 AS record_no,
+         CAST(n_nationkey AS VARCHAR) || ' | ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) AS line FROM nation
+  UNION ALL
+  SELECT DISTINCT 'region_' || CAST(n_regionkey AS VARCHAR) || '.csv', 0, 'n_nationkey | n_name | n_regionkey' FROM nation)
+GROUP BY file"""
+
+
+@query("csv_file_to_text", "S5 (whole CSV files: quoting, ragged rows)", CSV_TEXT_SQL)
+def q_csv_file(spark, sf):
+    """One CSV file text per region (header, then nations with quoted names), parsed natively."""
+    n = table(spark, sf, "nation")
+    file = F.concat(F.lit("region_"), F.col("n_regionkey").cast("string"), F.lit(".csv"))
+    line = F.concat(F.col("n_nationkey").cast("string"), F.lit(',"'), F.replace(F.col("n_name"), F.lit('"'), F.lit('""')),
+                    F.lit('",'), F.col("n_regionkey").cast("string"))
+    rows = n.select(file.alias("file"), (F.col("n_nationkey") + 1).cast("long").alias("record_no"), line.alias("line"))
+    header = n.select(file.alias("file")).distinct().select("file", F.lit(0).cast("long").alias("record_no"),
+                                                            F.lit("n_nationkey,n_name,n_regionkey").alias("line"))
+    files = ordered_join(rows.unionByName(header), ["file"], "record_no", "line", "\n", "csv")
+    return files.select("file", csv_file_to_text(F.col("csv")).alias("text"))
+
+
 @query("sheet_rows_to_text", "S6", """
 WITH r AS (SELECT l_orderkey AS workbook, CASE l_linestatus WHEN 'F' THEN 0 ELSE 1 END AS sheet_no,
                   'status_' || l_linestatus AS sheet, l_linenumber AS row_no,

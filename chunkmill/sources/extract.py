@@ -157,6 +157,31 @@ def csv_records_to_text(records: DataFrame, file: str = "file", order: str = "re
     return ordered_join(r, [file], order, "_line", "\n")
 
 
+# Python csv (excel dialect): fields separated by commas; a field may be quoted, with "" for a
+# quote and line breaks inside; records end at a line break outside quotes.
+_CSV_RECORD = r'(?:"(?:[^"]|"")*"|[^,\n])*(?:,(?:"(?:[^"]|"")*"|[^,\n])*)*'
+_CSV_FIELD = r',((?:"(?:[^"]|"")*"|[^,])*)'  # applied to "," + record: every match is non-empty
+
+
+def csv_file_records(text) -> Column:
+    """A whole CSV file (text) -> ARRAY of records, each an ARRAY of fields, blank lines skipped;
+    rows keep their own width. Native regular expressions, one file per row."""
+    t = normalize_newlines(col_(text))
+    recs = F.filter(F.regexp_extract_all(t, F.lit(_CSV_RECORD), 0), lambda r: r != "")
+
+    def unquote(f):
+        quoted = f.rlike(r'(?s)^".*"$') & (F.length(f) >= 2)
+        return F.when(quoted, F.regexp_replace(f.substr(F.lit(2), F.length(f) - 2), '""', '"')).otherwise(f)
+
+    return F.transform(recs, lambda r: F.transform(
+        F.regexp_extract_all(F.concat(F.lit(","), r), F.lit(_CSV_FIELD), 1), unquote))
+
+
+def csv_file_to_text(text) -> Column:
+    """S5 on a whole file: each record's fields joined by `` | ``, records joined by ``\\n``."""
+    return F.array_join(F.transform(csv_file_records(text), lambda r: record_line(r)), "\n")
+
+
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     """CSV files as records ``file, record_no, fields`` (quotes and multi-line fields handled by
     Spark's reader; blank lines skipped; header kept as a record)."""

@@ -157,3 +157,19 @@ def test_append_dialogs_and_require_rows(spark, tmp_dir):
         raise AssertionError("expected failure")
     except ValueError as e:
         assert str(e) == "No training samples found"
+
+
+def test_csv_file_text_native(spark):
+    import csv
+    import io
+
+    from chunkmill.sources.extract import csv_file_to_text
+
+    texts = ['Word,Translation,Example\nHaus,house,"Das Haus, groß"\n\nBaum,,"a ""quoted"" tree"\n',
+             'a,b\n1,2,3,4\n"multi\nline",x\r\nlast,\n',
+             ',lead\n"",empty quoted\n']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.x for r in df.select(csv_file_to_text("t").alias("x")).collect()]
+    for t, g in zip(texts, got):
+        rows = [r for r in csv.reader(io.StringIO(t.replace("\r\n", "\n"), newline="")) if r]
+        assert g == "\n".join(" | ".join(r) for r in rows), (t, g)
