@@ -104,8 +104,8 @@ def store_sql(which: str) -> str:
     where = "" if langs is None else "WHERE lang IN (" + ", ".join(f"'{x}'" for x in langs) + ")"
     return f"""
 SELECT doc_id * 1000000 + chunk_index + 1 AS id, filename, chunk_index, chunk_text,
-       to_json({{'source': filename, 'chunk_index': chunk_index, 'total_chunks': total_chunks,
-                 'file_type': '.txt', 'processed_at': '{FIXED_TIME}'}}) AS metadata,
+       CAST(to_json({{'source': filename, 'chunk_index': chunk_index, 'total_chunks': total_chunks,
+                 'file_type': '.txt', 'processed_at': '{FIXED_TIME}'}}) AS VARCHAR) AS metadata,
        TIMESTAMP '{FIXED_TIME.replace('T', ' ')}' AS created_at
 FROM (
   SELECT doc_id, filename, chunk_text,

@@ -192,8 +192,8 @@ def chunk_metadata(spark, sf):
 
 @query("encode_metadata", "C9", f"""
 SELECT filename, chunk_index,
-       to_json({{'source': filename, 'chunk_index': chunk_index, 'total_chunks': total_chunks, 'file_type': '.txt',
-                 'processed_at': '{FIXED_TIME}'}}) AS metadata
+       CAST(to_json({{'source': filename, 'chunk_index': chunk_index, 'total_chunks': total_chunks, 'file_type': '.txt',
+                 'processed_at': '{FIXED_TIME}'}}) AS VARCHAR) AS metadata
 FROM ({_windows_sql(512, 50)})""")
 def q_encode_metadata(spark, sf):
     d = doc_files(spark, sf).withColumn("chunks", window_chunks("text", 512, 50))

@@ -110,7 +110,7 @@ PAGE_PATHS = "SELECT regexp_replace(url, '^https?://|[?#].*$', '', 'g') AS path,
 
 
 @query("dir_size", "A4", f"""
-SELECT dir, sum(length) AS bytes FROM (
+SELECT dir, CAST(sum(length) AS BIGINT) AS bytes FROM (
   SELECT array_to_string(p[1:i], '/') AS dir, length FROM (
     SELECT p, length, unnest(range(1, greatest(len(p) - 1, 1) + 1)) AS i
     FROM (SELECT string_split(path, '/') AS p, length FROM ({PAGE_PATHS}) WHERE strpos(path, '/') > 0)))

@@ -93,7 +93,7 @@ def q_list_stores(spark, sf):
 
 
 @query("store_catalogue", "M8", f"""
-SELECT store, count(*) AS chunks, sum(octet_length(encode(chunk_text))) AS bytes, count(DISTINCT filename) AS sources
+SELECT store, count(*) AS chunks, CAST(sum(octet_length(encode(chunk_text))) AS BIGINT) AS bytes, count(DISTINCT filename) AS sources
 FROM ({U}) GROUP BY store""")
 def q_catalogue(spark, sf):
     return store_catalogue(stores_union(spark, sf))

@@ -90,8 +90,8 @@ def q_expand(spark, sf):
 
 
 @query("chat_request", "F7", f"""
-SELECT id, to_json({{'model': '{MODEL}', 'messages': [{{'role': 'system', 'content': system_prompt}}, {{'role': 'user', 'content': user_prompt}}],
-                    'temperature': CAST(0.7 AS DOUBLE), 'max_tokens': 500}}) AS request
+SELECT id, CAST(to_json({{'model': '{MODEL}', 'messages': [{{'role': 'system', 'content': system_prompt}}, {{'role': 'user', 'content': user_prompt}}],
+                    'temperature': CAST(0.7 AS DOUBLE), 'max_tokens': 500}}) AS VARCHAR) AS request
 FROM ({PROMPTS_SQL})""")
 def q_chat(spark, sf):
     p = _prompts(spark, sf)
@@ -99,8 +99,8 @@ def q_chat(spark, sf):
 
 
 @query("flat_request", "F8", f"""
-SELECT id, to_json({{'model': '{MODEL}', 'prompt': system_prompt || chr(10) || chr(10) || user_prompt, 'stream': false,
-                    'options': {{'temperature': CAST(0.7 AS DOUBLE)}}}}) AS request
+SELECT id, CAST(to_json({{'model': '{MODEL}', 'prompt': system_prompt || chr(10) || chr(10) || user_prompt, 'stream': false,
+                    'options': {{'temperature': CAST(0.7 AS DOUBLE)}}}}) AS VARCHAR) AS request
 FROM ({PROMPTS_SQL})""")
 def q_flat(spark, sf):
     p = _prompts(spark, sf)
@@ -226,8 +226,8 @@ SELECT id,
             WHEN {_ok('reply')} THEN {_text_of('reply', 'instruction')} END AS instruction,
        CASE WHEN reply IS NULL OR reply = '' THEN NULL WHEN NOT json_valid(reply) THEN reply
             WHEN {_ok('reply')} THEN {_text_of('reply', 'output')} END AS output,
-       CASE WHEN reply IS NULL OR reply = '' THEN NULL WHEN NOT json_valid(reply) THEN 2
-            WHEN {_ok('reply')} THEN len(json_keys(reply)) END AS n_keys
+       CAST(CASE WHEN reply IS NULL OR reply = '' THEN NULL WHEN NOT json_valid(reply) THEN 2
+            WHEN {_ok('reply')} THEN len(json_keys(reply)) END AS INTEGER) AS n_keys
 FROM r""")
 def q_wrap(spark, sf):
     r = chunk_store(spark, sf, "C").select("id", "filename", _reply_col().alias("reply"))
@@ -342,7 +342,7 @@ def q_truncate(spark, sf):
 
 
 @query("build_dialogs", "F18", """
-SELECT conv_id, to_json({'messages': list({'role': role, 'content': text} ORDER BY turn)}) AS dialog
+SELECT conv_id, CAST(to_json({'messages': list({'role': role, 'content': text} ORDER BY turn)}) AS VARCHAR) AS dialog
 FROM conversations GROUP BY conv_id""")
 def q_dialogs(spark, sf):
     return build_dialogs(table(spark, sf, "conversations"))

@@ -250,7 +250,7 @@ FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.tu
 
 @query("load_samples_strict", "S14", f"""
 SELECT line_no, json_extract_string(line, '$.instruction') AS instruction, json_extract_string(line, '$.output') AS output,
-       len(json_keys(line)) AS n_keys
+       CAST(len(json_keys(line)) AS INTEGER) AS n_keys
 FROM ({LINES_SQL}) WHERE json_valid(line) AND json_exists(line, '$.instruction') AND json_exists(line, '$.output')""")
 def q_load_strict(spark, sf):
     r = load_samples_strict(sample_lines(spark, sf))

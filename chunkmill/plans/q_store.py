@@ -135,7 +135,7 @@ def q_details(spark, sf):
 
 @query("ingest_summary", "I5", f"""
 SELECT count(*) AS total_files, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed,
-       coalesce(sum(chunks) FILTER (WHERE success), 0) AS total_chunks
+       CAST(coalesce(sum(chunks) FILTER (WHERE success), 0) AS BIGINT) AS total_chunks
 FROM ({DETAILS_SQL})""")
 def q_summary(spark, sf):
     details, _ = _ingest(spark, sf)
