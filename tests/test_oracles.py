@@ -2,7 +2,7 @@
 
 import pytest
 
-from tools.check_oracles import TABLES, norm
+from tools.check_oracles import TABLES, norm, type_diffs
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +30,8 @@ def test_query_matches_oracle(spark, duck, name):
     df = queries()[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(norm(r[c]) for c in cols)) for r in df.collect())
+    rel = duck.sql(oracle_sql()[name])
+    assert type_diffs(df.schema, rel.columns, rel.types) == []
     cur = duck.execute(oracle_sql()[name])
     ocols = [d[0] for d in cur.description]
     assert sorted(ocols) == cols
