@@ -5,16 +5,14 @@ table ``path, length, modificationTime`` (``binaryFile`` listing with content pr
 
 from __future__ import annotations
 
-from ..fixed import (CHECKPOINT_PREFIX, CONFIG_FILE, EXPORT_TYPE, INVALID_NAME_CHARS, SIZE_LAST_UNIT, SIZE_UNITS,
-                     WEIGHT_SUFFIXES)
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..fixed import (CHECKPOINT_PREFIX, CONFIG_FILE, EXPORT_TYPE, INVALID_NAME_CHARS, SIZE_LAST_UNIT, SIZE_UNITS,
+                     WEIGHT_SUFFIXES)
 from ..functions.text import NON_WS_CLASS, WS_CLASS, col_
 
 
-
 def format_size(size) -> Column:
     """A3: bytes -> ``%.1f <unit>`` with units B..TB (step 1024), PB beyond; rounding is
     half-even on the exact value, as Python formats floats."""
@@ -130,8 +128,6 @@ def merge_settings_shallow(defaults: DataFrame, overrides: DataFrame, key: str =
     return kept.select(key, "path", "value").unionByName(overrides.select(key, "path", "value"))
 
 
-
-
 def valid_name(name) -> Column:
     """Not blank, none of ``/ \\ : * ? " < > |`` or NUL, no leading/trailing dot or blank."""
     n = col_(name)

@@ -16,7 +16,6 @@ from ..functions.text import (LINE_BREAK, col_, drop_replacement_chars, has_text
                               ustrip)
 
 
-
 def suffix(path, lower: bool = True) -> Column:
     """Suffix of the last path component (``a.tar.gz`` -> ``.gz``; ``.bashrc`` -> ``""``),
     lower-cased for routing, as written for the chunk metadata."""
