@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import (CHUNK_PLACEHOLDER, CLOUD_PROVIDER, DEFAULT_SYSTEM_PROMPT, DEFAULT_TOPIC_PROMPT,  # noqa: F401
-                     ELLIPSIS, ERROR_LINE, FENCE, FENCE_JSON, INSTRUCTION_FORMAT, JSON_FORMAT_REQUEST, MAX_TOKENS,
+                     ELLIPSIS, ERROR_LINE, FENCE, FENCE_JSON, INSTRUCTION_FORMAT, JSON_FORMAT_REQUEST, MAX_PARALLEL_REQUESTS, MAX_TOKENS,
                      MISSING, MSG_MIN_SAMPLES, MSG_NONE_SELECTED, MSG_TOO_MANY, PREVIEW_OUTPUT_CHARS, PREVIEW_SAMPLES,
                      SFT_MAX_TOKENS, STATUS_BAD_KEY, STATUS_BODY_CHARS, STATUS_CLOUD_OK, STATUS_LOCAL_OK,
                      STATUS_NO_CREDIT, STATUS_NO_MODEL, STATUS_OTHER, STYLE_LINE, STYLES, WRAP_INSTRUCTION)
@@ -97,7 +97,7 @@ def offline_generator(prompts: pd.Series) -> pd.Series:
 
 
 def generate_responses(requests: DataFrame, prompt_col: str, generate: Callable[[pd.Series], pd.Series] | None = None,
-                       parallelism: int | None = None, retries: int = 3, backoff: float = 0.5) -> DataFrame:
+                       parallelism: int | None = MAX_PARALLEL_REQUESTS, retries: int = 3, backoff: float = 0.5) -> DataFrame:
     """add ``reply``, ``error`` and ``attempts`` by calling ``generate`` on Arrow batches.
 
     ``parallelism`` caps concurrent calls (one task per partition). A failing batch is retried
