@@ -107,8 +107,10 @@ def html_to_text(html) -> Column:
 # notebooks
 # ----------------------------------------------------------------------------------------------
 
-_NB_SCHEMA = ("struct<cells: array<struct<cell_type: string, source: variant, "
-              "outputs: array<struct<text: variant, data: map<string, variant>>>>>>")
+_NB_CELL = ("struct<cell_type: string, source: variant, "
+            "outputs: array<struct<text: variant, data: map<string, variant>>>>")
+# version 4 keeps cells at the top; version 3 keeps them in worksheets (read as an upgrade would)
+_NB_SCHEMA = f"struct<cells: array<{_NB_CELL}>, worksheets: array<struct<cells: array<{_NB_CELL}>>>>"
 
 
 def _multiline(v: Column) -> Column:
@@ -132,7 +134,8 @@ def notebook_to_text(nb_json) -> Column:
                 .when(cell["cell_type"] == "code", F.filter(outs, lambda x: x.isNotNull()))
                 .otherwise(F.array().cast("array<string>")))
 
-    return F.when(nb.isNotNull(), F.array_join(F.flatten(F.transform(nb["cells"], cell_parts)), "\n\n"))
+    cells = F.coalesce(nb["cells"], F.flatten(F.transform(nb["worksheets"], lambda w: w["cells"])))
+    return F.when(nb.isNotNull() & cells.isNotNull(), F.array_join(F.flatten(F.transform(cells, cell_parts)), "\n\n"))
 
 
 # ----------------------------------------------------------------------------------------------

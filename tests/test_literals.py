@@ -173,3 +173,11 @@ def test_csv_file_text_native(spark):
     for t, g in zip(texts, got):
         rows = [r for r in csv.reader(io.StringIO(t.replace("\r\n", "\n"), newline="")) if r]
         assert g == "\n".join(" | ".join(r) for r in rows), (t, g)
+
+
+def test_notebook_v3_worksheets(spark):
+    nb3 = {"worksheets": [{"cells": [{"cell_type": "markdown", "source": ["intro"]},
+                                     {"cell_type": "code", "input": "1+1", "outputs": [{"output_type": "pyout", "text": ["2"]}]}]}],
+           "nbformat": 3}
+    df = spark.createDataFrame([(json.dumps(nb3),)], "j string")
+    assert df.select(notebook_to_text("j").alias("t")).first().t == "intro\n\n2"
