@@ -41,7 +41,7 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFr
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """S2 over files: one row per file ``path, filename, text`` read whole as UTF-8."""
-    df = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
+    df = spark.read.text(path, wholetext=True).withColumn("path", F.col("_metadata.file_path"))
     return df.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"),
                      plain_text(F.col("value")).alias("text"))
 
@@ -189,7 +189,7 @@ def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
     Spark's reader; blank lines skipped; header kept as a record)."""
     df = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
     cols = df.columns
-    return df.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("record_no"),
+    return df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record_no"),
                      F.array(*[F.col(c) for c in cols]).alias("fields"))
 
 
