@@ -35,7 +35,19 @@ def main():
             df.explain("formatted")
         lines = [ln for ln in buf.getvalue().splitlines() if KEEP.search(ln) and len(ln) < 400]
         out += [f"## {name} ({reg[name].ids})", "", "```"] + lines[:60] + ["```", ""]
-    open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w").write("\n".join(out))
+    spark.stop()
+    # task balance of the heaviest queries, from the event log (separate session)
+    import subprocess
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    res = subprocess.run([sys.executable, os.path.join(here, "stage_times.py"), sf, "chunk_recursive", "chunk_semantic",
+                          "merge_stores", "merge_dedup_content"], capture_output=True, text=True)
+    table = [re.sub(r"  (\$anonfun|save at|parquet at).*$", "", ln) for ln in res.stdout.splitlines() if ln.strip()]
+    out += ["## Task balance (event log, local[8])", "",
+            "From `tools/stage_times.py`: per stage the number of tasks, the slowest and median task, and the slowest",
+            "task's share of the stage. Single-task stages are the one-row-group scans of the driver tables",
+            "(spread round-robin right after) and the small offset/aggregate steps.", "", "```"] + table + ["```", ""]
+    open(os.path.join(os.path.dirname(here), "PLANS.md"), "w").write("\n".join(out))
 
 
 if __name__ == "__main__":
