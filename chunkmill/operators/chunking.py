@@ -8,7 +8,7 @@ shuffle at all: chunk order, ``chunk_index`` and ``total_chunks`` come from the
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import DEFAULT_OVERLAP, DEFAULT_SEPARATORS, DEFAULT_SIZE
@@ -201,9 +201,13 @@ def cosine_distance(a, b) -> Column:
 
 
 def adjacent_distances(df: DataFrame, key: str, order: str, vec: str, out: str = "distance") -> DataFrame:
-    """Distance between each vector and the previous one in ``order`` within ``key``."""
-    w = Window.partitionBy(key).orderBy(order)
-    return df.withColumn(out, cosine_distance(F.lag(vec).over(w), F.col(vec)))
+    """Distance between each vector and the previous one in ``order`` within ``key`` (null for
+    the first). The previous vector comes from ``ordinal_lag`` (a join on a global ordinal), not
+    from a window partitioned by ``key``, so one large group does not land in one task."""
+    from .grouped import ordinal_lag
+
+    lagged = ordinal_lag(df, key, order, [vec], suffix="_prev")
+    return lagged.withColumn(out, cosine_distance(F.col(vec + "_prev"), F.col(vec))).drop(vec + "_prev")
 
 
 def percentile_breaks(df: DataFrame, key: str, dist: str = "distance", amount: float = 50.0,

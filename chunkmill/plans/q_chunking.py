@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..fixed import DEFAULT_SEPARATORS
 from ..operators.chunking import (
     DEFAULT_OVERLAP, DEFAULT_SIZE, encode_metadata, explode_chunks, paragraph_chunks,
-    recursive_chunks, semantic_chunks, split_sentences, window_chunks, cosine_distance, token_buckets, bucket_counts,
+    recursive_chunks, semantic_chunks, split_sentences, window_chunks, token_buckets, bucket_counts,
 )
-from ..operators.grouped import grouped_percentile, ordinal_lag
+from ..operators.chunking import adjacent_distances
+from ..operators.grouped import grouped_percentile
 from .duck_recursive import chunk_rows_sql
 from .fixtures import FIXED_TIME, doc_files, strip_sql, table
 from .registry import query
@@ -101,8 +102,7 @@ def embed_sentences(spark, sf):
 
 def _emb_distances(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    lagged = ordinal_lag(e, "label", "vec_id", ["v"])
-    return lagged.select("vec_id", "label", F.round(cosine_distance("v_prev", "v"), 6).alias("distance"))
+    return adjacent_distances(e, "label", "vec_id", "v").select("vec_id", "label", F.round("distance", 6).alias("distance"))
 
 
 DIST_SQL = """
