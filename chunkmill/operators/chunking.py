@@ -215,12 +215,14 @@ def percentile_breaks(df: DataFrame, key: str, dist: str = "distance", amount: f
     """Flag distances above the ``amount``-th percentile (linear interpolation) of their group.
 
     Distances are rounded to ``digits`` first so ties do not depend on summation order. The
-    percentile is an aggregate joined back, so a large group is combined map-side."""
-    r = F.round(F.col(dist), digits)
-    thr = (df.where(F.col(dist).isNotNull()).groupBy(key)
-           .agg(F.percentile(F.round(F.col(dist), digits), amount / 100.0).alias("_thr")))
-    return (df.join(thr, key, "left")
-            .withColumn(out, F.coalesce(r > F.col("_thr"), F.lit(False))).drop("_thr"))
+    threshold comes from ``grouped_percentile`` (global ordinal + joins on it), not from a
+    percentile aggregate that would hold a large group's values in one task."""
+    from .grouped import grouped_percentile
+
+    r = df.withColumn("_r", F.round(F.col(dist), digits))
+    thr = grouped_percentile(r, key, "_r", amount / 100.0, out="_thr")
+    return (r.join(thr, key, "left")
+            .withColumn(out, F.coalesce(F.col("_r") > F.col("_thr"), F.lit(False))).drop("_thr", "_r"))
 
 
 def semantic_chunks(text, amount: float = 50.0, dim: int = 64, max_chars: int | None = None,
