@@ -35,3 +35,13 @@ def words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
+
+
+def arrow_schema(ddl: str):
+    """The pyarrow schema of a flat ``name type, ...`` list (usable inside Python workers)."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(),
+             "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+             "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ddl.split(","))])
