@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality_ledger, url_filter, warc
+from . import language, packing, quality_ledger, url_filter, vector_dedup, warc
 from .common import prepare
 
 MODULES = {
+    "op5_subspace_pigeonhole": vector_dedup,
     "op2_rank_order_language": language,
     "op10_harmonic_packing": packing,
     "op7_url_vocabulary": url_filter,
