@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, mixing, packing, quality_ledger, url_filter, vector_dedup, warc
+from . import html_extract, language, mixing, packing, quality_ledger, url_filter, vector_dedup, warc
 from .common import prepare
 
 MODULES = {
+    "op3_nearest_url_diff": html_extract,
     "op1_source_mix": mixing,
     "op5_subspace_pigeonhole": vector_dedup,
     "op2_rank_order_language": language,
