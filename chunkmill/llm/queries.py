@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import html_extract, language, minhash_forest, mixing, packing, quality_ledger, url_filter, vector_dedup, warc
+from . import html_extract, language, minhash_forest, mixing, packing, quality_ledger, suffix_dedup, url_filter, vector_dedup, warc
 from .common import prepare
 
 MODULES = {
+    "op4_suffix_intervals": suffix_dedup,
     "op6_lsh_forest": minhash_forest,
     "op3_nearest_url_diff": html_extract,
     "op1_source_mix": mixing,
