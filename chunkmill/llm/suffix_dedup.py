@@ -31,6 +31,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_schema, stored
 
@@ -194,24 +195,35 @@ def _answer(key, pdf):
     return pd.DataFrame(out, columns=["id", "at"])
 
 
-_SPLIT = "id long, batch long, n_bytes long, kept_sha256 string, text binary, at array<int>"
+_SPLIT = "id long, batch long, row long, n_bytes long, kept_sha256 string, text binary, at array<int>"
 
 
-def _split(batches):
-    """Step 2: finish documents without repeated anchors; number the batches of the others."""
-    import pyarrow as pa
-    from pyspark import TaskContext
+def _split(keep_all: bool):
+    """Step 2: finish documents without repeated anchors; number the batches and rows of the others. ``keep_all`` also keeps
+    finished texts, and the column ``rest``."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        schema, number = arrow_schema(_SPLIT), TaskContext.get().partitionId() << 20
+        for batch in batches:
+            texts = _texts(batch.column("text"))
+            at = batch.column("at")
+            done = [not a.is_valid for a in at]
+            columns = [
+                pa.array(_ids(batch.column("doc_id")), pa.int64()), pa.array([number] * len(texts), pa.int64()),
+                pa.array([number << 20 | i for i in range(len(texts))], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(t).hexdigest() if x else None for t, x in zip(texts, done, strict=True)], pa.string()),
+                batch.column("text").cast(pa.binary()) if keep_all else pa.array([None if x else t for t, x in zip(texts, done, strict=True)], pa.binary()),
+                at.cast(pa.list_(pa.int32()))]
+            names = list(schema.names)
+            if keep_all:
+                columns.append(batch.column("rest"))
+                names.append("rest")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            number += 1
 
-    schema, number = arrow_schema(_SPLIT), TaskContext.get().partitionId() << 20
-    for batch in batches:
-        texts = _texts(batch.column("text"))
-        at = batch.column("at")
-        done = [not a.is_valid for a in at]
-        yield pa.RecordBatch.from_arrays([
-            pa.array(_ids(batch.column("doc_id")), pa.int64()), pa.array([number] * len(texts), pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-            pa.array([hashlib.sha256(t).hexdigest() if x else None for t, x in zip(texts, done, strict=True)], pa.string()),
-            pa.array([None if x else t for t, x in zip(texts, done, strict=True)], pa.binary()), at.cast(pa.list_(pa.int32()))], schema=schema)
-        number += 1
+    return run
 
 
 def _contexts(texts: list[bytes], at: list, with_bytes: bool = True):
@@ -421,8 +433,12 @@ def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 20):
         yield np.arange(s, e)
 
 
+_CUT = "row long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
 def _cut(with_text: bool):
-    """Step 4: remove the covered bytes of a batch's documents."""
+    """Step 4: remove the covered bytes of a batch's documents. ``with_text`` returns the rest (without what the cuts leave of
+    a character)."""
     def run(key, docs, replies):
         import pandas as pd
 
@@ -450,32 +466,51 @@ def _cut(with_text: bool):
             gone = np.cumsum(change[:-1]) > 0
             kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
             spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
-            rows.append((int(ids[i]), len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-        return pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            whole = kept.decode("utf-8", "ignore").encode() if with_text else None
+            rows.append((int(docs["row"].iloc[i]), int(ids[i]), len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), whole))
+        return pd.DataFrame(rows, columns=["row", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document. ``with_text`` adds ``kept``: the remaining bytes of
-    the documents that share something (null: the whole text remains)."""
-    spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def _steps(src: DataFrame, keep_all: bool) -> tuple[DataFrame, DataFrame]:
+    """The written table of step 2 and the cut documents of step 4, for ``src`` (doc_id, text as binary, and rest if ``keep_all``)."""
+    spark = src.sparkSession
+    narrow = src.select("doc_id", "text")
+    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    found = src.mapInArrow(_ask(n_buckets), _ASK).groupBy("bucket").applyInPandas(_answer, "id long, at array<int>")
+    found = narrow.mapInArrow(_ask(n_buckets), _ASK).groupBy("bucket").applyInPandas(_answer, "id long, at array<int>")
     found = found.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
-    joined = src.join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").select("doc_id", "text", "at")
-    split = stored(joined.mapInArrow(_split, _SPLIT), "split")
-    done = split.filter("text is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"),
-                                               F.lit(0).cast("long").alias("n_spans"), "kept_sha256", F.lit(None).cast("binary").alias("kept"))
-    shared = split.filter("text is not null").select("id", "batch", "text", "at")
+    joined = src.join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").drop("id")
+    schema = StructType.fromDDL(_SPLIT)
+    if keep_all:
+        schema = schema.add(src.schema["rest"])
+    split = stored(joined.mapInArrow(_split(keep_all), schema), "split")
+    shared = split.filter("at is not null").select("id", "batch", "row", "text", "at")
     replies = shared.mapInArrow(_send(n_buckets), _SEND).groupBy("bucket").applyInPandas(_scan, _REPLY)
-    cut = shared.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(
-        _cut(with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    out = done.unionByName(cut)
-    out = out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
-    return out if with_text else out.drop("kept")
+    return split, shared.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_cut(keep_all), _CUT)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    split, cut = _steps(src, False)
+    none = F.lit(0).cast("long")
+    done = split.filter("at is null").select("id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), "kept_sha256")
+    out = done.unionByName(cut.select(done.columns))
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
+
+
+def cut_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with their columns, repeated passages cut out of ``text``; documents of which nothing is left are dropped."""
+    others = [c for c in docs.columns if c != "text"]
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"),
+                      F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
+    split, cut = _steps(src, True)
+    back = lambda text: [F.col(f"rest.`{c}`").alias(c) if c != "text" else text.cast("string").alias(c) for c in docs.columns]
+    done = split.filter("at is null").select(*back(F.col("text")))
+    cut = cut.filter("n_removed = 0 or octet_length(kept) > 0").select("row", "kept")
+    return done.unionByName(split.filter("at is not null").select("row", "rest").join(cut, "row").select(*back(F.col("kept"))))
 
 
 def query(spark, sf_dir):
