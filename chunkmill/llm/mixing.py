@@ -5,8 +5,8 @@ patterns' tokens to the sources' quotas; the first pass over a pattern is free,
 costs more than the one before (convex), so the flow repeats text only where a quota can't be met
 otherwise. The driver solves the flow over patterns and sources (a documented bound; documents
 never leave the executors). Then each pattern's documents are chosen by a seeded hash until its
-flow is taken: whole hash buckets below the cut, the documents of the bucket at the cut in order, and
-finally the largest documents that still fit, so the words taken come near the flow.
+flow is taken: whole hash buckets below the cut, then documents in order, the last few of them so
+that the words taken come as near to the flow as whole documents can.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; a document
 in no source is never taken; documents of size 0 are taken 0 times; rows that repeat an id are
@@ -27,6 +27,8 @@ SHARE = (3, 2)  # 150 % of all sizes, as a fraction
 MAX_EPOCHS = 2
 SEED = 20260101
 BUCKETS = 4096
+AROUND = 64  # documents on either side of the cut that are chosen for the closest sum
+MOST_WORDS = 4_000_000  # of those documents; with longer ones, fewer take part
 MAX_PATTERNS = 100_000  # rows that the driver solves; more is an error
 
 
@@ -99,17 +101,34 @@ def min_cost_flow(supply: list[int], members: list[tuple[int, ...]], demand: lis
     return flow
 
 
-def _greedy(pdf):
-    """Of one pattern's sizes (with the number of documents of each), largest first: how many still fit."""
-    import pandas as pd
-
-    rest, out = int(pdf["gap"].iloc[0]), []
-    for size, n in sorted(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True), reverse=True):
-        k = min(n, rest // size)
-        if k:
-            out.append((pdf["pattern"].iloc[0], size, k))
-            rest -= k * size
-    return pd.DataFrame(out, columns=["pattern", "size", "k"])
+def best_subset(sizes: list[int], want: int) -> list[bool]:
+    """Which of the sizes add up to the most that is not above ``want`` (sums as bits of one integer)."""
+    reach, steps, limit = 1, [], (1 << (want + 1)) - 1
+    for size in sizes:
+        steps.append(reach)
+        reach |= (reach << size) & limit
+    left, out = reach.bit_length() - 1, []
+    for size, before in zip(reversed(sizes), reversed(steps), strict=True):
+        out.append(not before >> left & 1)
+        left -= size if out[-1] else 0
+    return out[::-1]
+
+
+def _choose(pdf):
+    """One pattern's documents around its cut, in hash order: as many as fit; the last of them and the first beyond are
+    then chosen anew so that their words come nearest to what is wanted."""
+    pdf = pdf.sort_values(["h", "doc_id", "size", "key"], na_position="first", kind="stable").reset_index(drop=True)
+    sizes, want = pdf["size"].tolist(), int(pdf["rest"].iloc[0])
+    at = total = 0
+    while at < len(sizes) and total + sizes[at] <= want:
+        total += sizes[at]
+        at += 1
+    low, high = max(0, at - AROUND), min(len(sizes), at + AROUND)
+    while sum(sizes[low:high]) > MOST_WORDS and high - low > 1:
+        low, high = (low + 1, high) if at - low >= high - at else (low, high - 1)
+    pick = [i < low for i in range(len(sizes))]
+    pick[low:high] = best_subset(sizes[low:high], want - sum(sizes[:low]))
+    return pdf[["key"]].assign(pick=pick)
 
 
 def take(narrow: DataFrame, flows: dict[str, tuple[int, int]]) -> DataFrame:
@@ -120,28 +139,23 @@ def take(narrow: DataFrame, flows: dict[str, tuple[int, int]]) -> DataFrame:
     wants = [(p, f // s if s else 0, f % s if s else 0) for p, (s, f) in flows.items()]
     bucket = F.pmod("h", F.lit(BUCKETS))
     up_to = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = narrow.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
-    sums = sums.join(small(wants, "pattern string, whole long, want long"), "pattern").withColumn("end", F.sum("n").over(up_to))
-    found = sums.filter("end - n <= want and want < end").groupBy("pattern").agg(
-        F.min(F.struct("bucket", (F.col("want") - F.col("end") + F.col("n")).alias("rest"))).alias("c"))
-    cut = {r["pattern"]: (r["c"]["bucket"], r["c"]["rest"]) for r in found.collect()}
-    cuts = small([(p, whole, want, *cut.get(p, (-1, 0))) for p, whole, want in wants],
-                 "pattern string, whole long, want long, cut long, rest long")
-    doc = narrow.join(cuts, "pattern").withColumn("bucket", bucket)
-    # inside the one bucket at the cut (a 4096th of the pattern): in hash order as long as it fits
-    run = Window.partitionBy("pattern").orderBy("h", "doc_id", "size", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    doc = doc.filter("bucket <> cut").withColumn("pick", F.col("bucket") < F.col("cut")).unionByName(
-        doc.filter("bucket = cut").withColumn("pick", F.sum("size").over(run) <= F.col("rest")))
-    doc = stored(doc.select("key", "doc_id", "pattern", "size", "h", "whole", "pick"), "picked")
-    got = {r["pattern"]: r["n"] for r in doc.filter("pick").groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
-    gaps = small([(p, want - got.get(p, 0)) for p, _, want in wants], "pattern string, gap long")
-    fits = doc.filter("not pick and size > 0").join(gaps, "pattern").filter("size <= gap")
-    more = fits.groupBy("pattern", "gap", "size").agg(F.count("*").alias("n")).groupBy("pattern").applyInPandas(
-        _greedy, "pattern string, size long, k long")
-    nth = F.row_number().over(Window.partitionBy("pattern", "size").orderBy("h", "doc_id", "key"))
-    extra = fits.join(more, ["pattern", "size"]).withColumn("nth", nth).filter("nth <= k").select("key", F.lit(1).alias("extra"))
-    doc = doc.join(extra, "key", "left")
-    times = F.col("whole") + F.when(F.col("pick") | F.col("extra").isNotNull(), 1).otherwise(0)
+    sums = narrow.groupBy("pattern", bucket.alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("c"))
+    sums = sums.join(small(wants, "pattern string, whole long, want long"), "pattern")
+    sums = stored(sums.withColumns({"end": F.sum("n").over(up_to), "docs": F.sum("c").over(up_to)}), "buckets")
+    # the bucket in which the wanted words end, and the buckets with AROUND documents on either side
+    cut = sums.filter("end - n <= want and want < end").groupBy("pattern").agg(F.min(F.struct("bucket", "docs", "c")).alias("cut"))
+    near = sums.join(F.broadcast(cut), "pattern").filter(
+        (F.col("docs") > F.col("cut.docs") - F.col("cut.c") - AROUND) & (F.col("docs") - F.col("c") < F.col("cut.docs") + AROUND))
+    zones = near.groupBy("pattern").agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"),
+                                        F.max(F.col("want") - F.col("end") + F.col("n")).alias("rest"))
+    zones = {r["pattern"]: (r["low"], r["high"], r["rest"]) for r in zones.collect()}
+    zones = small([(p, whole, *zones.get(p, (-1, -1, 0))) for p, whole, _ in wants], "pattern string, whole long, low long, high long, rest long")
+    doc = narrow.join(zones, "pattern").withColumn("bucket", bucket)
+    inside = F.col("bucket").between(F.col("low"), F.col("high"))
+    # a zone is a 4096th of its pattern, or some hundred documents
+    chosen = doc.filter(inside).select("pattern", "key", "doc_id", "size", "h", "rest").groupBy("pattern").applyInPandas(_choose, "key long, pick boolean")
+    doc = doc.join(chosen, "key", "left")
+    times = F.col("whole") + F.when(F.coalesce("pick", F.col("bucket") < F.col("low")), 1).otherwise(0)
     return doc.select("doc_id", "pattern", "size", (F.col("size") * times).alias("taken"))
 
 
