@@ -16,8 +16,9 @@ _SENTINEL_JSON = '"\\u0001~chunkmill-json-sentinel~\\u0002"'
 
 def strict_json(c) -> Column:
     """VARIANT of ``c`` when the whole text is exactly one JSON value (as ``json.loads`` would
-    accept it), else null. Differences: bare ``NaN``/``Infinity`` and duplicate keys count as
-    invalid here."""
+    accept it), else null. A repeated key keeps its last value where the session sets
+    ``spark.sql.variant.allowDuplicateKeys`` (``build_session`` does). Difference: bare ``NaN`` and
+    ``Infinity`` count as invalid here."""
     def check(w):
         ok = (F.try_variant_get(w, "$[1]", "string") == F.lit(_SENTINEL)) & F.try_variant_get(w, "$[2]", "variant").isNull()
         return F.when(ok, F.try_variant_get(w, "$[0]", "variant"))

@@ -51,6 +51,13 @@ def drop_replacement_chars(c) -> Column:
     return F.regexp_replace(col_(c), "�", "")
 
 
+def decode_lenient(binary: Column) -> Column:
+    """Bytes read as UTF-8; those that are not are dropped (``errors='ignore'``). Valid texts keep
+    their own U+FFFD characters."""
+    s = binary.cast("string")
+    return F.when(F.is_valid_utf8(s), s).otherwise(drop_replacement_chars(F.make_valid_utf8(s)))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` (lambda variables are not re-evaluated;
     plain Column references inside lambdas would be, on every use)."""

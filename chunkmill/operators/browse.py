@@ -80,11 +80,13 @@ def random_select(table: DataFrame, n: int = 50, seed: int = 0) -> DataFrame:
     Picking is a top-n (bounded), flagged rows are joined back by id."""
     key = F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#{seed}")))
     picked = table.select("id").orderBy(key, "id").limit(n).withColumn("_pick", F.lit(True))
-    return (table.join(F.broadcast(picked), "id", "left")
+    return (table.join(picked, "id", "left")
             .withColumn("select", F.coalesce(F.col("_pick"), F.lit(False))).drop("_pick"))
 
 
 def edit_chunks(store: DataFrame, edits: DataFrame) -> DataFrame:
-    """Corrected texts ``id, new_text`` written over the store by id."""
-    e = edits.select("id", F.col("new_text").alias("_new"))
+    """Corrected texts ``id, new_text`` written over the store by id. Of several edits of one chunk the last one by
+    ``edit_no`` counts (without that column: the greatest text, so the result is defined)."""
+    order = F.struct("edit_no", "new_text") if "edit_no" in edits.columns else F.struct("new_text")
+    e = edits.groupBy("id").agg(F.max(order)["new_text"].alias("_new"))
     return (store.join(e, "id", "left").withColumn("chunk_text", F.coalesce("_new", "chunk_text")).drop("_new"))

@@ -51,10 +51,10 @@ def parse_text_table(tables: DataFrame, text_col: str = "text", legacy: bool = F
     parts = F.filter(F.split(F.col("line"), WS_CLASS + "+", -1), lambda p: p != "")
     r = lines.withColumn("_p", parts).where(F.size("_p") >= 3)
     if legacy:
-        size, rest = F.element_at("_p", 3), F.slice("_p", 4, 1 << 20)
+        size, rest = F.element_at("_p", 3), F.slice("_p", F.lit(4), F.size("_p"))
     else:
         size = F.concat_ws(" ", F.element_at("_p", 3), F.element_at("_p", 4))
-        rest = F.slice("_p", 5, 1 << 20)
+        rest = F.slice("_p", F.lit(5), F.size("_p"))
     keep = [c for c in tables.columns if c != text_col]
     return r.select(*keep, "line_no", F.element_at("_p", 1).alias("name"), size.alias("size"),
                     F.array_join(rest, " ").alias("modified"))
@@ -84,7 +84,7 @@ def list_exports(inventory: DataFrame, root: str) -> DataFrame:
     newest modification time, newest first."""
     r = root.rstrip("/") + "/"
     inv = inventory.where(F.col("path").startswith(r)).withColumn(
-        "top", F.regexp_extract(F.substring("path", len(r) + 1, 1 << 20), r"^([^/]+)/", 1)).where(F.col("top") != "")
+        "top", F.regexp_extract(F.substring("path", F.lit(len(r) + 1), F.length("path")), r"^([^/]+)/", 1)).where(F.col("top") != "")
     f = _in_dir(inv)
     g = f.groupBy("top").agg(F.bool_or((F.col("name") == CONFIG_FILE) & (F.col("dir") == F.concat(F.lit(r), F.col("top")))).alias("_cfg"),
                              F.sum("length").alias("bytes"), F.max("modificationTime").alias("modified"))
@@ -96,7 +96,7 @@ def checkpoint_info(inventory: DataFrame, root: str) -> DataFrame:
     """Sub-folders named ``checkpoint-*``: name, step (text after the last ``-``), newest time."""
     r = root.rstrip("/") + "/"
     inv = inventory.where(F.col("path").startswith(r)).withColumn(
-        "name", F.regexp_extract(F.substring("path", len(r) + 1, 1 << 20), r"^([^/]+)/", 1))
+        "name", F.regexp_extract(F.substring("path", F.lit(len(r) + 1), F.length("path")), r"^([^/]+)/", 1))
     g = inv.where(F.col("name").startswith(CHECKPOINT_PREFIX)).groupBy("name").agg(F.max("modificationTime").alias("modified"))
     return g.select("name", F.element_at(F.split("name", "-", -1), -1).alias("step"),
                     F.concat(F.lit(r), F.col("name")).alias("path"), "modified")

@@ -65,11 +65,11 @@ def merge_totals(merged: DataFrame) -> DataFrame:
 def merge_dedup_content(stores: DataFrame) -> DataFrame:
     """M6: merge keeping one chunk per identical text: the first by (store_rank, id); the store it
     came from is kept as ``original_db``. A text repeated in a third of all rows is combined
-    map-side before the shuffle."""
-    best = stores.groupBy("chunk_text").agg(F.min(F.struct("store_rank", "id")).alias("_b"))
-    j = stores.join(best, "chunk_text")
-    return (j.where((F.col("store_rank") == F.col("_b.store_rank")) & (F.col("id") == F.col("_b.id")))
-            .drop("_b").withColumnRenamed("store", "original_db"))
+    map-side before the shuffle; ``(store_rank, id)`` is unique, so the join has no hot key."""
+    digest = F.sha2("chunk_text", 256)  # the text itself is neither grouped, sorted nor joined on
+    best = stores.groupBy(digest.alias("_d")).agg(F.min(F.struct("store_rank", "id")).alias("_b"))
+    best = best.select(F.col("_b.store_rank").alias("store_rank"), F.col("_b.id").alias("id"))
+    return stores.join(best, ["store_rank", "id"], "left_semi").withColumnRenamed("store", "original_db")
 
 
 def list_stores(registry: DataFrame, default: str = DEFAULT_STORE) -> DataFrame:
@@ -93,6 +93,11 @@ def store_catalogue(stores: DataFrame) -> DataFrame:
                                        F.count_distinct("filename").alias("sources"))
 
 
+def store_sources(stores: DataFrame) -> DataFrame:
+    """The sources of every store as rows ``store, source, chunks`` (the list can be as long as the store)."""
+    return stores.groupBy("store", F.col("filename").alias("source")).agg(F.count(F.lit(1)).alias("chunks"))
+
+
 def missing_stores(requested: DataFrame, registry: DataFrame) -> DataFrame:
     """M9: requested names that are not registered. Fewer than two requests is an error."""
     if requested.limit(2).count() < 2:

@@ -97,10 +97,11 @@ def offline_generator(prompts: pd.Series) -> pd.Series:
 
 
 def generate_responses(requests: DataFrame, prompt_col: str, generate: Callable[[pd.Series], pd.Series] | None = None,
-                       parallelism: int | None = MAX_PARALLEL_REQUESTS, retries: int = 3, backoff: float = 0.5) -> DataFrame:
+                       parallelism: int | None = None, retries: int = 3, backoff: float = 0.5) -> DataFrame:
     """add ``reply``, ``error`` and ``attempts`` by calling ``generate`` on Arrow batches.
 
-    ``parallelism`` caps concurrent calls (one task per partition). A failing batch is retried
+    ``parallelism`` caps concurrent calls (one task per partition), for services with a rate limit
+    (the original allowed ``MAX_PARALLEL_REQUESTS``); by default the input's partitions decide. A failing batch is retried
     with growing waits; a request that still fails gets a null reply and its error text. Tasks may
     run twice, so keep ``request_id`` in the result and deduplicate downstream if the service
     has side effects."""
@@ -171,17 +172,19 @@ def parse_reply_strict(reply) -> Column:
 
 
 def parse_reply_or_wrap(reply, source) -> Column:
-    """JSON object with both keys -> kept (``n_keys`` counts extras too); other JSON -> null;
-    not JSON -> ``instruction = "Question based on <source>"``, ``output = reply``."""
+    """JSON object with both keys -> kept, the whole object in ``sample`` (JSON text with all of its keys;
+    ``n_keys`` counts them); other JSON -> null; not JSON -> ``instruction = "Question based on
+    <source>"``, ``output = reply``."""
     c = col_(reply)
 
     def body(v):
         def with_keys(keys):
             keep = is_object(v) & has_key(v, "instruction", keys) & has_key(v, "output", keys)
             wrapped = F.struct(fill(WRAP_INSTRUCTION, source).alias("instruction"),
-                               c.alias("output"), F.lit(2).alias("n_keys"))
+                               c.alias("output"), F.lit(2).alias("n_keys"),
+                               F.to_json(F.struct(fill(WRAP_INSTRUCTION, source).alias("instruction"), c.alias("output"))).alias("sample"))
             kept = F.struct(text_of(v, "instruction").alias("instruction"), text_of(v, "output").alias("output"),
-                            F.size(keys).alias("n_keys"))
+                            F.size(keys).alias("n_keys"), F.to_json(v).alias("sample"))
             return F.when(c.isNull() | (c == ""), F.lit(None)).when(v.isNull(), wrapped).when(keep, kept)
 
         return let(object_keys(v), with_keys)
@@ -189,18 +192,17 @@ def parse_reply_or_wrap(reply, source) -> Column:
     return let(strict_json(c), body)
 
 
-def generation_summary(results: DataFrame, index: str = "request_no", top_errors: int = 10) -> DataFrame:
-    """samples made, failures, success flag and the first ``top_errors`` error lines
-    (``Sample i: <text>``) in request order. The error list is a bounded top-k, never all errors."""
+def generation_summary(results: DataFrame) -> DataFrame:
+    """samples made, failures and success flag (the error lines are ``generation_errors``)."""
     counts = results.agg(F.count_if(F.col("sample").isNotNull()).alias("samples"),
                          F.count_if(F.col("error").isNotNull()).alias("errors"))
-    line = fill(ERROR_LINE, index, "error")
-    first = (results.where(F.col("error").isNotNull()).orderBy(index).limit(top_errors)
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), line.alias("l")))),
-                                           lambda x: x["l"]), "\n").alias("first_errors")))
-    first_col = first.select(F.coalesce(F.col("first_errors"), F.lit("")).alias("e")).scalar()
-    return counts.select("samples", "errors", (F.col("samples") >= 1).alias("success"),
-                         first_col.alias("first_errors"))
+    return counts.withColumn("success", F.col("samples") >= 1)
+
+
+def generation_errors(results: DataFrame, index: str = "request_no") -> DataFrame:
+    """every error as a row ``request_no, line`` (``Sample i: <text>``); all of them, as rows, because they
+    grow with the requests."""
+    return results.where(F.col("error").isNotNull()).select(index, fill(ERROR_LINE, index, "error").alias("line"))
 
 
 def reply_content(provider, status, body) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STRIP_PATTERN
 from ..operators.chunking import encode_metadata, explode_chunks, window_chunks
-from ..session import spread
 
 FIXED_TIME = "2024-01-01T00:00:00"
 STORES = {
@@ -28,6 +27,13 @@ STORES = {
 STORE_ORDER = ["A", "B", "C"]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Fixture tables are single row groups, which one task would read: deal them over the cores.
+    (No operator does this; large inputs have one split per block.)"""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; spread over the cores when the file is a single row group."""
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))

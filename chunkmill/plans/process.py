@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import strict_json
 from ..operators.store import empty_store, ingest, ingest_summary
-from ..session import spread
-from ..functions.text import drop_replacement_chars
-from ..sources.extract import (csv_file_to_text, flatten_json_to_text, html_to_text, notebook_to_text, plain_text,
+from ..functions.text import decode_lenient, normalize_newlines
+from ..sources.extract import (csv_file_to_text, flatten_json_to_text, html_to_text, notebook_to_text,
                                route_by_extension, suffix)
-from ..sources.store_io import read_store, store_exists, write_store
+from ..sources.store_io import current_version, write_store
 
 
 def _norm_path(c):
@@ -29,19 +27,19 @@ def extract_files(spark: SparkSession, path: str) -> DataFrame:
     the content cannot be read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
              .select(_norm_path(F.col("path")).alias("path"), "content"))
-    files = spread(files).select(
+    files = files.select(
         "path", F.regexp_extract("path", r"([^/]*)$", 1).alias("filename"), suffix("path", lower=False).alias("file_type"),
         route_by_extension("path").alias("loader"), "content")
-    raw = F.decode(F.col("content"), "UTF-8")
-    text = (F.when(F.col("loader") == "text", plain_text(raw))
-            .when(F.col("loader") == "html", html_to_text(plain_text(raw)))
+    # bytes that are not UTF-8 are dropped from texts; a JSON file or notebook that holds any fails alone
+    lenient, raw = decode_lenient(F.col("content")), F.try_validate_utf8(F.col("content").cast("string"))
+    text = (F.when(F.col("loader") == "text", normalize_newlines(lenient))
+            .when(F.col("loader") == "html", html_to_text(normalize_newlines(lenient)))
             .when(F.col("loader") == "notebook", notebook_to_text(raw))
-            .when(F.col("loader") == "csv", csv_file_to_text(drop_replacement_chars(raw))))
+            .when(F.col("loader") == "csv", csv_file_to_text(lenient)))
     base = files.select("path", "filename", "file_type", "loader", text.alias("text"), raw.alias("_raw"))
     keep = ["path", "filename", "file_type", "loader"]
-    # JSON needs one pass per nesting level; every other format is one expression per file
     js = base.where(F.col("loader") == "json")
-    js_text = flatten_json_to_text(js.where(strict_json(F.col("_raw")).isNotNull()).select("path", "_raw"), "path", "_raw")
+    js_text = flatten_json_to_text(js.select("path", "_raw"), "path", "_raw")
     out = base.where(F.col("loader").isNull() | (F.col("loader") != "json")).drop("_raw")
     out = out.unionByName(js.select(*keep).join(js_text, "path", "left"))
     return out.withColumn("input_order", F.col("path"))
@@ -52,9 +50,10 @@ def process_documents(spark: SparkSession, path: str, store_root: str | None = N
     """Process every file under ``path`` into the store at ``store_root`` (a new version is
     published when given). Returns ``(details, summary)``; ``details`` has one row per file."""
     files = extract_files(spark, path)
-    store = read_store(spark, store_root) if store_root and store_exists(spark, store_root) else empty_store(spark)
+    base = current_version(spark, store_root) if store_root else None
+    store = spark.read.parquet(f"{store_root.rstrip('/')}/{base}") if base else empty_store(spark)
     details, new_store = ingest(files, store, overwrite=overwrite, splitter=splitter, build_store=bool(store_root),
                                 **split_kw)
     if store_root:
-        write_store(new_store, store_root)
+        write_store(new_store, store_root, base=base)
     return details, ingest_summary(details)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import (import_as_new_store, import_counts, import_merge, import_replace, list_stores,
                                merge_dedup_content, merge_stores, merge_totals, metadata_or_empty, missing_stores,
-                               store_catalogue)
+                               store_catalogue, store_sources)
 from .fixtures import chunk_store, store_sql, stores_union, stores_union_sql, table
 from .registry import query
 
@@ -99,6 +99,12 @@ def q_catalogue(spark, sf):
     return store_catalogue(stores_union(spark, sf))
 
 
+@query("store_sources", "M8 I7", f"""
+SELECT store, filename AS source, count(*) AS chunks FROM ({U}) GROUP BY store, filename""")
+def q_sources(spark, sf):
+    return store_sources(stores_union(spark, sf))
+
+
 @query("missing_stores", "M9", f"""
 SELECT store FROM (VALUES ('A'), ('C'), ('Z')) r(store) WHERE store NOT IN (SELECT store FROM ({U}))""")
 def q_missing(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.browse import random_select, selection_table, set_selection
 from ..operators.samples import (DEFAULT_SYSTEM_PROMPT, DEFAULT_TOPIC_PROMPT, JSON_FORMAT_REQUEST, STYLES,
                                  build_dialogs, chat_request, classify_status, even_sample, expand_requests,
-                                 flat_request, format_instruction, generate_responses, generation_summary,
+                                 flat_request, format_instruction, generate_responses, generation_errors, generation_summary,
                                  parse_reply_or_wrap, parse_reply_strict, preview_samples, render_prompt,
                                  reply_content, select_by_ids, style_instruction, system_prompt, truncate_tokens)
 from ..operators.store import chunk_view
@@ -240,13 +240,21 @@ def q_wrap(spark, sf):
 WITH s AS ({STRICT_SQL}), e AS (SELECT id FROM s WHERE instruction IS NULL AND output IS NULL)
 SELECT (SELECT count(*) FROM s WHERE NOT (instruction IS NULL AND output IS NULL)) AS samples,
        (SELECT count(*) FROM e) AS errors,
-       (SELECT count(*) FROM s WHERE NOT (instruction IS NULL AND output IS NULL)) >= 1 AS success,
-       coalesce((SELECT string_agg('Sample ' || CAST(id AS VARCHAR) || ': Unparseable reply', chr(10) ORDER BY id)
-                 FROM (SELECT id FROM e ORDER BY id LIMIT 10)), '') AS first_errors""")
+       (SELECT count(*) FROM s WHERE NOT (instruction IS NULL AND output IS NULL)) >= 1 AS success""")
 def q_gen_summary(spark, sf):
-    s = _strict(spark, sf).select(F.col("id").alias("request_no"), "sample",
-                                  F.when(F.col("sample").isNull(), F.lit("Unparseable reply")).alias("error"))
-    return generation_summary(s, "request_no")
+    return generation_summary(_results(spark, sf))
+
+
+@query("generation_errors", "F12", f"""
+SELECT id AS request_no, 'Sample ' || CAST(id AS VARCHAR) || ': Unparseable reply' AS line
+FROM ({STRICT_SQL}) WHERE instruction IS NULL AND output IS NULL""")
+def q_gen_errors(spark, sf):
+    return generation_errors(_results(spark, sf))
+
+
+def _results(spark, sf):
+    return _strict(spark, sf).select(F.col("id").alias("request_no"), "sample",
+                                     F.when(F.col("sample").isNull(), F.lit("Unparseable reply")).alias("error"))
 
 
 EVENTS_REPLY_SQL = """

@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
     "spark.sql.session.timeZone": "UTC",
+    # JSON objects with a repeated key keep its last value, as Python's decoder does
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
@@ -75,17 +77,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over the cluster's cores when its scan yields fewer partitions (a small
-    table stored as one row group). Large inputs already have one split per file block, so they
-    pass through without a shuffle. The partition count is known at planning time."""
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def range_partitioned(df: DataFrame, cols: list, num_partitions: int | None = None) -> DataFrame:
     """Range partition ``df`` on ``cols`` and sort inside partitions. Without an explicit count the
     shuffle setting applies and AQE may merge neighbouring ranges (order is kept); the count is

@@ -6,14 +6,15 @@ that an upstream reader produced.
 
 from __future__ import annotations
 
-from ..fixed import FIELD_SEPARATOR, LOADERS, SHEET_HEADER
-from ..session import cut_lineage
+import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import (LINE_BREAK, col_, drop_replacement_chars, has_text, normalize_newlines,
-                              ustrip)
+from ..fixed import FIELD_SEPARATOR, LOADERS, SHEET_HEADER
+from ..functions.text import (LINE_BREAK, col_, decode_lenient, drop_replacement_chars, has_text,
+                              normalize_newlines, ustrip)
 
 
 def suffix(path, lower: bool = True) -> Column:
@@ -80,7 +81,7 @@ def decode_entities(c) -> Column:
         m = F.regexp_extract(p, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
         code = F.when(F.lower(F.substring(m, 1, 1)) == "x", F.conv(F.substring(m, 2, 10), 16, 10)).otherwise(m).cast("long")
         ch = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return (F.when(i == 0, p).when(m != "", F.concat(ch, p.substr(F.length(m) + 2, F.lit(1 << 30))))
+        return (F.when(i == 0, p).when(m != "", F.concat(ch, p.substr(F.length(m) + 2, F.length(p))))
                 .otherwise(F.concat(F.lit("&#"), p)))
 
     out = F.when(out.contains("&#"), F.array_join(F.transform(parts, piece), "")).otherwise(out)
@@ -161,8 +162,10 @@ def csv_records_to_text(records: DataFrame, file: str = "file", order: str = "re
 
 # Python csv (excel dialect): fields separated by commas; a field may be quoted, with "" for a
 # quote and line breaks inside; records end at a line break outside quotes.
-_CSV_RECORD = r'(?:"(?:[^"]|"")*"|[^,\n])*(?:,(?:"(?:[^"]|"")*"|[^,\n])*)*'
-_CSV_FIELD = r',((?:"(?:[^"]|"")*"|[^,])*)'  # applied to "," + record: every match is non-empty
+# Possessive runs: the matcher loops instead of recursing, so cells may be of any length.
+_CSV_QUOTED = r'"(?:[^"]++|"")*+"'
+_CSV_RECORD = rf'(?:{_CSV_QUOTED}|[^"\n]++|")++'
+_CSV_FIELD = rf',((?:{_CSV_QUOTED}|[^",]++|")*+)'  # applied to "," + record: every match is non-empty
 
 
 def csv_file_records(text) -> Column:
@@ -185,12 +188,11 @@ def csv_file_to_text(text) -> Column:
 
 
 def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """CSV files as records ``file, record_no, fields`` (quotes and multi-line fields handled by
-    Spark's reader; blank lines skipped; header kept as a record)."""
-    df = spark.read.option("header", "false").option("multiLine", "true").option("escape", '"').csv(path)
-    cols = df.columns
-    return df.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("record_no"),
-                     F.array(*[F.col(c) for c in cols]).alias("fields"))
+    """CSV files as records ``file, record_no, fields``: blank lines skipped, header kept as a record,
+    every record with its own number of fields. A file with quoted line breaks cannot be split, so
+    each file is one row until its records are exploded."""
+    df = spark.read.format("binaryFile").load(path)
+    return df.select(F.col("path").alias("file"), F.posexplode(csv_file_records(decode_lenient(F.col("content")))).alias("record_no", "fields"))
 
 
 def sheet_rows_to_text(rows: DataFrame, workbook: str = "workbook", sheet_no: str = "sheet_no", sheet: str = "sheet",
@@ -221,78 +223,50 @@ def paragraphs_to_text(paragraphs) -> Column:
 # Nested JSON -> "path: value" lines
 # ----------------------------------------------------------------------------------------------
 
-def _kind(v: Column) -> Column:
-    k = F.schema_of_variant(v)
-    return F.when(k.startswith("OBJECT"), "obj").when(k.startswith("ARRAY"), "arr").otherwise("scalar")
-
-
-def py_float(d: Column) -> Column:
-    """A double printed like Python's ``repr(float)``: plain digits for 1e-4 <= |x| < 1e16 (shortest
-    digits, at least one decimal), else ``1.5e+20`` style."""
-    plain = F.regexp_replace(F.regexp_replace(d.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
-    sci = F.regexp_replace(F.regexp_replace(d.cast("string"), r"\.0E", "E"), r"E(-?)(\d+)$", "e$1$2")
-    sci = F.regexp_replace(F.regexp_replace(sci, r"e(\d)", "e+$1"), r"e([+-])(\d)$", "e$10$2")
-    a = F.abs(d)
-    return (F.when(d.isNull(), F.lit(None)).when(F.isnan(d), F.lit("nan"))
-            .when(a == F.lit(float("inf")), F.when(d > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-            .when(a == 0, F.when(d.cast("string").startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
-            .when((a >= 1e-4) & (a < 1e16), plain).otherwise(sci))
-
-
-def _py_scalar(v: Column, raw: Column) -> Column:
-    """A JSON scalar (VARIANT, with its source text) printed as Python prints the decoded value:
-    ``None``, ``True``, ints as digits, floats as ``repr(float)``, strings as they are. Python reads
-    a number as float when its text has a fraction or exponent, so the text decides."""
-    k = F.schema_of_variant(v)
-    numeric = k.rlike("^(DECIMAL|DOUBLE|FLOAT|BIGINT|INT|SMALLINT|TINYINT)")
-    is_float = numeric & raw.rlike("[.eE]")
-    return (F.when(F.is_variant_null(v), F.lit("None"))
-            .when(k == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
-            .when(k == "STRING", F.try_variant_get(v, "$", "string"))
-            .when(is_float, py_float(F.try_variant_get(v, "$", "double")))
-            .otherwise(F.to_json(v)))
-
-
-def flatten_json_lines(df: DataFrame, key: str, json_col: str, max_depth: int = 64) -> DataFrame:
-    """One row per leaf ``key, _opath, line`` (``_opath`` = ordinal path, for ordering). Objects
-    give ``a.b``, lists ``a[0]``; empty containers give nothing; a scalar root gives ``: value``.
-
-    One pass per nesting level. Key order: ``map<string,string>`` keeps source order and the
-    nested text of containers; ``map<string,variant>`` of the same text gives each value's type
-    and scalar value (VARIANT alone would sort keys)."""
-    root = df.select(key, F.array().cast("array<int>").alias("_opath"), F.lit("").alias("_name"),
-                     F.col(json_col).alias("_raw"), F.try_parse_json(F.col(json_col)).alias("_v"))
-    leaves = root.where(_kind(F.col("_v")) == "scalar").select(
-        key, "_opath", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line"))
-    level = root.where(_kind(F.col("_v")) != "scalar").select(key, "_opath", "_name", "_raw", _kind(F.col("_v")).alias("_k"))
-    for _ in range(max_depth):
-        # each level is checkpointed to the shared folder: the next pass and the final union
-        # read it back instead of recomputing the levels above, also after an executor loss
-        level = cut_lineage(level)
-        if level.isEmpty():
-            break
-        objs = level.where(F.col("_k") == "obj").select(
-            key, "_opath", "_name", F.from_json("_raw", "map<string,variant>").alias("_mv"),
-            F.posexplode(F.map_entries(F.from_json("_raw", "map<string,string>"))).alias("_i", "_e"))
-        objs = objs.select(key, F.array_append("_opath", F.col("_i")).alias("_opath"),
-                           F.when(F.col("_name") == "", F.col("_e.key"))
-                           .otherwise(F.concat(F.col("_name"), F.lit("."), F.col("_e.key"))).alias("_name"),
-                           F.col("_e.value").alias("_raw"), F.element_at("_mv", F.col("_e.key")).alias("_v"))
-        arrs = level.where(F.col("_k") == "arr").select(
-            key, "_opath", "_name",
-            F.posexplode(F.arrays_zip(F.from_json("_raw", "array<string>").alias("s"),
-                                      F.from_json("_raw", "array<variant>").alias("v"))).alias("_i", "_z"))
-        arrs = arrs.select(key, F.array_append("_opath", F.col("_i")).alias("_opath"),
-                           F.concat(F.col("_name"), F.lit("["), F.col("_i").cast("string"), F.lit("]")).alias("_name"),
-                           F.col("_z.s").alias("_raw"), F.col("_z.v").alias("_v"))
-        children = objs.unionByName(arrs).withColumn("_k", _kind(F.col("_v")))
-        leaves = leaves.unionByName(children.where(F.col("_k") == "scalar").select(
-            key, "_opath", F.concat(F.col("_name"), F.lit(": "), _py_scalar(F.col("_v"), F.col("_raw"))).alias("line")))
-        level = children.where(F.col("_k") != "scalar").select(key, "_opath", "_name", "_raw", "_k")
-    return leaves
+def json_leaves(text: str) -> list[str]:
+    """Leaf lines ``path: value`` of one JSON text in document order, values as Python prints them
+    (integers of any length, ``repr`` of floats, None, True). Containers are walked with a stack
+    of iterators, so nesting is limited only by the JSON decoder itself."""
+    def children(name, value):
+        if isinstance(value, dict):
+            return ((f"{name}.{k}" if name else k, v) for k, v in value.items())
+        return ((f"{name}[{i}]", v) for i, v in enumerate(value))
+
+    out, stack = [], [iter([("", json.loads(text))])]
+    while stack:
+        for name, value in stack[-1]:
+            if isinstance(value, (dict, list)):
+                stack.append(iter(children(name, value)))
+                break
+            out.append(f"{name}: {value}")
+        else:
+            stack.pop()
+    return out
+
+
+def _leaves_or_none(text: str | None) -> list[str] | None:
+    try:
+        return None if text is None else json_leaves(text)
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than the decoder goes
+        return None
+
+
+def flatten_json_lines(df: DataFrame, key: str, json_col: str) -> DataFrame:
+    """One row per leaf ``key, line_no, line``. Objects give ``a.b``, lists ``a[0]``; empty containers
+    give nothing; a scalar root gives ``: value``; a repeated key keeps its last value; a text that is
+    not JSON gives no row. No shuffle: each text is flattened where it is."""
+    @F.pandas_udf("array<string>")
+    def leaves(s: pd.Series) -> pd.Series:
+        return s.map(_leaves_or_none)
+
+    return df.select(key, F.posexplode(leaves(F.col(json_col))).alias("line_no", "line"))
 
 
 def flatten_json_to_text(df: DataFrame, key: str, json_col: str) -> DataFrame:
-    """``key, text`` with the leaf lines in document order joined by ``\n``."""
-    lines = flatten_json_lines(df, key, json_col)
-    return ordered_join(lines, [key], "_opath", "line", "\n")
+    """``key, text`` with the leaf lines in document order joined by ``\n``; texts without a leaf give
+    no row."""
+    @F.pandas_udf("string")
+    def joined(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: "\n".join(_leaves_or_none(t) or ()) or None)
+
+    return df.select(key, joined(F.col(json_col)).alias("text")).where(F.col("text").isNotNull())

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,35 +22,55 @@ STORE_READ_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata",
 
 # ---------------------------------------------------------------------------------------------- store
 
+def path_missing(error: AnalysisException) -> bool:
+    """The read failed because the path does not exist (any other failure is a failure)."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """Newest committed version of a store. Versions are named ``v-<epoch ms>-<id>``; after a
-    version's data job commits, a one-row marker dataset ``committed/<version>`` is written, so a
-    listed version is always complete and no pointer is ever rewritten in place."""
+    """Newest committed version of a store, None when there is none yet. Versions are named
+    ``v-<number>-<id>``; after a version's data job commits, a one-row marker dataset
+    ``committed/v-<number>`` is written, so a listed version is always complete and no pointer is
+    ever rewritten in place. A store that cannot be read raises: it is not an empty one."""
     try:
-        newest = spark.read.text(f"{root.rstrip('/')}/committed/v-*").agg(F.max("value")).first()[0]
-    except Exception:  # noqa: BLE001 - no version yet
-        return None
-    return newest or None
+        markers = spark.read.text(f"{root.rstrip('/')}/committed/v-*")
+    except AnalysisException as e:
+        if path_missing(e):
+            return None
+        raise
+    return markers.agg(F.max("value")).first()[0]
 
 
-def write_store(store: DataFrame, root: str, buckets: int | None = None) -> str:
+def write_store(store: DataFrame, root: str, buckets: int | None = None, base: str | None = "current") -> str:
     """Write a new version of the store under ``root`` and commit it with its marker.
 
+    ``base`` is the version that ``store`` was derived from (None: there was none). The new version
+    takes the number after it, and its marker must not exist yet: of two writers that read the
+    same version, the second fails instead of dropping the first one's rows.
+
     Rows are clustered by filename (range partitioned, sorted) so ``WHERE filename = ...`` skips
     files and row groups by min/max statistics, which replaces the original filename index. Each row
     also gets ``row_no``, its dense position in (filename, chunk_index) order, so any viewer page
     is a range filter on ``row_no`` that Parquet statistics push down to a row group or two."""
-    import time
-
     spark = store.sparkSession
-    version = f"v-{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    base = current_version(spark, root) if base == "current" else base
+    number = f"v-{int(base.split('-')[1]) + 1 if base else 1:013d}"
+    version = f"{number}-{uuid.uuid4().hex[:8]}"
     path = f"{root.rstrip('/')}/{version}"
     indexed_store(store, buckets).write.mode("errorifexists").parquet(path)
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("errorifexists").text(
-        f"{root.rstrip('/')}/committed/{version}")
+        f"{root.rstrip('/')}/committed/{number}")
     return path
 
 
+def update_store(spark: SparkSession, root: str, change) -> str:
+    """Publish ``change(store)`` (a delete, import, merge or edit) as the next version of the store."""
+    base = current_version(spark, root)
+    if base is None:
+        raise ValueError(f"no store at {root}")
+    return write_store(change(spark.read.parquet(f"{root.rstrip('/')}/{base}")), root, base=base)
+
+
 def indexed_store(store: DataFrame, buckets: int | None = None) -> DataFrame:
     """The store in (filename, chunk_index) order with a dense ``row_no`` (distributed ordinal: the
     output stays range partitioned and sorted, ready to be written)."""
@@ -161,7 +182,7 @@ def parse_sample_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def load_samples_strict(lines: DataFrame, line: str = "line", failfast: bool = False) -> DataFrame:
-    """Records holding both ``instruction`` and ``output`` (extra keys kept in ``n_keys``);
+    """Records holding both ``instruction`` and ``output`` (the whole object stays in ``sample``);
     malformed lines are flagged in ``rejected`` (or fail the load with ``failfast``)."""
     from ..functions.jsonx import has_key, is_object, object_keys, text_of
 

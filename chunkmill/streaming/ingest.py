@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..operators.chunking import chunk_with, encode_metadata, explode_chunks
 from ..functions.ordering import with_row_index
 from ..functions.text import has_text
 from ..session import scratch_path
+from ..sources.store_io import path_missing
 
 
 def stream_path(path: str) -> str:
@@ -22,8 +24,10 @@ def stream_path(path: str) -> str:
 def _side(spark: SparkSession, store_path: str, name: str) -> DataFrame | None:
     try:
         return spark.read.parquet(f"{store_path.rstrip('/')}/_{name}")
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
+    except AnalysisException as e:
+        if path_missing(e):  # nothing written yet; any other failure must not look like an empty store
+            return None
+        raise
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, splitter: str = "window",
