@@ -29,8 +29,9 @@ from .common import arrow_schema, stored
 from .components import components
 
 BLOCK = 8
-TILE = 4096  # vectors of either side in one tile
-SLACK = 1e-6  # widens ranges and prefilters against rounding; exact tests follow
+TILE = 16384  # vectors of either side in one tile
+SLACK = 1e-6  # widens ranges against rounding
+NEAR = 1e-5  # widens the single-precision test that finds candidates; exact tests follow
 SEED = 20260101
 
 
@@ -135,12 +136,14 @@ def _tile(cosine: float, budget: float, rotations: dict[int, np.ndarray], kind:
         if len(x) and len(y):
             at = parts[b]
             xb, yb = x @ q[:, at], y @ q[:, at]
-            x2 = (xb * xb).sum(axis=1)
-            for lo in range(0, len(y), 512):
-                z = yb[lo:lo + 512]
-                near = x2[None, :] + (z * z).sum(axis=1)[:, None] - 2 * (z @ xb.T) <= limits[b] + SLACK
-                near &= ids_q[lo:lo + 512, None] > ids_d[None, :]
-                j, i = np.nonzero(near)
+            # |x - y|^2 as one product: (x, |x|^2, 1) times (-2y, 1, |y|^2)
+            one = lambda n: np.ones((n, 1))
+            xe = np.hstack((xb, (xb * xb).sum(axis=1, keepdims=True), one(len(x)))).astype(np.float32).T.copy()
+            ye = np.hstack((-2 * yb, one(len(y)), (yb * yb).sum(axis=1, keepdims=True))).astype(np.float32)
+            for lo in range(0, len(y), 256):
+                j, i = np.divmod(np.flatnonzero(ye[lo:lo + 256] @ xe <= limits[b] + NEAR), len(x))
+                once = ids_q[lo + j] > ids_d[i]
+                i, j = i[once], j[once]
                 for k in range(0, len(i), 100_000):
                     ii, jj = i[k:k + 100_000], j[k:k + 100_000] + lo
                     ui, pi = np.unique(ii, return_inverse=True)
