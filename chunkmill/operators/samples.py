@@ -28,15 +28,18 @@ def select_by_ids(view: DataFrame, selection: DataFrame) -> DataFrame:
 
 def even_sample(rows: DataFrame, k: int, order: str = "id") -> DataFrame:
     """``k`` of ``n`` rows in ``order``: every ``max(1, n // k)``-th from the first, first ``k``.
-    ``k < 1`` or ``k > n`` is an error; the ordinal is distributed (range partitioned)."""
-    n = rows.count()
+    ``k < 1`` or ``k > n`` is an error. The ordinal is distributed (range partitioned) and made of
+    the unique ``order`` column alone; the other columns are fetched for the ``k`` rows only."""
+    keys = rows.select(order)
+    n = keys.count()
     if k < 1:
         raise ValueError(MSG_MIN_SAMPLES)
     if k > n:
         raise ValueError(MSG_TOO_MANY.format(k, n))
     step = max(1, n // k)
-    r = with_row_index(rows, [order], "_r")
-    return r.where((F.col("_r") % step == 0) & (F.floor(F.col("_r") / step) < k)).withColumnRenamed("_r", "sample_no")
+    r = with_row_index(keys, [order], "sample_no")
+    picked = r.where((F.col("sample_no") % step == 0) & (F.floor(F.col("sample_no") / step) < k))
+    return rows.join(picked, order)
 
 
 def style_instruction(style) -> Column:

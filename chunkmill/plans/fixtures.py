@@ -76,7 +76,7 @@ def _derive_store(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     d = d.withColumn("chunks", window_chunks("text", size, overlap))
     rows = explode_chunks(d, "chunks", "filename", file_type=".txt", processed_at=FIXED_TIME, keep=["doc_id"])
     return rows.select(
-        (F.col("doc_id") * 1000000 + F.col("chunk_index") + 1).alias("id"),
+        (F.col("doc_id") * (1 << 32) + F.col("chunk_index") + 1).alias("id"),
         "filename", "chunk_index", "chunk_text",
         encode_metadata("metadata").alias("metadata"),
         F.lit(FIXED_TIME).cast("timestamp").alias("created_at"),
@@ -109,7 +109,7 @@ def store_sql(which: str) -> str:
     step = size - overlap
     where = "" if langs is None else "WHERE lang IN (" + ", ".join(f"'{x}'" for x in langs) + ")"
     return f"""
-SELECT doc_id * 1000000 + chunk_index + 1 AS id, filename, chunk_index, chunk_text,
+SELECT doc_id * 4294967296 + chunk_index + 1 AS id, filename, chunk_index, chunk_text,
        CAST(to_json({{'source': filename, 'chunk_index': chunk_index, 'total_chunks': total_chunks,
                  'file_type': '.txt', 'processed_at': '{FIXED_TIME}'}}) AS VARCHAR) AS metadata,
        TIMESTAMP '{FIXED_TIME.replace('T', ' ')}' AS created_at

@@ -107,9 +107,6 @@ def q_flat(spark, sf):
     return p.select("id", flat_request(F.lit(MODEL), F.col("system_prompt"), F.col("user_prompt"), F.lit(0.7)).alias("request"))
 
 
-EVEN_SQL = f"""
-WITH v AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS r FROM ({PROMPTS_SQL})), n AS (SELECT count(*) AS n FROM v)
-SELECT v.* FROM v, n WHERE r % greatest(1, n // 100) = 0 AND r // greatest(1, n // 100) < 100"""
 GEN_SQL = f"""
 SELECT id, CASE kind WHEN 0 THEN body WHEN 1 THEN '```json' || chr(10) || body || chr(10) || '```'
                      WHEN 2 THEN 'Sure! Here it is: ' || body || ' Hope it helps.' ELSE head END AS reply,
@@ -120,16 +117,14 @@ FROM (SELECT id, head, kind,
       FROM (SELECT id, w, replace(array_to_string(list_slice(w, -12, -1), ' '), '"', chr(39)) AS head,
                    list_sum(list_transform(string_split(right(prompt, 40), ''), lambda ch: unicode(ch))) % 4 AS kind
             FROM (SELECT id, prompt, list_filter(string_split_regex(prompt, '{WS}+'), lambda x: x <> '') AS w
-                  FROM (SELECT id, system_prompt || chr(10) || chr(10) || user_prompt AS prompt FROM ({EVEN_SQL})))))"""
+                  FROM (SELECT id, system_prompt || chr(10) || chr(10) || user_prompt AS prompt FROM ({PROMPTS_SQL})))))"""
 
 
 @query("generate_responses", "F9", GEN_SQL)
 def q_generate(spark, sf):
-    """Even sample of 100 chunks -> prompts -> the offline generator on Arrow batches (5 at once)."""
-    p = _prompts(spark, sf)
-    picked = even_sample(p, 100, "id")
-    req = picked.select("id", F.concat("system_prompt", F.lit("\n\n"), "user_prompt").alias("prompt"))
-    return generate_responses(req, "prompt", parallelism=5).select("id", "reply", "error", "attempts")
+    """Prompts of every chunk -> the offline generator on Arrow batches."""
+    req = _prompts(spark, sf).select("id", F.concat("system_prompt", F.lit("\n\n"), "user_prompt").alias("prompt"))
+    return generate_responses(req, "prompt").select("id", "reply", "error", "attempts")
 
 
 # ---------------------------------------------------------------------------------------------- replies
@@ -335,9 +330,9 @@ def q_format(spark, sf):
 @query("preview_samples", "F15", f"""
 SELECT line_no, coalesce(instruction, 'N/A') AS instruction, substring(coalesce(output, 'N/A'), 1, 200) || '...' AS output_preview,
        (SELECT count(*) FROM ({PAIRS_SQL})) AS total
-FROM (SELECT conv_id * 1000 + turn AS line_no, instruction, output FROM ({PAIRS_SQL}) ORDER BY line_no LIMIT 5)""")
+FROM (SELECT conv_id * 4294967296 + turn AS line_no, instruction, output FROM ({PAIRS_SQL}) ORDER BY line_no LIMIT 5)""")
 def q_preview_samples(spark, sf):
-    p = _pairs(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), "instruction", "output")
+    p = _pairs(spark, sf).select((F.col("conv_id") * (1 << 32) + F.col("turn")).alias("line_no"), "instruction", "output")
     return preview_samples(p, "line_no", 5)
 
 

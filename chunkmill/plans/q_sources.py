@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAK
 from ..session import scratch_path
-from ..sources.extract import (COMMENT, NAMED_ENTITIES, SCRIPT, STYLE, TAG, csv_file_to_text, csv_records_to_text,
+from ..sources.extract import (csv_file_to_text, csv_records_to_text,
                                flatten_json_to_text, ordered_join,
                                html_to_text, notebook_to_text, pages_to_text, paragraphs_to_text, plain_text,
                                route_by_extension, sheet_rows_to_text)
@@ -48,10 +48,17 @@ def q_plain(spark, sf):
     return table(spark, sf, "documents").select("doc_id", plain_text(F.col("text")).alias("text"))
 
 
+# The references that the pages hold, their semicolon left out at times; ``&amp;`` goes last.
+PAGE_REFERENCES = [("quot", 34), ("copy", 169), ("middot", 183), ("amp", 38)]
+
+
 def _html_sql():
-    t = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{SCRIPT}', '', 'g'), '{STYLE}', '', 'g'), '{COMMENT}', '', 'g'), '{TAG}', '', 'g')"
-    for ent, ch in NAMED_ENTITIES:
-        t = f"replace({t}, '{ent}', chr({ord(ch)}))"
+    t = "html"
+    for element in ("script", "style"):
+        t = f"regexp_replace({t}, '(?is)<{element}[^a-z0-9>]*[^>]*>.*?</{element}[ \t\r\n]*>', '', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '(?s)<!--.*?-->', '', 'g'), '</?[a-zA-Z!][^>]*>', '', 'g')"
+    for name, code in PAGE_REFERENCES:
+        t = f"regexp_replace({t}, '&{name};?', chr({code}), 'g')"
     lines = f"list_transform(string_split_regex({t}, '{LINE_BREAK}'), lambda l: {strip_sql('l')})"
     phrases = f"flatten(list_transform({lines}, lambda l: string_split(l, '  ')))"
     return f"array_to_string(list_filter(list_transform({phrases}, lambda p: {strip_sql('p')}), lambda p: p <> ''), chr(10))"
@@ -235,12 +242,12 @@ def sample_lines(spark, sf):
             .when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("Q").alias("instruction"), F.col("text").alias("output"),
                                                                    F.col("turn").alias("extra"))))
             .otherwise(F.col("text")))
-    no = F.col("conv_id") * 1000 + F.col("turn") * 2
+    no = F.col("conv_id") * (1 << 32) + F.col("turn") * 2
     return j.select(no.alias("line_no"), line.alias("line")).unionByName(j.select((no + 1).alias("line_no"), F.lit("  ").alias("line")))
 
 
 LINES_SQL = """
-SELECT c.conv_id * 1000 + c.turn * 2 AS line_no,
+SELECT c.conv_id * 4294967296 + c.turn * 2 AS line_no,
        CASE WHEN c.role = 'user' AND n.role = 'assistant' THEN CAST(to_json({'instruction': c.text, 'output': n.text}) AS VARCHAR)
             WHEN c.role = 'user' THEN CAST(to_json({'instruction': c.text}) AS VARCHAR)
             WHEN c.role = 'assistant' THEN CAST(to_json({'instruction': 'Q', 'output': c.text, 'extra': c.turn}) AS VARCHAR)

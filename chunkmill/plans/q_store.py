@@ -72,7 +72,7 @@ def q_view(spark, sf):
 # The batch: every document uploaded twice (the second copy repeats each name) plus three files
 # whose text is missing, empty or blank. The target store is A (languages en and fr).
 
-SECOND = 1000000000
+SECOND = 1 << 40
 BATCH_SQL = f"""
 SELECT doc_id AS input_order, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, text FROM documents
 UNION ALL SELECT doc_id + {SECOND}, 'doc_' || CAST(doc_id AS VARCHAR) || '.txt', text FROM documents

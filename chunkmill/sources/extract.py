@@ -6,6 +6,7 @@ that an upstream reader produced.
 
 from __future__ import annotations
 
+import html as html_lib
 import json
 
 import pandas as pd
@@ -56,38 +57,20 @@ def plain_text(c) -> Column:
 # S3: HTML
 # ----------------------------------------------------------------------------------------------
 
-# Named character references decoded (a common subset of the HTML standard);
-# ``&amp;`` is decoded last so ``&amp;lt;`` stays ``&lt;``.
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&euro;", "€"), ("&laquo;", "«"),
-    ("&raquo;", "»"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
-    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&egrave;", "è"), ("&agrave;", "à"), ("&ccedil;", "ç"),
-    ("&amp;", "&"),
-]
-SCRIPT = r"(?is)<script\b[^>]*>.*?</script\s*>"
-STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
-COMMENT = r"(?s)<!--.*?-->"
-TAG = r"<[!/?a-zA-Z][^>]*>"
+# An element or comment that is never closed reaches to the end of the text; a quoted attribute may hold ``>``.
+SCRIPT = r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)"
+STYLE = r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+TAG = r"""<[!/?a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!/?a-zA-Z][^>]*>"""
 
 
 def decode_entities(c) -> Column:
-    """Named references from ``NAMED_ENTITIES`` and numeric ``&#N;`` / ``&#xH;`` references."""
-    out = col_(c)
-    parts = F.split(out, "&#", -1)
-
-    def piece(p, i):
-        m = F.regexp_extract(p, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
-        code = F.when(F.lower(F.substring(m, 1, 1)) == "x", F.conv(F.substring(m, 2, 10), 16, 10)).otherwise(m).cast("long")
-        ch = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return (F.when(i == 0, p).when(m != "", F.concat(ch, p.substr(F.length(m) + 2, F.length(p))))
-                .otherwise(F.concat(F.lit("&#"), p)))
-
-    out = F.when(out.contains("&#"), F.array_join(F.transform(parts, piece), "")).otherwise(out)
-    for ent, ch in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Character references as the HTML standard reads them: one pass, all names, numbers of any size."""
+    @F.pandas_udf("string")
+    def decoded(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: t if t is None or "&" not in t else html_lib.unescape(t))
+
+    return decoded(col_(c))
 
 
 def html_to_text(html) -> Column:

@@ -106,3 +106,13 @@ def test_edits_and_sources(spark):
     edits = spark.createDataFrame([(1, "x", 1), (1, "c", 2)], "id long, new_text string, edit_no int")
     assert sorted((r.id, r.chunk_text) for r in edit_chunks(store, edits).collect()) == [(1, "c"), (2, "b")]
     assert [tuple(r) for r in store_sources(store).collect()] == [("S", "f", 2)]
+
+
+def test_html_of_real_pages(spark):
+    from chunkmill.sources.extract import html_to_text
+
+    cases = {'<a title="x > y">link</a> &#1114112;&trade; &rarr; &times; &#38;lt; &ampx &am': "link �™ → × &lt; &x &am",
+             "text<script>var a = 1; <b>": "text", "a<!-- never closed <b>x": "a", "1 < 2 <b>bold</b> <i class='a>b'>it</i>": "1 < 2 bold it",
+             "<p title=\"open>text</p>": "text", None: None}
+    df = spark.createDataFrame([(k,) for k in cases], "h string")
+    assert [r.t for r in df.select(html_to_text("h").alias("t")).collect()] == list(cases.values())
