@@ -38,11 +38,23 @@ def _check(size: int, overlap: int) -> None:
 # Fixed windows
 # ---------------------------------------------------------------------------------------------
 
+def _blocks_sql(t: str, size: int) -> str:
+    """The text as consecutive blocks of ``size`` code points, in one pass. A stretch of at most ``size`` is
+    then cut from two blocks, whatever its place, instead of walking from the start of the text."""
+    return f"regexp_extract_all({t}, '(?s).{{1,{size}}}', 0)"
+
+
+def _cut_sql(start: str, length: str, size: int) -> str:
+    """``length`` code points from offset ``start`` of the text whose blocks are ``B``."""
+    j = f"CAST(({start}) div {size} AS INT)"
+    return f"substring(concat(get(B, {j}), coalesce(get(B, {j} + 1), '')), CAST(({start}) % {size} AS INT) + 1, {length})"
+
+
 def _window_items_sql(t: str, size: int, overlap: int, strip_sql) -> str:
     step = size - overlap
     n = f"greatest(1, CAST(ceil((length({t}) - {overlap}) / {step}) AS INT))"
     return (
-        f"transform(sequence(0, {n} - 1), k -> named_struct('txt', {strip_sql(f'substring({t}, k * {step} + 1, {size})')},"
+        f"transform(sequence(0, {n} - 1), k -> named_struct('txt', {strip_sql(_cut_sql(f'k * {step}', str(size), size))},"
         f" 'nxt', -1))"
     )
 
@@ -54,7 +66,16 @@ def window_chunks(text, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP
     step = size - overlap
     t = col_(text)
     n = F.greatest(F.lit(1), F.ceil((F.length(t) - overlap) / step).cast("int"))
-    wins = F.transform(F.sequence(F.lit(0), n - 1), lambda k: ustrip(F.substring(t, k * step + 1, size)))
+
+    def windows(b):
+        def cut(k):
+            j = F.floor(k * step / size).cast("int")
+            two = F.concat(F.get(b, j), F.coalesce(F.get(b, j + 1), F.lit("")))
+            return ustrip(F.substring(two, k * step - j * size + 1, size))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), cut)
+
+    wins = let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), windows)
     return F.filter(wins, lambda w: w != "")
 
 
@@ -85,7 +106,7 @@ def _level_sql(t: str, frm: str, size: int, overlap: int, seps: list[str]) -> st
         f" x -> x != '')"
     )
     nxt = f"IF(c + 1 < {m}, c + 1, -1)"
-    emit = f"array(named_struct('txt', {strip(f'substring({t}, acc.apos + 1, acc.tot)')}, 'nxt', -1))"
+    emit = f"array(named_struct('txt', {strip(_cut_sql('acc.apos', 'acc.tot', size))}, 'nxt', -1))"
     lj = "element_at(L, i)"
     # drop pieces from the front of the window until it holds at most ``overlap`` and the next
     # piece fits (integers only: start piece, its offset, window length)
@@ -114,7 +135,7 @@ def _level_sql(t: str, frm: str, size: int, overlap: int, seps: list[str]) -> st
     )
     packed = f"transform(array({pieces}), P -> transform(array(transform(P, x -> length(x))), L -> {merge})[0])[0]"
     window = _window_items_sql(t, size, overlap, strip)
-    return f"transform(array({choice}), c -> IF({sep} = '', {window}, {packed}))[0]"
+    return f"transform(array({_blocks_sql(t, size)}), B -> transform(array({choice}), c -> IF({sep} = '', {window}, {packed}))[0])[0]"
 
 
 def recursive_chunks(text: str, size: int = DEFAULT_SIZE, overlap: int = DEFAULT_OVERLAP,
