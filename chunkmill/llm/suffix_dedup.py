@@ -7,17 +7,18 @@ members at once (all occurrences, not just neighbours).
 The suffix array is dealt out by anchors: the smallest ``K``-byte hash in a window is the same in every copy
 of the window, so equal windows meet in the bucket of their anchor.
 
-1. Every batch of documents lists its anchors. Those that two of its documents share are repeated; the
-   others are asked for in their bucket, one entry per batch and anchor.
-2. Documents without repeated anchors are finished. The others are written with a batch number.
-3. Per batch, every run of windows with one repeated anchor (a context of at most 2 * WINDOW bytes) goes to
+1. Texts are dealt out by a hash of their id to batches of some megabytes, compressed; this is the only time
+   that they move. Every batch lists its distinct anchors, one entry per batch and anchor, in the buckets.
+   A bucket answers each batch which of them other batches hold as well; those that two documents of one batch
+   share, it knows itself.
+2. Per batch, every run of windows with one repeated anchor (a context of at most 2 * WINDOW bytes) goes to
    the anchor's bucket, equal contexts once with their smallest document. The bucket sorts the suffixes of
    its contexts, takes the longest common prefixes of neighbours and scans the intervals of at
    least ``WINDOW`` bytes; a context that is alone with its anchor needs no sorting.
-4. The smallest document of every window goes back to the batch, whose texts are cut.
+3. The smallest document of every window goes back to the batch, whose texts are cut.
 
-A passage that a third of all documents hold is one entry per batch in steps 1 and 3, and never a list of its
-occurrences. Texts move once; texts of finished documents are never moved again.
+A passage that a third of all documents hold is one entry per batch in either step, and never a list of its
+occurrences. The three passes over the batches read one shuffle.
 
 Defined cases: null text is empty; a null id is larger than every other; rows that repeat an id don't
 remove each other's text; long texts are scanned in overlapping slices; an empty table gives no
@@ -27,19 +28,22 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, stored
+from .common import arrow_schema
 
 WINDOW = 50
-K = 26  # anchor length; WINDOW - K + 1 anchors start in a window
+K = 20  # anchor length; WINDOW - K + 1 anchors start in a window
 W = WINDOW - K + 1
 SLICE = 1 << 20  # bytes hashed at a time
 BUCKET_BYTES = 4 << 20  # text per bucket
+BATCH_BYTES = 16 << 20  # text per batch
 NO_ID = (1 << 63) - 1
 _X = 0x9E3779B97F4A7C15
 _XI = pow(_X, -1, 1 << 64)
@@ -64,7 +68,7 @@ def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h8 = _join(h4[:-4], h4[4:])
     h16 = _join(h8[:-8], h8[8:])
     n = len(raw) - K + 1
-    k = _mix(_join(_join(h16[:n], h8[16:16 + n]), h2[24:24 + n]))  # 16 + 8 + 2 bytes
+    k = _mix(_join(h16[:n], h4[16:16 + n]))  # 16 + 4 bytes
     value, at, width = k, np.arange(n, dtype=np.int32), 1
     while width < W:
         step = min(width, W - width)
@@ -126,133 +130,138 @@ def _texts(column) -> list[bytes]:
     return [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column]
 
 
-_ASK = "bucket int, doc_id long, local array<int>, low binary, high binary, docs binary, counts binary, positions binary"
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed message."""
+    import pyarrow as pa
 
+    raw = b"".join(len(a.tobytes()).to_bytes(8, "little") + a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
 
-def _ask(n_buckets: int):
-    """Step 1: per batch, entries for the buckets and the repeated anchors that the batch knows itself."""
-    def run(batches):
-        import pyarrow as pa
-
-        schema = arrow_schema(_ASK)
-        for batch in batches:
-            ids = _ids(batch.column("doc_id"))
-            found = [(d, p, h) for _, d, p, h, _, _, _ in _runs(_texts(batch.column("text")))]
-            if not found:
-                continue
-            d, p, h = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(h, kind="stable")
-            d, p, h = d[order], p[order], h[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-            who = ids[d]
-            repeated = (np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first))[group]
-            rows = []
-            # anchors that two documents of the batch share: their positions are known, one entry asks for others
-            lead = np.zeros(len(h), bool)
-            lead[first] = True
-            own = np.flatnonzero(repeated)
-            own = own[np.lexsort((p[own], d[own]))]
-            for s, e in _groups(d[own]):
-                rows.append({"bucket": int(ids[d[own[s]]] % n_buckets), "doc_id": int(ids[d[own[s]]]), "local": p[own[s:e]].astype(np.int32)})
-            p = np.where(repeated, -1, p)
-            send = np.flatnonzero(~repeated | lead)
-            bucket = (h[send] % np.uint64(n_buckets)).astype(np.int32)
-            send = send[np.lexsort((p[send], d[send], bucket))]
-            bucket = (h[send] % np.uint64(n_buckets)).astype(np.int32)
-            high = h[send] // np.uint64(n_buckets)
-            for s, e in _groups(bucket):
-                docs, counts = np.unique(d[send[s:e]], return_counts=True)
-                rows.append({"bucket": int(bucket[s]), "doc_id": 0, "low": high[s:e].astype(np.uint32).tobytes(),
-                             "high": (high[s:e] >> np.uint64(32)).astype(np.uint16).tobytes(), "docs": ids[docs].tobytes(),
-                             "counts": counts.astype(np.uint32).tobytes(), "positions": p[send[s:e]].astype(np.int32).tobytes()})
-            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
 
-    return run
+def _unpack(message: bytes, *types) -> list[np.ndarray]:
+    import pyarrow as pa
 
+    size = int.from_bytes(message[:8], "little")
+    raw = pa.Codec("zstd").decompress(message[8:], decompressed_size=size, asbytes=True) if size else b""
+    out, at = [], 0
+    for t in types:
+        n = int.from_bytes(raw[at:at + 8], "little")
+        out.append(np.frombuffer(raw, t, n // np.dtype(t).itemsize, at + 8))
+        at += 8 + n
+    return out
+
+
+def _zip(batches):
+    """Texts compressed one by one, for the shuffle."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        raw = _texts(batch.column("text"))
+        z = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw]
+        yield pa.RecordBatch.from_arrays([pa.array(_ids(batch.column("doc_id")), pa.int64()), batch.column("hash"), batch.column("batch"),
+                                          pa.array(z, pa.binary())], schema=arrow_schema(_TEXT))
+
+
+_TEXT = "id long, hash long, batch int, z binary"
+
+
+def _unzip(z) -> bytes:
+    import pyarrow as pa
+
+    size = int.from_bytes(z[:8], "little")
+    return pa.Codec("zstd").decompress(z[8:], decompressed_size=size, asbytes=True) if size else b""
+
+
+def _lead(*columns: np.ndarray) -> np.ndarray:
+    """First positions of runs of equal rows in sorted columns."""
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
+
+
+def _batch_anchors(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchor hashes of a batch in ascending order, and whether two of its documents hold them."""
+    found = [(d, h) for _, d, _, h, _, _, _ in _runs(texts)]
+    if not found:
+        return np.array([], np.uint64), np.array([], bool)
+    d, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, who = h[order], ids[d[order]]
+    first = _lead(h)
+    return h[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+
+
+_ASK = "bucket int, batch int, entries binary"
 
-def _answer(key, pdf):
-    """Step 1, in a bucket: positions of anchors that several documents hold, per document."""
-    import pandas as pd
-
-    known, asks = pdf[pdf["low"].isna()], pdf[pdf["low"].notna()]
-    out = [(int(d), p) for d, p in zip(known["doc_id"], known["local"], strict=True)]
-    if len(asks):
-        read = lambda c, t: np.frombuffer(b"".join(asks[c]), t)
-        h = read("high", np.uint16).astype(np.uint64) << np.uint64(32) | read("low", np.uint32)
-        who = np.repeat(read("docs", np.int64), read("counts", np.uint32))
-        at = read("positions", np.int32)
-        order = np.argsort(h, kind="stable")
-        h, who, at = h[order], who[order], at[order]
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        size = np.diff(np.append(first, len(h)))
-        # position -1: a batch has found the anchor in two documents of its own
-        shared = (np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)) | (np.minimum.reduceat(at, first) < 0)
-        shared = np.repeat(shared, size)
-        keep = np.flatnonzero(shared & (at >= 0))
-        keep = keep[np.argsort(who[keep], kind="stable")]
-        out += [(int(who[keep[s]]), at[keep[s:e]]) for s, e in _groups(who[keep])]
-    return pd.DataFrame(out, columns=["id", "at"])
-
-
-_SPLIT = "id long, batch long, row long, n_bytes long, kept_sha256 string, text binary, at array<int>"
-
-
-def _split(keep_all: bool):
-    """Step 2: finish documents without repeated anchors; number the batches and rows of the others. ``keep_all`` also keeps
-    finished texts, and the column ``rest``."""
-    def run(batches):
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        schema, number = arrow_schema(_SPLIT), TaskContext.get().partitionId() << 20
-        for batch in batches:
-            texts = _texts(batch.column("text"))
-            at = batch.column("at")
-            done = [not a.is_valid for a in at]
-            columns = [
-                pa.array(_ids(batch.column("doc_id")), pa.int64()), pa.array([number] * len(texts), pa.int64()),
-                pa.array([number << 20 | i for i in range(len(texts))], pa.int64()), pa.array([len(t) for t in texts], pa.int64()),
-                pa.array([hashlib.sha256(t).hexdigest() if x else None for t, x in zip(texts, done, strict=True)], pa.string()),
-                batch.column("text").cast(pa.binary()) if keep_all else pa.array([None if x else t for t, x in zip(texts, done, strict=True)], pa.binary()),
-                at.cast(pa.list_(pa.int32()))]
-            names = list(schema.names)
-            if keep_all:
-                columns.append(batch.column("rest"))
-                names.append("rest")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            number += 1
+
+def _ask(n_buckets: int):
+    """Step 1, in a batch: its anchors, dealt out to the buckets. An anchor is sent as the low 32 bits of its hash over
+    the number of buckets: two different ones that agree there only cost a comparison later."""
+    def run(key, pdf):
+        h, shared = _batch_anchors(pdf["id"].to_numpy(), [_unzip(z) for z in pdf["z"]])
+        bucket = (h % np.uint64(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        h, shared, bucket = (h[order] // np.uint64(n_buckets)).astype(np.uint32), shared[order], bucket[order]
+        rows = [(int(bucket[s]), int(key[0]), _pack(h[s:e], np.packbits(shared[s:e]))) for s, e in _groups(bucket)]
+        return pd.DataFrame(rows, columns=["bucket", "batch", "entries"])
 
     return run
 
 
-def _contexts(texts: list[bytes], at: list, with_bytes: bool = True):
-    """Runs of the documents' repeated anchors: arrays (document, anchor hash, context hash, windows, anchor offset,
-    first window in the document) and the list of contexts."""
-    wanted = [np.sort(np.asarray(x if x is not None else [], np.int64)) for x in at]
-    base = np.cumsum([0, *(len(t) for t in texts)])
-    marks = np.unique(np.concatenate([w + b for w, b in zip(wanted, base, strict=False)])) if wanted else np.array([], int)
+_ANSWER = "batch int, bucket int, entries binary"
+
+
+def _answer(key, pdf):
+    """Step 1, in a bucket: to each batch, those of its anchors that another batch holds, or that two of its documents share."""
+    lists, shared = zip(*(_unpack(e, np.uint32, np.uint8) for e in pdf["entries"]), strict=True)
+    sizes = [len(x) for x in lists]
+    h = np.concatenate(lists)
+    flags = np.concatenate([np.unpackbits(f)[:n] for f, n in zip(shared, sizes, strict=True)])
+    owner = np.repeat(np.arange(len(lists)), sizes)
+    order = np.argsort(h, kind="stable")
+    first = _lead(h[order])
+    times = np.diff(np.append(first, len(h)))
+    repeated = np.repeat((times > 1) | (np.maximum.reduceat(flags[order], first) > 0), times)
+    keep = np.sort(order[repeated])
+    rows = [(int(pdf["batch"].iloc[owner[keep[s]]]), int(key[0]), _pack(h[keep[s:e]])) for s, e in _groups(owner[keep])]
+    return pd.DataFrame(rows, columns=["batch", "bucket", "entries"])
+
+
+def _contexts(texts: list[bytes], wanted: np.ndarray | None, n_buckets: int, with_bytes: bool = True):
+    """Runs of windows with one anchor: arrays (document, bucket, context hash, windows, anchor offset, first window in the
+    document) and their bytes. ``wanted`` holds the repeated anchors as bucket << 32 | entry, in ascending order (None: all)."""
     cols, contexts = [], []
     for raw, d, p, h, first, n, shift in _runs(texts):
-        place = p + base[d]
-        i = np.minimum(np.searchsorted(marks, place), max(len(marks) - 1, 0))
-        hit = np.flatnonzero(marks[i] == place) if len(marks) else np.array([], int)
-        if not len(hit):
+        bucket = h % np.uint64(n_buckets)
+        if wanted is not None:
+            code = bucket << np.uint64(32) | (h // np.uint64(n_buckets)) & np.uint64(0xFFFFFFFF)
+            i = np.minimum(np.searchsorted(wanted, code), max(len(wanted) - 1, 0))
+            hit = np.flatnonzero(wanted[i] == code) if len(wanted) else np.array([], int)
+            d, p, h, bucket, first, n, shift = (x[hit] for x in (d, p, h, bucket, first, n, shift))
+        if not len(d):
             continue
-        d, p, h, first, n, shift = (x[hit] for x in (d, p, h, first, n, shift))
         end = first + n + WINDOW - 1
         offset = p - shift - first  # of the anchor in the context
-        up, down = _context_powers(len(raw))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:len(raw)], dtype=np.uint64)))
-        key = _mix(((sums[end] - sums[first]) * down[first]) ^ (h + n.astype(np.uint64) * np.uint64(_XI) + offset.astype(np.uint64)))
-        cols.append((d, h, key, n, offset, first + shift))
-        whole = raw.tobytes() if with_bytes else b""
-        contexts += [whole[s:e] for s, e in zip(first.tolist(), end.tolist(), strict=True)] if with_bytes else []
+        key = _context_keys(raw, first, end, offset)
+        cols.append((d, bucket.astype(np.int32), key, n, offset, first + shift))
+        if with_bytes:
+            whole = raw.tobytes()
+            contexts += [whole[s:e] for s, e in zip(first.tolist(), end.tolist(), strict=True)]
     empty = np.array([], np.int64)
-    joined = tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (empty, empty.astype(np.uint64), empty.astype(np.uint64), empty, empty, empty)
+    joined = tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (empty, empty, empty.astype(np.uint64), empty, empty, empty)
     return joined, contexts
 
 
+def _context_keys(raw: np.ndarray, first: np.ndarray, end: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """64-bit hashes of raw[first:end], with the anchor's place in it."""
+    up, down = _context_powers(len(raw))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:len(raw)], dtype=np.uint64)))
+    return _mix(((sums[end] - sums[first]) * down[first]) ^ ((end - first) * 64 + offset).astype(np.uint64) * np.uint64(_XI))
+
+
 def _context_powers(n: int) -> np.ndarray:
     if not _POWERS or _POWERS[0].shape[1] <= n:
         steps = np.full((2, max(2 * SLICE, n + 1)), [[_X], [_XI]], np.uint64)
@@ -261,36 +270,32 @@ def _context_powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
-_SEND = "bucket int, batch long, hashes binary, keys binary, windows binary, least binary, most binary, contexts binary"
+_SEND = "bucket int, batch int, contexts binary"
 
 
 def _send(n_buckets: int):
-    """Step 3, per batch: each distinct context once, with its smallest and largest document."""
-    def run(batches):
-        import pyarrow as pa
-
-        schema = arrow_schema(_SEND)
-        for rows in batches:
-            numbers, ids = rows.column("batch").to_numpy(), rows.column("id").to_numpy()
-            texts, at = _texts(rows.column("text")), rows.column("at").to_pylist()
-            for number in np.unique(numbers):
-                mine = np.flatnonzero(numbers == number)
-                (d, h, key, n, _, _), contexts = _contexts([texts[i] for i in mine], [at[i] for i in mine])
-                if not len(d):
-                    continue
-                who = ids[mine][d]
-                bucket = (h % np.uint64(n_buckets)).astype(np.int32)
-                order = np.lexsort((key, bucket))
-                key, bucket, who, n, h = key[order], bucket[order], who[order], n[order], h[order]
-                first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1]))))
-                least, most = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
-                out = []
-                for s, e in _groups(bucket[first]):
-                    f = first[s:e]
-                    out.append({"bucket": int(bucket[f[0]]), "batch": int(number), "hashes": h[f].tobytes(), "keys": key[f].tobytes(),
-                                "windows": n[f].astype(np.int32).tobytes(), "least": least[s:e].tobytes(), "most": most[s:e].tobytes(),
-                                "contexts": b"".join([contexts[i] for i in order[f]])})
-                yield pa.RecordBatch.from_arrays([pa.array([r[x.name] for r in out], x.type) for x in schema], schema=schema)
+    """Step 2, in a batch: each distinct context of a repeated anchor once, with its smallest and largest document."""
+    def run(key, docs, answers):
+        ids = docs["id"].to_numpy()
+        known = [np.uint64(b) << np.uint64(32) | _unpack(e, np.uint32)[0].astype(np.uint64)
+                 for b, e in zip(answers["bucket"], answers["entries"], strict=True)]
+        wanted = np.sort(np.concatenate(known)) if known else np.array([], np.uint64)
+        (d, bucket, code, n, offset, _), contexts = _contexts([_unzip(z) for z in docs["z"]], wanted, n_buckets)
+        order = np.lexsort((code, bucket))
+        code, bucket, who, n, offset = code[order], bucket[order], ids[d][order], n[order], offset[order]
+        rows = []
+        if len(code):
+            first = _lead(code, bucket)
+            names, index = np.unique(ids, return_inverse=True)
+            least = np.searchsorted(names, np.minimum.reduceat(who, first)).astype(np.int32)
+            most = np.searchsorted(names, np.maximum.reduceat(who, first)).astype(np.int32)
+            for s, e in _groups(bucket[first]):
+                f = first[s:e]
+                used, at = np.unique(np.concatenate((least[s:e], most[s:e])), return_inverse=True)
+                a, b = at[:e - s].astype(np.int32), at[e - s:].astype(np.int32)
+                rows.append((int(bucket[f[0]]), int(key[0]), _pack(
+                    n[f].astype(np.uint8), offset[f].astype(np.uint8), a, b - a, names[used], np.frombuffer(b"".join([contexts[i] for i in order[f]]), np.uint8))))
+        return pd.DataFrame(rows, columns=["bucket", "batch", "contexts"])
 
     return run
 
@@ -357,19 +362,20 @@ def maximal_repeats(texts: list[bytes], least: int = WINDOW) -> list[tuple[int,
     return sorted(out)
 
 
-_REPLY = "batch long, keys binary, first binary, last binary, least binary"
+_REPLY = "batch int, replies binary"
 
 
 def _scan(key, pdf):
-    """Step 3, in a bucket: the smallest document of every window of every context."""
-    import pandas as pd
-
-    read = lambda c, t: np.frombuffer(b"".join(pdf[c]), t)
-    h, keys, n = read("hashes", np.uint64), read("keys", np.uint64), read("windows", np.int32).astype(np.int64)
-    least, most, raw = read("least", np.int64), read("most", np.int64), read("contexts", np.uint8)
-    batch = np.repeat(pdf["batch"].to_numpy(), [len(x) // 8 for x in pdf["keys"]])
+    """Step 2, in a bucket: the smallest document of every window of every context."""
+    parts = [_unpack(m, np.uint8, np.uint8, np.int32, np.int32, np.int64, np.uint8) for m in pdf["contexts"]]
+    batch = np.repeat(pdf["batch"].to_numpy(), [len(p[0]) for p in parts])
+    n, offset, raw = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 5))
+    n, offset = n.astype(np.int64), offset.astype(np.int64)
+    least, most = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[4][p[2] + p[3]] for p in parts])
     size = n + WINDOW - 1
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    keys = _context_keys(raw, start, start + size, offset)
+    h = _anchor_hashes(raw, start + offset)
     # equal contexts of several batches become one (their bytes are compared, not only their hash)
     order = np.lexsort((keys, h))
     same = np.concatenate(([False], (keys[order][1:] == keys[order][:-1]) & (h[order][1:] == h[order][:-1]) & (n[order][1:] == n[order][:-1])))
@@ -418,8 +424,16 @@ def _scan(key, pdf):
     rows = []
     for x, y in _groups(entry_batch):
         q = piece[x:y]
-        rows.append((int(entry_batch[x]), keys[entry[x:y]].tobytes(), a[q].astype(np.uint8).tobytes(), b[q].astype(np.uint8).tobytes(), s[q].tobytes()))
-    return pd.DataFrame(rows, columns=["batch", "keys", "first", "last", "least"])
+        rows.append((int(entry_batch[x]), _pack(keys[entry[x:y]], a[q].astype(np.uint8), b[q].astype(np.uint8), s[q])))
+    return pd.DataFrame(rows, columns=["batch", "replies"])
+
+
+def _anchor_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the K bytes at the given positions: equal anchors, equal hashes."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(K):
+        out = _join(out, _BYTE[raw[at + k]])
+    return _mix(out)
 
 
 def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 20):
@@ -433,84 +447,90 @@ def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 20):
         yield np.arange(s, e)
 
 
-_CUT = "row long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_CUT = "id long, hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _cut(with_text: bool):
-    """Step 4: remove the covered bytes of a batch's documents. ``with_text`` returns the rest (without what the cuts leave of
-    a character)."""
+def _cut(n_buckets: int, with_text: bool):
+    """Step 3: remove the covered bytes of a batch's documents. ``with_text`` returns the rest, compressed (without what the
+    cuts leave of a character), once for rows that are alike."""
     def run(key, docs, replies):
-        import pandas as pd
-
-        ids = docs["id"].to_numpy()
-        texts = [bytes(t) for t in docs["text"]]
-        (d, _, ctx, _, _, at), _ = _contexts(texts, list(docs["at"]), False)
-        read = lambda c, t: np.frombuffer(b"".join(replies[c]), t)
-        k, a, b, s = read("keys", np.uint64), read("first", np.uint8), read("last", np.uint8), read("least", np.int64)
-        order = np.argsort(k, kind="stable")
-        k, a, b, s = k[order], a[order].astype(np.int64), b[order].astype(np.int64), s[order]
-        f, times = np.searchsorted(k, ctx), np.searchsorted(k, ctx, "right") - np.searchsorted(k, ctx)
-        run_ = np.repeat(np.arange(len(ctx)), times)
-        piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(f, times)
-        keep = s[piece] < ids[d[run_]] if len(run_) else np.array([], bool)
-        run_, piece = run_[keep], piece[keep]
-        owner, low, high = d[run_], at[run_] + a[piece], at[run_] + b[piece] + WINDOW
+        if with_text:
+            docs = docs.drop_duplicates(["id", "hash"])
+        ids, texts = docs["id"].to_numpy(), [_unzip(z) for z in docs["z"]]
+        owner = low = high = np.array([], np.int64)
+        if len(replies):
+            k, a, b, s = (np.concatenate(c) for c in zip(*(_unpack(m, np.uint64, np.uint8, np.uint8, np.int64) for m in replies["replies"]), strict=True))
+            order = np.argsort(k, kind="stable")
+            k, a, b, s = k[order], a[order].astype(np.int64), b[order].astype(np.int64), s[order]
+            (d, _, code, _, _, at), _ = _contexts(texts, None, n_buckets, False)
+            f = np.searchsorted(k, code)
+            times = np.searchsorted(k, code, "right") - f
+            run_ = np.repeat(np.arange(len(code)), times)
+            piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(f, times)
+            keep = s[piece] < ids[d[run_]]
+            run_, piece = run_[keep], piece[keep]
+            owner, low, high = d[run_], at[run_] + a[piece], at[run_] + b[piece] + WINDOW
         rows = []
         by = np.argsort(owner, kind="stable")
         edges = np.searchsorted(owner[by], np.arange(len(texts) + 1))
         for i, t in enumerate(texts):
             mine = by[edges[i]:edges[i + 1]]
-            change = np.zeros(len(t) + 1, np.int64)
-            np.add.at(change, low[mine], 1)
-            np.add.at(change, high[mine], -1)
-            gone = np.cumsum(change[:-1]) > 0
-            kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
-            spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
-            whole = kept.decode("utf-8", "ignore").encode() if with_text else None
-            rows.append((int(docs["row"].iloc[i]), int(ids[i]), len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), whole))
-        return pd.DataFrame(rows, columns=["row", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kept, spans = t, 0
+            if len(mine):
+                change = np.zeros(len(t) + 1, np.int64)
+                np.add.at(change, low[mine], 1)
+                np.add.at(change, high[mine], -1)
+                gone = np.cumsum(change[:-1]) > 0
+                kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
+                spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
+            whole = _pack(np.frombuffer(kept.decode("utf-8", "ignore").encode(), np.uint8)) if with_text else None
+            rows.append((int(ids[i]), int(docs["hash"].iloc[i]), len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), whole))
+        return pd.DataFrame(rows, columns=["id", "hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def _steps(src: DataFrame, keep_all: bool) -> tuple[DataFrame, DataFrame]:
-    """The written table of step 2 and the cut documents of step 4, for ``src`` (doc_id, text as binary, and rest if ``keep_all``)."""
-    spark = src.sparkSession
-    narrow = src.select("doc_id", "text")
-    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    found = narrow.mapInArrow(_ask(n_buckets), _ASK).groupBy("bucket").applyInPandas(_answer, "id long, at array<int>")
-    found = found.groupBy("id").agg(F.flatten(F.collect_list("at")).alias("at"))
-    joined = src.join(found, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("id"), "left").drop("id")
-    schema = StructType.fromDDL(_SPLIT)
-    if keep_all:
-        schema = schema.add(src.schema["rest"])
-    split = stored(joined.mapInArrow(_split(keep_all), schema), "split")
-    shared = split.filter("at is not null").select("id", "batch", "row", "text", "at")
-    replies = shared.mapInArrow(_send(n_buckets), _SEND).groupBy("bucket").applyInPandas(_scan, _REPLY)
-    return split, shared.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_cut(keep_all), _CUT)
+def _steps(docs: DataFrame, with_text: bool) -> DataFrame:
+    """All steps for ``docs`` (doc_id, text): the rows of ``_CUT``."""
+    spark = docs.sparkSession
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets, n_batches = max(least, math.ceil(total / BUCKET_BYTES)), max(least, math.ceil(total / BATCH_BYTES))
+    src = src.select("doc_id", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch"),
+                     F.col("text").cast("binary").alias("text"))
+    # one exchange, which all three passes over the batches read
+    texts = src.mapInArrow(_zip, _TEXT).repartition(n_batches, "batch")
+    asks = texts.groupBy("batch").applyInPandas(_ask(n_buckets), _ASK)
+    answers = asks.groupBy("bucket").applyInPandas(_answer, _ANSWER)
+    contexts = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_send(n_buckets), _SEND)
+    replies = contexts.groupBy("bucket").applyInPandas(_scan, _REPLY)
+    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_cut(n_buckets, with_text), _CUT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    split, cut = _steps(src, False)
-    none = F.lit(0).cast("long")
-    done = split.filter("at is null").select("id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), "kept_sha256")
-    out = done.unionByName(cut.select(done.columns))
-    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), *out.columns[1:])
+    out = _steps(docs, False)
+    return out.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def _unpack_texts(kept):
+    @F.pandas_udf("binary")
+    def texts(s: pd.Series) -> pd.Series:
+        return s.map(lambda m: _unpack(m, np.uint8)[0].tobytes())
+
+    return texts(kept)
 
 
 def cut_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with their columns, repeated passages cut out of ``text``; documents of which nothing is left are dropped."""
-    others = [c for c in docs.columns if c != "text"]
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"),
-                      F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
-    split, cut = _steps(src, True)
-    back = lambda text: [F.col(f"rest.`{c}`").alias(c) if c != "text" else text.cast("string").alias(c) for c in docs.columns]
-    done = split.filter("at is null").select(*back(F.col("text")))
-    cut = cut.filter("n_removed = 0 or octet_length(kept) > 0").select("row", "kept")
-    return done.unionByName(split.filter("at is not null").select("row", "rest").join(cut, "row").select(*back(F.col("kept"))))
+    cut = _steps(docs, True).select("id", "hash", F.struct("n_removed", "kept").alias("cut"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    narrow = docs.select(F.struct(*others).alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+                         F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    out = narrow.join(cut, ["id", "hash"]).withColumn("text", _unpack_texts(F.col("cut.kept")).cast("string"))
+    out = out.filter((F.col("cut.n_removed") == 0) | (F.length("text") > 0))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir):
