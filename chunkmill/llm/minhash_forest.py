@@ -6,8 +6,10 @@ split by the next signature values, and what is still too large after the last o
 blocks, with every member also tied to the region's smallest one. Candidates whose sketches cannot
 reach the threshold are dropped, the rest is confirmed on the full shingle sets, a spanning forest
 first (each document with its most similar candidate), then every candidate whose ends are still in different
-components. Finally, regions that were too large to be paired completely and whose members are
-still in different components are compared in tiles, so the limit on regions loses no link.
+components. Finally come the regions that were too large to be paired completely and whose members
+are still in different components. There, two documents can only be linked if they share one of their rarest
+shingles (rarest in the cluster; as many as the threshold and both sizes leave room for differences), so
+exact candidates come from a join on those, between components only. So the limit on regions loses no link.
 
 Documents with equal sets are one class from the start, so groups of copies never meet in a join.
 
@@ -29,7 +31,7 @@ from .components import components
 
 TREES, BASE, DEEPEST = 32, 4, 6  # a pair at similarity 0.8 shares no prefix of BASE values in any tree with p = 5e-8
 REGION = 16
-TILE = 2048
+BAND = 1.02  # sizes of one band differ by less than this factor
 SLICE = 1 << 20  # texts are hashed in slices of about this many bytes
 SLACK = 0.18  # sketches of 192 values: five standard deviations at 0.8 are 0.145
 
@@ -201,7 +203,7 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         if column:
             deeper = F.xxhash64("key", column)
         else:  # the signature ends: random blocks
-            deeper = F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / (REGION // 2))))
+            deeper = F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / 2)))
         # one task would need a region's size for each member: regions are counted and joined by their key
         level = stored(_regions(level.select("id", deeper.alias("key"), "next1", "next2")), "regions")
         pairs = pairs.unionByName(tied).unionByName(_pairs(level if column is None else level.filter(F.col("size") <= REGION)))
@@ -223,30 +225,54 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _open_regions(large: DataFrame, comp: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs across components inside the large regions whose sketches are similar enough, found in tiles."""
-    members = large.join(comp, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("c"))
-    mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    members = members.join(mixed, "key").join(reps.select("id", "sketch"), "id")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    members = members.select("key", "id", "c", "sketch", "own", F.least("own", "other").alias("t0"), F.greatest("own", "other").alias("t1"))
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, id, size, c) of regions that hold more than one component."""
+    keys = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    return members.join(keys, "key")
+
 
-    def compare(key, pdf):
-        import pandas as pd
+def _rare_shingles(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(cluster, low, high, token, id, c): for each band of sizes that a document can be linked with, its rarest shingles.
 
-        x = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        ids, comps, own = (pdf[c].to_numpy() for c in ("id", "c", "own"))
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        out = []
-        for i in left:
-            j = right[(comps[right] != comps[i]) & (ids[right] != ids[i])]
-            j = j[(x[j] == x[i]).mean(axis=1) >= least]
-            out += [(min(ids[i], k), max(ids[i], k)) for k in ids[j].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"]).drop_duplicates().astype("int64")
+    Two sets that are similar enough have at least share / (100 + share) of the sum of their sizes in common; sorted
+    alike, their first ``size - common + 1`` shingles then share one."""
+    def tokens(batches):
+        import pyarrow as pa
 
-    return members.groupBy("key", "t0", "t1").applyInPandas(compare, "a long, b long").distinct()
+        schema = arrow_schema("cluster long, c long, id long, token long")
+        for batch in batches:
+            for cluster, c, i, s in zip(*(batch.column(x) for x in ("cluster", "c", "id", "shingles")), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.int64)
+                same = [pa.array(np.full(len(s), x.as_py()), pa.int64()) for x in (cluster, c, i)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(s)], schema=schema)
+
+    rows = members.join(sets.withColumnRenamed("doc_id", "id"), "id").select("cluster", "c", "id", "shingles").mapInArrow(
+        tokens, "cluster long, c long, id long, token long").repartition("cluster", "token")
+    held = rows.groupBy("cluster", "token").agg(F.count("*").alias("held"), (F.min("c") != F.max("c")).alias("mixed"))
+    docs = rows.join(held, ["cluster", "token"]).groupBy("cluster", "c", "id").agg(
+        F.sort_array(F.collect_list(F.struct("held", "token", "mixed"))).alias("t"))
+    docs = stored(docs.withColumns({"n": F.size("t"), "band": F.floor(F.log(F.size("t")) / F.log(F.lit(BAND)))}), "rare-shingles")
+    bands = docs.groupBy("cluster", F.col("band").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    docs = docs.join(bands, "cluster").filter(f"100 * most >= {share} * n and 100 * n >= {share} * least")
+    common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * share / 100))) * share / (100 + share))
+    docs = docs.withColumn("room", (F.col("n") - common + 1).cast("int")).filter("room > 0")
+    # a shingle that only one component of the cluster holds takes its place among the rarest, but makes no pair
+    rarest = F.filter(F.slice("t", F.lit(1), F.col("room")), lambda x: x["mixed"])
+    return docs.select("cluster", "c", "id", F.least("band", "other").alias("low"), F.greatest("band", "other").alias("high"),
+                       F.explode(rarest).alias("x")).select(
+        "cluster", "low", "high", F.col("x.token").alias("token"), "id", "c")
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Pairs across components (of members: id, c, cluster) that share a rare shingle; all links are among them."""
+    key = ["cluster", "low", "high", "token"]
+    rare = _rare_shingles(members, sets, share)
+    # a shingle that only one component holds makes no pair; of the others, the largest component is one side only
+    per = rare.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).filter("lo <> hi")
+    rare = stored(rare.join(per.select(*key, "main"), key), "shared-shingles")
+    few = rare.filter("c <> main").select(*key, F.col("id").alias("a"), F.col("c").alias("ca"))
+    both = few.join(rare.select(*key, F.col("id").alias("b"), "c"), key).filter("c <> ca")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
@@ -259,8 +285,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
     reps = sketch.join(classes.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").withColumnRenamed("doc_id", "id")
     reps = stored(reps.dropDuplicates(["id", "k1", "k2"]), "reps")
     raw, large = _candidates(reps)
+    raw = stored(raw, "candidates")
     pairs = stored(_with_sketches(raw, reps, least), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    wanted = wanted.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
 
     def sets_of(ids):
         return stored(src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
@@ -274,14 +302,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
     forest = pairs.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")
     links = stored(confirm(forest, sets), "links")
     comp = components(links)
+
+    def with_more(links, comp, more):
+        """Links and components after the confirmed ones of ``more`` (the same, if there are none)."""
+        more = stored(confirm(more, sets), "links")
+        if more.isEmpty():
+            return links, comp
+        links = links.unionByName(more)
+        return links, components(links)
+
     # a link that was tried and failed is tried again here only if its ends are still apart
-    links = stored(links.unionByName(confirm(_across(pairs.select("a", "b"), comp), sets)).distinct(), "links")
-    comp = components(links)
-    late = stored(_open_regions(large, comp, reps, least).join(pairs, ["a", "b"], "left_anti"), "late-pairs")
-    if not late.isEmpty():
-        ids = late.select(F.col("a").alias("doc_id")).unionByName(late.select(F.col("b").alias("doc_id"))).distinct()
-        links = stored(links.unionByName(confirm(late, sets_of(ids))).distinct(), "links")
-        comp = components(links)
+    links, comp = with_more(links, comp, _across(pairs.select("a", "b"), comp))
+    members = large.join(comp, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("c"))
+    members = stored(_mixed(members), "open-regions")
+    if not members.isEmpty():
+        clusters = components(raw).withColumnRenamed("component_id", "cluster")
+        late = _open_pairs(members.select("id", "c").distinct().join(clusters, "id"), sets, share).join(pairs, ["a", "b"], "left_anti")
+        links, comp = with_more(links, comp, _with_sketches(late, reps, least).select("a", "b"))
     own = classes.join(comp, "id", "left").select("k1", "k2", F.coalesce("component_id", "id").alias("c"))
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(own, ["k1", "k2"], "left")
     c = F.coalesce("c", "doc_id")

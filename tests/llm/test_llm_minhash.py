@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from conftest import SF001
 from llm_cases import documents, empty
+from pyspark.sql import functions as F
 
 from chunkmill.llm import minhash_forest as M
 
@@ -70,15 +72,27 @@ def test_groups_larger_than_a_region(spark, width):
     assert got(df, width) == brute(rows, width)
 
 
-def test_large_regions_compare_across_components(spark):
-    # two tight groups that share a region and one bridge: the tiles must find what pairs of neighbours may miss
-    reps = [(i, bytes([7] * 192) if i < 30 else bytes([7] * 160 + [9] * 32)) for i in range(60)]
-    reps = spark.createDataFrame(reps, "id long, sketch binary")
-    large = spark.createDataFrame([(1, i, 60) for i in range(60)], "key long, id long, size long")
-    comp = spark.createDataFrame([(i, 0 if i < 30 else 30) for i in range(60)], "id long, component_id long")
-    out = {tuple(r) for r in M._open_regions(large, comp, reps, 0.62).collect()}
-    assert out == {(i, j) for i in range(30) for j in range(30, 60)}
-    assert M._open_regions(large, comp.selectExpr("id", "0L component_id"), reps, 0.62).count() == 0
+@pytest.mark.parametrize("seed", range(3))
+def test_open_pairs_hold_every_link(spark, seed):
+    rnd = random.Random(seed)
+    base = rnd.sample(range(10 ** 6), 200)
+    sets = []
+    for _ in range(60):
+        s = set(base[:rnd.randrange(150, 201)])
+        for x in rnd.sample(sorted(s), rnd.randrange(1, 40)):
+            s.remove(x)
+            s.add(rnd.randrange(10 ** 6, 10 ** 6 + 300))
+        sets.append(sorted(s))
+    df = spark.createDataFrame([(i, np.array(s, np.uint64).tobytes()) for i, s in enumerate(sets)], "doc_id long, shingles binary")
+    members = spark.createDataFrame([(i, i % 20, 1) for i in range(60)], "id long, c long, cluster long")
+    found = {tuple(r) for r in M._open_pairs(members, df, 80).collect()}
+    links = set()
+    for i in range(60):
+        for j in range(i + 1, 60):
+            common = len(set(sets[i]) & set(sets[j]))
+            if i % 20 != j % 20 and 100 * common >= 80 * (len(sets[i]) + len(sets[j]) - common):
+                links.add((i, j))
+    assert links <= found and all(i % 20 != j % 20 for i, j in found) and links
 
 
 def test_edges(spark):
