@@ -264,7 +264,7 @@ def _context_keys(raw: np.ndarray, first: np.ndarray, end: np.ndarray, offset: n
 
 def _context_powers(n: int) -> np.ndarray:
     if not _POWERS or _POWERS[0].shape[1] <= n:
-        steps = np.full((2, max(2 * SLICE, n + 1)), [[_X], [_XI]], np.uint64)
+        steps = np.full((2, max(SLICE + (1 << 12), n + 1)), [[_X], [_XI]], np.uint64)
         steps[:, 0] = 1
         _POWERS[:] = [np.cumprod(steps, axis=1, dtype=np.uint64)]
     return _POWERS[0]
@@ -374,7 +374,10 @@ def _scan(key, pdf):
     least, most = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[4][p[2] + p[3]] for p in parts])
     size = n + WINDOW - 1
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    keys = _context_keys(raw, start, start + size, offset)
+    keys = np.empty(len(n), np.uint64)
+    for i, j in _groups(start // SLICE):  # about a SLICE of bytes at a time
+        lo = start[i]
+        keys[i:j] = _context_keys(raw[lo:start[j - 1] + size[j - 1]], start[i:j] - lo, start[i:j] + size[i:j] - lo, offset[i:j])
     h = _anchor_hashes(raw, start + offset)
     # equal contexts of several batches become one (their bytes are compared, not only their hash)
     order = np.lexsort((keys, h))
@@ -400,8 +403,12 @@ def _scan(key, pdf):
         m = n[lead][v]
         owner = np.repeat(v, m)
         inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-        at = start[lead][owner] + inner
-        sa, lcp = suffix_array(raw, at, WINDOW + 6)
+        # the chunk's contexts alone, one behind the other
+        long = size[lead][v]
+        place = np.cumsum(long) - long
+        own = raw[np.arange(long.sum()) + np.repeat(start[lead][v] - place, long)]
+        at = np.repeat(place, m) + inner
+        sa, lcp = suffix_array(own, at, WINDOW + 6)
         first = np.flatnonzero(lcp < WINDOW)  # the outermost intervals of at least WINDOW bytes
         smallest = np.empty(len(at), np.int64)
         smallest[sa] = np.repeat(np.minimum.reduceat(low[owner][sa], first), np.diff(np.append(first, len(sa))))
@@ -436,7 +443,7 @@ def _anchor_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 20):
+def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 18):
     """Index ranges of whole anchor groups with about ``most`` windows: equal windows have equal anchors."""
     if not len(anchors):
         return
