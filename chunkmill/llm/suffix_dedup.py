@@ -15,10 +15,13 @@ of the window, so equal windows meet in the bucket of their anchor.
    the anchor's bucket, equal contexts once with their smallest document. The bucket sorts the suffixes of
    its contexts, takes the longest common prefixes of neighbours and scans the intervals of at
    least ``WINDOW`` bytes; a context that is alone with its anchor needs no sorting.
+   An anchor with more than ``SPLIT`` contexts (a frequent passage shorter than a window, with other neighbours each
+   time) is split: its windows are dealt out one by one by a hash of the whole window, equal windows of a batch once,
+   so no bucket holds all contexts of an anchor.
 3. The smallest document of every window goes back to the batch, whose texts are cut.
 
-A passage that a third of all documents hold is one entry per batch in either step, and never a list of its
-occurrences. The three passes over the batches read one shuffle.
+A passage that a third of all documents hold is one entry per batch in either step, or one per batch and different
+window if its anchor is split, and never a list of its occurrences. The three passes over the batches read one shuffle.
 
 Defined cases: null text is empty; a null id is larger than every other; rows that repeat an id don't
 remove each other's text; long texts are scanned in overlapping slices; an empty table gives no
@@ -44,6 +47,9 @@ W = WINDOW - K + 1
 SLICE = 1 << 20  # bytes hashed at a time
 BUCKET_BYTES = 4 << 20  # text per bucket
 BATCH_BYTES = 16 << 20  # text per batch
+SPLIT = 4096  # contexts of one anchor that a bucket may get
+FEW = 8  # so many occurrences of an anchor in a batch are counted as contexts without a comparison
+ALONE = 128  # added to the offset (and to a reply's first window) of a window of a split anchor
 NO_ID = (1 << 63) - 1
 _X = 0x9E3779B97F4A7C15
 _XI = pow(_X, -1, 1 << 64)
@@ -182,16 +188,24 @@ def _lead(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _batch_anchors(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchor hashes of a batch in ascending order, and whether two of its documents hold them."""
-    found = [(d, h) for _, d, _, h, _, _, _ in _runs(texts)]
+def _batch_anchors(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchor hashes of a batch in ascending order, whether two of its documents hold them, and the number of
+    their contexts (of their occurrences if below FEW)."""
+    found = [(d, h, _context_keys(raw, first, first + n + WINDOW - 1, p - shift - first)) for raw, d, p, h, first, n, shift in _runs(texts)]
     if not found:
-        return np.array([], np.uint64), np.array([], bool)
-    d, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        return np.array([], np.uint64), np.array([], bool), np.array([], np.uint16)
+    d, h, code = (np.concatenate(x) for x in zip(*found, strict=True))
     order = np.argsort(h, kind="stable")
-    h, who = h[order], ids[d[order]]
+    h, who, code = h[order], ids[d[order]], code[order]
     first = _lead(h)
-    return h[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first)
+    times = np.diff(np.append(first, len(h)))
+    often = np.flatnonzero(np.repeat(times >= FEW, times))
+    if len(often):
+        group, code = np.repeat(np.arange(len(first)), times)[often], code[often]
+        by = np.lexsort((code, group))
+        group = group[by][_lead(group[by], code[by])]
+        times = np.where(times >= FEW, np.bincount(group, minlength=len(first)), times)
+    return h[first], np.minimum.reduceat(who, first) != np.maximum.reduceat(who, first), np.minimum(times, 65535).astype(np.uint16)
 
 
 _ASK = "bucket int, batch int, entries binary"
@@ -201,11 +215,11 @@ def _ask(n_buckets: int):
     """Step 1, in a batch: its anchors, dealt out to the buckets. An anchor is sent as the low 32 bits of its hash over
     the number of buckets: two different ones that agree there only cost a comparison later."""
     def run(key, pdf):
-        h, shared = _batch_anchors(pdf["id"].to_numpy(), [_unzip(z) for z in pdf["z"]])
+        h, shared, times = _batch_anchors(pdf["id"].to_numpy(), [_unzip(z) for z in pdf["z"]])
         bucket = (h % np.uint64(n_buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        h, shared, bucket = (h[order] // np.uint64(n_buckets)).astype(np.uint32), shared[order], bucket[order]
-        rows = [(int(bucket[s]), int(key[0]), _pack(h[s:e], np.packbits(shared[s:e]))) for s, e in _groups(bucket)]
+        h, shared, times, bucket = (h[order] // np.uint64(n_buckets)).astype(np.uint32), shared[order], times[order], bucket[order]
+        rows = [(int(bucket[s]), int(key[0]), _pack(h[s:e], np.packbits(shared[s:e]), times[s:e])) for s, e in _groups(bucket)]
         return pd.DataFrame(rows, columns=["bucket", "batch", "entries"])
 
     return run
@@ -214,45 +228,64 @@ def _ask(n_buckets: int):
 _ANSWER = "batch int, bucket int, entries binary"
 
 
-def _answer(key, pdf):
-    """Step 1, in a bucket: to each batch, those of its anchors that another batch holds, or that two of its documents share."""
-    lists, shared = zip(*(_unpack(e, np.uint32, np.uint8) for e in pdf["entries"]), strict=True)
-    sizes = [len(x) for x in lists]
-    h = np.concatenate(lists)
-    flags = np.concatenate([np.unpackbits(f)[:n] for f, n in zip(shared, sizes, strict=True)])
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    order = np.argsort(h, kind="stable")
-    first = _lead(h[order])
-    times = np.diff(np.append(first, len(h)))
-    repeated = np.repeat((times > 1) | (np.maximum.reduceat(flags[order], first) > 0), times)
-    keep = np.sort(order[repeated])
-    rows = [(int(pdf["batch"].iloc[owner[keep[s]]]), int(key[0]), _pack(h[keep[s:e]])) for s, e in _groups(owner[keep])]
-    return pd.DataFrame(rows, columns=["batch", "bucket", "entries"])
+def _answer(split: int):
+    """Step 1, in a bucket: to each batch, those of its anchors that another batch holds, or that two of its documents share,
+    and which of them have more than ``split`` contexts in all batches."""
+    def run(key, pdf):
+        lists, shared, contexts = zip(*(_unpack(e, np.uint32, np.uint8, np.uint16) for e in pdf["entries"]), strict=True)
+        sizes = [len(x) for x in lists]
+        h = np.concatenate(lists)
+        flags = np.concatenate([np.unpackbits(f)[:n] for f, n in zip(shared, sizes, strict=True)])
+        owner = np.repeat(np.arange(len(lists)), sizes)
+        order = np.argsort(h, kind="stable")
+        first = _lead(h[order])
+        times = np.diff(np.append(first, len(h)))
+        repeated = np.repeat((times > 1) | (np.maximum.reduceat(flags[order], first) > 0), times)
+        hot = np.empty(len(h), bool)
+        hot[order] = np.repeat(np.add.reduceat(np.concatenate(contexts).astype(np.int64)[order], first) > split, times)
+        keep = np.sort(order[repeated])
+        rows = [(int(pdf["batch"].iloc[owner[keep[s]]]), int(key[0]), _pack(h[keep[s:e]], np.packbits(hot[keep[s:e]])))
+                for s, e in _groups(owner[keep])]
+        return pd.DataFrame(rows, columns=["batch", "bucket", "entries"])
+
+    return run
+
+
+def _inner(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of runs of ``n`` windows: the run, and the window's number in it."""
+    return np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _contexts(texts: list[bytes], wanted: np.ndarray | None, n_buckets: int, with_bytes: bool = True):
+def _contexts(texts: list[bytes], wanted: np.ndarray | None, n_buckets: int, hot: np.ndarray | None = None):
     """Runs of windows with one anchor: arrays (document, bucket, context hash, windows, anchor offset, first window in the
-    document) and their bytes. ``wanted`` holds the repeated anchors as bucket << 32 | entry, in ascending order (None: all)."""
-    cols, contexts = [], []
+    document). ``wanted`` holds the repeated anchors as bucket << 32 | entry, in ascending order (None: all); the windows of
+    those that are ``hot`` are contexts of their own, in the bucket of their hash, with ALONE added to the offset."""
+    cols = []
     for raw, d, p, h, first, n, shift in _runs(texts):
         bucket = h % np.uint64(n_buckets)
+        alone = np.zeros(len(d), bool)
         if wanted is not None:
             code = bucket << np.uint64(32) | (h // np.uint64(n_buckets)) & np.uint64(0xFFFFFFFF)
             i = np.minimum(np.searchsorted(wanted, code), max(len(wanted) - 1, 0))
             hit = np.flatnonzero(wanted[i] == code) if len(wanted) else np.array([], int)
             d, p, h, bucket, first, n, shift = (x[hit] for x in (d, p, h, bucket, first, n, shift))
+            alone = hot[i[hit]] if len(hit) else alone[:0]
         if not len(d):
             continue
-        end = first + n + WINDOW - 1
         offset = p - shift - first  # of the anchor in the context
-        key = _context_keys(raw, first, end, offset)
-        cols.append((d, bucket.astype(np.int32), key, n, offset, first + shift))
-        if with_bytes:
-            whole = raw.tobytes()
-            contexts += [whole[s:e] for s, e in zip(first.tolist(), end.tolist(), strict=True)]
+        one = np.flatnonzero(~alone)
+        if len(one):
+            key = _context_keys(raw, first[one], first[one] + n[one] + WINDOW - 1, offset[one])
+            cols.append((d[one], bucket[one].astype(np.int32), key, n[one], offset[one], (first + shift)[one]))
+        if len(one) < len(d):
+            many = np.flatnonzero(alone)
+            run, inner = _inner(n[many])
+            run = many[run]
+            at, place = first[run] + inner, offset[run] - inner
+            key = _context_keys(raw, at, at + WINDOW, place)
+            cols.append((d[run], (key % np.uint64(n_buckets)).astype(np.int32), key, np.ones_like(at), place + ALONE, at + shift[run]))
     empty = np.array([], np.int64)
-    joined = tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (empty, empty, empty.astype(np.uint64), empty, empty, empty)
-    return joined, contexts
+    return tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (empty, empty, empty.astype(np.uint64), empty, empty, empty)
 
 
 def _context_keys(raw: np.ndarray, first: np.ndarray, end: np.ndarray, offset: np.ndarray) -> np.ndarray:
@@ -277,12 +310,17 @@ def _send(n_buckets: int):
     """Step 2, in a batch: each distinct context of a repeated anchor once, with its smallest and largest document."""
     def run(key, docs, answers):
         ids = docs["id"].to_numpy()
-        known = [np.uint64(b) << np.uint64(32) | _unpack(e, np.uint32)[0].astype(np.uint64)
-                 for b, e in zip(answers["bucket"], answers["entries"], strict=True)]
-        wanted = np.sort(np.concatenate(known)) if known else np.array([], np.uint64)
-        (d, bucket, code, n, offset, _), contexts = _contexts([_unzip(z) for z in docs["z"]], wanted, n_buckets)
+        texts, wanted, hot = [_unzip(z) for z in docs["z"]], np.array([], np.uint64), np.array([], bool)
+        if len(answers):
+            known, bits = zip(*(_unpack(e, np.uint32, np.uint8) for e in answers["entries"]), strict=True)
+            hot = np.concatenate([np.unpackbits(f)[:len(x)] for x, f in zip(known, bits, strict=True)]) > 0
+            wanted = np.concatenate([np.uint64(b) << np.uint64(32) | x.astype(np.uint64) for b, x in zip(answers["bucket"], known, strict=True)])
+            order = np.argsort(wanted)
+            wanted, hot = wanted[order], hot[order]
+        d, bucket, code, n, offset, at = _contexts(texts, wanted, n_buckets, hot)
         order = np.lexsort((code, bucket))
-        code, bucket, who, n, offset = code[order], bucket[order], ids[d][order], n[order], offset[order]
+        d, code, bucket, n, offset, at = (x[order] for x in (d, code, bucket, n, offset, at))
+        who = ids[d]
         rows = []
         if len(code):
             first = _lead(code, bucket)
@@ -291,10 +329,11 @@ def _send(n_buckets: int):
             most = np.searchsorted(names, np.maximum.reduceat(who, first)).astype(np.int32)
             for s, e in _groups(bucket[first]):
                 f = first[s:e]
-                used, at = np.unique(np.concatenate((least[s:e], most[s:e])), return_inverse=True)
-                a, b = at[:e - s].astype(np.int32), at[e - s:].astype(np.int32)
+                used, nr = np.unique(np.concatenate((least[s:e], most[s:e])), return_inverse=True)
+                a, b = nr[:e - s].astype(np.int32), nr[e - s:].astype(np.int32)
+                whole = b"".join([texts[i][x:x + m + WINDOW - 1] for i, x, m in zip(d[f].tolist(), at[f].tolist(), n[f].tolist(), strict=True)])
                 rows.append((int(bucket[f[0]]), int(key[0]), _pack(
-                    n[f].astype(np.uint8), offset[f].astype(np.uint8), a, b - a, names[used], np.frombuffer(b"".join([contexts[i] for i in order[f]]), np.uint8))))
+                    n[f].astype(np.uint8), offset[f].astype(np.uint8), a, b - a, names[used], np.frombuffer(whole, np.uint8))))
         return pd.DataFrame(rows, columns=["bucket", "batch", "contexts"])
 
     return run
@@ -370,7 +409,7 @@ def _scan(key, pdf):
     parts = [_unpack(m, np.uint8, np.uint8, np.int32, np.int32, np.int64, np.uint8) for m in pdf["contexts"]]
     batch = np.repeat(pdf["batch"].to_numpy(), [len(p[0]) for p in parts])
     n, offset, raw = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 5))
-    n, offset = n.astype(np.int64), offset.astype(np.int64)
+    n, split, offset = n.astype(np.int64), offset >= ALONE, (offset % ALONE).astype(np.int64)
     least, most = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[4][p[2] + p[3]] for p in parts])
     size = n + WINDOW - 1
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -378,7 +417,7 @@ def _scan(key, pdf):
     for i, j in _groups(start // SLICE):  # about a SLICE of bytes at a time
         lo = start[i]
         keys[i:j] = _context_keys(raw[lo:start[j - 1] + size[j - 1]], start[i:j] - lo, start[i:j] + size[i:j] - lo, offset[i:j])
-    h = _anchor_hashes(raw, start + offset)
+    h = np.where(split, keys, _anchor_hashes(raw, start + offset))  # a split anchor's window only meets its equals
     # equal contexts of several batches become one (their bytes are compared, not only their hash)
     order = np.lexsort((keys, h))
     same = np.concatenate(([False], (keys[order][1:] == keys[order][:-1]) & (h[order][1:] == h[order][:-1]) & (n[order][1:] == n[order][:-1])))
@@ -431,7 +470,7 @@ def _scan(key, pdf):
     rows = []
     for x, y in _groups(entry_batch):
         q = piece[x:y]
-        rows.append((int(entry_batch[x]), _pack(keys[entry[x:y]], a[q].astype(np.uint8), b[q].astype(np.uint8), s[q])))
+        rows.append((int(entry_batch[x]), _pack(keys[entry[x:y]], (a[q] + ALONE * split[entry[x:y]]).astype(np.uint8), b[q].astype(np.uint8), s[q])))
     return pd.DataFrame(rows, columns=["batch", "replies"])
 
 
@@ -454,6 +493,18 @@ def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 18):
         yield np.arange(s, e)
 
 
+def _single(runs, ids: np.ndarray, keys: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte, end) of a slice's windows whose hash is one of ``keys`` with an earlier document."""
+    raw, d, p, _, first, n, shift = runs
+    run, inner = _inner(n)
+    at = first[run] + inner
+    code = _context_keys(raw, at, at + WINDOW, (p - shift - first)[run] - inner)
+    i = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
+    hit = np.flatnonzero((keys[i] == code) & (earliest[i] < ids[d[run]]))
+    low = at[hit] + shift[run[hit]]
+    return d[run[hit]], low, low + WINDOW
+
+
 _CUT = "id long, hash long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -469,7 +520,10 @@ def _cut(n_buckets: int, with_text: bool):
             k, a, b, s = (np.concatenate(c) for c in zip(*(_unpack(m, np.uint64, np.uint8, np.uint8, np.int64) for m in replies["replies"]), strict=True))
             order = np.argsort(k, kind="stable")
             k, a, b, s = k[order], a[order].astype(np.int64), b[order].astype(np.int64), s[order]
-            (d, _, code, _, _, at), _ = _contexts(texts, None, n_buckets, False)
+            split = a >= ALONE
+            single, earliest = k[split], s[split]
+            k, a, b, s = (x[~split] for x in (k, a, b, s))
+            d, _, code, _, _, at = _contexts(texts, None, n_buckets)
             f = np.searchsorted(k, code)
             times = np.searchsorted(k, code, "right") - f
             run_ = np.repeat(np.arange(len(code)), times)
@@ -477,6 +531,9 @@ def _cut(n_buckets: int, with_text: bool):
             keep = s[piece] < ids[d[run_]]
             run_, piece = run_[keep], piece[keep]
             owner, low, high = d[run_], at[run_] + a[piece], at[run_] + b[piece] + WINDOW
+            if len(single):
+                more = [x for r in _runs(texts) if len((x := _single(r, ids, single, earliest))[0])]
+                owner, low, high = (np.concatenate(x) for x in zip((owner, low, high), *more, strict=True))
         rows = []
         by = np.argsort(owner, kind="stable")
         edges = np.searchsorted(owner[by], np.arange(len(texts) + 1))
@@ -509,7 +566,7 @@ def _steps(docs: DataFrame, with_text: bool) -> DataFrame:
     # one exchange, which all three passes over the batches read
     texts = src.mapInArrow(_zip, _TEXT).repartition(n_batches, "batch")
     asks = texts.groupBy("batch").applyInPandas(_ask(n_buckets), _ASK)
-    answers = asks.groupBy("bucket").applyInPandas(_answer, _ANSWER)
+    answers = asks.groupBy("bucket").applyInPandas(_answer(SPLIT), _ANSWER)
     contexts = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_send(n_buckets), _SEND)
     replies = contexts.groupBy("bucket").applyInPandas(_scan, _REPLY)
     return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_cut(n_buckets, with_text), _CUT)

@@ -99,3 +99,40 @@ def test_maximal_repeats_like_brute_force():
             if len(left) > 1 and (len(right) > 1 or len(s) == 2 * least):
                 want.add((len(s), tuple(at)))
         assert {(n, tuple(at)) for n, at in S.maximal_repeats(texts, least)} == want
+
+
+def short_phrase_rows(rnd, n):
+    """A 30-byte phrase in a third of the rows, with different neighbours each time; a few of the places are real repeats."""
+    phrase = "Published Monday, 3 May 2021. "
+    rows = [(i, f"{rnd.random()} {rnd.random()} {phrase if i % 3 == 0 else ''}{rnd.random()} {rnd.random()}") for i in range(n)]
+    return rows + [(n + i, f"{rnd.random()}{rows[3 * i][1][8:8 + 60 + i]}{rnd.random()}") for i in range(20)]
+
+
+def test_short_phrase_with_different_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(S, "SPLIT", 20)
+    rows = short_phrase_rows(random.Random(4), 600)
+    want = brute(rows)
+    assert sum(r[2] > 0 for r in want) == 20
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)) == want
+
+
+def test_no_bucket_gets_all_contexts_of_an_anchor():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    rows, n_buckets, split = short_phrase_rows(random.Random(6), 1500), 5, 40
+    z = lambda t: len(t).to_bytes(8, "little") + pa.Codec("zstd").compress(t, asbytes=True)
+    batches = {b: pd.DataFrame([(d, z(t.encode())) for d, t in rows if d % 4 == b], columns=["id", "z"]) for b in range(4)}
+    asks = pd.concat([S._ask(n_buckets)((b,), docs) for b, docs in batches.items()])
+    answers = pd.concat([S._answer(split)((b,), part) for b, part in asks.groupby("bucket")])
+    sent = pd.concat([S._send(n_buckets)((b,), docs, answers[answers["batch"] == b]) for b, docs in batches.items()])
+    for _, part in sent.groupby("bucket"):
+        seen = []
+        for n, offset, _, _, _, raw in (S._unpack(m, np.uint8, np.uint8, np.int32, np.int32, np.int64, np.uint8) for m in part["contexts"]):
+            start = np.cumsum(n.astype(int) + S.WINDOW - 1) - (n.astype(int) + S.WINDOW - 1)
+            whole = offset < S.ALONE
+            assert (n[~whole] == 1).all()
+            seen += [raw[i:i + S.K].tobytes() for i in (start + offset)[whole]]
+        assert max(map(seen.count, set(seen)), default=0) <= split
+    assert any((S._unpack(m, np.uint8, np.uint8)[1] >= S.ALONE).any() for m in sent["contexts"])
