@@ -10,7 +10,8 @@ confirmed by their exact cosine in double precision.
 
 Equal vectors are one class from the start (counted, not expanded). Cells with many vectors are
 split into tiles of bounded size, both sides replicated over the other's tiles. A tile returns link
-counts and a spanning forest of its links, never all pairs.
+counts and a spanning forest of its links, never all pairs; it folds them in strip by strip, so it holds its
+vectors and the pairs of one strip.
 
 Defined cases: null, empty and zero vectors and those with null or non-finite components link with
 nothing; vectors of different length never link; rows that repeat an id are vectors of their own
@@ -100,23 +101,29 @@ def _cells(budget: float, g: int, with_vector: bool, rotations: dict[int, np.nda
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links."""
-    parent: dict[int, int] = {}
+class Forest:
+    """A spanning forest of links that arrive in strips: its memory is the nodes, never the links."""
 
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def __init__(self, n: int):
+        self.parent, self.edges = np.arange(n), []
 
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = root(x), root(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((x, y))
-    return out
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        top = self.parent[at]
+        while (up := self.parent[top]).tobytes() != top.tobytes():
+            top = up
+        self.parent[at] = top
+        return top
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links a[k] - b[k]: of those between two trees, each upper root takes one to its lower root, until none is left."""
+        while len(a):
+            p, q = self.roots(a), self.roots(b)
+            apart = np.flatnonzero(p != q)
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            high, low = np.maximum(p, q), np.minimum(p, q)
+            tops, at = np.unique(high, return_index=True)
+            self.parent[tops] = low[at]
+            self.edges.append((a[at], b[at]))
 
 
 def _tile(cosine: float, budget: float, rotations: dict[int, np.ndarray], kind: str):
@@ -132,7 +139,10 @@ def _tile(cosine: float, budget: float, rotations: dict[int, np.ndarray], kind:
             raw = np.frombuffer(b"".join(own["vec"]), kind).reshape(len(own), dim)
             sides.append((own["id"].to_numpy(), own["weight"].to_numpy(), units(raw) if len(own) else raw.astype(float)))
         (ids_d, w_d, x), (ids_q, w_q, y) = sides
-        found_a, found_b = [], []
+        # counts and forest grow strip by strip: a node is an id of either side
+        nodes = np.unique(np.concatenate((ids_d, ids_q)))
+        node_d, node_q = np.searchsorted(nodes, ids_d), np.searchsorted(nodes, ids_q)
+        forest, counts, linked = Forest(len(nodes)), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), bool)
         if len(x) and len(y):
             at = parts[b]
             xb, yb = x @ q[:, at], y @ q[:, at]
@@ -153,17 +163,13 @@ def _tile(cosine: float, budget: float, rotations: dict[int, np.ndarray], kind:
                     ok = keeps[:, b] & (keeps.argmax(axis=1) == b)
                     ii, jj = ii[ok], jj[ok]
                     ok = (x[ii] * y[jj]).sum(axis=1) >= cosine
-                    found_a.append(ii[ok])
-                    found_b.append(jj[ok])
-        i = np.concatenate(found_a) if found_a else np.array([], int)
-        j = np.concatenate(found_b) if found_b else np.array([], int)
-        forest = _forest(ids_d[i], ids_q[j]) if len(i) else []
-        counts: dict[int, int] = {}
-        for ids, weights in ((ids_d[i], w_q[j]), (ids_q[j], w_d[i])):
-            u, inverse = np.unique(ids, return_inverse=True)
-            for k, n in zip(u.tolist(), np.bincount(inverse, weights).astype(int).tolist() if len(u) else (), strict=True):
-                counts[k] = counts.get(k, 0) + n
-        rows = [(k, n, None, None) for k, n in counts.items()] + [(None, 0, x_, y_) for x_, y_ in forest]
+                    a, b_ = node_d[ii[ok]], node_q[jj[ok]]
+                    np.add.at(counts, a, w_q[jj[ok]])
+                    np.add.at(counts, b_, w_d[ii[ok]])
+                    linked[a] = linked[b_] = True
+                    forest.add(a, b_)
+        rows = [(k, n, None, None) for k, n in zip(nodes[linked].tolist(), counts[linked].tolist(), strict=True)]
+        rows += [(None, 0, x_, y_) for a, b_ in forest.edges for x_, y_ in zip(nodes[a].tolist(), nodes[b_].tolist(), strict=True)]
         return pd.DataFrame(rows, columns=["id", "n", "a", "b"]).astype({"id": "Int64", "n": "int64", "a": "Int64", "b": "Int64"})
 
     return run

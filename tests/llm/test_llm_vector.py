@@ -54,6 +54,37 @@ def test_split_cells(spark, monkeypatch):
     assert got(spark, rows) == brute(rows, 0.95)
 
 
+def test_tile_holds_one_strip_of_pairs():
+    """3,000 jittered copies (4.5 million links) in one tile: counts and a spanning tree, with memory far below the pairs'."""
+    import tracemalloc
+
+    import pandas as pd
+
+    n, dim = 3000, 8
+    vectors = (np.ones(dim) + 0.01 * np.random.default_rng(3).standard_normal((n, dim))).astype("<f4")
+    pdf = pd.DataFrame([(side, i * 5, i % 3 + 1, v.tobytes()) for side in (0, 1) for i, v in enumerate(vectors)], columns=["side", "id", "weight", "vec"])
+    run = V._tile(0.95, 0.1, {dim: V.rotation(dim)}, "<f4")
+    tracemalloc.start()
+    out = run((dim, 0), pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts, edges = out[out["id"].notna()], out[out["a"].notna()]
+    weights = np.arange(n) % 3 + 1
+    assert dict(zip(counts["id"].tolist(), counts["n"].tolist())) == {i * 5: int(weights.sum() - weights[i]) for i in range(n)}
+    assert len(edges) == n - 1
+    seen, todo, near = {0}, [0], {}
+    for x, y in zip(edges["a"].tolist(), edges["b"].tolist()):
+        near.setdefault(x, []).append(y)
+        near.setdefault(y, []).append(x)
+    while todo:
+        for y in near.get(todo.pop(), ()):
+            if y not in seen:
+                seen.add(y)
+                todo.append(y)
+    assert len(seen) == n
+    assert peak < 150 << 20  # a pair's two places alone, for all pairs, are 72 MB, and 250 MB more as Python numbers
+
+
 def test_edges(spark):
     rows = [(1, None), (2, []), (3, [0, 0]), (4, [1, None]), (5, [1, float("nan")]), (6, [float("inf"), 1]), (7, [1, 0]), (8, [1, 0, 0]),
             (9, [2, 0]), (9, [2, 0]), (10, [0, 1]), (11, [1e-30, 0]), (12, [0, 0])]
