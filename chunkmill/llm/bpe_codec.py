@@ -30,11 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
 GATHERED_IDS = 1 << 18  # ids decoded in one vector step
 
 _AFTER_SPACE = re.compile(r"\s ")
+# ASCII and the Latin letters up to U+024F: character classes that no version of Unicode changes. Texts of
+# these characters are pre-tokenised by a pattern (fixed by the vocabulary's kind), all others by the library.
+_SIMPLE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ɏ]*")
+_SIMPLE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t-\r0-9A-Za-zÀ-ÖØ-öø-ɏ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
 def byte_chars() -> dict[str, int]:
@@ -45,8 +49,24 @@ def byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-class Codec:
-    """Tables of one vocabulary file (byte-level BPE without a normaliser)."""
+class Cache(dict):
+    """Values of ``make(key)``, computed once; emptied beyond ``CACHED_WORDS`` keys, long keys are never held."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= LONGEST_CACHED:
+            if len(self) >= CACHED_WORDS:
+                self.clear()
+            self[key] = value
+        return value
+
+
+class Encoder:
+    """Automaton and merge tables of one vocabulary file (byte-level BPE without a normaliser)."""
 
     def __init__(self, path: str):
         import ahocorasick
@@ -60,22 +80,25 @@ class Codec:
         special = [t for t in spec["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"]]
         if not plain or spec["normalizer"] or odd or model.get("ignore_merges") or special:
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        vocab = model["vocab"]
+        at = byte_chars()
+        raw = {t: bytes(at[c] for c in t).decode("latin-1") for t in model["vocab"]}  # a token's bytes, as Latin-1
+        vocab = {raw[t]: i for t, i in model["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        size = max([*vocab.values(), *self.added.values()]) + 1
+        self.size = size = max([*vocab.values(), *self.added.values()]) + 1
         # rank at which a token is made (-1: a byte) and the two tokens that it is made of
         self.rank, self.left, self.right = [-1] * size, [0] * size, [0] * size
         self.merged: dict[tuple[int, int], int] = {}
         for r, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            a_id, b_id, t = vocab[a], vocab[b], vocab[a + b]
+            a_id, b_id, t = vocab[raw[a]], vocab[raw[b]], vocab[raw[a + b]]
             self.merged.setdefault((a_id, b_id), r)
             if self.rank[t] < 0:
                 self.rank[t], self.left[t], self.right[t] = r, a_id, b_id
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         # tokens that merging really reaches from their own bytes, in the order in which they are made
-        known: dict[str, int] = {}
+        self.known: dict[str, int] = {}
+        known = self.known
         self.length, self.shorter = [0] * size, [-1] * size
         reached = [False] * size
         for token, t in sorted(vocab.items(), key=lambda kv: self.rank[kv[1]]):
@@ -91,13 +114,8 @@ class Codec:
             self.shorter[t] = next((known[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in known), -1)
             self.automaton.add_word(token[::-1], t)
         self.automaton.make_automaton()
-        self.words: dict[str, bytes] = {}
-        # the offset table of the decoder
-        at, table = byte_chars(), [b""] * size
-        for token, t in [*vocab.items(), *self.added.items()]:
-            table[t] = bytes(at[c] for c in token) if all(c in at for c in token) else token.encode()
-        self.blob = np.frombuffer(b"".join(table), np.uint8)
-        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in table])])
+        self.pieces = Cache(lambda piece: np.array(self._piece(piece), "<u4").tobytes())
+        self.words = Cache(lambda word: self._pieces(" " + word))  # words that follow a blank
 
     def _seam(self, a: int, b: int, limit: float) -> bool:
         """No merge of a rank below ``limit`` joins ``a`` and ``b``, nor any two of the parts that met at their
@@ -116,63 +134,58 @@ class Codec:
                 return True
 
     def _compatible(self, a: int, b: int) -> bool:
-        ok = self.fits.get((a, b))
-        if ok is None:
-            if len(self.fits) >= CACHED_WORDS:
-                self.fits.clear()
-            ok = self.fits[a, b] = self._seam(a, b, float("inf"))
+        if len(self.fits) >= CACHED_WORDS:
+            self.fits.clear()
+        ok = self.fits[a * self.size + b] = self._seam(a, b, float("inf"))
         return ok
 
     def _piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token (in stand-in characters, one per byte)."""
-        n, length, shorter = len(piece), self.length, self.shorter
-        longest = [-1] * n
-        for end, t in self.automaton.iter(piece[::-1]):
-            at = n - 1 - end
-            if longest[at] < 0 or length[t] > length[longest[at]]:
-                longest[at] = t
+        """Ids of one pre-token (its bytes, as Latin-1)."""
+        if piece in self.known:  # merging reaches the token from its own bytes
+            return [self.known[piece]]
+        length, shorter, fits, size = self.length, self.shorter, self.fits, self.size
+        # the automaton reports the longest token first: it overwrites the shorter ones that end at the same place
+        longest = dict(list(self.automaton.iter(piece[::-1]))[::-1])
+        n = len(piece)
+        if len(longest) < n:
+            raise ValueError("the vocabulary lacks a byte")
         out: list[int] = []
-        dead, at, t = bytearray(n + 1), 0, longest[0]
+        dead, at, t = bytearray(n + 1), 0, longest[n - 1]
         while at < n:
             if t < 0:
                 dead[at] = 1
-                if not out:
-                    raise ValueError("the vocabulary lacks a byte")
                 t = out.pop()
                 at -= length[t]
             end = at + length[t]
-            if not dead[end] and (not out or self._compatible(out[-1], t)):
-                out.append(t)
-                at = end
-                t = longest[at] if at < n else 0
-            else:
-                t = shorter[t]
+            if not dead[end]:
+                ok = True
+                if out:
+                    ok = fits.get(out[-1] * size + t)
+                    if ok is None:
+                        ok = self._compatible(out[-1], t)
+                if ok:
+                    out.append(t)
+                    at = end
+                    if at < n:
+                        t = longest[n - 1 - at]
+                    continue
+            t = shorter[t]
         return out
 
-    def _word(self, text: str) -> bytes:
-        """Ids of a stretch of text, as little-endian unsigned 32-bit numbers; cached while short."""
-        ids = self.words.get(text)
-        if ids is None:
-            ids = np.array([t for piece, _ in self.cut(text) for t in self._piece(piece)], "<u4").tobytes()
-            if len(text) <= LONGEST_CACHED:
-                if len(self.words) >= CACHED_WORDS:
-                    self.words.clear()
-                self.words[text] = ids
-        return ids
+    def _pieces(self, text: str) -> bytes:
+        """Ids of a stretch of text, pre-token by pre-token."""
+        if _SIMPLE.fullmatch(text):
+            parts = _SIMPLE_PIECES.findall(text)
+        else:
+            parts = [text[a:b] for _, (a, b) in self.cut(text)]
+        return b"".join([self.pieces[p.encode().decode("latin-1")] for p in parts])
 
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _AFTER_SPACE.search(text):  # the pre-tokeniser looks across runs of white space
-            out = []
-            for piece, (a, b) in self.cut(text):
-                ids = self.words.get(text[a:b])
-                out.append(np.array(self._piece(piece), "<u4").tobytes() if ids is None else ids)
-            return b"".join(out)
+        if _AFTER_SPACE.search(text):  # pre-tokens look across runs of white space
+            return self._pieces(text)
         # no token goes across "non-space, blank": words are encoded one by one
         first, *rest = text.split(" ")
-        word = self._word
-        return b"".join([word(first) if first else b"", *[word(" " + w) for w in rest]])
+        return self._pieces(first) + b"".join(map(self.words.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit numbers."""
@@ -186,6 +199,21 @@ class Codec:
             out.append(np.array([self.added[part]], "<u4").tobytes() if part in self.added else self._plain(part))
         return b"".join(out)
 
+
+class Decoder:
+    """The offset table of one vocabulary file."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        at = byte_chars()
+        entries = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+        table = [b""] * (max(t for _, t in entries) + 1)
+        for token, t in entries:
+            table[t] = bytes(at[c] for c in token) if all(c in at for c in token) else token.encode()
+        self.blob = np.frombuffer(b"".join(table), np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in table])])
+
     def decode(self, ids: np.ndarray) -> str:
         out = []
         for k in range(0, len(ids), GATHERED_IDS):
@@ -198,19 +226,19 @@ class Codec:
         return b"".join(out).decode("utf-8", "replace")
 
 
-_CODECS: dict[str, Codec] = {}
+_BUILT: dict = {}
 
 
-def codec(tokenizer: str = TOKENIZER) -> Codec:
-    """The codec of a vocabulary file (a path, or the name of an installed public vocabulary), built once per worker."""
-    if tokenizer not in _CODECS:
+def built(kind: type, tokenizer: str = TOKENIZER):
+    """The encoder or decoder of a vocabulary file (a path, or the name of an installed public vocabulary), once per worker."""
+    if (kind, tokenizer) not in _BUILT:
         path = tokenizer
         if "/" not in tokenizer:
             import public_tokenizers
 
             path = public_tokenizers.path(tokenizer)
-        _CODECS[tokenizer] = Codec(path)
-    return _CODECS[tokenizer]
+        _BUILT[kind, tokenizer] = kind(path)
+    return _BUILT[kind, tokenizer]
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -219,7 +247,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        own = codec(tokenizer)
+        own = built(Encoder, tokenizer)
         for batch in batches:
             ids = [own.encode(t.as_py()) if t.is_valid else b"" for t in batch.column("text")]
             offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids], dtype=np.int64)]).astype(np.int32)
@@ -237,7 +265,7 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        own = codec(tokenizer)
+        own = built(Decoder, tokenizer)
         for batch in batches:
             ids = batch.column("ids")
             texts = []
