@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, name):
     cols = sorted(df.columns)
     got = rows(cols, [tuple(r) for r in df.select(*cols).collect()])
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF001}/{t}.parquet'")
     rel = con.sql(queries.oracle_sql()[name])
     assert sorted(rel.columns) == cols
