@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, html_extract, language, lexical_search, minhash_forest, mixing, packing, quality_ledger, suffix_dedup, url_filter, vector_dedup, warc
+from . import bpe_codec, html_extract, language, lexical_search, minhash_forest, mixing, packing, phrases, quality_ledger, suffix_dedup, url_filter, vector_dedup, warc
 from .common import prepare
 
 MODULES = {
@@ -16,6 +16,7 @@ MODULES = {
     "op7_url_vocabulary": url_filter,
     "op8_warc_segments": warc,
     "op9_quality_ledger": quality_ledger,
+    "op11_toivonen_phrases": phrases,
     "op12_hybrid_ranking": lexical_search,
     "op13_bpe_backtracking": bpe_codec,
 }
