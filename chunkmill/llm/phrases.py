@@ -15,8 +15,9 @@ Membership is tested with bitmaps of 64-bit phrase hashes, ``BITS_PER_PHRASE`` b
 bits a layer, whatever the input: that is all that is gathered on the driver and sent to the tasks. A false
 hit only has one more phrase counted, so results stay exact also where a bitmap is overfull; counts
 themselves are grouped by the phrases' texts, never by hashes. Tasks count chunks of bounded bytes with vector
-operations; Spark adds the counts up before and after the shuffle, so a phrase in a third of all documents is one
-row per task.
+operations and deal the distinct phrases of a chunk out to buckets by hash; Spark shuffles the parts, and each
+bucket adds its parts up. A phrase in a third of all documents is one row per chunk; a bucket holds an even
+share of the distinct phrases, so buckets stay bounded if the number of shuffle partitions follows the data.
 
 Scoring joins every frequent phrase with the counts of its parts. A part shared by many phrases is a hot key of
 one join side, which adaptive execution splits; the other side holds a part once.
@@ -41,9 +42,10 @@ COVERED = 80  # percent of a phrase's occurrences that lie in one longer candida
 SAMPLE_SHARE = 8  # one document in so many is sampled
 SLACK = 0.6  # the sample's threshold, as a share of what it should hold of a phrase at the limit
 SEED = 11
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BITS_PER_PHRASE = 32
 MOST_BITS = 1 << 26
+BUCKETS_PER_PARTITION = 4  # buckets of phrase hashes, by the session's number of shuffle partitions
 UNKNOWN = "und"
 
 # Bytes between words, bytes between pieces (fixed values), and A-Z lower-cased.
@@ -108,69 +110,95 @@ def _tokens(texts: list[bytes]):
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), piece
 
 
-def count_phrases(lang: str, texts: list[bytes], known: list[Layer] | None, before: list[Layer] | None, longest: int = LONGEST):
-    """(length, phrases, counts) of the phrases that the layers ``known`` admit and ``before`` don't (None admits
-    nothing). Without ``known`` every phrase is counted."""
+def _distinct(words, hashes: np.ndarray, code: np.ndarray, at: np.ndarray, k: int):
+    """The distinct phrases of ``k`` words at the places ``at``: texts, hashes, counts."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    size, key, prefixes = len(words), code[at], []
+    for j in range(1, k):
+        key = key * size + code[at + j]
+        if j < k - 1:  # number the prefixes densely, so that keys stay below 64 bits
+            distinct, key = np.unique(key, return_inverse=True)
+            prefixes.append(distinct)
+    key, n = np.unique(key, return_counts=True)
+    cols, head = [key % size], key // size
+    for distinct in reversed(prefixes):
+        cols.append(distinct[head] % size)
+        head = distinct[head] // size
+    cols = [head, *reversed(cols)]
+    full = hashes[cols[0]]
+    for c in cols[1:]:
+        full = _longer(full, hashes[c])
+    texts = pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in cols], pa.scalar(" ", words.type))
+    return texts, full, n
+
+
+def count_phrases(lang: str, texts: list[bytes], known: list[Layer] | None, before: list[Layer] | None, longest: int = LONGEST):
+    """(length, phrases, their hashes, counts) of the phrases that the layers ``known`` admit and ``before`` don't
+    (None admits nothing). Without ``known`` every phrase is counted."""
+    import pyarrow as pa
+
     words, code, piece = _tokens(texts)
-    n_words = len(words)
+    hashes = _word_hashes(lang, words.to_pylist())
     if before is None:
-        yield 0, pa.array([""], pa.large_string()), np.array([len(code)])
-        yield 1, words, np.bincount(code, minlength=n_words)
-    hashes = _word_hashes(lang, words.to_pylist()) if known is not None else None
-    # per place: number of the phrase that starts there (-1: none), and whether it is known, and was before
-    number, phrase_hash = code, hashes
-    strings = words
+        yield 0, pa.array([""], words.type), np.zeros(1, np.uint64), np.array([len(code)])
+        yield 1, words, hashes, np.bincount(code, minlength=len(words))
+    # per place: hash of the phrase that starts there, whether it is known, and whether it was before
+    here = hashes[code]
     now = _held(known, 1, hashes)[code] if known is not None else np.ones(len(code), bool)
     then = _held(before, 1, hashes)[code] if before is not None else np.zeros(len(code), bool)
     for k in range(2, longest + 1):
-        if len(code) < k:
-            return
         # both parts are known, and all words lie in one piece
-        at = np.flatnonzero(now[:-1] & now[1:] & (piece[:len(piece) - k + 1] == piece[k - 1:]))
-        if not len(at):
+        admitted = now[:-1] & now[1:] & (piece[:max(0, len(piece) - k + 1)] == piece[k - 1:])
+        old = admitted & then[:-1] & then[1:]
+        at = np.flatnonzero(admitted & ~old)
+        if len(at):
+            yield k, *_distinct(words, hashes, code, at, k)
+        at = np.flatnonzero(admitted)
+        if k == longest or not len(at):
             return
-        key, first, inverse, n = np.unique(number[at] * n_words + code[at + k - 1], return_index=True, return_inverse=True,
-                                           return_counts=True)
-        head, last = key // n_words, key % n_words
-        old = (then[:-1] & then[1:])[at[first]]
-        new = np.flatnonzero(~old)
-        strings = pc.binary_join_element_wise(strings.take(pa.array(head)), words.take(pa.array(last)), pa.scalar(" ", pa.large_string()))
-        if len(new):
-            yield k, strings.take(pa.array(new)), n[new]
-        if k == longest:
-            return
-        is_known, was_known = np.ones(len(key), bool), np.zeros(len(key), bool)
-        if known is not None:
-            phrase_hash = _longer(phrase_hash[head], hashes[last])
-            is_known = _held(known, k, phrase_hash)
-            if before is not None:
-                was_known = old & _held(before, k, phrase_hash)
-        places = len(now) - 1
-        number = np.full(places, -1, np.int64)
-        number[at] = inverse
-        now, then = np.zeros(places, bool), np.zeros(places, bool)
-        now[at], then[at] = is_known[inverse], was_known[inverse]
+        part = _longer(here[at], hashes[code[at + k - 1]])
+        here, now, then = np.zeros(len(admitted), np.uint64), np.zeros(len(admitted), bool), np.zeros(len(admitted), bool)
+        here[at], now[at] = part, _held(known, k, part) if known is not None else True
+        if before is not None:
+            at = np.flatnonzero(old)
+            then[at] = _held(before, k, here[at])
 
 
 _COUNTS = "lang string, k int, phrase string, n long"
 
 
-def _counter(known, before, longest, chunk_bytes):
+def _counter(known, before, longest, chunk_bytes, buckets):
+    """Texts -> ``bucket, part``: per chunk and bucket of phrase hashes, a table of exact counts as Arrow bytes."""
+
     def run(batches):
         import pyarrow as pa
 
-        schema = arrow_schema(_COUNTS)
+        schema, packed = arrow_schema(_COUNTS), pa.ipc.IpcWriteOptions(compression="zstd")
 
         def flush(chunk):
+            tables, bucket = [], []
             for lang, texts in chunk.items():
-                for k, phrases, n in count_phrases(lang, texts, known, before, longest):
-                    size = len(n)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.DictionaryArray.from_arrays(pa.array(np.zeros(size, np.int32)), pa.array([lang])).cast(pa.string()),
-                         pa.array(np.full(size, k, np.int32)), phrases.cast(pa.string()), pa.array(n.astype(np.int64))], schema=schema)
+                for k, phrases, hashes, n in count_phrases(lang, texts, known, before, longest):
+                    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang])).cast(pa.string())
+                    tables.append(pa.Table.from_arrays([langs, pa.array(np.full(len(n), k, np.int32)), phrases.cast(pa.string()),
+                                                        pa.array(n.astype(np.int64))], schema=schema))
+                    bucket.append(((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64))
+            if not tables:
+                return
+            bucket = np.concatenate(bucket)
+            order = np.argsort(bucket, kind="stable")
+            table = pa.concat_tables(tables).take(pa.array(order)).combine_chunks()
+            held, first = np.unique(bucket[order], return_index=True)
+            for a in range(0, len(held), 64):  # some parts at a time
+                parts = []
+                for b, lo, hi in zip(held[a:a + 64], first[a:a + 64], [*first[1:], len(bucket)][a:a + 64], strict=False):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, schema, options=packed) as w:
+                        w.write_table(table.slice(lo, hi - lo))
+                    parts.append(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(held[a:a + 64]), pa.array(parts, pa.binary())], names=["bucket", "part"])
 
         chunk, size = {}, 0
         for batch in batches:
@@ -186,11 +214,34 @@ def _counter(known, before, longest, chunk_bytes):
     return run
 
 
+def _adder(least: int):
+    """All parts of one bucket -> phrases with at least ``least`` occurrences, and the numbers of words (length 0)."""
+
+    def run(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out, waiting, rows = None, [], 0
+        parts = table.column("part")
+        for i, part in enumerate(parts):
+            waiting.append(pa.ipc.open_stream(part.as_buffer()).read_all())
+            rows += waiting[-1].num_rows
+            # fold again when as many rows wait as are folded
+            if i == len(parts) - 1 or rows > max(1 << 18, 2 * (out.num_rows if out else 0)):
+                whole = pa.concat_tables(([out] if out else []) + waiting).combine_chunks()
+                out = whole.group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "k", "phrase", "n"])
+                waiting, rows = [], out.num_rows
+        keep = pc.or_(pc.greater_equal(out.column("n"), least), pc.equal(out.column("k"), 0))
+        return out.filter(keep).select(["lang", "k", "phrase", "n"])
+
+    return run
+
+
 def _pass(texts: DataFrame, least: int, known, before, longest: int, chunk_bytes: int, name: str) -> DataFrame:
     """Exact counts of one pass, written: phrases with at least ``least`` occurrences, and (length 0) the number of words."""
-    counted = texts.mapInArrow(_counter(known, before, longest, chunk_bytes), _COUNTS)
-    summed = counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
-    return stored(summed.filter((F.col("n") >= least) | (F.col("k") == 0)), name)
+    buckets = BUCKETS_PER_PARTITION * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = texts.mapInArrow(_counter(known, before, longest, chunk_bytes, buckets), "bucket long, part binary")
+    return stored(counted.groupBy("bucket").applyInArrow(_adder(least), _COUNTS), name)
 
 
 def _hash_rows(known: list[Layer]):
