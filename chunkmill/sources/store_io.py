@@ -83,11 +83,18 @@ def store_exists(spark: SparkSession, root: str) -> bool:
 
 
 def read_store(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
-    """The newest committed version of a store: the store columns plus ``row_no``, or the
-    ``columns`` asked for (pruned in the Parquet scan); a plain Parquet folder is read as it is."""
-    version = current_version(spark, root)
-    path = f"{root.rstrip('/')}/{version}" if version else root
-    df = spark.read.parquet(path)
+    """The newest committed state of a store: of a log-structured store (``log_store``) the live chunks,
+    of a versioned one its newest version (with ``row_no``), or the ``columns`` asked for (pruned in
+    the Parquet scan); a plain Parquet folder is read as it is."""
+    from . import log_store
+
+    state = log_store.manifest(spark, root)
+    if state is not None:
+        df = log_store.read(spark, state)
+    else:
+        version = current_version(spark, root)
+        path = f"{root.rstrip('/')}/{version}" if version else root
+        df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
 
 
