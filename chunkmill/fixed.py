@@ -21,6 +21,7 @@ FIELD_SEPARATOR = " | "
 SHEET_HEADER = "Sheet: "
 
 # --- ingestion messages ---------------------------------------------------------------------------
+MSG_NOT_FOUND = "File not found: {}"
 MSG_NO_TEXT = "Could not extract text from {}"
 MSG_EMPTY = "File {} is empty"
 MSG_ALREADY = "File {} already processed (use overwrite=True to reprocess)"

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from ..fixed import MSG_ALREADY, MSG_EMPTY, MSG_NO_TEXT, MSG_PROCESSED, UPLOAD_STATUS
 from ..functions.ordering import with_row_index
 from ..functions.text import fill, has_text
+from ..session import cut_lineage
 from .chunking import chunk_with, encode_metadata, explode_chunks
 
+MOST_KEY_WORDS = 1 << 20  # words of 64 keys that may be broadcast: some 30 MB
+
 STORE_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
 
 
@@ -87,44 +91,73 @@ def validate_text(files: DataFrame, text: str = "text", filename: str = "filenam
     return files.withColumn("message", msg).withColumn("valid", F.col("message").isNull())
 
 
+def verdicts(files: DataFrame, stored: DataFrame, overwrite: bool = False) -> DataFrame:
+    """I2-I4 on narrow rows ``input_order, filename, message`` (null message: a valid file): adds ``ok`` (the file counts as
+    processed) and ``insert`` (its chunks go into the store). ``stored`` holds the store's file names.
+
+    Without ``overwrite`` a name already stored, or produced by an earlier valid file of the batch, is
+    rejected (I2); with ``overwrite`` every valid file succeeds and the last valid file of a name is the
+    one that stays (I3). Names are combined map-side, so a hot name is one row per task."""
+    valid = F.col("message").isNull()
+    pick = F.max if overwrite else F.min
+    best = files.where(valid).groupBy("filename").agg(pick("input_order").alias("_win"))
+    out = files.join(best, "filename", "left")
+    first = valid & (F.col("input_order") == F.col("_win"))
+    if overwrite:
+        return out.withColumns({"ok": valid, "insert": first}).drop("_win")
+    known = stored.select("filename").distinct().withColumn("_stored", F.lit(True))
+    out = out.join(known, "filename", "left").withColumn("ok", first & F.col("_stored").isNull())
+    return out.withColumn("insert", F.col("ok")).drop("_win", "_stored")
+
+
+def with_rows(df: DataFrame, key: str, wanted: DataFrame, by: tuple = (), most_words: int = MOST_KEY_WORDS) -> DataFrame:
+    """Rows of ``df`` whose integral ``key`` (within the columns ``by``) is in ``wanted``.
+
+    The wanted keys become a bitmap of 64 keys a word. Up to ``most_words`` words it is broadcast, so the rows, which carry
+    the texts, are not shuffled; beyond that the rows are joined with the keys by a shuffle."""
+    if not isinstance(df.schema[key].dataType, (LongType, IntegerType)):
+        return df.join(wanted.select(*by, key).distinct(), [*by, key], "left_semi")
+    k = F.col(key).cast("long")
+    words = wanted.groupBy(*by, F.shiftright(k, 6).alias("_word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast({key} & 63 as int)))").alias("_bits"))
+    words = cut_lineage(words)
+    if words.count() > most_words:
+        return df.join(wanted.select(*by, key).distinct(), [*by, key], "left_semi")
+    hit = F.expr(f"(shiftright(_bits, cast({key} & 63 as int)) & 1) = 1")
+    return df.withColumn("_word", F.shiftright(k, 6)).join(F.broadcast(words), [*by, "_word"]).where(hit).select(*df.columns)
+
+
+def ingest_details(verdict: DataFrame, counts: DataFrame, key: str = "input_order") -> DataFrame:
+    """I4: ``input_order, filename, success, message, chunks`` from verdicts and the chunk counts ``key, chunks`` of processed files."""
+    j = verdict.join(counts.select(key, F.col("chunks").alias("_n")), key, "left")
+    n = F.coalesce("_n", F.lit(0)).cast("int")
+    msg = F.when(F.col("ok"), fill(MSG_PROCESSED, "filename", n)).otherwise(F.coalesce("message", fill(MSG_ALREADY, "filename")))
+    return j.select("input_order", "filename", F.col("ok").alias("success"), msg.alias("message"),
+                    F.when(F.col("ok"), n).otherwise(F.lit(0)).alias("chunks"))
+
+
 def ingest(files: DataFrame, store: DataFrame, overwrite: bool = False, splitter: str = "recursive",
            created_at=None, processed_at=None, build_store: bool = True, **split_kw) -> tuple[DataFrame, DataFrame | None]:
     """Process a batch ``input_order, filename, text, file_type`` into ``store``.
 
     Returns ``(details, new_store)``; with ``build_store=False`` only the details are planned (the
-    new store needs a numbering pass). Without ``overwrite`` a name already in the store, or
-    produced by an earlier valid file of the batch, is rejected (I2); with ``overwrite`` every
-    valid file succeeds and the last valid file of a name replaces the stored chunks (I3)."""
-    v = validate_text(files)
-    valid = v.where("valid")
-    in_store = store.select("filename").distinct().withColumn("_stored", F.lit(True))
-    order = F.col("input_order")
-    if overwrite:
-        best = valid.groupBy("filename").agg(F.max("input_order").alias("_win"))
-        flagged = valid.join(best, "filename").withColumn("_ok", F.lit(True)).withColumn("_insert", order == F.col("_win"))
-    else:
-        best = valid.groupBy("filename").agg(F.min("input_order").alias("_win"))
-        flagged = (valid.join(best, "filename").join(in_store, "filename", "left")
-                   .withColumn("_ok", (order == F.col("_win")) & F.col("_stored").isNull())
-                   .withColumn("_insert", F.col("_ok")))
-    # one frame carries the verdict and, for accepted files only, the chunks: details and the new
-    # store rows both come from it, so the batch is flagged once
-    chunked = chunk_with(flagged.withColumn("_text", F.when(F.col("_ok"), F.col("text"))), "_text", splitter, **split_kw)
-    chunks = F.when(F.col("_ok"), F.size("chunks"))
-    detail_valid = chunked.select(
-        "input_order", "filename", F.col("_ok").alias("success"),
-        F.when(F.col("_ok"), fill(MSG_PROCESSED, "filename", chunks)).otherwise(fill(MSG_ALREADY, "filename")).alias("message"),
-        F.coalesce(chunks, F.lit(0)).cast("int").alias("chunks"))
-    detail_bad = v.where(~F.col("valid")).select("input_order", "filename", F.lit(False).alias("success"), "message",
-                                                 F.lit(0).alias("chunks"))
-    details = detail_valid.unionByName(detail_bad)
+    new store needs a numbering pass). The verdict on every file is reached over narrow rows
+    (name, order, message) and kept; texts are then fetched for accepted files only, split once,
+    and details and store rows both come from those chunks."""
+    checked = validate_text(files).select("input_order", "filename", "message")
+    verdict = cut_lineage(verdicts(checked, store.select("filename"), overwrite))
+    accepted = with_rows(files, "input_order", verdict.where("ok").select("input_order"))
+    chunked = chunk_with(accepted, "text", splitter, **split_kw)
     if not build_store:
-        return details, None
-    winners = chunked.where("_insert")
-    rows = explode_chunks(winners, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at,
+        return ingest_details(verdict, chunked.select("input_order", F.size("chunks").alias("chunks"))), None
+    rows = explode_chunks(chunked, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at,
                           keep=["input_order"])
-    rows = rows.withColumn("metadata", encode_metadata("metadata"))
-    kept = store.join(winners.select("filename"), "filename", "left_anti") if overwrite else store
+    rows = cut_lineage(rows.withColumn("metadata", encode_metadata("metadata")))
+    details = ingest_details(verdict, rows.groupBy("input_order").agg(F.count(F.lit(1)).alias("chunks")))
+    kept = store
+    if overwrite:
+        rows = with_rows(rows, "input_order", verdict.where("insert").select("input_order"))
+        kept = store.join(verdict.where("insert").select("filename").distinct(), "filename", "left_anti")
     # ids in insertion order: files in input order, chunks in order
     return details, append_chunks(kept, rows, order=("input_order", "chunk_index"), created_at=created_at,
                                   ids_from=store)

@@ -236,6 +236,11 @@ def documents(spark: SparkSession, state: Manifest) -> DataFrame:
     return _without_deleted(spark, _scan(spark, state, "names", _NAMES), state.folders, "first_at")
 
 
+def batch_documents(spark: SparkSession, state: Manifest) -> DataFrame:
+    """The documents of the newest folder, also those that its own commit marked as deleted."""
+    return _scan(spark, state, "names", _NAMES, state.folders[-1:])
+
+
 def filenames(spark: SparkSession, state: Manifest) -> DataFrame:
     """T4 from the side tables."""
     return documents(spark, state).select("filename").distinct()
@@ -408,8 +413,8 @@ def compact(spark: SparkSession, root: str, small_rows: int = SMALL_ROWS, share:
     return _rewrite(spark, state, state, list(victims.values()))
 
 
-def adopt(spark: SparkSession, root: str, store: DataFrame) -> Manifest:
-    """Start the log of ``root`` with the rows of another store; ids are kept."""
-    base = Manifest(root.rstrip("/"))
-    f = _write_folder(spark, base.root, 1, _clustered(store), stored_ids=True)
-    return commit(spark, base, add=[f])
+def publish(spark: SparkSession, root: str, store: DataFrame, base: Manifest | None = None) -> Manifest:
+    """The rows of ``store`` become the whole store (one folder); ids are kept."""
+    base = base or Manifest(root.rstrip("/"))
+    f = _write_folder(spark, base.root, base.commit + 1, _clustered(store), stored_ids=True)
+    return commit(spark, base, add=[f], drop=[old.name for old in base.folders])

@@ -32,6 +32,11 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     ``v-<number>-<id>``; after a version's data job commits, a one-row marker dataset
     ``committed/v-<number>`` is written, so a listed version is always complete and no pointer is
     ever rewritten in place. A store that cannot be read raises: it is not an empty one."""
+    from . import log_store
+
+    state = log_store.manifest(spark, root)
+    if state is not None:
+        return log_version(state)
     try:
         markers = spark.read.text(f"{root.rstrip('/')}/committed/v-*")
     except AnalysisException as e:
@@ -41,6 +46,11 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return markers.agg(F.max("value")).first()[0]
 
 
+def log_version(state) -> str:
+    """The version name of a state of a log-structured store."""
+    return f"v-{state.commit:013d}-log"
+
+
 def write_store(store: DataFrame, root: str, buckets: int | None = None, base: str | None = "current") -> str:
     """Write a new version of the store under ``root`` and commit it with its marker.
 
@@ -64,7 +74,13 @@ def write_store(store: DataFrame, root: str, buckets: int | None = None, base: s
 
 
 def update_store(spark: SparkSession, root: str, change) -> str:
-    """Publish ``change(store)`` (a delete, import, merge or edit) as the next version of the store."""
+    """Publish ``change(store)`` (an import, merge or edit) as the next version of the store: the whole store is written.
+    Appends and deletes of a log-structured store (``log_store``) write only what they change."""
+    from . import log_store
+
+    state = log_store.manifest(spark, root)
+    if state is not None:
+        return log_version(log_store.publish(spark, root, change(log_store.read(spark, state)), state))
     base = current_version(spark, root)
     if base is None:
         raise ValueError(f"no store at {root}")
