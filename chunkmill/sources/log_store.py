@@ -220,13 +220,16 @@ def _scan(spark: SparkSession, state: Manifest, kind: str, schema: str, folders=
     return spark.read.schema(schema).option("basePath", f"{state.root}/{kind}").parquet(*paths)
 
 
-def read(spark: SparkSession, state: Manifest, row_no: bool = False, folders=None) -> DataFrame:
+def read(spark: SparkSession, state: Manifest, row_no: bool = False, folders=None, batch_id: bool = False) -> DataFrame:
     """The live chunks ``id, filename, chunk_index, chunk_text, metadata, created_at``. ``row_no`` adds each row's
-    number from the manifest's offsets (commit order; numbers of deleted rows are not used again before a compaction)."""
+    number from the manifest's offsets (commit order; numbers of deleted rows are not used again before a compaction), ``batch_id`` the number of the commit
+    that wrote the row's folder."""
     folders = state.folders if folders is None else folders
     cols = [F.coalesce("id", F.col("_first_id") + F.col("at")).alias("id"), "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
     if row_no:
         cols.append((F.col("_first_row") + F.col("at")).alias("row_no"))
+    if batch_id:
+        cols.append(F.regexp_extract("folder", r"^b-(\d+)-", 1).cast("long").alias("batch_id"))
     rows = _without_deleted(spark, _scan(spark, state, "data", _DATA, folders), folders, "at")
     return rows.join(_offsets(spark, state.folders), ["folder", "part"]).select(*cols)
 

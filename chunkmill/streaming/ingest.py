@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..fixed import MSG_ALREADY, MSG_EMPTY, MSG_NO_TEXT, MSG_PROCESSED
 from ..operators.chunking import chunk_with, encode_metadata, explode_chunks
-from ..functions.ordering import with_row_index
-from ..functions.text import has_text
-from ..session import scratch_path
+from ..operators.store import with_rows
+from ..functions.text import fill, has_text
+from ..session import range_partitioned, scratch_path
+from ..sources import log_store
 from ..sources.store_io import path_missing
 
+COMPACT_EVERY = 10  # batches between two compactions of the store
+
 
 def stream_path(path: str) -> str:
     """The file stream source watches folders or globs; a single table file is watched through a
@@ -21,78 +27,163 @@ def stream_path(path: str) -> str:
     return path
 
 
-def _side(spark: SparkSession, store_path: str, name: str) -> DataFrame | None:
+# ---------------------------------------------------------------------------------------------- X1
+
+_VERDICT = "input_order long, filename string, verdict string, path string, row long"
+
+
+def _first_of_a_name(key, frames, state: GroupState):
+    """Verdicts on the files of one name: the first valid file (by input order) of the first batch that has one is
+    accepted; the state keeps that the name is taken. Holds one row, however many files share the name."""
+    taken, best = state.exists, None
+    cols = ["input_order", "filename", "verdict", "path", "row"]
+    for pdf in frames:
+        valid = pdf["verdict"] == "ok"
+        if not taken and valid.any():
+            i = pdf.loc[valid, "input_order"].idxmin()
+            if best is None or pdf.at[i, "input_order"] < best["input_order"].iloc[0]:
+                best, loser = pdf.loc[[i]], best
+                pdf = pdf.drop(index=i)
+                if loser is not None:
+                    pdf = pd.concat([pdf, loser])
+        yield pdf.assign(verdict=pdf["verdict"].where(pdf["verdict"] != "ok", "already"))[cols]
+    if best is not None:
+        state.update((True,))
+        yield best[cols]
+
+
+def file_verdicts(files: DataFrame) -> DataFrame:
+    """A stream ``input_order, filename, verdict, path, row``: every file's ``ok``, ``already``, ``no_text`` or ``empty``, by
+    keyed state over narrow rows (``files``: the same columns, ``ok`` for any valid file)."""
+    return files.groupBy("filename").applyInPandasWithState(_first_of_a_name, _VERDICT, "taken boolean", "append",
+                                                            GroupStateTimeout.NoTimeout)
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{store_path.rstrip('/')}/_{name}")
+        return spark.read.parquet(path)
     except AnalysisException as e:
-        if path_missing(e):  # nothing written yet; any other failure must not look like an empty store
+        if path_missing(e):  # nothing written yet; any other failure must not look like an empty table
             return None
         raise
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, store_path: str, splitter: str = "window",
-                 processed_at: str | None = None, **split_kw) -> None:
-    """Process one micro-batch of files ``input_order, filename, text, file_type`` into the store
-    folder: names already stored or repeated in the batch are skipped (I2), the rest chunked and
-    appended with new ids (T1).
-
-    Each batch writes three folders keyed by ``batch_id`` with ``overwrite``, so a replayed batch
-    replaces itself instead of appending twice: the chunks, the batch's distinct names and its
-    largest id. Later batches read the two small side tables (names and ids), never the chunks."""
-    spark = batch.sparkSession
-    root = store_path.rstrip("/")
-    names = _side(spark, root, "names")
-    ids = _side(spark, root, "ids")
-    valid = batch.where(F.col("text").isNotNull() & has_text(F.col("text")))
-    first = valid.groupBy("filename").agg(F.min("input_order").alias("_first"))
-    fresh = valid.join(first, "filename").where(F.col("input_order") == F.col("_first")).drop("_first")
-    if names is not None:
-        fresh = fresh.join(names.where(F.col("batch_id") != batch_id).select("filename"), "filename", "left_anti")
-    base = 0
-    if ids is not None:
-        base = ids.where(F.col("batch_id") != batch_id).agg(F.coalesce(F.max("max_id"), F.lit(0))).first()[0]
-    chunked = chunk_with(fresh, "text", splitter, **split_kw)
-    rows = explode_chunks(chunked, "chunks", "filename", file_type=F.col("file_type"), processed_at=processed_at,
-                          keep=["input_order"])
-    numbered = with_row_index(rows, ["input_order", "chunk_index"], "_rn", start=base + 1)
-    out = numbered.select(F.col("_rn").alias("id"), "filename", "chunk_index", "chunk_text",
-                          encode_metadata("metadata").alias("metadata"), F.current_timestamp().alias("created_at"))
-    out.write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
-    written = spark.read.parquet(f"{root}/batch_id={batch_id}")
-    written.select("filename").distinct().write.mode("overwrite").parquet(f"{root}/_names/batch_id={batch_id}")
-    written.agg(F.max("id").alias("max_id")).write.mode("overwrite").parquet(f"{root}/_ids/batch_id={batch_id}")
-
-
-def stream_ingest(spark: SparkSession, source_path: str, store_path: str, checkpoint: str | None = None,
+def ingest_batch(verdicts: DataFrame, batch_id: int, store_root: str, read_files, splitter: str = "window", processed_at: str | None = None,
+                 stream: str = "stream", compact_every: int = COMPACT_EVERY, ordered: bool = False, **split_kw) -> None:
+    """One micro-batch: its verdicts are written to the detail sink, the texts of accepted files are read (``read_files(paths)``:
+    ``path, row, input_order, filename, text, file_type``), split and appended to the store as one folder.
+
+    Both sinks take a replayed batch once: details are overwritten by batch, and the store's commit carries the
+    batch's number. A batch reads its own source files, its verdicts and the store's log, so its reads don't grow
+    with the batches before it; every ``compact_every`` batches small folders are merged."""
+    spark = verdicts.sparkSession
+    details = f"{store_root.rstrip('/')}/details/batch_id={batch_id}"
+    verdicts.write.mode("overwrite").parquet(details)  # the stateful part runs once
+    accepted = spark.read.schema(_VERDICT).parquet(details).where("verdict = 'ok'")
+    paths = [r["path"] for r in accepted.select("path").distinct().collect()]  # at most the files of one trigger
+    if paths:
+        picked = with_rows(read_files(paths), "row", accepted.select("path", "row"), by=("path",))
+        if ordered:
+            picked = range_partitioned(picked, ["input_order"])
+        rows = explode_chunks(chunk_with(picked, "text", splitter, **split_kw), "chunks", "filename", file_type=F.col("file_type"),
+                              processed_at=processed_at, keep=["input_order"])
+        rows = rows.withColumn("metadata", encode_metadata("metadata")).withColumnRenamed("input_order", "doc")
+        log_store.append(spark, store_root, rows, txn=(stream, batch_id))
+    if compact_every and batch_id % compact_every == compact_every - 1 and log_store.manifest(spark, store_root) is not None:
+        log_store.compact(spark, store_root)
+
+
+def stream_ingest(spark: SparkSession, source_path: str, store_root: str, checkpoint: str | None = None,
                   max_files_per_trigger: int | None = None, **kw) -> DataFrame:
-    """New document files arrive as a stream (``doc_id, text`` Parquet); each trigger runs
-    ``ingest_batch``. Runs until the files present are processed (``availableNow``) and returns
-    the store."""
+    """New document files arrive as a stream (``doc_id, text`` Parquet). Names already seen live in the stream's keyed
+    state; every trigger runs ``ingest_batch``. Runs until the files present are processed (``availableNow``) and returns
+    the store (with ``batch_id``, the commit that wrote a row's folder); ``stream_details`` has one row per file."""
     schema = spark.read.parquet(source_path).schema
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    src = reader.parquet(stream_path(source_path)).select(
-        F.col("doc_id").alias("input_order"),
-        F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
-        "text", F.lit(".txt").alias("file_type"))
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")]
+    verdict = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "no_text").when(~has_text("text"), "empty").otherwise("ok")
+    files = reader.parquet(stream_path(source_path)).select(F.col("doc_id").cast("long").alias("input_order"), name.alias("filename"),
+                                                            verdict.alias("verdict"), *place)
+
+    def read_files(paths):
+        return spark.read.schema(schema).parquet(*paths).select(*place, F.col("doc_id").cast("long").alias("input_order"),
+                                                                name.alias("filename"), "text", F.lit(".txt").alias("file_type"))
+
     ckpt = checkpoint or scratch_path(spark, "stream-ingest-ckpt")
-    q = (src.writeStream.foreachBatch(lambda df, bid: ingest_batch(df, bid, store_path, **kw))
+    q = (file_verdicts(files).writeStream.outputMode("append")
+         .foreachBatch(lambda df, bid: ingest_batch(df, bid, store_root, read_files, **kw))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(store_path)
+    state = log_store.manifest(spark, store_root) or log_store.Manifest(store_root.rstrip("/"))
+    return log_store.read(spark, state, batch_id=True)
+
 
+def stream_details(spark: SparkSession, store_root: str) -> DataFrame:
+    """I4 of a stream: ``input_order, filename, success, message, chunks`` of every file that arrived."""
+    details = _table(spark, f"{store_root.rstrip('/')}/details")
+    state = log_store.manifest(spark, store_root)
+    if state is None:
+        n = details.withColumn("n", F.lit(0))
+    else:
+        counts = log_store.documents(spark, state).groupBy("filename").agg(F.sum("chunks").alias("n"))
+        n = details.join(counts, "filename", "left")
+    ok, chunks = F.col("verdict") == "ok", F.coalesce("n", F.lit(0)).cast("int")
+    msg = (F.when(ok, fill(MSG_PROCESSED, "filename", chunks)).when(F.col("verdict") == "already", fill(MSG_ALREADY, "filename"))
+           .when(F.col("verdict") == "empty", fill(MSG_EMPTY, "filename")).otherwise(fill(MSG_NO_TEXT, "filename")))
+    return n.select("input_order", "filename", ok.alias("success"), msg.alias("message"),
+                    F.when(ok, chunks).otherwise(F.lit(0)).alias("chunks"))
 
-def stream_progress(spark: SparkSession, source_path: str, status_col: str, name: str | None = None,
-                    checkpoint: str | None = None) -> DataFrame:
-    """Running count per status over a stream, complete mode, into an in-memory table that
-    the caller can query while the stream runs; here the stream runs until the input is drained."""
+
+# ---------------------------------------------------------------------------------------------- X2
+
+_PROGRESS = "status string, n long"
+
+
+def progress_batch(changed: DataFrame, batch_id: int, table: str) -> None:
+    """Merge the changed counts of one trigger into the table of counts: a new version ``batch_id=<n>`` (overwritten by a
+    replay) of one row per status."""
+    spark = changed.sparkSession
+    before = _table(spark, f"{table}/batch_id={batch_id - 1}") if batch_id else None
+    rows = changed.select(F.col("status"), F.col("n"), F.lit(1).alias("_new"))
+    if before is not None:
+        rows = rows.unionByName(before.select("status", "n", F.lit(0).alias("_new")))
+    merged = rows.groupBy("status").agg(F.max_by("n", "_new").alias("n"))
+    merged.coalesce(1).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+
+
+def read_progress(spark: SparkSession, table: str) -> DataFrame:
+    """The newest version of the counts: ``status, n``."""
+    rows = _table(spark, table)
+    if rows is None:
+        return spark.createDataFrame([], _PROGRESS)
+    newest = rows.select("batch_id").agg(F.max("batch_id")).first()[0]  # answered from folder names and footers
+    return rows.where(F.col("batch_id") == newest).select("status", "n")
+
+
+def progress_done(progress: DataFrame, total: int) -> DataFrame:
+    """P5: ``done, total`` and the share that is done."""
+    done = F.coalesce(F.sum("n"), F.lit(0))
+    return progress.agg(done.alias("done"), F.lit(total).cast("long").alias("total"),
+                        F.when(F.lit(total) > 0, F.round(done / F.lit(total), 4)).otherwise(F.lit(1.0)).alias("share"))
+
+
+def stream_progress(spark: SparkSession, source_path: str, status_col: str, table: str, checkpoint: str | None = None,
+                    max_files_per_trigger: int | None = None) -> DataFrame:
+    """Running count per status over a stream. Counts live in the stream's state; each trigger merges the counts that
+    changed (update mode) into ``table`` in the shared folder, which others may read while the stream runs
+    and which a restart continues. Here the stream runs until the input is drained."""
     schema = spark.read.parquet(source_path).schema
-    counts = spark.readStream.schema(schema).parquet(stream_path(source_path)).groupBy(F.col(status_col).alias("status")).agg(
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    counts = reader.parquet(stream_path(source_path)).groupBy(F.col(status_col).cast("string").alias("status")).agg(
         F.count(F.lit(1)).alias("n"))
-    table = name or f"progress_{abs(hash(source_path)) % 10**8}"
     ckpt = checkpoint or scratch_path(spark, "stream-progress-ckpt")
-    q = (counts.writeStream.outputMode("complete").format("memory").queryName(table)
+    table = table.rstrip("/")
+    q = (counts.writeStream.outputMode("update").foreachBatch(lambda df, bid: progress_batch(df, bid, table))
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(table)
+    return read_progress(spark, table)
