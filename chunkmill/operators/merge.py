@@ -9,7 +9,8 @@ from ..fixed import (DEFAULT_STORE, MSG_IMPORTED, MSG_MERGED, MSG_NAME_TAKEN, MS
                      MSG_NEW_STORE, MSG_SKIPPED)
 from ..functions.text import fill
 from ..functions.jsonx import strict_json
-from .store import append_chunks
+from ..functions.ordering import with_row_index
+from .store import STORE_COLUMNS, append_chunks
 
 
 def metadata_or_empty(col) -> "F.Column":
@@ -57,6 +58,40 @@ def merge_stores(stores: DataFrame) -> DataFrame:
     return stores.join(best, "filename").where(F.col("store_rank") == F.col("_best")).drop("_best")
 
 
+def merge_id_map(stores: DataFrame) -> DataFrame:
+    """M5: ``store_rank, old_id, id`` of every chunk that a merge keeps: one dense ordinal in (store, old id) order, so ids of
+    several stores no longer collide. Narrow rows only: the names decide, no text is read."""
+    kept = merge_stores(stores.select("store_rank", "filename", F.col("id").alias("old_id")))
+    return with_row_index(kept.select("store_rank", "old_id"), ["store_rank", "old_id"], "id", start=1)
+
+
+def merge_renumbered(stores: DataFrame) -> DataFrame:
+    """M5 as a new store: the chunks that a merge keeps, with ids from ``merge_id_map`` (``old_id`` is kept) and metadata
+    that isn't JSON replaced by ``{}``. Texts are joined once, on the unique key (store_rank, id)."""
+    renamed = stores.withColumnRenamed("id", "old_id")
+    return _clean_metadata(renamed.join(merge_id_map(stores), ["store_rank", "old_id"]))
+
+
+def publish_merge(spark, stores: DataFrame, root: str) -> DataFrame:
+    """M5: merge into the log-structured store at ``root``: what the target already holds comes first (as one more store),
+    the merge becomes its next version, in one commit. Returns the totals of the merged store."""
+    from ..sources import log_store
+
+    base = log_store.manifest(spark, root)
+    stores = stores.select("store_rank", *STORE_COLUMNS)
+    if base is not None:
+        target = log_store.read(spark, base).withColumn("store_rank", F.lit(-1))
+        kept = merge_stores(stores.join(log_store.filenames(spark, base), "filename", "left_anti"))
+        first = target.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        ids = merge_id_map(kept)
+        new = _clean_metadata(kept.withColumnRenamed("id", "old_id").join(ids, ["store_rank", "old_id"]))
+        merged = target.select(*STORE_COLUMNS).unionByName(new.withColumn("id", F.col("id") + first).select(*STORE_COLUMNS))
+    else:
+        merged = merge_renumbered(stores).select(*STORE_COLUMNS)
+    state = log_store.publish(spark, root, merged, base)
+    return merge_totals(log_store.read(spark, state))
+
+
 def merge_totals(merged: DataFrame) -> DataFrame:
     t = merged.agg(F.count_distinct("filename").alias("documents"), F.count(F.lit(1)).alias("chunks"))
     return t.withColumn("message", fill(MSG_MERGED, "documents", "chunks"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.merge import (import_as_new_store, import_counts, import_merge, import_replace, list_stores,
-                               merge_dedup_content, merge_stores, merge_totals, metadata_or_empty, missing_stores,
+                               merge_dedup_content, merge_renumbered, merge_stores, merge_totals, metadata_or_empty, missing_stores,
                                store_catalogue, store_sources)
 from .fixtures import chunk_store, store_sql, stores_union, stores_union_sql, table
 from .registry import query
@@ -71,6 +71,20 @@ def q_merge(spark, sf):
     return merge_stores(stores_union(spark, sf)).select("store", "filename", "chunk_index", "chunk_text")
 
 
+BAD_META = "CASE WHEN chunk_index % 3 = 1 THEN substring(metadata, 1, 20) WHEN chunk_index % 3 = 2 THEN NULL ELSE metadata END"
+
+
+@query("merge_renumbered", "M5 (new ids, clean metadata)", f"""
+WITH u AS ({U}), best AS (SELECT filename, min(store_rank) AS store_rank FROM u GROUP BY filename),
+k AS (SELECT u.* FROM u JOIN best USING (filename, store_rank))
+SELECT row_number() OVER (ORDER BY store_rank, id) AS id, id AS old_id, store, filename, chunk_index,
+       CASE WHEN chunk_index % 3 = 0 THEN metadata ELSE '{{}}' END AS metadata
+FROM k""")
+def q_merge_renumbered(spark, sf):
+    stores = stores_union(spark, sf).withColumn("metadata", F.expr(BAD_META))  # two of three chunks hold damaged metadata
+    return merge_renumbered(stores).select("id", "old_id", "store", "filename", "chunk_index", "metadata")
+
+
 @query("merge_totals", "M5 (totals)", f"""
 SELECT documents, chunks, 'Successfully merged ' || CAST(documents AS VARCHAR) || ' documents (' || CAST(chunks AS VARCHAR) || ' chunks)' AS message
 FROM (SELECT count(DISTINCT filename) AS documents, count(*) AS chunks FROM (

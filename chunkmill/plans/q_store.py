@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from ..operators.store import (append_chunks, chunk_count, chunk_view, delete_documents, document_count,
                                document_exists, ingest, ingest_summary, processed_files, store_stats,
                                upload_status, validate_text)
-from .fixtures import FIXED_TIME, NON_WS_SQL, chunk_store, store_sql, table, windows_sql
+from ..operators.chunking import encode_metadata, explode_chunks, window_chunks
+from ..operators.merge import import_merge
+from ..session import scratch_path
+from ..sources import log_store
+from ..sources.store_io import read_store
+from .fixtures import FIXED_TIME, NON_WS_SQL, chunk_store, doc_files, store_sql, table, windows_sql
 from .registry import query
 
 A, B, C = store_sql("A"), store_sql("B"), store_sql("C")
@@ -192,3 +197,79 @@ SELECT count(DISTINCT filename) AS total_documents, count(*) AS total_chunks,
 FROM ({C})""")
 def q_stats(spark, sf):
     return store_stats(chunk_store(spark, sf, "C"))
+
+
+# ---------------------------------------------------------------------------------------------- log-structured store
+
+
+def _log_of(spark, *stores):
+    """A log-structured store of the given rows, one commit each: the first with its own ids, the others appended."""
+    root = scratch_path(spark, "log-store")
+    state = log_store.publish(spark, root, stores[0])
+    for rows in stores[1:]:
+        state = log_store.append(spark, root, rows, state)
+    return root, state
+
+
+@query("log_append", "T1, S10 on the log-structured store", f"""
+WITH a AS ({A}), b AS ({B})
+SELECT id, filename, chunk_index, chunk_text, metadata FROM a
+UNION ALL
+SELECT (SELECT max(id) FROM a) + row_number() OVER (ORDER BY filename, chunk_index) AS id, filename, chunk_index, chunk_text, metadata FROM b""")
+def q_log_append(spark, sf):
+    root, _ = _log_of(spark, chunk_store(spark, sf, "A").drop("row_no"), chunk_store(spark, sf, "B").drop("id", "created_at", "row_no"))
+    return read_store(spark, root, ["id", "filename", "chunk_index", "chunk_text", "metadata"])
+
+
+GONE_SQL = f"SELECT filename FROM ({B}) WHERE filename LIKE '%3.txt'"
+
+
+def _with_deletes(spark, sf):
+    root, _ = _log_of(spark, chunk_store(spark, sf, "C").drop("row_no"))
+    gone = chunk_store(spark, sf, "B").where("filename LIKE '%3.txt'").select("filename")
+    return root, *log_store.delete(spark, root, gone)
+
+
+@query("log_delete", "T6 on pending bitmaps", f"SELECT id, filename, chunk_index, chunk_text FROM ({C}) WHERE filename NOT IN ({GONE_SQL})")
+def q_log_delete(spark, sf):
+    root, _, _ = _with_deletes(spark, sf)
+    return read_store(spark, root, ["id", "filename", "chunk_index", "chunk_text"])
+
+
+@query("log_compact", "T6 after a compaction", f"""
+SELECT id, filename, chunk_index, chunk_text FROM ({C}) WHERE filename NOT IN ({GONE_SQL})""")
+def q_log_compact(spark, sf):
+    root, _, _ = _with_deletes(spark, sf)
+    return log_store.read(spark, log_store.compact(spark, root, share=0.0)).select("id", "filename", "chunk_index", "chunk_text")
+
+
+@query("log_page", "B1 over pending deletes", f"""
+SELECT id, filename, chunk_index, CASE WHEN length(chunk_text) > 100 THEN substring(chunk_text, 1, 100) || '...' ELSE chunk_text END AS preview
+FROM (SELECT *, row_number() OVER (ORDER BY filename, chunk_index) AS rn FROM ({C}) WHERE filename NOT IN ({GONE_SQL}))
+WHERE rn > 500 AND rn <= 1000""")
+def q_log_page(spark, sf):
+    _, state, _ = _with_deletes(spark, sf)
+    return log_store.page(spark, state, 2, 500)
+
+
+@query("log_import_merge", "M1 into a store with pending deletes", f"""
+WITH t AS (SELECT * FROM ({C}) WHERE filename NOT IN ({GONE_SQL})), b AS ({B})
+SELECT id, filename, chunk_index FROM t
+UNION ALL
+SELECT (SELECT max(id) FROM t) + row_number() OVER (ORDER BY id), filename, chunk_index FROM b WHERE filename NOT IN (SELECT filename FROM t)""")
+def q_log_import(spark, sf):
+    root, _, _ = _with_deletes(spark, sf)
+    return import_merge(read_store(spark, root), chunk_store(spark, sf, "B")).select("id", "filename", "chunk_index")
+
+
+@query("log_overwrite", "I3 in one commit on the log-structured store", f"""
+WITH n AS (SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, doc_id AS ord, text FROM documents WHERE lang = 'fr'),
+w AS ({windows_sql("SELECT ord, filename, text FROM n", 300, 30)})
+SELECT filename, chunk_index, chunk_text FROM ({A}) WHERE filename NOT IN (SELECT filename FROM n)
+UNION ALL SELECT filename, chunk_index, chunk_text FROM w""")
+def q_log_overwrite(spark, sf):
+    root, state = _log_of(spark, chunk_store(spark, sf, "A").drop("row_no"))
+    docs = doc_files(spark, sf).where("lang = 'fr'").withColumn("chunks", window_chunks("text", 300, 30))
+    rows = explode_chunks(docs, keep=["doc_id"]).withColumn("metadata", encode_metadata("metadata")).withColumnRenamed("doc_id", "doc")
+    state = log_store.replace_documents(spark, root, rows, docs.select("filename"), state)
+    return log_store.read(spark, state).select("filename", "chunk_index", "chunk_text")

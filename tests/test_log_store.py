@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chunkmill.operators.browse import page_chunks
-from chunkmill.operators.merge import import_merge
+from chunkmill.operators.merge import import_merge, merge_id_map, merge_renumbered, publish_merge
 from chunkmill.operators.store import append_chunks, delete_documents
 from chunkmill.sources import log_store as ls
 from chunkmill.sources.store_io import read_store
@@ -171,3 +171,24 @@ def test_empty(spark, tmp_dir):
     assert ls.page(spark, state, 1).count() == 0
     with pytest.raises(ValueError):
         ls.delete(spark, f"{tmp_dir}/none", names(spark, "a"))
+
+
+def test_merge_publishes_new_ids(spark, tmp_dir):
+    def store(rank, files, tag, meta="{}"):
+        return chunks(spark, files, tag).withColumns({"id": F.monotonically_increasing_id() + 1, "store_rank": F.lit(rank),
+                                                      "metadata": F.lit(meta), "created_at": F.lit(None).cast("timestamp")})
+
+    stores = store(0, [("a", 2), ("b", 3)], "s0").coalesce(1).unionByName(store(1, [("b", 1), ("c", 2)], "s1", "not json").coalesce(1))
+    ids = merge_id_map(stores)
+    assert sorted(r.id for r in ids.collect()) == list(range(1, 8))
+    got = merge_renumbered(stores).collect()
+    assert len({r.id for r in got}) == 7 and {r.metadata for r in got if r.filename == "c"} == {"{}"}
+    root = f"{tmp_dir}/s"
+    total = publish_merge(spark, stores, root).first()
+    assert (total.documents, total.chunks) == (3, 7)
+    more = store(0, [("c", 9), ("d", 2)], "s2").coalesce(1)
+    total = publish_merge(spark, more, root).first()  # the target comes first
+    assert (total.documents, total.chunks) == (4, 9)
+    out = rows(read_store(spark, root))
+    assert [r[0] for r in out] == list(range(1, 10)) and all(r[3].startswith("s1") for r in out if r[1] == "c")
+    assert publish_merge(spark, more, root).first().chunks == 9  # a repeat adds nothing
