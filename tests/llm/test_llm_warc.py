@@ -61,3 +61,36 @@ def test_foreign_archive_with_members_out_of_order(spark, tmp_dir):
     os.remove(f"{tmp_dir}/f/1.warc.gz")
     with pytest.raises(Exception, match="incomplete segments"):
         W.read_archive(spark, tmp_dir + "/f").collect()
+
+
+def test_every_row_comes_back(spark, tmp_dir):
+    rows = [(1, "u", "same"), (1, "u", "same"), (1, "v", "same"), (None, "u", "same"), (None, "w", "same"), (None, "x", "other"),
+            (2, "u", "other"), (2, "u", None), (None, None, None)]
+    W.write_archive(frame(spark, rows), tmp_dir + "/r", records_per_file=2)
+    out = W.read_archive(spark, tmp_dir + "/r").collect()
+    got = sorted(((r.page_id, r.target_uri, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in out), key=str)
+    assert sorted(((r[0], r[1], r[4], r[5]) for r in got), key=str) == sorted(((i, u, *fact(h)) for i, u, h in rows), key=str)
+    assert sum(r[2] == "response" for r in got) == 3
+    assert {(r[0], r[3]) for r in got if r[2] == "revisit"} == {(1, 1), (None, 1), (None, 2)}
+
+
+def test_reading_in_pieces(monkeypatch):
+    monkeypatch.setattr(W, "READ_BYTES", 5)
+    blocks = [b"", b"a" * 100, b"\r\n\r\nWARC/1.1"]
+    raw = b"".join(record({"WARC-Type": "resource", "WARC-Record-ID": f"<urn:{i}>"}, b) for i, b in enumerate(blocks))
+    for packed in (raw, gzip.compress(raw), b"".join(gzip.compress(raw[i:i + 60]) for i in range(0, len(raw), 60))):
+        assert [b for _, b in W.parse_records(packed)] == blocks
+    for broken in (raw[:-8], raw[:30], gzip.compress(raw)[:-12], raw + b"x", b"no record\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(W.parse_records(broken))
+    assert list(W.parse_records(b"")) == []
+
+
+def test_resource_records(spark, tmp_dir):
+    import os
+
+    os.makedirs(tmp_dir + "/q")
+    with open(f"{tmp_dir}/q/0.warc", "wb") as f:
+        f.write(record({"WARC-Type": "resource", "WARC-Record-ID": "<urn:page:4::0>", "WARC-Target-URI": "http://h"}, b"plain \x00 bytes"))
+    (r,) = W.read_archive(spark, tmp_dir + "/q").collect()
+    assert (r.page_id, r.record_type, r.payload_bytes, r.target_uri) == (4, "resource", 13, "http://h")
