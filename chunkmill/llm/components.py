@@ -36,3 +36,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e = e.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
         e = stored(e, "links")
+
+
+def smallest_ids(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """``nodes`` (id, least, ...) with ``c``: the smallest ``least`` of the node's component in ``comp`` (id, component_id); nodes
+    without links are their own. Nodes have numbers of their own, so rows of different content may share an outer id."""
+    linked = nodes.select("id", "least").join(comp, "id")
+    smallest = linked.groupBy("component_id").agg(F.min("least").alias("c"))
+    return nodes.join(comp.join(smallest, "component_id").select("id", "c"), "id", "left").withColumn("c", F.coalesce("c", "least"))

@@ -1,9 +1,9 @@
 """MinHash near-duplicates with an LSH forest.
 
-Every document's shingle set gets ``TREES`` short signatures. In each tree, documents whose signatures share
-a prefix are neighbours; the depth adapts to the region: a region of more than ``REGION`` documents is
-split by the next signature values, and what is still too large after the last one into random
-blocks, with every member also tied to the region's smallest one. Candidates whose sketches cannot
+Every document's shingle set gets ``TREES`` short signatures, and each tree is a sorted order of them. Documents
+that share at least ``BASE`` values of a signature are a region of the order. A region of up to ``REGION`` documents is paired
+completely; in a larger one each document is paired with the next one in order, its neighbour with the longest common
+prefix, so the depth adapts to the region and candidates stay linear in the documents. Candidates whose sketches cannot
 reach the threshold are dropped, the rest is confirmed on the full shingle sets, a spanning forest
 first (each document with its most similar candidate), then every candidate whose ends are still in different
 components. Finally come the regions that were too large to be paired completely and whose members
@@ -15,7 +15,8 @@ Documents with equal sets are one class from the start, so groups of copies neve
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer words
 than a shingle is one shingle; null ids are their own component (null); rows that repeat an id are
-judged by their own text; an empty table gives no rows; other columns are ignored.
+judged by their own text; texts are taken whole, however long; of equally similar candidates the smallest
+node is tried first, which changes no result; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import range_partitioned
 from .common import arrow_schema, stored
-from .components import components
+from .components import components, smallest_ids
 
 TREES, BASE, DEEPEST = 32, 4, 6  # a pair at similarity 0.8 shares no prefix of BASE values in any tree with p = 5e-8
 REGION = 16
@@ -100,6 +102,12 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _set_key(raw: bytes) -> tuple[int, int]:
+    """128 bits that stand for a whole set."""
+    d = hashlib.blake2b(raw, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def minhash(s: np.ndarray) -> np.ndarray:
     out = np.full(len(_A), 0xFFFFFFFF, np.uint64)
     for i in range(0, len(s), 1024):
@@ -122,13 +130,12 @@ def _sketches(width: int):
                 s = shingle_set(text.as_py(), width)
                 row = {"doc_id": doc_id, "n": len(s)}
                 if len(s) and doc_id is not None:
-                    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                    k1, k2 = _set_key(s.tobytes())
                     m = minhash(s)
                     t, key = m.reshape(TREES, DEEPEST), tree
                     for k in range(BASE):
                         key = _mix(key * np.uint64(_X) + t[:, k])
-                    row |= {"k1": int.from_bytes(d[:8], "little", signed=True), "k2": int.from_bytes(d[8:], "little", signed=True),
-                            "sketch": m.astype(np.uint8).tobytes(), "keys": key.astype(np.int64),
+                    row |= {"k1": k1, "k2": k2, "sketch": m.astype(np.uint8).tobytes(), "keys": key.astype(np.int64),
                             "next1": t[:, BASE].astype(np.uint32).view(np.int32), "next2": t[:, BASE + 1].astype(np.uint32).view(np.int32)}
                 rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
@@ -140,9 +147,12 @@ def _sets(width: int):
     def run(batches):
         import pyarrow as pa
 
+        schema = arrow_schema("k1 long, k2 long, shingles binary")
         for batch in batches:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], schema=arrow_schema("doc_id long, shingles binary"))
+            keys = [_set_key(raw) for raw in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
+                                              pa.array(sets, pa.binary())], schema=schema)
 
     return run
 
@@ -178,37 +188,95 @@ def _linked(share: int):
     return run
 
 
-def _regions(rows: DataFrame) -> DataFrame:
-    """Size and smallest member of each region, joined to its members; single ones are dropped. One exchange by the
-    region's key serves both sides, and AQE splits a hot region's partition."""
-    parted = rows.repartition("key")
-    per = parted.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("least")).filter("size > 1")
-    return parted.join(per, "key")
+_NEAR = "kind int, key long, a long, b long, task int"
+PAIR, MEMBER, EDGE, FIRST, LAST = range(5)
 
 
-def _pairs(regions: DataFrame) -> DataFrame:
-    left, right = regions.select("key", F.col("id").alias("a")), regions.select("key", F.col("id").alias("b"))
-    return left.join(right, "key").filter("a < b").select("a", "b")
+def _neighbours(region: int):
+    """One stretch of all trees' sorted signatures (key, next values, id) -> rows of five kinds: candidate pairs; members of
+    regions of more than ``region`` documents; members of a smaller region at either end of the stretch, which may go on in the
+    next one; the first and the last document of the stretch. Holds one region's first ``region`` documents at a time."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        schema, task = arrow_schema(_NEAR), TaskContext.get().partitionId()
+        out: list[tuple] = []
+
+        def pair(x, y):
+            out.append((PAIR, None, min(x, y), max(x, y), None))
+
+        def close(key, ids, large, edge):
+            """The region ends: pair it completely, or, where it is large, each document with the next one in order."""
+            if large or len(ids) > region:
+                for x, y in zip(ids, ids[1:], strict=False):
+                    pair(x, y)
+                out.extend((MEMBER, key, x, None, None) for x in (ids[1:] if large else ids))
+                return
+            for n, x in enumerate(ids):
+                for y in ids[n + 1:]:
+                    pair(x, y)
+            if edge:
+                out.extend((EDGE, key, x, None, task) for x in ids)
+
+        def flush():
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        key, ids, large, first = None, [], False, True
+        for batch in batches:
+            k, i = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+            if not len(k):
+                continue
+            if key is None:
+                out.append((FIRST, int(k[0]), int(i[0]), None, task))
+            cuts = np.flatnonzero(np.diff(k)) + 1
+            lo, hi = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(k)]])
+            # whole single regions inside the batch make no pair
+            for n in np.flatnonzero((hi - lo > 1) | (np.arange(len(lo)) == 0) | (np.arange(len(lo)) == len(lo) - 1)):
+                now, part = int(k[lo[n]]), i[lo[n]:hi[n]].tolist()
+                if key is not None and now != key:
+                    close(key, ids, large, first)
+                    ids, large, first = [], False, False
+                key, ids = now, ids + part
+                if len(ids) > region:  # large: all but the last document are done with
+                    close(key, ids, large, False)
+                    ids, large = ids[-1:], True
+            yield flush()
+        if key is not None:
+            if large:
+                close(key, ids, True, False)
+            else:
+                close(key, ids, False, True)
+            out.append((LAST, key, ids[-1], None, task))
+            yield flush()
+
+    return run
 
 
 def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of all trees, and the members (key, id) of regions too large to be paired completely."""
+    """Candidate pairs of all trees, and the members (key, id) of regions too large to be paired completely.
+
+    All trees' signatures are put into one sorted order, dealt over tasks by range, so no region is a group that one task
+    must hold. A document's neighbours in the order are those with the longest common prefix: the depth
+    follows the region. Candidates are linear in the documents, however large a region is."""
     rows = reps.select("id", F.explode(F.arrays_zip("keys", "next1", "next2")).alias("t"))
-    rows = rows.select("id", F.col("t.keys").alias("key"), "t.next1", "t.next2")
-    first = stored(_regions(rows), "regions")
-    large = first.filter(F.col("size") > REGION)
-    pairs, level = _pairs(first.filter(F.col("size") <= REGION)), large
-    for column in ("next1", "next2", None):
-        tied = level.filter(F.col("id") != F.col("least")).select(F.col("least").alias("a"), F.col("id").alias("b"))
-        if column:
-            deeper = F.xxhash64("key", column)
-        else:  # the signature ends: random blocks
-            deeper = F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("size") / 2)))
-        # one task would need a region's size for each member: regions are counted and joined by their key
-        level = stored(_regions(level.select("id", deeper.alias("key"), "next1", "next2")), "regions")
-        pairs = pairs.unionByName(tied).unionByName(_pairs(level if column is None else level.filter(F.col("size") <= REGION)))
-        level = level.filter(F.col("size") > REGION)
-    return pairs.distinct(), large.select("key", "id", "size")
+    order = ["key", "next1", "next2", "id"]
+    rows = range_partitioned(rows.select(F.col("t.keys").alias("key"), "t.next1", "t.next2", "id"), order).select("key", "id")
+    near = stored(rows.mapInArrow(_neighbours(REGION), _NEAR), "neighbours")
+    # a region that goes on in the next stretch: the two documents at the seam are a pair, and its members are closed like
+    # those of a large region. Two rows per task and two small regions per task.
+    ends = near.filter(F.col("kind") >= FIRST)
+    at = Window.orderBy("task", "kind")
+    seams = ends.select("key", "a", F.lead("key").over(at).alias("next_key"), F.lead("a").over(at).alias("b"), "kind").filter(
+        (F.col("kind") == LAST) & (F.col("key") == F.col("next_key")))
+    seams = stored(seams.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "seams")
+    edges = near.filter(F.col("kind") == EDGE).join(F.broadcast(seams.select("key").distinct()), "key", "left_semi")  # one key per task
+    pairs = near.filter(F.col("kind") == PAIR).select("a", "b").unionByName(seams.select("a", "b"))
+    large = near.filter(F.col("kind") == MEMBER).unionByName(edges).select("key", F.col("a").alias("id")).distinct()
+    return pairs.filter("a < b").distinct(), large
 
 
 def _with_sketches(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -277,21 +345,29 @@ def _open_pairs(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links are pairs with 100 * |intersection| >= share * |union|."""
+    if share < 80:
+        raise ValueError("trees and depth are laid out for a similarity of 0.8 and more")
     least = share / 100 - SLACK
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketch = stored(src.mapInArrow(_sketches(width), _SKETCH), "sketches")
-    classes = stored(sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    # the row that stands for its class; a repeated id with the same text gives the same row
-    reps = sketch.join(classes.select(F.col("id").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi").withColumnRenamed("doc_id", "id")
-    reps = stored(reps.dropDuplicates(["id", "k1", "k2"]), "reps")
+    # a class of equal sets is a node with a number of its own: rows may repeat an id with other texts
+    classes = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    # one row stands for its class
+    reps = sketch.join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "k1", "k2"]).select("id", "sketch", "keys", "next1", "next2")
+    reps = stored(reps.dropDuplicates(["id"]), "reps")
     raw, large = _candidates(reps)
-    raw = stored(raw, "candidates")
+    raw, large = stored(raw, "candidates"), stored(large, "large-regions")
     pairs = stored(_with_sketches(raw, reps, least), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    wanted = wanted.unionByName(large.select(F.col("id").alias("doc_id"))).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    wanted = wanted.unionByName(large.select("id")).distinct()
 
     def sets_of(ids):
-        return stored(src.join(ids, "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
+        """(doc_id: the node, shingles) of the classes wanted."""
+        some = stored(classes.join(ids, "id", "left_semi"), "wanted")
+        rows = src.join(some.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        sets = rows.mapInArrow(_sets(width), "k1 long, k2 long, shingles binary").dropDuplicates(["k1", "k2"])
+        return stored(sets.join(some, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "shingles"), "sets")
 
     def confirm(some, sets):
         both = some.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a").join(
@@ -313,13 +389,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
 
     # a link that was tried and failed is tried again here only if its ends are still apart
     links, comp = with_more(links, comp, _across(pairs.select("a", "b"), comp))
-    members = large.join(comp, "id", "left").select("key", "id", "size", F.coalesce("component_id", "id").alias("c"))
+    members = large.join(comp, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
     members = stored(_mixed(members), "open-regions")
     if not members.isEmpty():
         clusters = components(raw).withColumnRenamed("component_id", "cluster")
         late = _open_pairs(members.select("id", "c").distinct().join(clusters, "id"), sets, share).join(pairs, ["a", "b"], "left_anti")
         links, comp = with_more(links, comp, _with_sketches(late, reps, least).select("a", "b"))
-    own = classes.join(comp, "id", "left").select("k1", "k2", F.coalesce("component_id", "id").alias("c"))
+    own = smallest_ids(classes, comp).select("k1", "k2", "c")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(own, ["k1", "k2"], "left")
     c = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))

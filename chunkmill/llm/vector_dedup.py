@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, stored
-from .components import components
+from .components import components, smallest_ids
 
 BLOCK = 8
 TILE = 16384  # vectors of either side in one tile
@@ -190,9 +190,10 @@ def link(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_c
     # two 64-bit hashes stand for a vector's value; -0.0 and 0.0 hash alike
     src = src.withColumns({"ok": _linkable(F.col("embedding")), "k1": F.xxhash64("embedding"),
                            "k2": F.xxhash64(F.lit(1), "embedding")})
+    # a class is a node with a number of its own: rows may repeat an id with other vectors
     classes = src.filter("ok and vec_id is not null").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
-    classes = stored(classes, "vectors")
+        F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     # one row per vector length
     shape = {r["d"]: r["n"] for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).collect()}
     rotations, g = {d: rotation(d) for d in shape}, grid_dims(max(shape.values(), default=0))
@@ -211,9 +212,8 @@ def link(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vec_c
     found = stored(found, "vector-links")
     comp = components(found.filter("a is not null").select("a", "b"))
     counts = found.filter("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
-    cls = classes.select("k1", "k2", "id", "weight").join(counts, "id", "left").join(
-        comp, "id", "left").select("k1", "k2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"),
-                                   F.coalesce("component_id", "id").alias("c"))
+    cls = smallest_ids(classes.select("k1", "k2", "id", "least", "weight"), comp).join(counts, "id", "left").select(
+        "k1", "k2", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n"), "c")
     members = src.select("vec_id", "k1", "k2", (F.col("ok") & F.col("vec_id").isNotNull()).alias("ok"))
     out = members.join(cls.withColumn("ok", F.lit(True)), ["k1", "k2", "ok"], "left")
     comp_id = F.coalesce("c", "vec_id")

@@ -111,3 +111,76 @@ def test_slices_do_not_change_hashes(monkeypatch):
     monkeypatch.setattr(M, "SLICE", 64)
     assert M.word_hashes(text).tolist() == whole.tolist() and len(whole) == 1202
     assert M.word_hashes("ALPHA").tolist() == M.word_hashes("alpha").tolist()
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rnd = random.Random(7)
+    a, b = ([f"{p}{rnd.randrange(10 ** 6)}" for _ in range(100)] for p in "ab")
+    change = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, change(a)), (3, change(b)), (5, " ".join(a)), (None, " ".join(a))]
+    out = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out == brute(rows)
+    assert {(d, c) for d, _, c in out} == {(5, 2), (5, 3), (2, 2), (3, 3), (None, None)}
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs at a similarity of 0.80 to 0.82, each with its own words."""
+    rnd, rows, want = random.Random(3), [], 0
+    for i in range(600):
+        base = [f"p{i}w{j}" for j in range(120)]
+        other = list(base)
+        for j in rnd.sample(range(2, 118), 6):  # 6 words changed: about 107 of 131 shingles of two words
+            other[j] = f"p{i}x{j}"
+        s, t = shingles(" ".join(base), 2), shingles(" ".join(other), 2)
+        if 0.80 <= len(s & t) / len(s | t) <= 0.83:
+            rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+            want += 1
+    assert want > 300
+    out = got(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(d % 2 and c == d - 1 for d, _, c in out) >= 0.99 * want
+
+
+def test_candidates_are_linear_in_a_large_group(spark):
+    """Regions over several tasks: neighbours only, the seams too; no document of a region is lost for the closing step."""
+    n = 4000
+    rows = [(i, [int(k) for k in range(M.TREES)], [i % 7] * M.TREES, [i % 3] * M.TREES) for i in range(n)]
+    reps = spark.createDataFrame(rows, "id long, keys array<long>, next1 array<int>, next2 array<int>").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs, large = M._candidates(reps)
+        assert pairs.count() <= n * M.TREES
+        assert large.count() == n * M.TREES
+        near = pairs.collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parent = list(range(n))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in near:
+        parent[root(r.a)] = root(r.b)
+    assert len({root(i) for i in range(n)}) == 1
+
+
+def test_small_regions_at_the_ends_of_a_task(spark):
+    batches = [[(1, 10), (1, 11)], [(1, 12), (2, 5), (3, 6), (3, 7)]]
+    import pyarrow as pa
+
+    class Task:
+        partitionId = staticmethod(lambda: 4)
+
+    import pyspark
+
+    old = pyspark.TaskContext.get
+    pyspark.TaskContext.get = staticmethod(lambda: Task)
+    try:
+        frames = [pa.RecordBatch.from_pylist([{"key": k, "id": i} for k, i in b]) for b in batches]
+        out = [tuple(r.values()) for f in M._neighbours(3)(iter(frames)) for r in f.to_pylist()]
+    finally:
+        pyspark.TaskContext.get = old
+    assert {r[2:4] for r in out if r[0] == M.PAIR} == {(10, 11), (10, 12), (11, 12), (6, 7)}
+    assert [r[:3] for r in out if r[0] == M.EDGE] == [(M.EDGE, 1, 10), (M.EDGE, 1, 11), (M.EDGE, 1, 12), (M.EDGE, 3, 6), (M.EDGE, 3, 7)]
+    assert [r[:3] for r in out if r[0] in (M.FIRST, M.LAST)] == [(M.FIRST, 1, 10), (M.LAST, 3, 7)]

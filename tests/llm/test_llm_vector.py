@@ -99,3 +99,11 @@ def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, 7), (7, 5), (3, 3)] + [(200, 200 + i) for i in range(1, 40)]
     out = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {**{i: 100 for i in range(100, 161)}, 5: 5, 7: 5, **{i: 200 for i in range(200, 240)}}
+
+
+def test_rows_that_repeat_an_id_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [1.0, 0.02]), (1, [1.0, 0.0])]
+    assert got(spark, rows) == brute(rows, 0.95)
+    df = spark.createDataFrame([(None, [1.0, 0.0], "x", 1), (7, [1.0, 0.0], "x", 1)], SCHEMA)
+    out = sorted((tuple(r) for r in V.link(df).collect()), key=str)
+    assert out == sorted([(None, 0, None, True), (7, 0, 7, True)], key=str)
