@@ -115,7 +115,7 @@ def minhash(s: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "doc_id long, n long, k1 long, k2 long, sketch binary, keys array<long>, next1 array<int>, next2 array<int>"
+_SKETCH = "doc_id long, text_hash long, n long, k1 long, k2 long, sketch binary, keys array<long>, next1 array<int>, next2 array<int>"
 
 
 def _sketches(width: int):
@@ -126,9 +126,10 @@ def _sketches(width: int):
         tree = _mix(np.arange(1, TREES + 1, dtype=np.uint64))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, text_hash, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"),
+                                               strict=True):
                 s = shingle_set(text.as_py(), width)
-                row = {"doc_id": doc_id, "n": len(s)}
+                row = {"doc_id": doc_id, "text_hash": text_hash, "n": len(s)}
                 if len(s) and doc_id is not None:
                     k1, k2 = _set_key(s.tobytes())
                     m = minhash(s)
@@ -144,15 +145,19 @@ def _sketches(width: int):
 
 
 def _sets(width: int):
+    """Shingle sets of rows ``id, text``; of rows that repeat a node in one task, the first one's."""
     def run(batches):
         import pyarrow as pa
 
-        schema = arrow_schema("k1 long, k2 long, shingles binary")
+        seen = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column("text")]
-            keys = [_set_key(raw) for raw in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                                              pa.array(sets, pa.binary())], schema=schema)
+            ids, sets = [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                if i not in seen:
+                    seen.add(i)
+                    ids.append(i)
+                    sets.append(shingle_set(text.as_py(), width).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], schema=arrow_schema("doc_id long, shingles binary"))
 
     return run
 
@@ -349,12 +354,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
         raise ValueError("trees and depth are laid out for a similarity of 0.8 and more")
     least = share / 100 - SLACK
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    src = src.withColumn("text_hash", F.xxhash64("text"))  # tells rows apart that repeat an id
     sketch = stored(src.mapInArrow(_sketches(width), _SKETCH), "sketches")
     # a class of equal sets is a node with a number of its own: rows may repeat an id with other texts
-    classes = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = stored(classes.select("k1", "k2", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"),
+                                    F.monotonically_increasing_id().alias("id")), "classes")
     # one row stands for its class
-    reps = sketch.join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "k1", "k2"]).select("id", "sketch", "keys", "next1", "next2")
+    reps = sketch.join(classes.withColumnRenamed("least", "doc_id"), ["doc_id", "text_hash", "k1", "k2"]).select("id", "sketch", "keys", "next1", "next2")
     reps = stored(reps.dropDuplicates(["id"]), "reps")
     raw, large = _candidates(reps)
     raw, large = stored(raw, "candidates"), stored(large, "large-regions")
@@ -364,10 +371,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
 
     def sets_of(ids):
         """(doc_id: the node, shingles) of the classes wanted."""
-        some = stored(classes.join(ids, "id", "left_semi"), "wanted")
-        rows = src.join(some.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        sets = rows.mapInArrow(_sets(width), "k1 long, k2 long, shingles binary").dropDuplicates(["k1", "k2"])
-        return stored(sets.join(some, ["k1", "k2"]).select(F.col("id").alias("doc_id"), "shingles"), "sets")
+        some = classes.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id"), "text_hash", "id")
+        rows = src.join(some, ["doc_id", "text_hash"]).select("id", "text")
+        return stored(rows.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
 
     def confirm(some, sets):
         both = some.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a").join(
