@@ -348,8 +348,9 @@ def _open_pairs(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; links are pairs with 100 * |intersection| >= share * |union|."""
+def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; links are pairs with 100 * |intersection| >= share * |union|. ``text_hash`` adds
+    the row's xxhash64 of the text, by which rows that repeat an id are told apart."""
     if share < 80:
         raise ValueError("trees and depth are laid out for a similarity of 0.8 and more")
     least = share / 100 - SLACK
@@ -402,9 +403,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80) -> DataFra
         late = _open_pairs(members.select("id", "c").distinct().join(clusters, "id"), sets, share).join(pairs, ["a", "b"], "left_anti")
         links, comp = with_more(links, comp, _with_sketches(late, reps, least).select("a", "b"))
     own = smallest_ids(classes, comp).select("k1", "k2", "c")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2").join(own, ["k1", "k2"], "left")
+    out = sketch.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k1", "k2").join(own, ["k1", "k2"], "left")
     c = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(True)).alias("kept"),
+                      *(["text_hash"] if text_hash else []))
 
 
 def query(spark, sf_dir):

@@ -560,8 +560,11 @@ def _steps(docs: DataFrame, with_text: bool) -> DataFrame:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets, n_batches = max(least, math.ceil(total / BUCKET_BYTES)), max(least, math.ceil(total / BATCH_BYTES))
-    src = src.select("doc_id", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch"),
+    # a batch that returns texts holds them twice more
+    batch_bytes = BATCH_BYTES // 4 if with_text else BATCH_BYTES
+    n_buckets, n_batches = max(least, math.ceil(total / BUCKET_BYTES)), max(least, math.ceil(total / batch_bytes))
+    # dealt by id and text: null ids, or an id that many rows repeat, are no hot batch
+    src = src.select("doc_id", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch"),
                      F.col("text").cast("binary").alias("text"))
     # one exchange, which all three passes over the batches read
     texts = src.mapInArrow(_zip, _TEXT).repartition(n_batches, "batch")

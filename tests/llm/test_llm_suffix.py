@@ -136,3 +136,15 @@ def test_no_bucket_gets_all_contexts_of_an_anchor():
             seen += [raw[i:i + S.K].tobytes() for i in (start + offset)[whole]]
         assert max(map(seen.count, set(seen)), default=0) <= split
     assert any((S._unpack(m, np.uint8, np.uint8)[1] >= S.ALONE).any() for m in sent["contexts"])
+
+
+def test_null_ids_are_no_hot_batch(spark):
+    """A third of the rows without an id: dealt by text too, and still without effect on each other."""
+    from chunkmill.llm import suffix_dedup as S
+
+    rows = [(None if i % 3 == 0 else i, f"row {i} " + "shared passage of more than fifty bytes in every third row " * (i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = S.remove_repeats(df)
+    assert out.count() == 300 and out.filter("doc_id is null").agg({"n_removed": "sum"}).first()[0] == 0
+    kept = S.cut_documents(df)
+    assert kept.count() == 300
