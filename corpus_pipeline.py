@@ -4,7 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 ``docs``. ``run`` writes each result as Parquet in the shared checkpoint folder and reads it back as the next
 stage's ``docs``, so a stage never recomputes its predecessors and survives a lost executor.
 
-Defined cases, beyond those of the operators: rows with a null id pass the near-duplicate stage (they link with nothing) and
+Defined cases, beyond those of the operators: texts are taken whole, however long, and of equally similar documents the one
+with the smallest id stays; rows that repeat an id are judged by their own text; rows with a null id pass the near-duplicate stage (they link with nothing) and
 lose no passage to each other; a text of which nothing is left is dropped, as its passages all stand in
 documents with smaller ids; documents without words are not in the mix; a document that the mix
 repeats is one row per copy; an empty table stays empty.
@@ -18,7 +19,7 @@ from chunkmill.llm import language, minhash_forest, mixing, packing, suffix_dedu
 from chunkmill.llm.common import prepare, stored
 
 # Names that no column of the documents has.
-ID, TIMES = "_pipeline_id", "_pipeline_times"
+ID, HASH, TIMES = "_pipeline_id", "_pipeline_hash", "_pipeline_times"
 # Share of rank agreement below which a text is in none of the learned languages.
 LEAST_SCORE = 0.2
 
@@ -33,8 +34,10 @@ def identify_language(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """One document of every group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
     prepare(spark)
-    kept = minhash_forest.near_duplicates(docs, width=5, share=80).filter("kept").select(F.col("doc_id").alias(ID)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ID)), "left_semi")
+    kept = minhash_forest.near_duplicates(docs, width=5, share=80, text_hash=True).filter("kept")
+    kept = kept.select(F.col("doc_id").alias(ID), F.col("text_hash").alias(HASH)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(ID)) & (F.xxhash64(F.col("text").cast("string")) == F.col(HASH))
+    return docs.join(kept, same, "left_semi")
 
 
 def drop_repeated_passages(spark, docs, sf_dir):
