@@ -45,3 +45,36 @@ def arrow_schema(ddl: str):
              "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
              "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[t]) for n, t in (c.split() for c in ddl.split(","))])
+
+
+def release() -> None:
+    """Give a Python worker's freed memory back: idle workers live on and would keep their peak."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def trimmed(fn):
+    """``fn`` of one to three arguments (a function of batches, a group or a pair of groups) that releases memory when it ends."""
+    import inspect
+
+    if inspect.isgeneratorfunction(fn):
+        def stream(batches):
+            yield from fn(batches)
+            release()
+
+        return stream
+
+    def call(*args):
+        out = fn(*args)
+        release()
+        return out
+
+    n = len(inspect.signature(fn).parameters)
+    return (lambda a: call(a)) if n == 1 else (lambda a, b: call(a, b)) if n == 2 else (lambda a, b, c: call(a, b, c))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema
+from .common import arrow_schema, release, trimmed
 
 PROFILE_SIZE = 300
 UNDETERMINED = "und"
@@ -135,10 +135,11 @@ def fit(docs: DataFrame, size: int = PROFILE_SIZE) -> Profiles:
     """Profiles from all of ``text, lang`` (rows with a null are left out). The driver gets ``size``
     n-grams per language."""
     src = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
-    counts = src.mapInArrow(_count_by_language, "lang string, code long, n long")
+    counts = src.mapInArrow(trimmed(_count_by_language), "lang string, code long, n long")
     counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    top = counts.withColumn("r", F.row_number().over(order) - 1).filter(F.col("r") < size).select("lang", "code", "r")
+    # the limit stands on the row number itself, so every task keeps ``size`` rows a language before the exchange
+    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= size).select("lang", "code", (F.col("r") - 1).alias("r"))
     rows = top.toPandas()
     langs = sorted(rows["lang"].unique())
     codes = np.unique(rows["code"].to_numpy(np.int64))
@@ -154,6 +155,7 @@ def predict(text: Column, profiles: Profiles) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame([profiles.predict(t) for t in s], columns=["lang_pred", "score"])
+        release()
 
     return run(text)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import range_partitioned
-from .common import arrow_schema, stored
+from .common import arrow_schema, stored, trimmed
 from .components import components, smallest_ids
 
 TREES, BASE, DEEPEST = 32, 4, 6  # a pair at similarity 0.8 shares no prefix of BASE values in any tree with p = 5e-8
@@ -287,7 +287,7 @@ def _candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _with_sketches(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     s = reps.select("id", "sketch")
     both = pairs.join(s.withColumnsRenamed({"id": "a", "sketch": "sa"}), "a").join(s.withColumnsRenamed({"id": "b", "sketch": "sb"}), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_similar(least), "a long, b long, est double")
+    return both.select("a", "b", "sa", "sb").mapInArrow(trimmed(_similar(least)), "a long, b long, est double")
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, text_hash:
     least = share / 100 - SLACK
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.withColumn("text_hash", F.xxhash64("text"))  # tells rows apart that repeat an id
-    sketch = stored(src.mapInArrow(_sketches(width), _SKETCH), "sketches")
+    sketch = stored(src.mapInArrow(trimmed(_sketches(width)), _SKETCH), "sketches")
     # a class of equal sets is a node with a number of its own: rows may repeat an id with other texts
     classes = sketch.filter("k1 is not null").groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     classes = stored(classes.select("k1", "k2", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"),
@@ -374,12 +374,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, text_hash:
         """(doc_id: the node, shingles) of the classes wanted."""
         some = classes.join(ids, "id", "left_semi").select(F.col("least").alias("doc_id"), "text_hash", "id")
         rows = src.join(some, ["doc_id", "text_hash"]).select("id", "text")
-        return stored(rows.mapInArrow(_sets(width), "doc_id long, shingles binary"), "sets")
+        return stored(rows.mapInArrow(trimmed(_sets(width)), "doc_id long, shingles binary"), "sets")
 
     def confirm(some, sets):
         both = some.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "xa"}), "a").join(
             sets.withColumnsRenamed({"doc_id": "b", "shingles": "xb"}), "b")
-        return both.select("a", "b", "xa", "xb").mapInArrow(_linked(share), "a long, b long")
+        return both.select("a", "b", "xa", "xb").mapInArrow(trimmed(_linked(share)), "a long, b long")
 
     sets = sets_of(wanted)
     forest = pairs.groupBy("b").agg(F.max(F.struct("est", (-F.col("a")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("a"), "b")

@@ -24,13 +24,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, stored
+from .common import arrow_schema, stored, trimmed
 
 CAPACITY = 1024
 SMALLEST = 64  # binary places below this stay together as one tail
 END_ID = 0
 TOKENIZER = "byte_bpe_50k"
-CACHED_WORDS = 500_000  # a worker's cache of word ids is emptied beyond this
+CACHED_WORDS = 250_000  # a worker's cache of word ids is emptied beyond this
 
 _AFTER_SPACE = re.compile(r"\s ")
 
@@ -84,6 +84,7 @@ def encoder(name: str):
         head = array("I", plain.encode_ordinary(first)).tobytes()
         return head + b"".join([words[w] for w in rest])
 
+    encode.words = words
     _ENCODERS[name] = encode
     return encode
 
@@ -122,6 +123,7 @@ def _tokenise(name: str, capacity: int, with_ids: bool):
                         c.append(v)
                     start += n
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+        encode.words.clear()  # an idle worker holds no cache
 
     return run
 
@@ -130,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """Cut every document; written once, so that the counting and the numbering pass see the same
     tasks and ranks. ``with_ids`` keeps each piece's ids (little-endian unsigned 32-bit)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(src.mapInArrow(_tokenise(tokenizer, capacity, with_ids), _PIECES), "pieces")
+    return stored(src.mapInArrow(trimmed(_tokenise(tokenizer, capacity, with_ids)), _PIECES), "pieces")
 
 
 def first_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema
+from .common import arrow_schema, trimmed
 
 WINDOW = 50
 K = 20  # anchor length; WINDOW - K + 1 anchors start in a window
@@ -567,12 +567,12 @@ def _steps(docs: DataFrame, with_text: bool) -> DataFrame:
     src = src.select("doc_id", F.xxhash64("text").alias("hash"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_batches)).cast("int").alias("batch"),
                      F.col("text").cast("binary").alias("text"))
     # one exchange, which all three passes over the batches read
-    texts = src.mapInArrow(_zip, _TEXT).repartition(n_batches, "batch")
-    asks = texts.groupBy("batch").applyInPandas(_ask(n_buckets), _ASK)
-    answers = asks.groupBy("bucket").applyInPandas(_answer(SPLIT), _ANSWER)
-    contexts = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_send(n_buckets), _SEND)
-    replies = contexts.groupBy("bucket").applyInPandas(_scan, _REPLY)
-    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_cut(n_buckets, with_text), _CUT)
+    texts = src.mapInArrow(trimmed(_zip), _TEXT).repartition(n_batches, "batch")
+    asks = texts.groupBy("batch").applyInPandas(trimmed(_ask(n_buckets)), _ASK)
+    answers = asks.groupBy("bucket").applyInPandas(trimmed(_answer(SPLIT)), _ANSWER)
+    contexts = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(trimmed(_send(n_buckets)), _SEND)
+    replies = contexts.groupBy("bucket").applyInPandas(trimmed(_scan), _REPLY)
+    return texts.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(trimmed(_cut(n_buckets, with_text)), _CUT)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
