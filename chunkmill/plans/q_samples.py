@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.browse import random_select, selection_table, set_selection
+from ..operators.ledger import read_ledger, record_replies, with_replies
 from ..operators.samples import (DEFAULT_SYSTEM_PROMPT, DEFAULT_TOPIC_PROMPT, JSON_FORMAT_REQUEST, STYLES,
                                  build_dialogs, chat_request, classify_status, even_sample, expand_requests,
                                  flat_request, format_instruction, generate_responses, generation_errors, generation_summary,
                                  parse_reply_or_wrap, parse_reply_strict, preview_samples, render_prompt,
                                  reply_content, select_by_ids, style_instruction, system_prompt, truncate_tokens)
 from ..operators.store import chunk_view
+from ..session import scratch_path
 from .fixtures import chunk_store, store_sql, table
 from .q_chunking import WS
 from .registry import query
@@ -127,6 +129,22 @@ def q_generate(spark, sf):
     return generate_responses(req, "prompt").select("id", "reply", "error", "attempts")
 
 
+@query("ledger_replies", "F9 (requests joined with the ledger of replies)", """
+WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+r AS (SELECT q.text, min(n.text) AS reply FROM q JOIN conversations n ON n.conv_id = q.conv_id AND n.turn = q.turn + 1 AND n.role = 'assistant'
+      WHERE q.conv_id % 3 <> 0 GROUP BY q.text)
+SELECT q.conv_id, q.turn, r.reply, r.reply IS NOT NULL AS answered FROM q LEFT JOIN r ON q.text = r.text""")
+def q_ledger(spark, sf):
+    """User turns as requests; the answers that two thirds of the conversations hold are the ledger."""
+    c = table(spark, sf, "conversations")
+    asked = c.where("role = 'user'").select("conv_id", "turn", chat_request(F.lit(MODEL), F.lit(""), F.col("text"), F.lit(0.7)).alias("request"))
+    answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    path = scratch_path(spark, "ledger")
+    record_replies(asked.where("conv_id % 3 <> 0").join(answer, ["conv_id", "turn"]), path)
+    out = with_replies(asked, read_ledger(spark, path))
+    return out.select("conv_id", "turn", "reply", F.col("reply").isNotNull().alias("answered"))
+
+
 # ---------------------------------------------------------------------------------------------- replies
 # Reply shapes derived from every chunk of store C: plain object, number value with extra key,
 # missing key, JSON list, number, null, fenced block in prose, unclosed fence, prose around braces,

@@ -11,7 +11,7 @@ from ..sources.extract import (csv_file_to_text, csv_records_to_text,
                                html_to_text, notebook_to_text, pages_to_text, paragraphs_to_text, plain_text,
                                route_by_extension, sheet_rows_to_text)
 from ..sources.store_io import (build_cpt_corpus, count_nonblank_lines, export_jsonl, json_documents, json_manifest,
-                                load_samples_strict, load_sft_dataset, read_cpt_corpus, read_store, save_samples,
+                                load_samples_strict, load_sft_dataset, read_cpt_corpus, read_store, save_sample_objects, save_samples,
                                 write_store)
 from .fixtures import NON_WS_SQL, chunk_store, store_sql, strip_sql, table
 from .registry import query
@@ -283,6 +283,17 @@ def q_save(spark, sf):
     return spark.read.schema("instruction string, output string").json(path)
 
 
+@query("save_samples_all_keys", "S13 (whole objects)", f"""
+SELECT json_extract_string(line, '$.instruction') AS instruction, json_extract_string(line, '$.output') AS output,
+       CAST(len(json_keys(line)) AS INTEGER) AS n_keys
+FROM ({LINES_SQL}) WHERE json_valid(line) AND json_exists(line, '$.instruction') AND json_exists(line, '$.output')""")
+def q_save_all(spark, sf):
+    path = scratch_path(spark, "sample-objects")
+    save_sample_objects(load_samples_strict(sample_lines(spark, sf)).where("_ok"), path)
+    back = load_samples_strict(spark.read.text(path).withColumnRenamed("value", "line"))
+    return back.where("_ok").select("instruction", "output", "n_keys")
+
+
 CPT_SQL = f"""
 SELECT {strip_sql('l')} AS text FROM (SELECT unnest(string_split_regex(chunk_text, '\\r\\n|\\r|\\n')) AS l FROM ({C}))
 WHERE {strip_sql('l')} <> ''"""

@@ -199,6 +199,12 @@ def save_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def save_sample_objects(samples: DataFrame, path: str, sample: str = "sample") -> None:
+    """Whole sample objects (VARIANT, as ``load_samples_strict`` and F11 keep them) as JSONL: keys beside instruction and
+    output reach the file too."""
+    samples.select(F.to_json(F.col(sample)).alias("value")).write.mode("overwrite").text(path)
+
+
 def parse_sample_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Non-blank JSONL lines -> ``sample`` (VARIANT, null when the line is not strict JSON)."""
     return lines.where(has_text(F.col(line))).withColumn("sample", strict_json(F.col(line)))
