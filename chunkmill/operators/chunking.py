@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import DEFAULT_OVERLAP, DEFAULT_SEPARATORS, DEFAULT_SIZE
-from ..functions.text import STRIP_PATTERN, WS_CLASS, col_, let, ustrip
+from ..functions.text import NON_WS_CLASS, STRIP_PATTERN, WS_CLASS, col_, let, ustrip
 
 # Fixed value: sentence boundary of the semantic splitter (after . ? or !, then white space).
 SENTENCE_SPLIT = "(?<=[.?!])" + WS_CLASS + "+"
@@ -160,8 +160,132 @@ def recursive_chunks(text: str, size: int = DEFAULT_SIZE, overlap: int = DEFAULT
     return F.expr(f"transform(filter({items}, z -> z.txt != ''), z -> z.txt)")
 
 
+# ---------------------------------------------------------------------------------------------
+# The same splitters by any measure of length
+# ---------------------------------------------------------------------------------------------
+
+MEASURES = {
+    "chars": lambda t: F.length(t),
+    "words": lambda t: F.size(F.regexp_extract_all(t, F.lit(NON_WS_CLASS + "+"), F.lit(0))),
+    "bytes": lambda t: F.octet_length(t),
+}
+
+
+def _measure(length):
+    """A Column function from text to a non-negative integer: a name in ``MEASURES`` or the function itself."""
+    return MEASURES[length] if isinstance(length, str) else length
+
+
+def _spans(measures: Column, size: int, overlap: int) -> Column:
+    """Greedy packing over the measures of consecutive pieces: ``array<struct<a, e, long>>`` in text order, pieces ``a`` to ``e``
+    (1-based, inclusive) form one chunk; ``long`` marks one piece that measures ``size`` or more and stands alone.
+
+    The fold keeps integers only. ``a`` is the window's first piece, ``tot`` its measure; closing a window drops pieces from its
+    front until at most ``overlap`` is left and the next piece fits."""
+    def state(a, tot, out):
+        return F.struct(a.cast("int").alias("a"), tot.cast("long").alias("tot"), out.alias("out"))
+
+    def span(a, e, long=False):
+        return F.array(F.struct(a.cast("int").alias("a"), e.cast("int").alias("e"), F.lit(long).alias("long")))
+
+    none = F.expr("CAST(array() AS array<struct<a:int,e:int,long:boolean>>)")
+
+    def closed(acc, i):
+        return F.when(acc["a"] < i, F.concat(acc["out"], span(acc["a"], i - 1))).otherwise(acc["out"])
+
+    def shifted(acc, i, m):
+        drop = F.aggregate(
+            F.sequence(acc["a"], i - 1), F.struct(acc["a"].alias("a"), acc["tot"].alias("tot")),
+            lambda st, _: F.when((st["tot"] > overlap) | ((st["tot"] + m > size) & (st["tot"] > 0)),
+                                 F.struct((st["a"] + 1).alias("a"), (st["tot"] - F.element_at(measures, st["a"])).alias("tot")))
+            .otherwise(st))
+        return let(drop, lambda st: state(st["a"], st["tot"] + m, closed(acc, i)))
+
+    def step(acc, i):
+        m = F.element_at(measures, i)
+        return (F.when(m >= size, state(i + 1, F.lit(0), F.concat(closed(acc, i), span(i, i, True))))
+                .when((acc["tot"] + m > size) & (acc["a"] < i), shifted(acc, i, m))
+                .otherwise(state(acc["a"], acc["tot"] + m, acc["out"])))
+
+    n = F.size(measures)
+    return F.when(n == 0, none).otherwise(F.aggregate(
+        F.sequence(F.lit(1), n), state(F.lit(1), F.lit(0), none), step, lambda acc: closed(acc, n + 1)))
+
+
+def _joined(pieces: Column, a: Column, e: Column) -> Column:
+    return F.array_join(F.slice(pieces, a, e - a + 1), "")
+
+
+def _items(pieces: Column, measure, size: int, overlap: int, nxt: Column) -> Column:
+    """``array<struct<txt, nxt>>``: finished chunks (stripped, ``nxt = -1``) and long pieces with the separator to go on with."""
+    def item(p, s):
+        txt = _joined(p, s["a"], s["e"])
+        again = s["long"] & (nxt >= 0)
+        return F.struct(F.when(s["long"], txt).otherwise(ustrip(txt)).alias("txt"), F.when(again, nxt).otherwise(F.lit(-1)).alias("nxt"))
+
+    return let(pieces, lambda p: let(F.transform(p, lambda x: measure(x).cast("long")), lambda m: F.transform(
+        _spans(m, size, overlap), lambda s: item(p, s))))
+
+
+def measured_chunks(text, size: int, overlap: int, length="words", separators: list[str] | None = None) -> Column:
+    """C1 by any measure: pieces, separators, packing and overlap as in ``recursive_chunks``, but ``size`` and ``overlap`` count what
+    ``length`` measures (P3): ``chars``, ``words``, ``bytes`` or a function from a text Column to an integer Column. A window
+    measures the sum of its pieces. The empty separator cuts single code points, each measured on its own. A null text
+    gives null, an empty one no chunk; a long piece left after the last separator is kept as it is."""
+    _check(size, overlap)
+    measure = _measure(length)
+    seps = list(DEFAULT_SEPARATORS if separators is None else separators)
+    if not seps:
+        raise ValueError("need at least one separator")
+
+    def pieces(t, c):
+        def cut(sep):
+            if sep == "":
+                return F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+            parts = F.transform(F.split(t, _regex_quote(sep), -1), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(sep), x)))
+            return F.filter(parts, lambda x: x != "")
+
+        out = cut(seps[-1])
+        for i in reversed(range(len(seps) - 1)):
+            out = F.when(c == i, cut(seps[i])).otherwise(out)
+        return out
+
+    def level(t, frm):
+        # the first separator from ``frm`` on that occurs; the empty one always does; else the last
+        choice = F.lit(len(seps) - 1)
+        for i in reversed(range(len(seps))):
+            found = F.lit(True) if seps[i] == "" else F.instr(t, seps[i]) > 0
+            choice = F.when((frm <= i) & found, F.lit(i)).otherwise(choice)
+        last = [i for i, s in enumerate(seps) if s == ""] + [len(seps) - 1]
+        return let(choice, lambda c: _items(pieces(t, c), measure, size, overlap,
+                                            F.when(c.isin(*last), F.lit(-1)).otherwise(c + 1)))
+
+    items = level(col_(text), F.lit(0))
+    for _ in range(len(seps) - 1):
+        items = F.flatten(F.transform(items, lambda it: F.when(it["nxt"] < 0, F.array(it)).otherwise(level(it["txt"], it["nxt"]))))
+    return F.transform(F.filter(items, lambda z: z["txt"] != ""), lambda z: z["txt"])
+
+
+# Fixed value: a word with the white space behind it, or the white space that a text begins with.
+WORD_UNIT = f"{NON_WS_CLASS}+{WS_CLASS}*|{WS_CLASS}+"
+
+
+def measured_windows(text, size: int, overlap: int, length="words", unit: str = WORD_UNIT) -> Column:
+    """C2 by any measure: the text cut into units (matches of ``unit``, by default words), consecutive units packed into windows of
+    at most ``size``, each next window beginning with the last units of at most ``overlap``; stripped, blank ones dropped.
+    A unit that measures ``size`` or more is a window of its own. With words: ``size`` words every ``size - overlap``."""
+    _check(size, overlap)
+    units = F.regexp_extract_all(col_(text), F.lit(unit), F.lit(0))
+    items = _items(units, _measure(length), size, overlap, F.lit(-1))
+    return F.filter(F.transform(items, lambda z: ustrip(z["txt"])), lambda w: w != "")
+
+
 def chunk_with(df: DataFrame, text_col: str, splitter: str = "recursive", out: str = "chunks", **kw) -> DataFrame:
-    """Add ``out`` (ARRAY<STRING>) with the chosen splitter (C1, C2, C7 or C10) on ``text_col``."""
+    """Add ``out`` (ARRAY<STRING>) with the chosen splitter (C1, C2, C7 or C10) on ``text_col``; with ``length`` C1 and C2 go by
+    that measure (P3)."""
+    if splitter in ("recursive", "window") and "length" in kw:
+        by = measured_chunks if splitter == "recursive" else measured_windows
+        return df.withColumn(out, by(F.col(text_col), **kw))
     if splitter == "recursive":
         return df.withColumn(out, recursive_chunks(text_col, **kw))
     if splitter == "window":
@@ -200,6 +324,26 @@ def unit(v) -> Column:
                                       lambda norm: F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))))
 
 
+def sparse_counts(buckets) -> Column:
+    """Sorted runs of a bucket list: ``array<struct<bucket, n>>``. One sort and one pass over its run ends."""
+    def runs(b):
+        last = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: (i == F.size(b)) | (F.element_at(b, i) != F.get(b, i)))
+        return let(last, lambda e: F.transform(e, lambda i, k: F.struct(
+            F.element_at(b, i).alias("bucket"), (i - F.when(k > 0, F.get(e, k - 1)).otherwise(F.lit(0))).cast("long").alias("n"))))
+
+    none = F.expr("CAST(array() AS array<struct<bucket:bigint,n:bigint>>)")
+    return let(F.array_sort(col_(buckets)), lambda b: F.when(F.size(b) > 0, runs(b)).otherwise(none))
+
+
+def sparse_unit(buckets) -> Column:
+    """The non-zero components ``array<struct<bucket, weight>>`` of ``hashed_embedding``, from a bucket list."""
+    def scaled(r):
+        norm = F.sqrt(F.aggregate(r, F.lit(0).cast("long"), lambda acc, x: acc + x["n"] * x["n"]).cast("double"))
+        return let(norm, lambda d: F.transform(r, lambda x: F.struct(x["bucket"].alias("bucket"), (x["n"] / d).alias("weight"))))
+
+    return let(sparse_counts(buckets), scaled)
+
+
 def hashed_embedding(text, dim: int = 64) -> Column:
     """C4 default embedder: bag of lower-cased word tokens hashed into ``dim`` buckets by md5,
     L2-normalised (all zeros when the text has no token). Native expressions only; a model-backed

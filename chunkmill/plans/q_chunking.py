@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from ..fixed import DEFAULT_SEPARATORS
 from ..operators.chunking import (
-    DEFAULT_OVERLAP, DEFAULT_SIZE, encode_metadata, explode_chunks, paragraph_chunks,
-    recursive_chunks, semantic_chunks, split_sentences, window_chunks, token_buckets, bucket_counts,
+    DEFAULT_OVERLAP, DEFAULT_SIZE, encode_metadata, explode_chunks, measured_chunks,
+    measured_windows, paragraph_chunks, recursive_chunks, semantic_chunks, split_sentences, window_chunks, sparse_unit, token_buckets, bucket_counts,
 )
 from ..operators.chunking import adjacent_distances
 from ..operators.grouped import grouped_percentile
-from .duck_recursive import chunk_rows_sql
+from .duck_recursive import chunk_rows_sql, measured_rows_sql
 from .fixtures import FIXED_TIME, doc_files, strip_sql, table
 from .registry import query
 
@@ -68,6 +68,29 @@ def chunk_recursive_ui(spark, sf):
     return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
 
 
+NON_WS = "[^" + WS[1:]
+
+
+@query("chunk_recursive_words", "C1 by words (P3)", measured_rows_sql(
+    lambda x: f"len(regexp_extract_all({x}, '{NON_WS}+'))", 100, 20, DEFAULT_SEPARATORS))
+def chunk_recursive_words(spark, sf):
+    """The recursive splitter measuring words: chunks of up to 100, up to 20 carried over (brute force in the tests)."""
+    d = doc_files(spark, sf).withColumn("chunks", measured_chunks("text", 100, 20, "words"))
+    return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
+
+
+@query("chunk_window_words", "C2 by words (P3)", f"""
+SELECT 'doc_' || CAST(doc_id AS VARCHAR) || '.txt' AS filename, CAST(k AS INTEGER) AS chunk_index,
+       CAST(nk AS INTEGER) AS total_chunks, {strip_sql("array_to_string(u[k * 80 + 1 : k * 80 + 100], '')")} AS chunk_text
+FROM (SELECT doc_id, u, nk, unnest(range(0, nk)) AS k
+      FROM (SELECT doc_id, u, greatest(CAST(ceil((len(u) - 20) / 80.0) AS BIGINT), CASE WHEN len(u) > 0 THEN 1 ELSE 0 END) AS nk
+            FROM (SELECT doc_id, regexp_extract_all({strip_sql('text')}, '{NON_WS}+{WS}*') AS u FROM documents)))""")
+def chunk_window_words(spark, sf):
+    """Windows of 100 words, every 80."""
+    d = doc_files(spark, sf).withColumn("chunks", measured_windows("text", 100, 20, "words"))
+    return explode_chunks(d).select("filename", "chunk_index", "total_chunks", "chunk_text")
+
+
 SENT_SQL = f"""
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS sentence_index, s[i] AS sentence
 FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i
@@ -83,6 +106,15 @@ def q_split_sentences(spark, sf):
             .where(F.col("sentence").isNotNull()).withColumn("sentence_index", F.col("sentence_index").cast("int")))
 
 
+EMBED_SQL = f"""
+SELECT doc_id, sentence_index, CAST(len(bk) AS INTEGER) AS n_tokens, b, count(*) AS cnt
+FROM (SELECT doc_id, sentence_index, bk, unnest(bk) AS b
+      FROM (SELECT doc_id, sentence_index,
+                   list_transform(list_filter(string_split_regex(lower(sentence), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> ''),
+                                  lambda w: (CAST('0x' || substring(md5(w), 1, 8) AS BIGINT) % 64)) AS bk
+            FROM ({SENT_SQL}))) GROUP BY doc_id, sentence_index, bk, b"""
+
+
 @query("embed_sentences", "C4", f"""
 SELECT doc_id, sentence_index, CAST(len(toks) AS INTEGER) AS n_tokens,
        array_to_string(list_transform(range(0, 64), lambda b: len(list_filter(bk, lambda x: x = b))), ',') AS bucket_counts
@@ -100,6 +132,19 @@ def embed_sentences(spark, sf):
                     F.array_join(counts, ",").alias("bucket_counts"))
 
 
+@query("embed_sentences_unit", "C4 (the unit vector, sparse)", f"""
+SELECT doc_id, sentence_index, n_tokens, CAST(b AS INTEGER) AS bucket,
+       round(cnt / sqrt(CAST(sum(cnt * cnt) OVER (PARTITION BY doc_id, sentence_index) AS DOUBLE)), 9) AS weight
+FROM ({EMBED_SQL})""")
+def embed_sentences_unit(spark, sf):
+    """The non-zero components of every sentence's unit vector as rows."""
+    s = q_split_sentences(spark, sf)
+    s = s.select("doc_id", "sentence_index", token_buckets("sentence", 64).alias("bk"))
+    s = s.select("doc_id", "sentence_index", F.size("bk").cast("int").alias("n_tokens"), sparse_unit("bk").alias("v"))
+    s = s.select("doc_id", "sentence_index", "n_tokens", F.explode_outer("v").alias("c")).where(F.col("c").isNotNull())
+    return s.select("doc_id", "sentence_index", "n_tokens", F.col("c.bucket").cast("int").alias("bucket"), F.round("c.weight", 9).alias("weight"))
+
+
 def _emb_distances(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     return adjacent_distances(e, "label", "vec_id", "v").select("vec_id", "label", F.round("distance", 6).alias("distance"))

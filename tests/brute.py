@@ -11,19 +11,20 @@ def py_strip(s: str) -> str:
     return s.strip()
 
 
-def recursive_split(text: str, size: int = 512, overlap: int = 50, seps=("\n\n", "\n", ". ", " ", "")) -> list[str]:
+def recursive_split(text: str, size: int = 512, overlap: int = 50, seps=("\n\n", "\n", ". ", " ", ""),
+                    length=len) -> list[str]:
     """Greedy recursive character splitting, separator kept at the start of the following piece."""
 
     def pack(pieces):
         out, cur, total = [], [], 0
         for d in pieces:
-            ln = len(d)
+            ln = length(d)
             if total + ln > size and cur:
                 joined = "".join(cur).strip()
                 if joined:
                     out.append(joined)
                 while total > overlap or (total + ln > size and total > 0):
-                    total -= len(cur[0])
+                    total -= length(cur[0])
                     cur = cur[1:]
             cur.append(d)
             total += ln
@@ -49,7 +50,7 @@ def recursive_split(text: str, size: int = 512, overlap: int = 50, seps=("\n\n",
         pieces = [p for p in pieces if p != ""]
         final, good = [], []
         for p in pieces:
-            if len(p) < size:
+            if length(p) < size:
                 good.append(p)
             else:
                 if good:

@@ -5,8 +5,9 @@ import regex
 from pyspark.sql import functions as F
 
 from brute import recursive_split, semantic_split, window_split
-from chunkmill.operators.chunking import (explode_chunks, hashed_embedding, paragraph_chunks, recursive_chunks,
-                                          semantic_chunks, split_sentences, window_chunks)
+from chunkmill.operators.chunking import (chunk_with, explode_chunks, hashed_embedding, measured_chunks, measured_windows,
+                                          paragraph_chunks, recursive_chunks, semantic_chunks, sparse_unit,
+                                          split_sentences, token_buckets, window_chunks)
 
 SF001 = "/root/testdata/sf0.001"
 LITERALS = ["", "   ", "abc", "a\n\nb\n\nc", "This is a test document. " * 100, "x" * 1300,
@@ -107,3 +108,59 @@ def test_recursive_custom_separators(spark):
         rows = df.select("text", recursive_chunks("text", 120, 30, separators=seps).alias("c")).collect()
         for r in rows:
             assert list(r.c) == recursive_split(r.text, 120, 30, seps=tuple(seps)), (seps, r.text[:60])
+
+
+MEASURED = {"words": lambda t: len(t.split()), "bytes": lambda t: len(t.encode()), "chars": len}
+
+
+def test_measured_chunks_match_brute_force(spark):
+    df = _texts(spark).unionByName(spark.createDataFrame(
+        [(-100, "tab\tseparated\twords\twithout\tany\tother\tseparator " * 3), (-101, "\u3000\u3000 a\u3000b " * 30)], "doc_id long, text string"))
+    for name, fn in MEASURED.items():
+        for size, ov in [(40, 8), (7, 0)]:
+            rows = df.select("text", measured_chunks("text", size, ov, name).alias("c")).collect()
+            for r in rows:
+                assert list(r.c) == recursive_split(r.text, size, ov, length=fn), (name, size, r.text[:60])
+
+
+def test_measured_chunks_custom_separators(spark):
+    for r in _texts(spark).select("text", measured_chunks("text", 12, 3, "words", ["\n", ". "]).alias("c")).collect():
+        assert list(r.c) == recursive_split(r.text, 12, 3, seps=("\n", ". "), length=MEASURED["words"])
+
+
+def test_measured_by_chars_equals_recursive(spark):
+    rows = _texts(spark).select(recursive_chunks("text", 100, 20).alias("a"), measured_chunks("text", 100, 20, F.length).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
+def test_measured_windows(spark):
+    rows = _texts(spark).select("text", measured_windows("text", 10, 3).alias("w")).collect()
+    for r in rows:
+        words, got = r.text.split(), [w.split() for w in r.w]
+        want = [words[k:k + 10] for k in range(0, max(len(words) - 3, 1), 7)] if words else []
+        assert got == want, r.text[:60]
+        assert all(w in r.text for w in r.w)
+    # bytes: no window above the size, units of the size or more alone
+    rows = _texts(spark).select("text", measured_windows("text", 64, 0, "bytes").alias("w")).collect()
+    for r in rows:
+        assert "".join("".join(r.w).split()) == "".join(r.text.split())
+        assert all(len(w.encode()) <= 64 or len(w.split()) == 1 for w in r.w)
+
+
+def test_measured_nulls_and_choice(spark):
+    df = spark.createDataFrame([(None,), ("",), (" \n ",), ("one two three",)], "text string")
+    got = [r.c for r in chunk_with(df, "text", "recursive", "c", size=2, overlap=0, length="words").select("c").collect()]
+    assert got[0] is None and got[1:] == [[], [], ["one two", "three"]]
+    got = [r.c for r in chunk_with(df, "text", "window", "c", size=2, overlap=0, length="words").select("c").collect()]
+    assert got[0] is None and got[1:] == [[], [], ["one two", "three"]]
+
+
+def test_sparse_unit_equals_dense(spark):
+    from chunkmill.operators.chunking import sparse_unit, token_buckets
+
+    rows = _texts(spark).select(hashed_embedding("text").alias("d"), sparse_unit(token_buckets("text")).alias("s")).collect()
+    for r in rows:
+        dense = np.zeros(64)
+        for c in r.s:
+            dense[c.bucket] = c.weight
+        assert [c.bucket for c in r.s] == sorted({c.bucket for c in r.s}) and np.allclose(dense, r.d)
