@@ -164,9 +164,11 @@ def recursive_chunks(text: str, size: int = DEFAULT_SIZE, overlap: int = DEFAULT
 # The same splitters by any measure of length
 # ---------------------------------------------------------------------------------------------
 
+# A run without white space. Printable ASCII runs are read by one range, not by the whole class.
+WORD = f"(?:[!-~]++|{NON_WS_CLASS})++"
 MEASURES = {
     "chars": lambda t: F.length(t),
-    "words": lambda t: F.size(F.regexp_extract_all(t, F.lit(NON_WS_CLASS + "+"), F.lit(0))),
+    "words": lambda t: F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))),
     "bytes": lambda t: F.octet_length(t),
 }
 
@@ -267,7 +269,7 @@ def measured_chunks(text, size: int, overlap: int, length="words", separators: l
 
 
 # Fixed value: a word with the white space behind it, or the white space that a text begins with.
-WORD_UNIT = f"{NON_WS_CLASS}+{WS_CLASS}*|{WS_CLASS}+"
+WORD_UNIT = f"{WORD}{WS_CLASS}*+|{WS_CLASS}++"
 
 
 def measured_windows(text, size: int, overlap: int, length="words", unit: str = WORD_UNIT) -> Column:
@@ -275,9 +277,20 @@ def measured_windows(text, size: int, overlap: int, length="words", unit: str =
     at most ``size``, each next window beginning with the last units of at most ``overlap``; stripped, blank ones dropped.
     A unit that measures ``size`` or more is a window of its own. With words: ``size`` words every ``size - overlap``."""
     _check(size, overlap)
-    units = F.regexp_extract_all(col_(text), F.lit(unit), F.lit(0))
-    items = _items(units, _measure(length), size, overlap, F.lit(-1))
-    return F.filter(F.transform(items, lambda z: ustrip(z["txt"])), lambda w: w != "")
+    if length == "words" and unit == WORD_UNIT:
+        # every unit measures one: windows by arithmetic, no fold
+        step = size - overlap
+
+        def windows(u):
+            starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil((F.size(u) - overlap) / step).cast("int")) - 1)
+            return F.transform(starts, lambda k: ustrip(F.array_join(F.slice(u, k * step + 1, size), "")))
+
+        wins = let(F.regexp_extract_all(ustrip(text), F.lit(unit), F.lit(0)), windows)
+    else:
+        items = _items(F.regexp_extract_all(col_(text), F.lit(unit), F.lit(0)), _measure(length), size, overlap, F.lit(-1))
+        wins = F.transform(items, lambda z: ustrip(z["txt"]))
+    return F.filter(wins, lambda w: w != "")
+
 
 
 def chunk_with(df: DataFrame, text_col: str, splitter: str = "recursive", out: str = "chunks", **kw) -> DataFrame:
@@ -422,10 +435,8 @@ def sentence_groups(sentences: Column, amount: float = 50.0, dim: int = 64, max_
             # the same arithmetic as ``cosine_distance``, with each vector's norm computed once
             def dist(i):
                 a, b = F.element_at(v, i + 1), F.element_at(v, i + 2)
-                na, nb = F.element_at(norms, i + 1), F.element_at(norms, i + 2)
                 dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-                sim = F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
-                return F.round(F.lit(1.0) - sim, digits)
+                return distance(dot, F.element_at(norms, i + 1), F.element_at(norms, i + 2))
 
             return F.transform(F.sequence(F.lit(0), n - 2), dist)
 
@@ -434,26 +445,41 @@ def sentence_groups(sentences: Column, amount: float = 50.0, dim: int = 64, max_
             lambda norms: with_norms(v, norms)))
         return let(dists, lambda d: _groups(s, n, d, amount))
 
+    def distance(dot, na, nb):
+        sim = F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
+        return F.round(F.lit(1.0) - sim, digits)
+
     def with_sentences(s):
         n = F.size(s)
-        # each sentence embedded with one neighbour per side: the token multiset of the joined text
-        # is the union of the three sentences' tokens, so each sentence's counts are computed once
-        # and a window's count vector is the (exact, integer-valued) sum of up to three of them
-        counts = F.transform(s, lambda x: bucket_counts(token_buckets(x, dim), dim))
+        # A window is the token multiset of a sentence and its two neighbours, so every dot product of windows is a sum of
+        # products of sentences at most three apart. Those are sparse and exact integers: runs of one against the other's map.
+        runs = F.transform(s, lambda x: let(sparse_counts(token_buckets(x, dim)), lambda r: F.struct(
+            r.alias("r"), F.map_from_entries(r).alias("m"))))
+
+        def products(c):
+            def product(p, k):
+                other = F.get(c, p + k)["m"]
+                return F.when(p + k < n, F.aggregate(F.get(c, p)["r"], F.lit(0).cast("long"), lambda acc, x: acc + x["n"] * F.coalesce(
+                    other[x["bucket"]], F.lit(0).cast("long")))).otherwise(F.lit(0).cast("long"))
+
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array(*[product(p, k) for k in range(4)]))
 
-        def with_counts(cs):
-            zero = F.array_repeat(F.lit(0.0), dim)
+        def with_products(g):
+            def at(p, k):
+                return F.coalesce(F.get(F.get(g, p), F.lit(k)), F.lit(0).cast("long"))
 
-            def at(j):
-                return F.when((j >= 0) & (j < n), F.element_at(cs, j + 1)).otherwise(zero)
+            def norm(i):
+                return F.sqrt((at(i - 1, 0) + at(i, 0) + at(i + 1, 0) + 2 * (at(i - 1, 1) + at(i, 1) + at(i - 1, 2))).cast("double"))
 
-            def add(a, b):
-                return F.zip_with(a, b, lambda x, y: x + y)
+            def dist(i, norms):
+                dot = (at(i - 1, 1) + at(i - 1, 2) + at(i - 1, 3) + at(i, 0) + 2 * at(i, 1) + at(i, 2) + at(i + 1, 0) + at(i + 1, 1))
+                return distance(dot.cast("double"), F.get(norms, i), F.get(norms, i + 1))
 
-            vecs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: unit(add(add(at(i - 1), at(i)), at(i + 1))))
-            return with_vectors(s, vecs)
+            dists = let(F.transform(F.sequence(F.lit(0), n - 1), norm),
+                        lambda norms: F.transform(F.sequence(F.lit(0), n - 2), lambda i: dist(i, norms)))
+            return let(dists, lambda d: _groups(s, n, d, amount))
 
-        return let(counts, with_counts)
+        return let(let(runs, products), with_products)
 
     if embedder is not None:
         # a Python UDF may not run inside a lambda: embed at top level, then bind the result

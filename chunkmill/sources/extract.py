@@ -7,6 +7,7 @@ that an upstream reader produced.
 from __future__ import annotations
 
 import html as html_lib
+import html.entities
 import json
 
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import FIELD_SEPARATOR, LOADERS, SHEET_HEADER
 from ..functions.text import (LINE_BREAK, col_, decode_lenient, drop_replacement_chars, has_text,
-                              normalize_newlines, ustrip)
+                              let, normalize_newlines, ustrip)
 
 
 def suffix(path, lower: bool = True) -> Column:
@@ -64,13 +65,61 @@ COMMENT = r"(?s)<!--.*?(?:-->|\z)"
 TAG = r"""<[!/?a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!/?a-zA-Z][^>]*>"""
 
 
-def decode_entities(c) -> Column:
-    """Character references as the HTML standard reads them: one pass, all names, numbers of any size."""
-    @F.pandas_udf("string")
-    def decoded(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None or "&" not in t else html_lib.unescape(t))
+# A character reference behind its ``&``: decimal, hexadecimal or named.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# The HTML standard's table of names comes with Python; below code point 160 numbers have meanings of their own.
+_NAMES = html_lib.entities.html5
+_OPEN_NAMES = "^(" + "|".join(sorted((n for n in _NAMES if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+_LOW = [html_lib.unescape(f"&#{n};") for n in range(160)]
+
+
+def _names_by_head() -> str:
+    heads: dict[str, dict[str, str]] = {}
+    for name, value in _NAMES.items():
+        heads.setdefault(name[:2], {})[name] = value
+    return json.dumps(heads)
 
-    return decoded(col_(c))
+
+def _code_point(n: Column) -> Column:
+    """The character of number ``n`` (null or above the last code point: U+FFFD)."""
+    lost = n.isNull() | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    none = n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+    return (F.when(lost, F.lit("\uFFFD")).when(n < 160, F.get(F.array(*[F.lit(c) for c in _LOW]), n.cast("int"))).when(none, F.lit(""))
+            .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+
+def decode_entities(c) -> Column:
+    """Character references as the HTML standard reads them, in native expressions: the text is cut at ``&`` and each
+    part's leading reference replaced. A text without ``&`` is returned as it is."""
+    names = F.from_json(F.lit(_names_by_head()), "map<string,map<string,string>>")
+
+    def number(digits, base):
+        d = F.regexp_replace(digits, "^0+(?=.)", "")
+        return F.when(F.length(d) <= 9, F.conv(d, base, 10).cast("long"))
+
+    def named(ref, table):
+        # a name that is not listed may begin with one that needs no semicolon
+        head = F.regexp_extract(ref, _OPEN_NAMES, 1)
+        full = table[F.substring(ref, 1, 2)][ref]
+        start = table[F.substring(head, 1, 2)][head]
+        return F.coalesce(full, F.when(head != "", F.concat(start, F.substr(ref, F.length(head) + 1))), F.concat(F.lit("&"), ref))
+
+    def part(x, table):
+        def decoded(ref):
+            value = (F.when(ref == "", F.lit("&")).when(ref == "amp;", F.lit("&")).when(ref == "lt;", F.lit("<")).when(ref == "gt;", F.lit(">"))
+                     .when(ref == "quot;", F.lit('"')).when(ref == "nbsp;", F.lit("\u00a0"))
+                     .when(ref.rlike("^#[xX]"), _code_point(number(F.regexp_extract(ref, "^#[xX]([0-9a-fA-F]+)", 1), 16)))
+                     .when(ref.startswith("#"), _code_point(number(F.regexp_extract(ref, "^#([0-9]+)", 1), 10)))
+                     .otherwise(named(ref, table)))
+            return F.concat(value, F.substr(x, F.length(ref) + 1))
+
+        return let(F.regexp_extract(x, REFERENCE, 1), decoded)
+
+    def whole(t):
+        parts = let(names, lambda table: F.transform(F.split(t, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(part(x, table))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
+
+    return let(col_(c), whole)
 
 
 def html_to_text(html) -> Column:

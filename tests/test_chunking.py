@@ -5,8 +5,8 @@ import regex
 from pyspark.sql import functions as F
 
 from brute import recursive_split, semantic_split, window_split
-from chunkmill.operators.chunking import (chunk_with, explode_chunks, hashed_embedding, measured_chunks, measured_windows,
-                                          paragraph_chunks, recursive_chunks, semantic_chunks, sparse_unit,
+from chunkmill.operators.chunking import (MEASURES, chunk_with, explode_chunks, hashed_embedding, measured_chunks,
+                                          measured_windows, paragraph_chunks, recursive_chunks, semantic_chunks, sparse_unit,
                                           split_sentences, token_buckets, window_chunks)
 
 SF001 = "/root/testdata/sf0.001"
@@ -140,6 +140,9 @@ def test_measured_windows(spark):
         want = [words[k:k + 10] for k in range(0, max(len(words) - 3, 1), 7)] if words else []
         assert got == want, r.text[:60]
         assert all(w in r.text for w in r.w)
+    # the fold gives the same as the arithmetic
+    rows = _texts(spark).select(measured_windows("text", 10, 3).alias("a"), measured_windows("text", 10, 3, MEASURES["words"]).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
     # bytes: no window above the size, units of the size or more alone
     rows = _texts(spark).select("text", measured_windows("text", 64, 0, "bytes").alias("w")).collect()
     for r in rows:
@@ -156,8 +159,6 @@ def test_measured_nulls_and_choice(spark):
 
 
 def test_sparse_unit_equals_dense(spark):
-    from chunkmill.operators.chunking import sparse_unit, token_buckets
-
     rows = _texts(spark).select(hashed_embedding("text").alias("d"), sparse_unit(token_buckets("text")).alias("s")).collect()
     for r in rows:
         dense = np.zeros(64)
