@@ -40,3 +40,16 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
         .withColumn(name, F.col("_off") + local + F.lit(start))
         .drop("_mid", "_pid", "_off")
     )
+
+
+def with_running_total(df: DataFrame, order_cols: list, value: str, name: str = "total_before") -> DataFrame:
+    """Add the sum of ``value`` over all earlier rows in the order of ``order_cols`` (a total order). Keep ``df`` narrow: it is
+    sorted and checkpointed once, each range sums its own rows, and one total per range (broadcast) shifts them."""
+    tagged = range_partitioned(df, list(order_cols)).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = cut_lineage(tagged.withColumn("_range", F.shiftright("_mid", _LOCAL_BITS)))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    totals = tagged.groupBy("_range").agg(F.sum(value).alias("_sum"))
+    totals = totals.select("_range", F.coalesce(F.sum("_sum").over(before.orderBy("_range")), F.lit(0)).alias("_off"))
+    local = F.coalesce(F.sum(value).over(before.partitionBy("_range").orderBy("_mid")), F.lit(0))
+    out = tagged.withColumn("_local", local).join(F.broadcast(totals), "_range")
+    return out.withColumn(name, F.col("_off") + F.col("_local")).drop("_mid", "_range", "_off", "_local")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonx import strict_json
 from ..functions.text import has_text, let, ustrip
-from ..functions.ordering import with_row_index
+from ..functions.ordering import with_row_index, with_running_total
 from ..session import range_partitioned
 
 STORE_READ_COLUMNS = ["id", "filename", "chunk_index", "chunk_text", "metadata", "created_at"]
@@ -170,24 +170,49 @@ def json_manifest(store: DataFrame, export_date: str | None = None) -> DataFrame
                      F.count(F.lit(1)).alias("total_chunks"))
 
 
-def single_json(store: DataFrame, export_date: str | None = None) -> DataFrame:
-    """S12, single-object form (opt-in): one row whose ``json`` is ``{export_date, total_documents,
-    total_chunks, documents: {filename: [chunks]}}`` with filenames in order. Everything ends up in
-    one row, so use it only for stores that fit in one; ``export_json`` is the scalable form."""
-    docs = json_documents(store)
+HEAD, BODY, FOOT = range(3)
+
+
+def json_fragments(store: DataFrame, export_date: str | None = None) -> DataFrame:
+    """S12 as one object in pieces: rows ``section, row_no, filename, chunk_index, fragment`` whose fragments, one per line and
+    in the order of ``section, row_no``, are ``{export_date, total_documents, total_chunks, documents: {filename: [chunks]}}``
+    with filenames in order. One row per chunk: neither the object nor a document is ever held in one row."""
+    item = _with_metadata(F.struct(F.col("chunk_index"), F.col("chunk_text").alias("text")), metadata_json("metadata"))
+    rows = with_row_index(store.select(F.coalesce("filename", F.lit("")).alias("filename"), "chunk_index", item.alias("item")),
+                          ["filename", "chunk_index"], "row_no")
+    ends = rows.groupBy("filename").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
     name = F.to_json(F.struct(F.col("filename").alias("f")))
-    entry = F.concat(name.substr(F.lit(6), F.length(name) - 6), F.lit(":"), F.col("chunks"))
-    body = docs.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filename", entry.alias("e")))),
-                                             lambda x: x["e"]), ",").alias("d"))
-    head = json_manifest(store, export_date).select(F.to_json(F.struct("export_date", "total_documents", "total_chunks")).alias("h"))
-    h = head.select("h").scalar()
-    return body.select(F.concat(h.substr(F.lit(1), F.length(h) - 1), F.lit(',"documents":{'),
-                                F.coalesce(F.col("d"), F.lit("")), F.lit("}}")).alias("json"))
+    key = F.concat(F.when(F.col("row_no") > 0, F.lit(",")).otherwise(F.lit("")), name.substr(F.lit(6), F.length(name) - 6), F.lit(":["))
+    body = rows.join(ends, "filename").select(
+        F.lit(BODY).alias("section"), "row_no", "filename", "chunk_index",
+        F.concat(F.when(F.col("row_no") == F.col("lo"), key).otherwise(F.lit(",")), F.col("item"),
+                 F.when(F.col("row_no") == F.col("hi"), F.lit("]")).otherwise(F.lit(""))).alias("fragment"))
+    head = F.to_json(F.struct("export_date", "total_documents", "total_chunks"))
+
+    def mark(section, fragment):
+        none = F.lit(None)
+        return [F.lit(section).alias("section"), F.lit(0).cast("long").alias("row_no"), none.cast("string").alias("filename"),
+                none.cast("int").alias("chunk_index"), fragment.alias("fragment")]
+
+    first = json_manifest(store, export_date).select(*mark(HEAD, F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"documents":{'))))
+    last = store.sparkSession.range(1).select(*mark(FOOT, F.lit("}}")))
+    return first.unionByName(body).unionByName(last)
+
+
+def json_offsets(fragments: DataFrame) -> DataFrame:
+    """``section, row_no, filename, chunk_index, n_bytes, byte_offset`` of every fragment (its line end included) in the object."""
+    sizes = fragments.select("section", "row_no", "filename", "chunk_index", (F.octet_length("fragment") + 1).cast("long").alias("n_bytes"))
+    return with_running_total(sizes, ["section", "row_no"], "n_bytes", "byte_offset")
+
+
+def export_single_json(store: DataFrame, path: str, export_date: str | None = None) -> None:
+    """S12, single-object form: ordered text parts; their concatenation in the order of the names is the one JSON object."""
+    range_partitioned(json_fragments(store, export_date), ["section", "row_no"]).select("fragment").write.mode("overwrite").text(path)
 
 
 def export_json(store: DataFrame, path: str, export_date: str | None = None) -> None:
-    """Per-file JSON rows under ``path/documents`` plus ``path/manifest``. A single nested
-    object holding every document does not scale; ``single_json`` builds it on request."""
+    """Per-file JSON rows under ``path/documents`` plus ``path/manifest``. ``export_single_json``
+    writes the one object."""
     json_documents(store).write.mode("overwrite").json(f"{path}/documents")
     json_manifest(store, export_date).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 

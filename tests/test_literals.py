@@ -131,16 +131,29 @@ def test_jsonl_lines_keep_metadata_order(spark):
     assert json.loads(got["a.txt"])["metadata"]["file_type"] == ".txt"
 
 
-def test_single_json_export(spark):
-    from chunkmill.sources.store_io import single_json
-
-    df = spark.createDataFrame([("b.txt", 1, "y", "{}"), ("b.txt", 0, "x", '{"k": 1}'), ('a"q.txt', 0, "z", None)],
-                               "filename string, chunk_index int, chunk_text string, metadata string")
-    doc = json.loads(single_json(df, "2024-01-01T00:00:00").first().json)
-    assert doc["export_date"] == "2024-01-01T00:00:00" and doc["total_documents"] == 2 and doc["total_chunks"] == 3
-    assert list(doc["documents"]) == ['a"q.txt', "b.txt"]
-    assert doc["documents"]["b.txt"] == [{"chunk_index": 0, "text": "x", "metadata": {"k": 1}},
-                                         {"chunk_index": 1, "text": "y", "metadata": {}}]
+def test_single_json_export(spark, tmp_dir):
+    import glob
+
+    from chunkmill.sources.store_io import export_single_json, json_fragments, json_offsets
+
+    schema = "filename string, chunk_index int, chunk_text string, metadata string"
+    few = spark.createDataFrame([("b.txt", 1, "y\nz", "{}"), ("b.txt", 0, "x", '{"k": 1}'), ('a"q.txt', 0, "zé", None)], schema)
+    many = spark.range(500).selectExpr("concat('f', id % 7, '.txt') filename", "cast(id div 7 as int) chunk_index", "repeat('ü', int(id % 9)) chunk_text",
+                                       "cast(null as string) metadata")
+    for n, df in enumerate((few, many, few.limit(0))):
+        path = f"{tmp_dir}/one-{n}"
+        export_single_json(df, path, "2024-01-01T00:00:00")
+        whole = b"".join(open(f, "rb").read() for f in sorted(glob.glob(path + "/part-*")))
+        doc, rows = json.loads(whole), df.collect()
+        assert doc["export_date"] == "2024-01-01T00:00:00" and doc["total_chunks"] == len(rows)
+        assert list(doc["documents"]) == sorted({r.filename for r in rows}) and doc["total_documents"] == len(doc["documents"])
+        for name, chunks in doc["documents"].items():
+            want = sorted((r for r in rows if r.filename == name), key=lambda r: r.chunk_index)
+            assert chunks == [{"chunk_index": r.chunk_index, "text": r.chunk_text, "metadata": json.loads(r.metadata or "{}")} for r in want]
+        fragments = json_fragments(df, "2024-01-01T00:00:00")
+        text = {(r.section, r.row_no): r.fragment for r in fragments.collect()}
+        for r in json_offsets(fragments).collect():
+            assert whole[r.byte_offset:r.byte_offset + r.n_bytes].decode() == text[r.section, r.row_no] + "\n"
 
 
 def test_append_dialogs_and_require_rows(spark, tmp_dir):
