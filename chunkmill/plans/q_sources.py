@@ -10,7 +10,7 @@ from ..sources.extract import (csv_file_to_text, csv_records_to_text,
                                flatten_json_to_text, ordered_join,
                                html_to_text, notebook_to_text, pages_to_text, paragraphs_to_text, plain_text,
                                route_by_extension, sheet_rows_to_text)
-from ..sources.store_io import (build_cpt_corpus, count_nonblank_lines, export_jsonl, json_documents, json_fragments, json_offsets, json_manifest,
+from ..sources.store_io import (build_cpt_corpus, count_nonblank_lines, export_jsonl, json_documents, json_offsets, json_manifest,
                                 load_samples_strict, load_sft_dataset, read_cpt_corpus, read_store, save_sample_objects, save_samples,
                                 write_store)
 from .fixtures import FIXED_TIME, NON_WS_SQL, chunk_store, store_sql, strip_sql, table
@@ -224,7 +224,7 @@ def q_export_json(spark, sf):
     return json_documents(chunk_store(spark, sf, "C"))
 
 
-@query("export_single_json", "S12 (one object in ordered parts)", f"""
+@query("single_json_offsets", "S12 (one object in ordered parts)", f"""
 WITH s AS (SELECT filename, chunk_index, octet_length(encode(left(CAST(to_json({{'chunk_index': chunk_index, 'text': chunk_text}}) AS VARCHAR), -1)
                   || ',"metadata":' || CAST(json(metadata) AS VARCHAR) || '}}')) AS item,
                   row_number() OVER (ORDER BY filename, chunk_index) AS r,
@@ -235,10 +235,9 @@ b AS (SELECT filename, chunk_index, r, CAST(item + 1 + CASE WHEN up = 1 THEN oct
 h AS (SELECT CAST(octet_length(encode('{{"export_date":"{FIXED_TIME}","total_documents":' || count(DISTINCT filename) || ',"total_chunks":' || count(*)
                   || ',"documents":{{')) + 1 AS BIGINT) AS n FROM ({C}))
 SELECT filename, chunk_index, n_bytes, CAST(n + sum(n_bytes) OVER (ORDER BY r) - n_bytes AS BIGINT) AS byte_offset FROM b, h""")
-def q_export_single_json(spark, sf):
+def q_single_json_offsets(spark, sf):
     """Where each chunk's fragment lies in the one exported object."""
-    fragments = json_fragments(chunk_store(spark, sf, "C"), FIXED_TIME)
-    return json_offsets(fragments).where("filename is not null").select("filename", "chunk_index", "n_bytes", "byte_offset")
+    return json_offsets(chunk_store(spark, sf, "C"), FIXED_TIME).select("filename", "chunk_index", "n_bytes", "byte_offset")
 
 
 @query("export_manifest", "S12 (manifest)", f"SELECT count(DISTINCT filename) AS total_documents, count(*) AS total_chunks FROM ({C})")

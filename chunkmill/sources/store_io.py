@@ -157,7 +157,7 @@ def export_jsonl(store: DataFrame, path: str) -> None:
 def json_documents(store: DataFrame) -> DataFrame:
     """S12 rows: one per filename with its chunks ``[{chunk_index, text, metadata}]`` in order
     (one document's chunks per row)."""
-    item = _with_metadata(F.struct(F.col("chunk_index"), F.col("chunk_text").alias("text")), metadata_json("metadata"))
+    item = _item()
     g = store.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct(F.col("chunk_index"), item.alias("_j")))).alias("_c"))
     return g.select("filename", F.concat(F.lit("["), F.array_join(F.transform("_c", lambda c: c["_j"]), ","),
                                          F.lit("]")).alias("chunks"))
@@ -173,36 +173,48 @@ def json_manifest(store: DataFrame, export_date: str | None = None) -> DataFrame
 HEAD, BODY, FOOT = range(3)
 
 
-def json_fragments(store: DataFrame, export_date: str | None = None) -> DataFrame:
-    """S12 as one object in pieces: rows ``section, row_no, filename, chunk_index, fragment`` whose fragments, one per line and
-    in the order of ``section, row_no``, are ``{export_date, total_documents, total_chunks, documents: {filename: [chunks]}}``
-    with filenames in order. One row per chunk: neither the object nor a document is ever held in one row."""
-    item = _with_metadata(F.struct(F.col("chunk_index"), F.col("chunk_text").alias("text")), metadata_json("metadata"))
-    rows = with_row_index(store.select(F.coalesce("filename", F.lit("")).alias("filename"), "chunk_index", item.alias("item")),
-                          ["filename", "chunk_index"], "row_no")
+def _item(meta: str = "metadata") -> Column:
+    return _with_metadata(F.struct(F.col("chunk_index"), F.col("chunk_text").alias("text")), metadata_json(meta))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (``filename, chunk_index`` and what they carry) with ``row_no`` and the text before and after a chunk in the object."""
+    rows = with_row_index(rows.withColumn("filename", F.coalesce("filename", F.lit(""))), ["filename", "chunk_index"], "row_no")
     ends = rows.groupBy("filename").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi"))
     name = F.to_json(F.struct(F.col("filename").alias("f")))
     key = F.concat(F.when(F.col("row_no") > 0, F.lit(",")).otherwise(F.lit("")), name.substr(F.lit(6), F.length(name) - 6), F.lit(":["))
-    body = rows.join(ends, "filename").select(
-        F.lit(BODY).alias("section"), "row_no", "filename", "chunk_index",
-        F.concat(F.when(F.col("row_no") == F.col("lo"), key).otherwise(F.lit(",")), F.col("item"),
-                 F.when(F.col("row_no") == F.col("hi"), F.lit("]")).otherwise(F.lit(""))).alias("fragment"))
-    head = F.to_json(F.struct("export_date", "total_documents", "total_chunks"))
-
-    def mark(section, fragment):
-        none = F.lit(None)
-        return [F.lit(section).alias("section"), F.lit(0).cast("long").alias("row_no"), none.cast("string").alias("filename"),
-                none.cast("int").alias("chunk_index"), fragment.alias("fragment")]
-
-    first = json_manifest(store, export_date).select(*mark(HEAD, F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"documents":{'))))
-    last = store.sparkSession.range(1).select(*mark(FOOT, F.lit("}}")))
-    return first.unionByName(body).unionByName(last)
-
-
-def json_offsets(fragments: DataFrame) -> DataFrame:
-    """``section, row_no, filename, chunk_index, n_bytes, byte_offset`` of every fragment (its line end included) in the object."""
-    sizes = fragments.select("section", "row_no", "filename", "chunk_index", (F.octet_length("fragment") + 1).cast("long").alias("n_bytes"))
-    return with_running_total(sizes, ["section", "row_no"], "n_bytes", "byte_offset")
+    return rows.join(ends, "filename").withColumns({
+        "prefix": F.when(F.col("row_no") == F.col("lo"), key).otherwise(F.lit(",")),
+        "suffix": F.when(F.col("row_no") == F.col("hi"), F.lit("]")).otherwise(F.lit(""))}).drop("lo", "hi")
+
+
+def _head(store: DataFrame, export_date: str | None) -> DataFrame:
+    h = F.to_json(F.struct("export_date", "total_documents", "total_chunks"))
+    return json_manifest(store, export_date).select(F.concat(h.substr(F.lit(1), F.length(h) - 1), F.lit(',"documents":{')).alias("fragment"))
+
+
+def json_fragments(store: DataFrame, export_date: str | None = None) -> DataFrame:
+    """S12 as one object in pieces: rows ``section, row_no, fragment`` whose fragments, one per line and
+    in the order of ``section, row_no``, are ``{export_date, total_documents, total_chunks, documents: {filename: [chunks]}}``
+    with filenames in order. One row per chunk: neither the object nor a document is ever held in one row."""
+    body = _placed(store.select("filename", "chunk_index", _item().alias("item")))
+
+    def part(df, section, row_no, fragment):
+        return df.select(F.lit(section).alias("section"), row_no.cast("long").alias("row_no"), fragment.alias("fragment"))
+
+    return (part(_head(store, export_date), HEAD, F.lit(0), F.col("fragment"))
+            .unionByName(part(body, BODY, F.col("row_no"), F.concat("prefix", "item", "suffix")))
+            .unionByName(part(store.sparkSession.range(1), FOOT, F.lit(0), F.lit("}}"))))
+
+
+def json_offsets(store: DataFrame, export_date: str | None = None) -> DataFrame:
+    """``filename, chunk_index, row_no, n_bytes, byte_offset`` of every chunk's fragment (its line end included) in the object that
+    ``export_single_json`` writes. Sizes only are sorted and shuffled, no texts."""
+    rows = _placed(store.select("filename", "chunk_index", F.octet_length(_item()).alias("n")))
+    size = (F.octet_length("prefix") + F.col("n") + F.octet_length("suffix") + 1).cast("long")
+    rows = with_running_total(rows.select("filename", "chunk_index", "row_no", size.alias("n_bytes")), ["row_no"], "n_bytes", "byte_offset")
+    head = _head(store, export_date).select((F.octet_length("fragment") + 1).cast("long")).scalar()
+    return rows.withColumn("byte_offset", F.col("byte_offset") + head)
 
 
 def export_single_json(store: DataFrame, path: str, export_date: str | None = None) -> None:
