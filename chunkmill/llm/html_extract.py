@@ -1,12 +1,14 @@
 """Main text of HTML pages by differencing each page with its nearest neighbours by URL.
 
 Pages are put in order of host and path; every page is paired with the one before and the one after it
-on its host. The pair's text lines outside the article element are aligned by their longest common
-subsequence, and shared lines are deleted: a template repeats from page to page, a text doesn't.
-What a neighbour can't show (a menu or notice that is different on every page) goes by the
+on its host. The pair's text lines are aligned by their longest common
+subsequence, and shared lines outside an article element are deleted: a template repeats from page to page, a text doesn't.
+What a neighbour can't show (a menu or notice that is different on every page) then goes by the
 page's own markup: navigation, header, footer, sidebar, form and advert elements. Lines inside an
-article or main element are the text itself and are never deleted for being shared, as copies of an article
-under several URLs share all of it; where a page has such an element, its text is only that.
+article or main element are never deleted for being shared, as copies of an article
+under several URLs share all of it. Where a page has such an element, differencing tells whether it holds the text: unmarked lines
+outside it that no neighbour shares are kept if they are more text than the articles (teasers beside a body), else
+they go. With no neighbour but copies to tell, the article is the text.
 
 Pairing moves 64-bit line hashes, never text: the pages are read once for the hashes and once for
 the text, and only the deletions are joined back (broadcast below a checked size, else shuffled).
@@ -205,6 +207,7 @@ def common_lines(a: list, b: list) -> list[int]:
     return out[::-1]
 
 
+_GONE = "host string, same long, places array<long>, differs boolean"
 _LINES = "key long, host string, path string, hashes array<long>, zones array<int>, same long"
 
 
@@ -216,32 +219,30 @@ def _hash_lines(batches):
         hashes, zones, same = [], [], []
         for page in batch.column("html").to_pylist():
             found = lines(page or "")
-            article = any(z == ARTICLE for _, z in found)
-            outside = [(line_hash(x), z) for x, z in found if z != ARTICLE]
-            hashes.append([h for h, _ in outside])
-            # beside an article nothing is open to question
-            zones.append([DROPPED if article else z for _, z in outside])
+            hashes.append([line_hash(x) for x, _ in found])
+            zones.append([z for _, z in found])
             same.append(line_hash(repr((hashes[-1], zones[-1]))))
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("host"), batch.column("path"), pa.array(hashes, pa.list_(pa.int64())),
                                           pa.array(zones, pa.list_(pa.int32())), pa.array(same, pa.int64())], schema=schema)
 
 
 def _compare(batches):
-    """Per pair: the page's undecided lines (places) that go because the neighbour shares them. If more than half of what the
-    host's template leaves of either page is shared, they are copies: only template lines go."""
+    """Per pair: the page's lines outside an article (places) that go because the neighbour shares them. If more than half of what
+    markup and the host's template leave of either page is shared, they are copies (``differs`` is false): only template lines go."""
     import pyarrow as pa
 
-    schema = arrow_schema("host string, same long, places array<long>")
+    schema = arrow_schema(_GONE)
     for batch in batches:
         rows = []
         for host, same, own, zones, often, other, rest in zip(*(batch.column(c).to_pylist() for c in (
                 "host", "same", "hashes", "zones", "often", "other", "rest")), strict=True):
             often = set(often or ())
-            hit = [i for i in common_lines(own, other) if zones[i] == UNDECIDED]
-            alike = sum(own[i] not in often for i in hit)
-            left = sum(z == UNDECIDED and h not in often for h, z in zip(own, zones, strict=True))
+            aligned = common_lines(own, other)
+            hit = [i for i in aligned if zones[i] != ARTICLE]
+            alike = sum(zones[i] != DROPPED and own[i] not in often for i in aligned)
+            left = sum(z != DROPPED and h not in often for h, z in zip(own, zones, strict=True))
             copy = rest is not None and 2 * alike > max(left, rest)
-            rows.append({"host": host, "same": same, "places": [i for i in hit if own[i] in often] if copy else hit})
+            rows.append({"host": host, "same": same, "places": [i for i in hit if own[i] in often] if copy else hit, "differs": not copy})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
@@ -251,7 +252,8 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """``key`` of each page that loses lines, and their ``places`` among its lines."""
+    """``key`` of each page that loses lines, and their ``places`` among its lines. Pages with unmarked lines beside an article have a
+    row, too, if they were compared with another text than a copy (``differs``)."""
     host, path = host_path(F.col("url"))
     src = _keyed(pages).select("key", host.alias("host"), path.alias("path"), "html")
     narrow = stored(src.mapInArrow(_hash_lines, _LINES), "page-lines")
@@ -259,23 +261,25 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     texts = narrow.groupBy("host", "same").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("zones").alias("zones"))
     ranked = stored(with_row_index(texts, ["host", "path", "same"], "nr"), "page-ranks")
     undecided = F.exists("zones", lambda z: z == UNDECIDED)
+    outside = F.transform(F.filter(F.arrays_zip("hashes", "zones"), lambda x: x["zones"] != ARTICLE), lambda x: x["hashes"])
     # template lines: on how many paths of the host, over its distinct texts (only for hosts that have something undecided)
     hosts = ranked.filter(undecided).select("host").distinct()
-    paths = ranked.join(hosts, "host").select("host", "path", F.explode(F.array_distinct("hashes")).alias("line")).distinct()
+    paths = ranked.join(hosts, "host").select("host", "path", F.explode(F.array_distinct(outside)).alias("line")).distinct()
     counts = paths.groupBy("host", "line").agg(F.count("*").alias("n")).filter("n >= 3")
     total = ranked.select("host", "path").distinct().groupBy("host").agg(F.count("*").alias("total"))
     often = counts.join(total, "host").filter((F.col("n") >= TEMPLATE_PATHS) | (2 * F.col("n") >= F.col("total"))).select("host", "line")
-    open_ = ranked.filter(undecided).select("nr", "host", F.explode(F.array_distinct("hashes")).alias("line"))
+    open_ = ranked.join(hosts, "host").select("nr", "host", F.explode(F.array_distinct("hashes")).alias("line"))
     often = open_.join(often, ["host", "line"]).groupBy("nr").agg(F.collect_list("line").alias("often"))
     marked = ranked.join(often, "nr", "left").withColumn("often", F.coalesce("often", F.array().cast("array<long>")))
-    own = F.filter(F.arrays_zip("hashes", "zones"), lambda x: x["zones"] == UNDECIDED)
-    rest = F.when(undecided, F.size(F.filter(F.transform(own, lambda x: x["hashes"]), lambda h: ~F.array_contains("often", h))))
+    own = F.filter(F.arrays_zip("hashes", "zones"), lambda x: x["zones"] != DROPPED)
+    rest = F.when(F.exists("zones", lambda z: z != DROPPED), F.size(F.filter(F.transform(own, lambda x: x["hashes"]), lambda h: ~F.array_contains("often", h))))
     near = marked.select("host", F.explode(F.array(F.col("nr") - 1, F.col("nr") + 1)).alias("nr"), F.col("hashes").alias("other"),
                          rest.cast("long").alias("rest"))
-    found = marked.filter(undecided).join(near, ["host", "nr"]).select("host", "same", "hashes", "zones", "often", "other", "rest").mapInArrow(
-        _compare, "host string, same long, places array<long>")
-    gone = found.filter(F.size("places") > 0).groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
-    return narrow.select("key", "host", "same").distinct().join(gone, ["host", "same"]).select("key", "places")
+    pairs = marked.filter(F.exists("zones", lambda z: z != ARTICLE)).join(near, ["host", "nr"])
+    found = pairs.select("host", "same", "hashes", "zones", "often", "other", "rest").mapInArrow(_compare, _GONE)
+    gone = found.groupBy("host", "same").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.max("differs").alias("differs"))
+    pages_ = narrow.select("key", "host", "same", (undecided & F.array_contains("zones", ARTICLE)).alias("beside")).distinct()
+    return pages_.join(gone, ["host", "same"]).filter((F.size("places") > 0) | F.col("beside") & F.col("differs")).select("key", "places", "differs")
 
 
 def _texts(batches):
@@ -284,14 +288,13 @@ def _texts(batches):
     schema = arrow_schema("page_id long, url string, text string, n_chars long")
     for batch in batches:
         texts = []
-        for page, deleted in zip(batch.column("html"), batch.column("deleted").to_pylist(), strict=True):
-            found = lines(page.as_py() or "")
-            if any(z == ARTICLE for _, z in found):
-                keep = [x for x, z in found if z == ARTICLE]
-            else:
-                gone = set(deleted or ())
-                keep = [x for i, (x, z) in enumerate(found) if z == UNDECIDED and i not in gone]
-            texts.append("\n\n".join(keep))
+        for page, deleted, differs in zip(batch.column("html"), *(batch.column(c).to_pylist() for c in ("deleted", "differs")), strict=True):
+            gone = set(deleted or ())
+            left = [(x, z) for i, (x, z) in enumerate(lines(page.as_py() or "")) if z != DROPPED and i not in gone]  # shared, then marked lines go
+            size = {k: sum(len(x) for x, z in left if z == k) for k in (UNDECIDED, ARTICLE)}
+            if size[ARTICLE] and not (differs and size[UNDECIDED] > size[ARTICLE]):
+                left = [(x, z) for x, z in left if z == ARTICLE]
+            texts.append("\n\n".join(x for x, _ in left))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                                           pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
@@ -303,7 +306,7 @@ def extract(pages: DataFrame) -> DataFrame:
     deleted = stored(deleted, "deleted-lines")
     if deleted.count() <= BROADCAST_ROWS:
         deleted = F.broadcast(deleted)
-    src = _keyed(pages).join(deleted, "key", "left").select("page_id", "url", "html", "deleted")
+    src = _keyed(pages).join(deleted, "key", "left").select("page_id", "url", "html", "deleted", "differs")
     return src.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 

@@ -115,3 +115,25 @@ def test_pairs_cross_partitions(spark):
     rows = [(i, f"http://h/p/{i:04d}", page(f"<div>Site</div><p>Own {i}</p>")) for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
     assert H.extract(df).filter(F.col("text") != F.concat(F.lit("Own "), F.col("page_id").cast("string"))).count() == 0
+
+
+def test_differencing_decides_beside_an_article(spark):
+    menu = "<div>Site name</div><div>Menu one</div>"
+    own = lambda i: "".join(f"<div>Part {k} of the body of page {i}, in a div</div>" for k in range(4))
+    teasers = [(i, f"http://h/p/{i}", page(f"{menu}{own(i)}<article><h2>Teaser {i}</h2></article><div>Imprint</div>")) for i in range(4)]
+    marked = [(10 + i, f"http://g/p/{i}", page(f"{menu}<div>By {i}</div><article><p>A long text of article {i}</p></article>")) for i in range(4)]
+    alone = [(20, "http://f/p", page(f"{menu}{own(20)}<article><h2>Teaser</h2></article>"))]
+    copies = [(30 + i, f"http://e/p?v={i}", page(f"<div>Site name is a long one</div><article><p>Same text</p></article><div class='ad'>{i}</div>")) for i in range(2)]
+    got = texts(spark, teasers + marked + alone + copies)
+    assert all(got[i] == "\n\n".join([f"Part {k} of the body of page {i}, in a div" for k in range(4)] + [f"Teaser {i}"]) for i in range(4))
+    assert all(got[10 + i] == f"A long text of article {i}" for i in range(4))
+    assert got[20] == "Teaser" and got[30] == got[31] == "Same text"
+
+
+def test_shared_lines_are_found_where_an_article_is_marked(spark):
+    make = lambda i: page(f"<nav>Menu</nav><div>Site</div><article><p>Shared</p><p>Own {i}</p></article><footer>Imprint</footer>")
+    rows = [(i, f"http://h/p/{i}", make(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {tuple(sorted(r.places)) for r in H.shared_lines(df).collect()}
+    assert got == {(0, 1, 4)}  # the menu, the site's name and the imprint; the article's shared line stays
+    assert texts(spark, rows) == {i: f"Shared\n\nOwn {i}" for i in range(4)}
