@@ -25,8 +25,12 @@ def with_row_index(df: DataFrame, order_cols: list, name: str = "row_index", sta
     after an executor is lost. AQE may merge neighbouring ranges; ids stay ordered because merged
     partitions keep their range order.
     """
-    tagged = range_partitioned(df, list(order_cols), num_partitions).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = cut_lineage(tagged)
+    return number_rows(range_partitioned(df, list(order_cols), num_partitions), name, start)
+
+
+def number_rows(df: DataFrame, name: str = "row_index", start: int = 0) -> DataFrame:
+    """The numbering of ``with_row_index`` for rows that already lie in order: over the partitions and in each."""
+    tagged = cut_lineage(df.withColumn("_mid", F.monotonically_increasing_id()))
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a proven bound, safe to broadcast

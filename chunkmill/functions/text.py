@@ -13,6 +13,7 @@ WS_CLASS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
 NON_WS_CLASS = "[^" + WS_CLASS[1:]
+WS_CHARS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # the same
 STRIP_PATTERN = f"^{WS_CLASS}+|{WS_CLASS}+$"
 # Line breaks of Python ``str.splitlines``.
 LINE_BREAK = r"\r\n|[\n\r\x{0B}\f\x{1C}\x{1D}\x{1E}\x{85}\x{2028}\x{2029}]"
@@ -23,8 +24,8 @@ def col_(c) -> Column:
 
 
 def ustrip(c) -> Column:
-    """Python ``str.strip()``."""
-    return F.regexp_replace(col_(c), STRIP_PATTERN, "")
+    """Python ``str.strip()``. Looks at both ends only; a pattern would be tried at every character."""
+    return F.btrim(col_(c), F.lit(WS_CHARS))
 
 
 def has_text(c) -> Column:

@@ -15,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import number_rows
 from ..functions.text import STRIP_PATTERN
 from ..operators.chunking import encode_metadata, explode_chunks, window_chunks
+from ..session import scratch_path
 
 FIXED_TIME = "2024-01-01T00:00:00"
 STORES = {
@@ -39,8 +41,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
-def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def doc_files(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """``dealt=False`` for a reader that deals the rows out itself."""
+    d = table(spark, sf_dir, "documents") if dealt else spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     return d.select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
                     "text", "lang", "source")
 
@@ -59,28 +62,30 @@ def chunk_store(spark: SparkSession, sf_dir: str, which: str, materialize: bool
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), which)
     path = _MATERIALIZED.get(key)
     if path is None:
-        from ..session import scratch_path
-        from ..sources.store_io import indexed_store
-
         path = scratch_path(spark, f"store-{which}")
-        indexed_store(_derive_store(spark, sf_dir, which)).write.mode("overwrite").parquet(path)
+        number_rows(_derive_store(spark, sf_dir, which, clustered=True), "row_no").write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = path
     return spark.read.parquet(path)
 
 
-def _derive_store(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+def _derive_store(spark: SparkSession, sf_dir: str, which: str, clustered: bool = False) -> DataFrame:
+    """``clustered``: in (filename, chunk_index) order over the partitions and in each. The documents are range partitioned
+    by name before they are split: a range partition of the chunks would split every text twice, for its sample of the keys, too."""
     langs, size, overlap = STORES[which]
-    d = doc_files(spark, sf_dir)
+    d = doc_files(spark, sf_dir, dealt=not clustered)
     if langs is not None:
         d = d.where(F.col("lang").isin(langs))
+    if clustered:
+        d = d.select("doc_id", "filename", "text").repartitionByRange("filename")
     d = d.withColumn("chunks", window_chunks("text", size, overlap))
     rows = explode_chunks(d, "chunks", "filename", file_type=".txt", processed_at=FIXED_TIME, keep=["doc_id"])
-    return rows.select(
+    rows = rows.select(
         (F.col("doc_id") * (1 << 32) + F.col("chunk_index") + 1).alias("id"),
         "filename", "chunk_index", "chunk_text",
         encode_metadata("metadata").alias("metadata"),
         F.lit(FIXED_TIME).cast("timestamp").alias("created_at"),
     )
+    return rows.sortWithinPartitions("filename", "chunk_index") if clustered else rows
 
 
 def stores_union(spark: SparkSession, sf_dir: str, names=STORE_ORDER) -> DataFrame:

@@ -79,3 +79,32 @@ def test_stream_multiple_batches_skip_stored_names(spark, tmp_dir):
     assert not any(r.chunk_text == "replacement text" for r in rows)
     ids = sorted(r.id for r in rows)
     assert ids == list(range(1, len(ids) + 1))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stores_are_split_after_the_documents_are_dealt(spark, tmp_dir):
+    from chunkmill.plans import fixtures
+
+    sf = tmp_dir
+    rows = [(i, None if i == 7 else f"word {i} " * (i * 20), ["en", "fr", "de", None][i % 4], "web") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{sf}/documents.parquet")
+    for which in fixtures.STORE_ORDER:
+        # the range partition samples its input: below it no text may be split
+        text = plan(fixtures._derive_store(spark, sf, which, clustered=True))
+        assert "regexp_extract_all" in text.split("RepartitionByExpression")[0] and "regexp_extract_all" not in text.split("RepartitionByExpression")[1]
+        want = sorted(map(tuple, fixtures._derive_store(spark, sf, which).collect()), key=lambda r: (r[1], r[2]))
+        got = fixtures.chunk_store(spark, sf, which).orderBy("row_no").collect()
+        assert [tuple(r)[:-1] for r in got] == want and [r.row_no for r in got] == list(range(len(want)))
+
+
+def test_strip_is_python_strip(spark):
+    from chunkmill.functions.text import WS_CHARS, ustrip
+
+    assert set(WS_CHARS) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
+    texts = [None, "", " \n", "\u3000a b\x1f", "a\u200b ", "\x85\xa0ä\u2028\n\n", "plain", "\U0001f600 \u2003", *(f"{c}x{c}y{c}" for c in WS_CHARS)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(ustrip("t")).collect()] == [t if t is None else t.strip() for t in texts]
+    assert "regexp" not in plan(df.select(ustrip("t")))
