@@ -28,7 +28,7 @@ def import_merge(target: DataFrame, source: DataFrame) -> DataFrame:
     """M1: add the source chunks whose filename the target does not hold; new ids follow the
     target's maximum in source id order; bad metadata becomes ``{}``."""
     new = source.join(target.select("filename").distinct(), "filename", "left_anti")
-    return append_chunks(target, _clean_metadata(new), order=("id",))
+    return append_chunks(target, new, order=("id",), clean=_clean_metadata)
 
 
 def import_replace(target: DataFrame, source: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def import_replace(target: DataFrame, source: DataFrame) -> DataFrame:
     if source.isEmpty():
         return target
     empty = target.limit(0)
-    return append_chunks(empty, _clean_metadata(source), order=("id",))
+    return append_chunks(empty, source, order=("id",), clean=_clean_metadata)
 
 
 def import_counts(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -100,6 +100,17 @@ def test_stores_are_split_after_the_documents_are_dealt(spark, tmp_dir):
         assert [tuple(r)[:-1] for r in got] == want and [r.row_no for r in got] == list(range(len(want)))
 
 
+def test_metadata_is_cleaned_after_numbering(spark):
+    from chunkmill.operators.merge import import_replace
+    from chunkmill.operators.store import empty_store
+
+    rows = [(7, "b", 0, "t", "{\"a\":1}"), (3, "a", 0, "u", "{bad"), (5, "a", 1, "v", None)]
+    source = spark.createDataFrame(rows, "id long, filename string, chunk_index int, chunk_text string, metadata string")
+    out = import_replace(empty_store(spark), source)
+    assert "CASE WHEN" in plan(out)  # not below the range partition, which evaluates its input twice
+    assert [(r.id, r.filename, r.metadata) for r in out.orderBy("id").collect()] == [(1, "a", "{}"), (2, "a", "{}"), (3, "b", "{\"a\":1}")]
+
+
 def test_strip_is_python_strip(spark):
     from chunkmill.functions.text import WS_CHARS, ustrip
 
