@@ -10,6 +10,7 @@ from ..fixed import (DEFAULT_STORE, MSG_IMPORTED, MSG_MERGED, MSG_NAME_TAKEN, MS
 from ..functions.text import fill
 from ..functions.jsonx import strict_json
 from ..functions.ordering import with_row_index
+from ..session import cut_lineage
 from .store import STORE_COLUMNS, append_chunks
 
 
@@ -101,9 +102,10 @@ def merge_dedup_content(stores: DataFrame) -> DataFrame:
     """M6: merge keeping one chunk per identical text: the first by (store_rank, id); the store it
     came from is kept as ``original_db``. A text repeated in a third of all rows is combined
     map-side before the shuffle; ``(store_rank, id)`` is unique, so the join has no hot key."""
-    digest = F.sha2("chunk_text", 256)  # the text itself is neither grouped, sorted nor joined on
+    digest = F.unhex(F.sha2("chunk_text", 256))  # the text itself is neither grouped, sorted nor joined on
     best = stores.groupBy(digest.alias("_d")).agg(F.min(F.struct("store_rank", "id")).alias("_b"))
-    best = best.select(F.col("_b.store_rank").alias("store_rank"), F.col("_b.id").alias("id"))
+    # kept as narrow rows: the optimizer puts the join below the union of the stores and would group once for each of them
+    best = cut_lineage(best.select(F.col("_b.store_rank").alias("store_rank"), F.col("_b.id").alias("id")))
     return stores.join(best, ["store_rank", "id"], "left_semi").withColumnRenamed("store", "original_db")
 
 

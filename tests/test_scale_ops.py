@@ -111,6 +111,18 @@ def test_metadata_is_cleaned_after_numbering(spark):
     assert [(r.id, r.filename, r.metadata) for r in out.orderBy("id").collect()] == [(1, "a", "{}"), (2, "a", "{}"), (3, "b", "{\"a\":1}")]
 
 
+def test_texts_are_grouped_once_however_many_stores(spark):
+    from functools import reduce
+
+    from chunkmill.operators.merge import merge_dedup_content
+
+    stores = [spark.createDataFrame([(i, "f", i, f"text {i % 3}", "A") for i in range(6)], "id long, filename string, chunk_index int, chunk_text string, store string")
+              .withColumn("store_rank", F.lit(k)) for k in range(3)]
+    out = merge_dedup_content(reduce(lambda a, b: a.unionByName(b), stores))
+    assert "sha2" not in plan(out) and "Aggregate" not in plan(out)
+    assert sorted((r.store_rank, r.id) for r in out.collect()) == [(0, 0), (0, 1), (0, 2)]
+
+
 def test_strip_is_python_strip(spark):
     from chunkmill.functions.text import WS_CHARS, ustrip
 
