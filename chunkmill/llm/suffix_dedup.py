@@ -46,6 +46,7 @@ K = 20  # anchor length; WINDOW - K + 1 anchors start in a window
 W = WINDOW - K + 1
 SLICE = 1 << 20  # bytes hashed at a time
 BUCKET_BYTES = 4 << 20  # text per bucket
+PLACE = 21  # bits of a position in a slice
 BATCH_BYTES = 16 << 20  # text per batch
 SPLIT = 4096  # contexts of one anchor that a bucket may get
 FEW = 8  # so many occurrences of an anchor in a batch are counted as contexts without a comparison
@@ -67,7 +68,10 @@ def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``raw``: the position of its leftmost smallest K-byte hash; and all K-byte hashes."""
+    """For every window of ``raw`` (a slice): the position of its smallest K-byte hash (by all but the last PLACE bits, the leftmost of
+    equal ones); and all K-byte hashes. Hash and position are one number, so a minimum moves both."""
+    if len(raw) >> PLACE:
+        raise ValueError("longer than a slice")
     h = _BYTE[raw]
     h2 = _join(h[:-1], h[1:])
     h4 = _join(h2[:-2], h2[2:])
@@ -75,13 +79,13 @@ def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h16 = _join(h8[:-8], h8[8:])
     n = len(raw) - K + 1
     k = _mix(_join(h16[:n], h4[16:16 + n]))  # 16 + 4 bytes
-    value, at, width = k, np.arange(n, dtype=np.int32), 1
+    value, width = k >> np.uint64(PLACE) << np.uint64(PLACE), 1
+    value |= np.arange(n, dtype=np.uint64)
     while width < W:
         step = min(width, W - width)
-        left, right = value[:-step], value[step:]
-        value, at = np.minimum(left, right), np.where(right < left, at[step:], at[:-step])
+        value = np.minimum(value[:-step], value[step:])
         width += step
-    return at, k
+    return (value & np.uint64((1 << PLACE) - 1)).astype(np.int32), k
 
 
 def _slices(texts: list[bytes]):
@@ -107,17 +111,19 @@ def _runs(texts: list[bytes]):
     anchor hash, first window in raw, number of windows, the document position of raw[0] of its piece."""
     for raw, pieces in _slices(texts):
         at, k = _anchors(raw)
-        doc = np.repeat([p[0] for p in pieces], [p[3] for p in pieces])
-        start = np.array([p[2] for p in pieces])
-        size = np.array([p[3] for p in pieces])
-        owner = np.repeat(np.arange(len(pieces)), size)[:len(at)]
-        inside = np.arange(len(at)) <= (start + size - WINDOW)[owner]  # windows that stay in their piece
-        w = np.flatnonzero(inside)
-        a, o = at[w], owner[w]
-        first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (o[1:] != o[:-1]))))
+        doc, offset, start, size = np.array(pieces, np.int64).T
+        windows = size - WINDOW + 1  # that stay in their piece
+        before = np.cumsum(windows) - windows
+        w = np.arange(windows.sum()) + np.repeat(start - before, windows)
+        a = at[w]
+        change = np.empty(len(a), bool)
+        np.not_equal(a[1:], a[:-1], out=change[1:])
+        change[before] = True
+        first = np.flatnonzero(change)
         n = np.diff(np.append(first, len(w)))
-        shift = np.array([p[1] for p in pieces])[o[first]] - start[o[first]]  # raw position -> document position
-        yield raw, doc[w[first]], a[first] + shift, k[a[first]], w[first], n, shift
+        o = np.searchsorted(before, first, "right") - 1  # piece
+        shift = (offset - start)[o]  # raw position -> document position
+        yield raw, doc[o], a[first] + shift, k[a[first]], w[first], n, shift
 
 
 def _groups(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -525,8 +531,10 @@ def _cut(n_buckets: int, with_text: bool):
             k, a, b, s = (x[~split] for x in (k, a, b, s))
             d, _, code, _, _, at = _contexts(texts, None, n_buckets)
             f = np.searchsorted(k, code)
-            times = np.searchsorted(k, code, "right") - f
-            run_ = np.repeat(np.arange(len(code)), times)
+            hit = np.flatnonzero(k[np.minimum(f, len(k) - 1)] == code) if len(k) else np.array([], int)
+            f = f[hit]
+            times = np.searchsorted(k, code[hit], "right") - f
+            run_ = np.repeat(hit, times)
             piece = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(f, times)
             keep = s[piece] < ids[d[run_]]
             run_, piece = run_[keep], piece[keep]

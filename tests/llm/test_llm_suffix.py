@@ -148,3 +148,23 @@ def test_null_ids_are_no_hot_batch(spark):
     assert out.count() == 300 and out.filter("doc_id is null").agg({"n_removed": "sum"}).first()[0] == 0
     kept = S.cut_documents(df)
     assert kept.count() == 300
+
+
+def test_anchors_like_brute_force():
+    import numpy as np
+
+    from chunkmill.llm import suffix_dedup as S
+
+    rnd = np.random.default_rng(4)
+    raw = np.concatenate([rnd.integers(97, 100, 400), np.full(120, 97), rnd.integers(0, 256, 300)]).astype(np.uint8)
+    at, k = S._anchors(raw)
+    high = [int(x) >> S.PLACE for x in k]
+    assert at.tolist() == [min(range(i, i + S.W), key=lambda j: (high[j], j)) for i in range(len(raw) - S.WINDOW + 1)]
+    # runs cover every window of every piece once, in order
+    texts = [bytes(raw[:333]), b"short", bytes(raw[333:]), b"", bytes(raw[:50])]
+    seen = []
+    for _, d, p, h, first, n, shift in S._runs(texts):
+        for i in range(len(d)):
+            seen += [(int(d[i]), int(first[i] + shift[i]) + j) for j in range(n[i])]
+            assert first[i] + shift[i] <= p[i] <= first[i] + shift[i] + S.W - 1
+    assert seen == [(d, j) for d, t in enumerate(texts) for j in range(len(t) - S.WINDOW + 1)]
