@@ -283,7 +283,8 @@ def measured_windows(text, size: int, overlap: int, length="words", unit: str =
 
         def windows(u):
             starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil((F.size(u) - overlap) / step).cast("int")) - 1)
-            return F.transform(starts, lambda k: ustrip(F.array_join(F.slice(u, k * step + 1, size), "")))
+            cut = F.transform(starts, lambda k: ustrip(F.array_join(F.slice(u, k * step + 1, size), "")))
+            return F.when(u.isNotNull(), cut)
 
         wins = let(F.regexp_extract_all(ustrip(text), F.lit(unit), F.lit(0)), windows)
     else:
