@@ -7,8 +7,9 @@ prefix, so the depth adapts to the region and candidates stay linear in the docu
 reach the threshold are dropped, the rest is confirmed on the full shingle sets, a spanning forest
 first (each document with its most similar candidate), then every candidate whose ends are still in different
 components. Finally come the regions that were too large to be paired completely and whose members
-are still in different components. There, two documents can only be linked if they share one of their rarest
-shingles (rarest in the cluster; as many as the threshold and both sizes leave room for differences), so
+are still in different components. There, sets are compared by what they differ in from what most of their cluster holds: documents
+close to it are linked with the closest one, and two others can only be linked if they share one of their
+rarest differences (as many as the threshold, both sizes and both numbers of differences leave room for), so
 exact candidates come from a join on those, between components only. So the limit on regions loses no link.
 
 Documents with equal sets are one class from the start, so groups of copies never meet in a join.
@@ -33,7 +34,6 @@ from .components import components, smallest_ids
 
 TREES, BASE, DEEPEST = 32, 4, 6  # a pair at similarity 0.8 shares no prefix of BASE values in any tree with p = 5e-8
 REGION = 16
-BAND = 1.02  # sizes of one band differ by less than this factor
 SLICE = 1 << 20  # texts are hashed in slices of about this many bytes
 SLACK = 0.18  # sketches of 192 values: five standard deviations at 0.8 are 0.145
 
@@ -304,48 +304,97 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.join(keys, "key")
 
 
-def _rare_shingles(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """(cluster, low, high, token, id, c): for each band of sizes that a document can be linked with, its rarest shingles.
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cluster, id, n, diff) of members (id, cluster): a set's size and in what it differs from its cluster's pivot.
 
-    Two sets that are similar enough have at least share / (100 + share) of the sum of their sizes in common; sorted
-    alike, their first ``size - common + 1`` shingles then share one."""
+    The pivot is what more than half of the cluster's documents hold, so it is at most twice as large as their mean set. Two sets
+    differ from each other exactly where their differences from the pivot do: what most documents share takes no part."""
     def tokens(batches):
         import pyarrow as pa
 
-        schema = arrow_schema("cluster long, c long, id long, token long")
+        schema = arrow_schema("cluster long, token long")
         for batch in batches:
-            for cluster, c, i, s in zip(*(batch.column(x) for x in ("cluster", "c", "id", "shingles")), strict=True):
+            for cluster, s in zip(batch.column("cluster"), batch.column("shingles"), strict=True):
                 s = np.frombuffer(s.as_buffer(), np.int64)
-                same = [pa.array(np.full(len(s), x.as_py()), pa.int64()) for x in (cluster, c, i)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(s)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), cluster.as_py()), pa.int64()), pa.array(s)], schema=schema)
 
-    rows = members.join(sets.withColumnRenamed("doc_id", "id"), "id").select("cluster", "c", "id", "shingles").mapInArrow(
-        tokens, "cluster long, c long, id long, token long").repartition("cluster", "token")
+    def differ(batches):
+        import pyarrow as pa
+
+        schema = arrow_schema("cluster long, id long, n long, diff array<long>")
+        for batch in batches:
+            n, diff = [], []
+            for s, pivot in zip(batch.column("shingles"), batch.column("pivot"), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.int64)
+                n.append(len(s))
+                diff.append(np.setxor1d(s, pivot.values.to_numpy()) if pivot.is_valid else s)
+            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("id"), pa.array(n, pa.int64()),
+                                              pa.array(diff, pa.list_(pa.int64()))], schema=schema)
+
+    rows = stored(members.select("id", "cluster").join(sets.withColumnRenamed("doc_id", "id"), "id").select("cluster", "id", "shingles"), "open-sets")
+    held = rows.mapInArrow(trimmed(tokens), "cluster long, token long").groupBy("cluster", "token").agg(F.count("*").alias("held"))
+    pivots = held.join(rows.groupBy("cluster").agg(F.count("*").alias("docs")), "cluster").filter("2 * held > docs")
+    pivots = pivots.groupBy("cluster").agg(F.collect_list("token").alias("pivot"))
+    out = rows.join(pivots, "cluster", "left").select("cluster", "id", "shingles", "pivot").mapInArrow(
+        trimmed(differ), "cluster long, id long, n long, diff array<long>")
+    return stored(out, "differences")
+
+
+def _with_slack(docs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """``docs`` of ``_differences`` with c, d = |diff| and the slack s = (100 - share) * n - (100 + share) * d.
+
+    Two sets are linked if (100 + share) * |their difference| <= (100 - share) * (the sum of their sizes). With k
+    elements of their diffs in common this is s + s' + 2 * (100 + share) * k >= 0."""
+    d = F.size("diff").cast("long")
+    return docs.join(members.select("id", "c"), "id").withColumns({"d": d, "s": (100 - share) * F.col("n") - (100 + share) * d})
+
+
+def _hub_pairs(docs: DataFrame) -> DataFrame:
+    """Each cluster's document nearest to the pivot with those of other components that are linked with it whatever their
+    diffs hold. Of two documents whose slacks add up to 0 or more, both are."""
+    hubs = docs.groupBy("cluster").agg(F.max(F.struct("s", (-F.col("id")).alias("m"), "c")).alias("x"))
+    both = docs.join(hubs, "cluster").filter("s + x.s >= 0 and c <> x.c").select("id", (-F.col("x.m")).alias("hub"))
+    return both.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+
+
+def _shared_shingles(docs: DataFrame, share: int) -> DataFrame:
+    """(cluster, token, id, c, s, rest): elements of a document's diff, the rarest in the cluster first, that can be the first one it
+    shares with a document it is linked with; ``rest`` counts the elements from there on, and is at least what the two have in common."""
+    rows = docs.select("cluster", "id", F.explode("diff").alias("token"), "c")
     held = rows.groupBy("cluster", "token").agg(F.count("*").alias("held"), (F.min("c") != F.max("c")).alias("mixed"))
-    docs = rows.join(held, ["cluster", "token"]).groupBy("cluster", "c", "id").agg(
-        F.sort_array(F.collect_list(F.struct("held", "token", "mixed"))).alias("t"))
-    docs = stored(docs.withColumns({"n": F.size("t"), "band": F.floor(F.log(F.size("t")) / F.log(F.lit(BAND)))}), "rare-shingles")
-    bands = docs.groupBy("cluster", F.col("band").alias("other")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    docs = docs.join(bands, "cluster").filter(f"100 * most >= {share} * n and 100 * n >= {share} * least")
-    common = F.ceil((F.col("n") + F.greatest("least", F.ceil(F.col("n") * share / 100))) * share / (100 + share))
-    docs = docs.withColumn("room", (F.col("n") - common + 1).cast("int")).filter("room > 0")
-    # a shingle that only one component of the cluster holds takes its place among the rarest, but makes no pair
-    rarest = F.filter(F.slice("t", F.lit(1), F.col("room")), lambda x: x["mixed"])
-    return docs.select("cluster", "c", "id", F.least("band", "other").alias("low"), F.greatest("band", "other").alias("high"),
-                       F.explode(rarest).alias("x")).select(
-        "cluster", "low", "high", F.col("x.token").alias("token"), "id", "c")
-
-
-def _open_pairs(members: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Pairs across components (of members: id, c, cluster) that share a rare shingle; all links are among them."""
-    key = ["cluster", "low", "high", "token"]
-    rare = _rare_shingles(members, sets, share)
-    # a shingle that only one component holds makes no pair; of the others, the largest component is one side only
+    # an element that only one component of the cluster holds takes its place in the order, but makes no pair
+    order = rows.join(held, ["cluster", "token"]).groupBy("cluster", "id").agg(F.sort_array(F.collect_list(F.struct("held", "token", "mixed"))).alias("t"))
+    best = docs.groupBy("cluster").agg(F.max("s").alias("best"))
+    docs = docs.select("cluster", "id", "c", "n", "d", "s").join(order, ["cluster", "id"]).join(best, "cluster")
+    t = F.transform("t", lambda x, i: F.struct((F.col("d") - i).alias("rest"), x["token"].alias("token"), x["mixed"].alias("mixed")))
+    # no partner has more slack than the cluster's best one; nor, holding k elements and at most 100 / share times the size, more than that leaves
+    double, most = 2 * (100 + share), (100 - share) * 100
+    able = lambda x: x["mixed"] & (double * x["rest"] + F.col("s") + F.col("best") >= 0) & (
+        share * ((100 + share) * x["rest"] + F.col("s")) + most * F.col("n") >= 0)
+    return docs.select("cluster", "id", "c", "s", F.explode(F.filter(t, able)).alias("x")).select(
+        "cluster", F.col("x.token").alias("token"), "id", "c", "s", F.col("x.rest").alias("rest"))
+
+
+def _open_pairs(members: DataFrame, sets: DataFrame | None, share: int, docs: DataFrame | None = None) -> DataFrame:
+    """Pairs across components (of members: id, c, cluster) that may be linked; all links are among them. ``docs``: their
+    differences, if they are there already."""
+    docs = _with_slack(_differences(members, sets) if docs is None else docs, members, share)
+    # linked whatever they share: none is left in other components once the hubs' pairs are links
+    best = docs.groupBy("cluster").agg(F.max("s").alias("best"))
+    near = docs.join(best, "cluster").filter("s + best >= 0").select("cluster", "id", "c", "s")
+    near = near.join(near.groupBy("cluster").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("cluster"), "cluster")
+    sure = near.select("cluster", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa")).join(
+        near.withColumnRenamed("id", "b"), "cluster").filter("a < b and c <> ca and s + sa >= 0").select("a", "b")
+    key = ["cluster", "token"]
+    rare = _shared_shingles(docs, share)
+    # an element that only one component holds makes no pair; of the others, the largest component is one side only
     per = rare.groupBy(*key).agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.mode("c").alias("main")).filter("lo <> hi")
     rare = stored(rare.join(per.select(*key, "main"), key), "shared-shingles")
-    few = rare.filter("c <> main").select(*key, F.col("id").alias("a"), F.col("c").alias("ca"))
-    both = few.join(rare.select(*key, F.col("id").alias("b"), "c"), key).filter("c <> ca")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = rare.filter("c <> main").select(*key, F.col("id").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa"), F.col("rest").alias("ra"))
+    both = few.join(rare.withColumnRenamed("id", "b"), key).filter(
+        f"c <> ca and (c = main or a < b) and s + sa + {2 * (100 + share)} * least(ra, rest) >= 0")
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.unionByName(sure).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, text_hash: bool = False) -> DataFrame:
@@ -400,7 +449,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, text_hash:
     members = stored(_mixed(members), "open-regions")
     if not members.isEmpty():
         clusters = components(raw).withColumnRenamed("component_id", "cluster")
-        late = _open_pairs(members.select("id", "c").distinct().join(clusters, "id"), sets, share).join(pairs, ["a", "b"], "left_anti")
+        members = members.select("id", "c").distinct().join(clusters, "id")
+        docs = _differences(members, sets)
+        links, comp = with_more(links, comp, _hub_pairs(_with_slack(docs, members, share)))
+        members = stored(members.drop("c").join(comp, "id", "left").select("id", F.coalesce("component_id", "id").alias("c"), "cluster"), "open-regions")
+        late = _open_pairs(members, None, share, docs).join(pairs, ["a", "b"], "left_anti")
         links, comp = with_more(links, comp, _with_sketches(late, reps, least).select("a", "b"))
     own = smallest_ids(classes, comp).select("k1", "k2", "c")
     out = sketch.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "k1", "k2").join(own, ["k1", "k2"], "left")

@@ -95,6 +95,43 @@ def test_open_pairs_hold_every_link(spark, seed):
     assert links <= found and all(i % 20 != j % 20 for i, j in found) and links
 
 
+def group_near_the_threshold(changes=7, most=18):
+    """300 near copies (one component) and 60 documents that are too far from them for a link; sizes differ. Ten of these have a copy."""
+    rnd, base, sets = random.Random(1), list(range(1, 146)), []
+    for i in range(360):
+        own = changes if i < 300 else most
+        sets.append(set(base) - set(rnd.sample(base, own)) | {10 ** 6 + 1000 * i + k for k in range(own + i % 10 - (5 if i < 300 else 0))})
+    sets += [sets[300 + i] - {min(sets[300 + i])} | {10 ** 9 + i} for i in range(10)]
+    return sets, [0] * 300 + list(range(300, 370))
+
+
+def test_open_pairs_are_few_near_the_threshold(spark):
+    sets, comps = group_near_the_threshold()
+    df = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "doc_id long, shingles binary")
+    members = spark.createDataFrame([(i, c, 1) for i, c in enumerate(comps)], "id long, c long, cluster long")
+    found = {tuple(r) for r in M._open_pairs(members, df, 80).collect()}
+    links = {(i, j) for i, s in enumerate(sets) for j in range(i + 1, len(sets)) if comps[i] != comps[j] and 100 * len(s & sets[j]) >= 80 * len(s | sets[j])}
+    assert len(links) == 10 and links <= found and len(found) < len(sets)
+
+
+def test_hubs_join_what_is_near_the_pivot(spark):
+    """Documents whose slacks add up to 0 or more are linked, and with the hub, too; sizes differ."""
+    rnd, base = random.Random(5), list(range(1, 151))
+    sets = [set(base[:rnd.randrange(135, 151)]) - set(rnd.sample(base, rnd.randrange(12))) | set(rnd.sample(range(1000, 1400), rnd.randrange(12)))
+            for _ in range(120)]
+    df = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)], "doc_id long, shingles binary")
+    members = spark.createDataFrame([(i, i, 1) for i in range(120)], "id long, c long, cluster long")
+    docs = M._with_slack(M._differences(members, df), members, 80)
+    slack = {r.id: r.s for r in docs.collect()}
+    hubs = {tuple(r) for r in M._hub_pairs(docs).collect()}
+    linked = lambda i, j: 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert hubs and all(linked(i, j) for i, j in hubs)
+    hub = max(slack, key=lambda i: (slack[i], -i))
+    sure = [(i, j) for i in range(120) for j in range(i + 1, 120) if slack[i] + slack[j] >= 0]
+    reached = {x for p in hubs for x in p} | {hub}
+    assert len(sure) > 1000 and all(linked(i, j) and {i, j} <= reached for i, j in sure)
+
+
 def test_edges(spark):
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     out = got(documents(spark))
