@@ -126,6 +126,24 @@ class Forest:
             self.edges.append((a[at], b[at]))
 
 
+def _strips(xb: np.ndarray, yb: np.ndarray, radius: float):
+    """Strips of up to 256 rows of ``yb``, each with the rows of ``xb`` that can be within ``radius`` of one of them. Rows are halved
+    along one coordinate after the other, the last ones first: the grid has divided the others already."""
+    todo = [(np.arange(len(yb)), np.arange(len(xb)), 0)]
+    while todo:
+        own, reach, depth = todo.pop()
+        if not len(reach):
+            continue
+        if len(own) <= 256:
+            yield own, reach
+            continue
+        k = -1 - depth % yb.shape[1]
+        own = own[np.argsort(yb[own, k], kind="stable")]
+        half, at = len(own) // 2, xb[reach, k]
+        todo.append((own[:half], reach[at <= yb[own[half - 1], k] + radius], depth + 1))
+        todo.append((own[half:], reach[at >= yb[own[half], k] - radius], depth + 1))
+
+
 def _tile(cosine: float, budget: float, rotations: dict[int, np.ndarray], kind: str):
     def run(key, pdf):
         import pandas as pd
@@ -150,24 +168,38 @@ def _tile(cosine: float, budget: float, rotations: dict[int, np.ndarray], kind:
             one = lambda n: np.ones((n, 1))
             xe = np.hstack((xb, (xb * xb).sum(axis=1, keepdims=True), one(len(x)))).astype(np.float32).T.copy()
             ye = np.hstack((-2 * yb, one(len(y)), (yb * yb).sum(axis=1, keepdims=True))).astype(np.float32)
-            for lo in range(0, len(y), 256):
-                j, i = np.divmod(np.flatnonzero(ye[lo:lo + 256] @ xe <= limits[b] + NEAR), len(x))
-                once = ids_q[lo + j] > ids_d[i]
+
+            def count(ii, jj):
+                """Counts the linked pairs that keep to this block's budget, and to none of an earlier block."""
+                ui, pi = np.unique(ii, return_inverse=True)
+                uj, pj = np.unique(jj, return_inverse=True)
+                upto = q[:, :at.stop]  # later blocks don't matter
+                gap = (rotated(x[ui], upto)[pi] - rotated(y[uj], upto)[pj]) ** 2
+                keeps = np.stack([gap[:, s].sum(axis=1) for s in parts[:b + 1]], axis=1) <= limits[:b + 1] + 1e-9
+                ok = keeps[:, b] & (keeps.argmax(axis=1) == b)
+                a, b_ = node_d[ii[ok]], node_q[jj[ok]]
+                np.add.at(counts, a, w_q[jj[ok]])
+                np.add.at(counts, b_, w_d[ii[ok]])
+                linked[a] = linked[b_] = True
+                forest.add(a, b_)
+
+            held, n_held = [], 0
+            for own, reach in _strips(xb, yb, np.sqrt(limits[b] + 2 * NEAR)):
+                j, i = np.divmod(np.flatnonzero(ye[own] @ xe[:, reach] <= limits[b] + NEAR), len(reach))
+                i, j = reach[i], own[j]
+                once = ids_q[j] > ids_d[i]
                 i, j = i[once], j[once]
                 for k in range(0, len(i), 100_000):
-                    ii, jj = i[k:k + 100_000], j[k:k + 100_000] + lo
-                    ui, pi = np.unique(ii, return_inverse=True)
-                    uj, pj = np.unique(jj, return_inverse=True)
-                    gap = (rotated(x[ui], q)[pi] - rotated(y[uj], q)[pj]) ** 2
-                    keeps = np.stack([gap[:, s].sum(axis=1) for s in parts], axis=1) <= limits + 1e-9
-                    ok = keeps[:, b] & (keeps.argmax(axis=1) == b)
-                    ii, jj = ii[ok], jj[ok]
+                    ii, jj = i[k:k + 100_000], j[k:k + 100_000]
+                    # the exact cosine first: few candidates have it, and only those need all blocks
                     ok = (x[ii] * y[jj]).sum(axis=1) >= cosine
-                    a, b_ = node_d[ii[ok]], node_q[jj[ok]]
-                    np.add.at(counts, a, w_q[jj[ok]])
-                    np.add.at(counts, b_, w_d[ii[ok]])
-                    linked[a] = linked[b_] = True
-                    forest.add(a, b_)
+                    held.append((ii[ok], jj[ok]))
+                    n_held += len(held[-1][0])
+                    if n_held >= 10_000:
+                        count(*map(np.concatenate, zip(*held, strict=True)))
+                        held, n_held = [], 0
+            if n_held:
+                count(*map(np.concatenate, zip(*held, strict=True)))
         rows = [(k, n, None, None) for k, n in zip(nodes[linked].tolist(), counts[linked].tolist(), strict=True)]
         rows += [(None, 0, x_, y_) for a, b_ in forest.edges for x_, y_ in zip(nodes[a].tolist(), nodes[b_].tolist(), strict=True)]
         return pd.DataFrame(rows, columns=["id", "n", "a", "b"]).astype({"id": "Int64", "n": "int64", "a": "Int64", "b": "Int64"})

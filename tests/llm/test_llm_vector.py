@@ -85,6 +85,18 @@ def test_tile_holds_one_strip_of_pairs():
     assert peak < 150 << 20  # a pair's two places alone, for all pairs, are 72 MB, and 250 MB more as Python numbers
 
 
+def test_strips_leave_out_no_near_pair_and_most_others():
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((3000, 8)) / 8, rng.standard_normal((2500, 8)) / 8
+    strips = list(V._strips(x, y, 0.12))
+    assert sorted(np.concatenate([own for own, _ in strips]).tolist()) == list(range(2500)) and max(len(own) for own, _ in strips) <= 256
+    got = np.zeros((2500, 3000), bool)
+    for own, reach in strips:
+        got[np.ix_(own, reach)] = True
+    assert got[((y[:, None] - x[None]) ** 2).sum(axis=2) <= 0.12 ** 2].all() and got.mean() < 0.7
+    assert [len(own) for own, _ in V._strips(np.ones((3, 8)), np.ones((600, 8)), 0.1)] == [150] * 4 and not list(V._strips(x[:0], y, 1))
+
+
 def test_edges(spark):
     rows = [(1, None), (2, []), (3, [0, 0]), (4, [1, None]), (5, [1, float("nan")]), (6, [float("inf"), 1]), (7, [1, 0]), (8, [1, 0, 0]),
             (9, [2, 0]), (9, [2, 0]), (10, [0, 1]), (11, [1e-30, 0]), (12, [0, 0])]
