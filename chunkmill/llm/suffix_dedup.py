@@ -44,7 +44,7 @@ from .common import arrow_schema, trimmed
 WINDOW = 50
 K = 20  # anchor length; WINDOW - K + 1 anchors start in a window
 W = WINDOW - K + 1
-SLICE = 1 << 20  # bytes hashed at a time
+SLICE = 1 << 17  # bytes hashed at a time: their arrays stay in a core's cache
 BUCKET_BYTES = 4 << 20  # text per bucket
 PLACE = 21  # bits of a position in a slice
 BATCH_BYTES = 16 << 20  # text per batch
@@ -59,28 +59,29 @@ _POWERS: list[np.ndarray] = []
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-def _join(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return x * np.uint64(_X) + (y ^ (y >> np.uint64(31)))
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def _sums(raw: np.ndarray) -> np.ndarray:
+    """Sums of the bytes before each position, weighed by powers: a difference of two is the hash of what is between them."""
+    x = _BYTE[raw]
+    x *= _context_powers(len(raw))[0][:len(raw)]
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(x, out=out[1:])
+    return out
 
 
-def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(raw: np.ndarray, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For every window of ``raw`` (a slice): the position of its smallest K-byte hash (by all but the last PLACE bits, the leftmost of
     equal ones); and all K-byte hashes. Hash and position are one number, so a minimum moves both."""
     if len(raw) >> PLACE:
         raise ValueError("longer than a slice")
-    h = _BYTE[raw]
-    h2 = _join(h[:-1], h[1:])
-    h4 = _join(h2[:-2], h2[2:])
-    h8 = _join(h4[:-4], h4[4:])
-    h16 = _join(h8[:-8], h8[8:])
-    n = len(raw) - K + 1
-    k = _mix(_join(h16[:n], h4[16:16 + n]))  # 16 + 4 bytes
-    value, width = k >> np.uint64(PLACE) << np.uint64(PLACE), 1
-    value |= np.arange(n, dtype=np.uint64)
+    k = _string_hashes(_sums(raw) if sums is None else sums, np.s_[:-K], np.s_[K:])
+    value, width = k & np.uint64((1 << 64) - (1 << PLACE)), 1
+    value |= np.arange(len(k), dtype=np.uint64)
     while width < W:
         step = min(width, W - width)
         value = np.minimum(value[:-step], value[step:])
@@ -88,6 +89,13 @@ def _anchors(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (value & np.uint64((1 << PLACE) - 1)).astype(np.int32), k
 
 
+def _string_hashes(sums: np.ndarray, first, end) -> np.ndarray:
+    """64-bit hashes of the bytes from ``first`` to ``end`` (indices or slices)."""
+    x = sums[end] - sums[first]
+    x *= _context_powers(len(sums) - 1)[1][:len(sums)][first]
+    return _mix(x)
+
+
 def _slices(texts: list[bytes]):
     """(raw, pieces) with pieces (document number, first byte in the document, first byte in raw, length): documents
     one behind the other up to about SLICE bytes; long ones in slices that overlap by WINDOW - 1 bytes."""
@@ -107,23 +115,23 @@ def _slices(texts: list[bytes]):
 
 
 def _runs(texts: list[bytes]):
-    """Per slice: raw, and for each run of windows with one anchor: document, anchor position in the document,
-    anchor hash, first window in raw, number of windows, the document position of raw[0] of its piece."""
+    """Per slice: its sums, and for each run of windows with one anchor: document, anchor position in the document,
+    anchor hash, first window in the slice, number of windows, the document position of the slice's byte 0 by its piece."""
     for raw, pieces in _slices(texts):
-        at, k = _anchors(raw)
+        sums = _sums(raw)
+        at, k = _anchors(raw, sums)
         doc, offset, start, size = np.array(pieces, np.int64).T
-        windows = size - WINDOW + 1  # that stay in their piece
-        before = np.cumsum(windows) - windows
-        w = np.arange(windows.sum()) + np.repeat(start - before, windows)
-        a = at[w]
-        change = np.empty(len(a), bool)
-        np.not_equal(a[1:], a[:-1], out=change[1:])
-        change[before] = True
-        first = np.flatnonzero(change)
-        n = np.diff(np.append(first, len(w)))
-        o = np.searchsorted(before, first, "right") - 1  # piece
-        shift = (offset - start)[o]  # raw position -> document position
-        yield raw, doc[o], a[first] + shift, k[a[first]], w[first], n, shift
+        beyond = start + size - WINDOW + 1  # the first window that leaves its piece
+        change = np.empty(len(at) + 1, bool)
+        np.not_equal(at[1:], at[:-1], out=change[1:-1])
+        change[start] = change[beyond] = True
+        edge = np.flatnonzero(change)
+        first, n = edge[:-1], np.diff(edge)
+        o = np.searchsorted(start, first, "right") - 1  # piece
+        stays = np.flatnonzero(first < beyond[o])
+        first, n, o = first[stays], n[stays], o[stays]
+        shift = (offset - start)[o]  # position in the slice -> document position
+        yield sums, doc[o], at[first] + shift, k[at[first]], first, n, shift
 
 
 def _groups(sorted_values: np.ndarray) -> list[tuple[int, int]]:
@@ -197,11 +205,11 @@ def _lead(*columns: np.ndarray) -> np.ndarray:
 def _batch_anchors(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchor hashes of a batch in ascending order, whether two of its documents hold them, and the number of
     their contexts (of their occurrences if below FEW)."""
-    found = [(d, h, _context_keys(raw, first, first + n + WINDOW - 1, p - shift - first)) for raw, d, p, h, first, n, shift in _runs(texts)]
+    found = [(d, h, _context_keys(sums, first, first + n + WINDOW - 1, p - shift - first)) for sums, d, p, h, first, n, shift in _runs(texts)]
     if not found:
         return np.array([], np.uint64), np.array([], bool), np.array([], np.uint16)
     d, h, code = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, who, code = h[order], ids[d[order]], code[order]
     first = _lead(h)
     times = np.diff(np.append(first, len(h)))
@@ -267,7 +275,7 @@ def _contexts(texts: list[bytes], wanted: np.ndarray | None, n_buckets: int, hot
     document). ``wanted`` holds the repeated anchors as bucket << 32 | entry, in ascending order (None: all); the windows of
     those that are ``hot`` are contexts of their own, in the bucket of their hash, with ALONE added to the offset."""
     cols = []
-    for raw, d, p, h, first, n, shift in _runs(texts):
+    for sums, d, p, h, first, n, shift in _runs(texts):
         bucket = h % np.uint64(n_buckets)
         alone = np.zeros(len(d), bool)
         if wanted is not None:
@@ -281,23 +289,22 @@ def _contexts(texts: list[bytes], wanted: np.ndarray | None, n_buckets: int, hot
         offset = p - shift - first  # of the anchor in the context
         one = np.flatnonzero(~alone)
         if len(one):
-            key = _context_keys(raw, first[one], first[one] + n[one] + WINDOW - 1, offset[one])
+            key = _context_keys(sums, first[one], first[one] + n[one] + WINDOW - 1, offset[one])
             cols.append((d[one], bucket[one].astype(np.int32), key, n[one], offset[one], (first + shift)[one]))
         if len(one) < len(d):
             many = np.flatnonzero(alone)
             run, inner = _inner(n[many])
             run = many[run]
             at, place = first[run] + inner, offset[run] - inner
-            key = _context_keys(raw, at, at + WINDOW, place)
+            key = _context_keys(sums, at, at + WINDOW, place)
             cols.append((d[run], (key % np.uint64(n_buckets)).astype(np.int32), key, np.ones_like(at), place + ALONE, at + shift[run]))
     empty = np.array([], np.int64)
     return tuple(np.concatenate(c) for c in zip(*cols, strict=True)) if cols else (empty, empty, empty.astype(np.uint64), empty, empty, empty)
 
 
-def _context_keys(raw: np.ndarray, first: np.ndarray, end: np.ndarray, offset: np.ndarray) -> np.ndarray:
-    """64-bit hashes of raw[first:end], with the anchor's place in it."""
-    up, down = _context_powers(len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[:len(raw)], dtype=np.uint64)))
+def _context_keys(sums: np.ndarray, first: np.ndarray, end: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes from first to end, with the anchor's place in them."""
+    down = _context_powers(len(sums) - 1)[1]
     return _mix(((sums[end] - sums[first]) * down[first]) ^ ((end - first) * 64 + offset).astype(np.uint64) * np.uint64(_XI))
 
 
@@ -419,11 +426,12 @@ def _scan(key, pdf):
     least, most = np.concatenate([p[4][p[2]] for p in parts]), np.concatenate([p[4][p[2] + p[3]] for p in parts])
     size = n + WINDOW - 1
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
-    keys = np.empty(len(n), np.uint64)
+    keys, anchors = np.empty(len(n), np.uint64), np.empty(len(n), np.uint64)
     for i, j in _groups(start // SLICE):  # about a SLICE of bytes at a time
-        lo = start[i]
-        keys[i:j] = _context_keys(raw[lo:start[j - 1] + size[j - 1]], start[i:j] - lo, start[i:j] + size[i:j] - lo, offset[i:j])
-    h = np.where(split, keys, _anchor_hashes(raw, start + offset))  # a split anchor's window only meets its equals
+        sums, first = _sums(raw[start[i]:start[j - 1] + size[j - 1]]), start[i:j] - start[i]
+        keys[i:j] = _context_keys(sums, first, first + size[i:j], offset[i:j])
+        anchors[i:j] = _string_hashes(sums, first + offset[i:j], first + offset[i:j] + K)
+    h = np.where(split, keys, anchors)  # a split anchor's window only meets its equals
     # equal contexts of several batches become one (their bytes are compared, not only their hash)
     order = np.lexsort((keys, h))
     same = np.concatenate(([False], (keys[order][1:] == keys[order][:-1]) & (h[order][1:] == h[order][:-1]) & (n[order][1:] == n[order][:-1])))
@@ -475,19 +483,12 @@ def _scan(key, pdf):
     entry, piece, entry_batch = entry[by], piece[by], entry_batch[by]
     rows = []
     for x, y in _groups(entry_batch):
-        q = piece[x:y]
-        rows.append((int(entry_batch[x]), _pack(keys[entry[x:y]], (a[q] + ALONE * split[entry[x:y]]).astype(np.uint8), b[q].astype(np.uint8), s[q])))
+        q, own = piece[x:y], entry[x:y]
+        rows.append((int(entry_batch[x]), _pack(keys[own], (a[q] + ALONE * split[own]).astype(np.uint8), b[q].astype(np.uint8), s[q],
+                                                np.unique(anchors[own[split[own]]]))))
     return pd.DataFrame(rows, columns=["batch", "replies"])
 
 
-def _anchor_hashes(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hashes of the K bytes at the given positions: equal anchors, equal hashes."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(K):
-        out = _join(out, _BYTE[raw[at + k]])
-    return _mix(out)
-
-
 def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 18):
     """Index ranges of whole anchor groups with about ``most`` windows: equal windows have equal anchors."""
     if not len(anchors):
@@ -499,12 +500,14 @@ def _chunks(anchors: np.ndarray, windows: np.ndarray, most: int = 1 << 18):
         yield np.arange(s, e)
 
 
-def _single(runs, ids: np.ndarray, keys: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first byte, end) of a slice's windows whose hash is one of ``keys`` with an earlier document."""
-    raw, d, p, _, first, n, shift = runs
-    run, inner = _inner(n)
+def _single(runs, ids: np.ndarray, anchors: np.ndarray, keys: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first byte, end) of a slice's windows with one of the split ``anchors`` whose hash is one of ``keys`` with an earlier document."""
+    sums, d, p, h, first, n, shift = runs
+    many = np.flatnonzero(anchors[np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)] == h)
+    run, inner = _inner(n[many])
+    run = many[run]
     at = first[run] + inner
-    code = _context_keys(raw, at, at + WINDOW, (p - shift - first)[run] - inner)
+    code = _context_keys(sums, at, at + WINDOW, (p - shift - first)[run] - inner)
     i = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
     hit = np.flatnonzero((keys[i] == code) & (earliest[i] < ids[d[run]]))
     low = at[hit] + shift[run[hit]]
@@ -523,7 +526,7 @@ def _cut(n_buckets: int, with_text: bool):
         ids, texts = docs["id"].to_numpy(), [_unzip(z) for z in docs["z"]]
         owner = low = high = np.array([], np.int64)
         if len(replies):
-            k, a, b, s = (np.concatenate(c) for c in zip(*(_unpack(m, np.uint64, np.uint8, np.uint8, np.int64) for m in replies["replies"]), strict=True))
+            k, a, b, s, anchors = (np.concatenate(c) for c in zip(*(_unpack(m, np.uint64, np.uint8, np.uint8, np.int64, np.uint64) for m in replies["replies"]), strict=True))
             order = np.argsort(k, kind="stable")
             k, a, b, s = k[order], a[order].astype(np.int64), b[order].astype(np.int64), s[order]
             split = a >= ALONE
@@ -540,9 +543,10 @@ def _cut(n_buckets: int, with_text: bool):
             run_, piece = run_[keep], piece[keep]
             owner, low, high = d[run_], at[run_] + a[piece], at[run_] + b[piece] + WINDOW
             if len(single):
-                more = [x for r in _runs(texts) if len((x := _single(r, ids, single, earliest))[0])]
+                anchors = np.unique(anchors)
+                more = [x for r in _runs(texts) if len((x := _single(r, ids, anchors, single, earliest))[0])]
                 owner, low, high = (np.concatenate(x) for x in zip((owner, low, high), *more, strict=True))
-        rows = []
+        rows, hashes = [], docs["hash"].tolist()
         by = np.argsort(owner, kind="stable")
         edges = np.searchsorted(owner[by], np.arange(len(texts) + 1))
         for i, t in enumerate(texts):
@@ -556,7 +560,7 @@ def _cut(n_buckets: int, with_text: bool):
                 kept = np.frombuffer(t, np.uint8)[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1))
             whole = _pack(np.frombuffer(kept.decode("utf-8", "ignore").encode(), np.uint8)) if with_text else None
-            rows.append((int(ids[i]), int(docs["hash"].iloc[i]), len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), whole))
+            rows.append((int(ids[i]), hashes[i], len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), whole))
         return pd.DataFrame(rows, columns=["id", "hash", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
