@@ -1,17 +1,18 @@
 """Exact byte-level BPE encoding by backtracking, and decoding by an offset table.
 
 Encoding: a text is cut at special tokens and by the tokenizer's own pre-tokeniser. In each piece an
-Aho-Corasick automaton over the reversed vocabulary finds, in one scan, the longest token that starts at
-every place. Tokens are then chosen from left to right, the longest first; a token may follow another
+Aho-Corasick automaton over the vocabulary finds the longest token at a place, and then at the place where
+that token ends. Tokens are chosen from left to right, the longest first; a token may follow another
 only if merging by rank would really leave the two side by side (the pair-compatibility table,
-filled on demand by undoing merges at the seam). Where no token fits, the last one is taken back and the
+filled on demand by undoing merges at the seam). Where a shorter token is taken, the automaton starts anew
+behind it. Where no token fits, the last one is taken back and the
 place is marked as a dead end, so every place is left at most once and time is linear in the text.
 
 Decoding: all tokens' bytes lie in one blob; an offset table gives each id's place, and the bytes of
 many ids are gathered in one vector step.
 
-Nothing is shuffled: both directions are one pass over rows. A worker builds its tables once; its cache of
-word ids is emptied beyond ``CACHED_WORDS`` entries and holds no word longer than ``LONGEST_CACHED``.
+Nothing is shuffled: both directions are one pass over rows. A worker builds its tables once; its caches of
+ids hold at most ``CACHED_PIECES`` pre-tokens and ``CACHED_WORDS`` words, those used last, none longer than ``LONGEST_CACHED``.
 
 Defined cases: null text is an empty text (no ids); blank and very long texts are encoded whole, in one worker;
 there are no ties, as the encoding of a text is unique; repeated rows are encoded each for itself; a null
@@ -24,20 +25,26 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 300_000
+CACHED_PIECES = 450_000  # pre-tokens whose ids a worker holds
+CACHED_WORDS = 150_000  # words with other characters than _SIMPLE
+CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64
 GATHERED_IDS = 1 << 18  # ids decoded in one vector step
+SCANNED_TOKENS = 4  # a scan of a piece looks so many times the longest token ahead
 
 _AFTER_SPACE = re.compile(r"\s ")
 # ASCII and the Latin letters up to U+024F: character classes that no version of Unicode changes. Texts of
 # these characters are pre-tokenised by a pattern (fixed by the vocabulary's kind), all others by the library.
 _SIMPLE = re.compile("[\x00-\x7fÀ-ÖØ-öø-ɏ]*")
+# words with other characters, and the blank before them
+_OTHER_WORDS = re.compile("((?:^| )[\x00-\x1f!-\x7fÀ-ÖØ-öø-ɏ]*+[^\x00-\x7fÀ-ÖØ-öø-ɏ][^ ]*)")
 _SIMPLE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^ \t-\r0-9A-Za-zÀ-ÖØ-öø-ɏ]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 
@@ -50,16 +57,21 @@ def byte_chars() -> dict[str, int]:
 
 
 class Cache(dict):
-    """Values of ``make(key)``, computed once; emptied beyond ``CACHED_WORDS`` keys, long keys are never held."""
+    """Values of ``make(key)``, at most ``most`` of them: whenever half as many keys were used since the last time,
+    the others are dropped, so frequent keys stay. Long keys are never held."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
+            if len(self) >= self.most // 2:
+                self.before = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -95,7 +107,7 @@ class Encoder:
             self.merged.setdefault((a_id, b_id), r)
             if self.rank[t] < 0:
                 self.rank[t], self.left[t], self.right[t] = r, a_id, b_id
-        self.fits: dict[int, bool] = {}
+        self.fits: dict[int, int] = {}
         # tokens that merging really reaches from their own bytes, in the order in which they are made
         self.known: dict[str, int] = {}
         known = self.known
@@ -112,10 +124,12 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for token, t in known.items():
             self.shorter[t] = next((known[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in known), -1)
-            self.automaton.add_word(token[::-1], t)
+            self.automaton.add_word(token, t)
         self.automaton.make_automaton()
-        self.pieces = Cache(lambda piece: np.array(self._piece(piece), "<u4").tobytes())
-        self.words = Cache(lambda word: self._pieces(" " + word))  # words that follow a blank
+        self.longest = max(self.length)
+        self.lacking = {chr(b) for b in range(256)}.difference(known)
+        self.pieces = Cache(lambda piece: self._ids(self._piece(piece.encode().decode("latin-1"))), CACHED_PIECES)
+        self.words = Cache(self._pieces, CACHED_WORDS)
 
     def _seam(self, a: int, b: int, limit: float) -> bool:
         """No merge of a rank below ``limit`` joins ``a`` and ``b``, nor any two of the parts that met at their
@@ -133,59 +147,72 @@ class Encoder:
             else:
                 return True
 
-    def _compatible(self, a: int, b: int) -> bool:
-        if len(self.fits) >= CACHED_WORDS:
+    def _fitting(self, a: int, t: int) -> int:
+        """The longest token that may follow ``a`` and is ``t`` or begins it (-1: none)."""
+        key = a * self.size + t
+        while t >= 0 and not self._seam(a, t, float("inf")):
+            t = self.shorter[t]
+        if len(self.fits) >= CACHED_PAIRS:
             self.fits.clear()
-        ok = self.fits[a * self.size + b] = self._seam(a, b, float("inf"))
-        return ok
+        self.fits[key] = t
+        return t
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one pre-token (its bytes, as Latin-1)."""
         if piece in self.known:  # merging reaches the token from its own bytes
             return [self.known[piece]]
+        if not self.lacking.isdisjoint(piece):
+            raise ValueError("the vocabulary lacks a byte")
         length, shorter, fits, size = self.length, self.shorter, self.fits, self.size
-        # the automaton reports the longest token first: it overwrites the shorter ones that end at the same place
-        longest = dict(list(self.automaton.iter(piece[::-1]))[::-1])
+        scan, ahead = self.automaton.iter_long, SCANNED_TOKENS * self.longest
         n = len(piece)
-        if len(longest) < n:
-            raise ValueError("the vocabulary lacks a byte")
         out: list[int] = []
-        dead, at, t = bytearray(n + 1), 0, longest[n - 1]
+        dead, at, t = bytearray(n + 1), 0, -1
+        tokens, scanned = None, 0  # the longest tokens, one behind the other; up to where they are known to be the longest
         while at < n:
-            if t < 0:
-                dead[at] = 1
-                t = out.pop()
-                at -= length[t]
-            end = at + length[t]
-            if not dead[end]:
-                ok = True
-                if out:
-                    ok = fits.get(out[-1] * size + t)
-                    if ok is None:
-                        ok = self._compatible(out[-1], t)
-                if ok:
-                    out.append(t)
-                    at = end
-                    if at < n:
-                        t = longest[n - 1 - at]
-                    continue
-            t = shorter[t]
+            if tokens is None or at > scanned:
+                tokens = scan(piece[at:at + ahead])
+                scanned = n if at + ahead >= n else at + ahead - self.longest
+            t = next(tokens)[1]
+            while True:
+                if out and t >= 0:
+                    fit = fits.get(out[-1] * size + t)
+                    if fit is None:
+                        fit = self._fitting(out[-1], t)
+                    if fit != t:
+                        t, tokens = fit, None
+                if t < 0:
+                    dead[at] = 1
+                    t = out.pop()
+                    at -= length[t]
+                elif not dead[at + length[t]]:
+                    break
+                t, tokens = shorter[t], None
+            out.append(t)
+            at += length[t]
         return out
 
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _simple(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _SIMPLE_PIECES.findall(text)))
+
     def _pieces(self, text: str) -> bytes:
         """Ids of a stretch of text, pre-token by pre-token."""
         if _SIMPLE.fullmatch(text):
-            parts = _SIMPLE_PIECES.findall(text)
-        else:
-            parts = [text[a:b] for _, (a, b) in self.cut(text)]
-        return b"".join([self.pieces[p.encode().decode("latin-1")] for p in parts])
+            return self._simple(text)
+        return b"".join([self.pieces[text[a:b]] for _, (a, b) in self.cut(text)])
 
     def _plain(self, text: str) -> bytes:
+        if _SIMPLE.fullmatch(text):
+            return self._simple(text)
         if _AFTER_SPACE.search(text):  # pre-tokens look across runs of white space
             return self._pieces(text)
-        # no token goes across "non-space, blank": words are encoded one by one
-        first, *rest = text.split(" ")
-        return self._pieces(first) + b"".join(map(self.words.__getitem__, rest))
+        # no token goes across "non-space, blank": words with other characters are encoded apart
+        parts = _OTHER_WORDS.split(text)
+        return b"".join([self.words[p] if k % 2 else self._simple(p) for k, p in enumerate(parts)])
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian unsigned 32-bit numbers."""
@@ -196,7 +223,7 @@ class Encoder:
             return self._plain(text)
         out = []
         for part in re.split("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", text):
-            out.append(np.array([self.added[part]], "<u4").tobytes() if part in self.added else self._plain(part))
+            out.append(self._ids([self.added[part]]) if part in self.added else self._plain(part))
         return b"".join(out)
 
 

@@ -61,10 +61,55 @@ def test_every_token_and_words(library):
 
 def test_special_tokens_long_runs_and_spaces(library):
     for text in ("<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", " <|endoftext|", "a" * 100_000, "ab" * 50_000, " " * 5000 + "x",
-                 "x \n y", "x\n\n  y ", "\t \t", "don't we'll I'D  it's", "é" * 20_000, "the" * 30_000, "0123456789" * 3000):
+                 "x \n y", "x\n\n  y ", "\t \t", "don't we'll I'D  it's", "é" * 20_000, "the" * 30_000, "0123456789" * 3000,
+                 " “the” heron’s neck – über 中文 中文 x\n\u2003y\n", "中 a 中", "a \U0001f600b", "’s it’s 's", "heron\n’ \u00a0 the"):
         same(library, text)
 
 
+def test_pieces_longer_than_a_scan(library):
+    reach = bpe_codec.SCANNED_TOKENS * bpe_codec.built(bpe_codec.Encoder).longest
+    for n in range(reach - 3, reach + 4):
+        for word in ("a", "the", "tion", "oré", "=", "-=", "heron"):
+            same(library, word * (n // len(word)) + "x" * (n % len(word)))
+
+
+def test_a_scan_starts_where_it_is_needed(library):
+    class Counted:
+        looked = 0
+
+        def __init__(self, own):
+            self.own = own
+
+        def __getattr__(self, name):
+            def scan(piece):
+                for match in getattr(self.own, name)(piece):
+                    self.looked += 1
+                    yield match
+            return scan
+
+    own = bpe_codec.built(bpe_codec.Encoder)
+    automaton, own.automaton = own.automaton, Counted(own.automaton)
+    try:
+        tokens = 0
+        for word in (" thenthan", " anedoron", " heersh", " eleentionanle", " whbleononshtheningor"):
+            got = own._piece(word)
+            assert got == library.encode(word, add_special_tokens=False).ids
+            tokens += len(got)
+        looked = own.automaton.looked
+    finally:
+        own.automaton = automaton
+    assert looked <= 2 * tokens  # not every token at every byte
+
+
+def test_frequent_keys_stay_cached():
+    made = []
+    cache = bpe_codec.Cache(lambda key: made.append(key) or key, 20)
+    for word in (f"rare{i}" for i in range(1000)):
+        assert cache["often"] == "often" and cache[word] == word
+        assert len(cache) + len(cache.before) <= 20
+    assert made.count("often") == 1 and len(made) == 1001
+
+
 def test_unknown_ids_and_bytes():
     assert back([10**6, -1]) == ""
     own = bpe_codec.built(bpe_codec.Decoder)
