@@ -36,6 +36,7 @@ CACHED_PIECES = 450_000  # pre-tokens whose ids a worker holds
 CACHED_WORDS = 150_000  # words with other characters than _SIMPLE
 CACHED_PAIRS = 300_000
 LONGEST_CACHED = 64
+ROWS = 1000  # rows whose ids or texts a worker holds at once
 GATHERED_IDS = 1 << 18  # ids decoded in one vector step
 SCANNED_TOKENS = 4  # a scan of a piece looks so many times the longest token ahead
 
@@ -268,6 +269,13 @@ def built(kind: type, tokenizer: str = TOKENIZER):
     return _BUILT[kind, tokenizer]
 
 
+def parts(batches):
+    """Arrow batches of at most ``ROWS`` rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, ids array<int>`` of every row of ``docs`` (``doc_id, text``)."""
 
@@ -275,7 +283,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         import pyarrow as pa
 
         own = built(Encoder, tokenizer)
-        for batch in batches:
+        for batch in parts(batches):
             ids = [own.encode(t.as_py()) if t.is_valid else b"" for t in batch.column("text")]
             offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in ids], dtype=np.int64)]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
@@ -293,7 +301,7 @@ def decode(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         import pyarrow as pa
 
         own = built(Decoder, tokenizer)
-        for batch in batches:
+        for batch in parts(batches):
             ids = batch.column("ids")
             texts = []
             for row in ids:

@@ -141,6 +141,21 @@ def test_defined_cases(spark, library):
     assert [tuple(r) for r in bpe_codec.decode(nothing).orderBy("doc_id").collect()] == [(1, None, None), (2, [], "")]
 
 
+def test_batches_leave_in_parts(spark, library):
+    n = 2 * bpe_codec.ROWS + 1  # in one Arrow batch
+    docs = spark.range(n).selectExpr("id doc_id", "if(id % 7 = 0, null, concat('the ', id, ' heron')) text").coalesce(1)
+    encoded = bpe_codec.encode(docs)
+    got = bpe_codec.decode(encoded).collect()
+    assert [r["doc_id"] for r in got] == list(range(n))
+    for r in got:
+        text = f"the {r['doc_id']} heron" if r["doc_id"] % 7 else ""
+        assert r["text"] == text and r["ids"] == library.encode(text, add_special_tokens=False).ids
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"a": list(range(n))})
+    assert [b.num_rows for b in bpe_codec.parts([batch])] == [bpe_codec.ROWS, bpe_codec.ROWS, 1]
+
+
 def test_query_equals_the_library(spark, library):
     from conftest import SF001
 
